@@ -56,6 +56,11 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda variable stands for it, where a column's expression would be copied."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def fold_of(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")) % n

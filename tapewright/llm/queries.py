@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import text_queries
 from .common import fold_of, table
 from .decontam import contaminated
 from .line_dedup import LEAST_PAGES, RATIO, dedup_lines, html_lines
@@ -56,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | {"pipeline": pipeline}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | text_queries.queries() | {"pipeline": pipeline}
 
 
 _WS = r"[ \t\n\x0B\f\r]"
@@ -120,4 +121,4 @@ ORACLE["op5_mixing"] = _mixing_sql()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | text_queries.oracle_sql()
