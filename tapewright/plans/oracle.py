@@ -96,11 +96,11 @@ CTE = {
     "bars_split": "select b.symbol, as_of, open * f as open, close * f as close from (select b.*, case when s.effective_date is not null and b.as_of >= s.effective_date then s.ratio else 1.0 end as f from bars b left join splits s on b.symbol = s.symbol) b",
     "titles": "select doc_id, trim(string_split(coalesce(text, ''), chr(10))[1], ' ') as title from documents where trim(string_split(coalesce(text, ''), chr(10))[1], ' ') <> ''",
     "names": r"select item_id::varchar as symbol, regexp_replace(coalesce(text, ''), '[.,\n]', ' ', 'g') as name from benchmark",
-    "alias": r"""select symbol, alias from (select distinct symbol, alias from (select symbol, unnest([case when len(w) >= 2 then w[1] || ' ' || w[2] end, case when length(w[1]) >= 4 and w[1] not in ('THAT', 'THIS', 'WITH', 'FROM') then w[1] end]) as alias from (select symbol, list_filter(regexp_split_to_array(upper(trim(name)), '\s+'), lambda x: x <> '') as w from names)) where alias is not null)
+    "alias": r"""select symbol, alias from (select distinct symbol, alias from (select symbol, unnest([case when len(w) >= 2 then w[1] || ' ' || w[2] end, case when length(w[1]) >= 4 and w[1] not in ('that', 'this', 'with', 'from') then w[1] end]) as alias from (select symbol, list_filter(regexp_split_to_array(lower(trim(name)), '\s+'), lambda x: x <> '') as w from names)) where alias is not null)
   qualify count(*) over (partition by alias) <= case when alias like '% %' then 3 else 1 end""",
     "words": r"select doc_id, title, list_filter(string_split(regexp_replace(title, '[^\p{L}\p{N}&''-]+', ' ', 'g'), ' '), lambda x: x <> '') as w from titles",
-    "tags": """select distinct doc_id, a.symbol from (select doc_id, upper(s) as alias from (select doc_id, unnest(w) as s from words) where left(s, 1) <> lower(left(s, 1))
-  union select doc_id, upper(s || ' ' || t) from (select doc_id, unnest(w[1:len(w) - 1]) as s, unnest(w[2:len(w)]) as t from words where len(w) >= 2) where left(s, 1) <> lower(left(s, 1)) and left(t, 1) <> lower(left(t, 1))) x join alias a on x.alias = a.alias""",
+    "tags": """select distinct doc_id, a.symbol from (select doc_id, lower(s) as alias from (select doc_id, unnest(w) as s from words) where left(s, 1) <> lower(left(s, 1))
+  union select doc_id, lower(s || ' ' || t) from (select doc_id, unnest(w[1:len(w) - 1]) as s, unnest(w[2:len(w)]) as t from words where len(w) >= 2) where left(s, 1) <> lower(left(s, 1)) and left(t, 1) <> lower(left(t, 1))) x join alias a on x.alias = a.alias""",
     "news": "select symbol, sum(pts)::bigint as pts_news from (select *, min(doc_id) over (partition by key) as first from (select t.doc_id, symbol, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) as key, case "
     + " ".join(f"when regexp_matches(title, '{p}') then {n}" for n, p in NEWS_BUCKETS)
     + " end as pts from titles t join tags g on t.doc_id = g.doc_id) where pts is not null) where doc_id = first group by symbol",

@@ -14,7 +14,7 @@ from ..sources import standins as S
 from . import screens as Q
 from .oracle import ITEM_ROWS, r, sql, sym, window
 
-STOP = ["THAT", "THIS", "WITH", "FROM"]
+STOP = ["that", "this", "with", "from"]
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 

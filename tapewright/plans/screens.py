@@ -148,7 +148,7 @@ def phrase_search(docs: DataFrame, phrase: str) -> DataFrame:
 
 def brand_index(names: DataFrame, stop: list[str]) -> DataFrame:
     """Alias phrases of names: the first two words, and the first alone if it has four letters and is no stop word; ambiguous ones go."""
-    w = F.filter(F.split(F.upper(F.trim("name")), r"\s+"), lambda x: x != "")
+    w = F.filter(F.split(F.lower(F.trim("name")), r"\s+"), lambda x: x != "")
     two = F.when(F.size("w") >= 2, F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))))
     one = F.when((F.length(F.get("w", F.lit(0))) >= 4) & ~F.get("w", F.lit(0)).isin(stop), F.get("w", F.lit(0)))
     a = names.withColumn("w", w).select("symbol", F.explode(F.array_compact(F.array(two, one))).alias("alias")).distinct()
@@ -163,7 +163,7 @@ def tag_headlines(titles: DataFrame, aliases: DataFrame) -> DataFrame:
     pair = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)).alias("s"), (capital(F.get("w", i)) & capital(F.get("w", i + 1))).alias("ok")))
     single = F.transform("w", lambda x: F.struct(x.alias("s"), capital(x).alias("ok")))
     both = F.when(F.size("w") >= 2, F.concat(single, pair)).otherwise(single)
-    s = t.where("size(w) > 0").select("doc_id", F.explode(both).alias("x")).where("x.ok").select("doc_id", F.upper("x.s").alias("alias")).distinct()
+    s = t.where("size(w) > 0").select("doc_id", F.explode(both).alias("x")).where("x.ok").select("doc_id", F.lower("x.s").alias("alias")).distinct()
     return s.join(aliases, "alias").select("doc_id", "symbol").distinct()
 
 
