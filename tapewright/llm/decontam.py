@@ -2,9 +2,9 @@
 
 Every word n-gram of a test item is a seed. One pass over the corpus counts the documents that have each seed; a second
 finds, for each document, the items whose seeds it has, weighs them by rarity (the sum of ln(N / document frequency) over
-distinct seeds must reach `least_weight`, which one rare seed does, or many common ones together), and aligns the
-words around the seeds with the item. So an item that is copied everywhere is still found, while a common phrase alone
-starts no alignment. Items are taken in blocks of bounded size; each block is a broadcast and two passes, and no block
+distinct seeds must reach `least_weight`, which one rare seed does, or many common ones together; a quarter of the
+item's seeds do too, whatever their weight), and aligns the words around the seeds with the item. So an item that is copied
+everywhere is still found, while a common phrase alone starts no alignment. Items are taken in blocks of bounded size; each block is a broadcast and two passes, and no block
 joins all pairs.
 """
 
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, WordHashes, gram_hashes, materialise, small, texts_of
+from .common import LOWER, UPPER, WordHashes, fresh, gram_hashes, materialise, small, texts_of
 
 SEED_WORDS = 4
 LEAST_WEIGHT = 4.0
 LEAST_SCORE = 0.5
+#: A document that has this share of an item's distinct seeds is aligned with it however common they are.
+COVER = 0.25
 #: Words of test items in one block; a longer item is a block by itself.
 BLOCK_WORDS = 400_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -69,6 +71,7 @@ class Seeds:
     def __init__(self, items: list[tuple[int, np.ndarray]], n: int):
         self.items = items
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.distinct = [len(np.unique(gram_hashes(h, min(n, len(h))))) if len(h) else 0 for _, h in items]
         found: dict[int, list] = {}
         for k, (_, h) in enumerate(items):
             size = min(n, len(h))
@@ -130,6 +133,7 @@ def _score(held, least_weight: float, least_score: float):
                 h = words.of(plain_words(t))
                 near: dict[int, list[np.ndarray]] = {}
                 weighs: dict[int, float] = {}
+                has: dict[int, int] = {}
                 for size, lo, place in seeds.hits(h):
                     g, item, at = seeds.by_size[size]
                     hi = np.searchsorted(g, g[lo], side="right")
@@ -138,9 +142,10 @@ def _score(held, least_weight: float, least_score: float):
                     for k in np.unique(item[entry]):
                         mine = item[entry] == k
                         near.setdefault(int(k), []).append(place[rep[mine]] - at[entry[mine]])
-                        weighs[int(k)] = weighs.get(int(k), 0.0) + float(weight[size][np.unique(lo[rep[mine]])].sum())
+                        seen = np.unique(lo[rep[mine]])
+                        weighs[int(k)], has[int(k)] = float(weight[size][seen].sum()), len(seen)
                 for k, diag in near.items():
-                    if weighs[k] < least_weight:
+                    if weighs[k] < least_weight and has[k] < COVER * seeds.distinct[k]:
                         continue
                     ref, item = seeds.items[k]
                     best = (0, 0, 0)
@@ -201,5 +206,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_W
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents in which contaminated() finds an item; rows with a null id stay."""
-    bad = materialise(contaminated(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    return docs.join(small(bad), docs["doc_id"] == F.col("_leaked"), "left_anti")
+    name = fresh(docs, "leaked")
+    bad = materialise(contaminated(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias(name)).distinct(), "leaked")
+    return docs.join(small(bad), F.col("doc_id") == F.col(name), "left_anti")
