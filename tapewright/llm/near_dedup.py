@@ -1,30 +1,32 @@
 """Near duplicates by bottom-k sketches of one hash function.
 
-A document's set holds the 64-bit hashes of its distinct word shingles. Its sketch is the k smallest of them. Two sets of
-Jaccard similarity J share about J*k retained values, so a pair that shares fewer than `floor_share` of them is ruled out
-(k = 64, J = 0.85 and a share of 0.65 miss a pair with a chance of about 4e-6). Inverted lists hold, for each
-document, only its rarest retained values: of two sketches that overlap in at least s values, each ordered from the
-rarest value of the corpus on, the first size - s + 1 must have one in common, so values shared by very many documents
-enter a list only for documents that consist of them. Every list first compares its members with its smallest member;
-after those links are contracted, only pairs that lie in different components are compared, without any cap.
-The union-sketch estimate of J filters the pairs; full shingle sets then confirm them.
+A document's set holds the 64-bit hashes of its distinct word shingles. Its sketch is the k smallest of them. Documents with
+equal sets are one class, known by a 64-bit hash of the set. Two sets of Jaccard similarity t share a known least number
+of retained values (least_overlap(): exact while both sketches hold whole sets, otherwise Z standard deviations below
+the mean, which misses a pair at the threshold with a chance of about 3 in 100,000 and a closer pair hardly ever). Inverted lists hold, for each class, only its rarest retained values:
+of two sketches that share at least s values, each ordered from the rarest value of the corpus on, the first size - s + 1 have
+one in common. So values that very many documents share enter a list only for documents that consist of them. Every list
+first compares its members with its smallest member. After those links are contracted, only members of different
+components are compared, without any cap; the join emits a pair once, and only when the sketches overlap enough. The
+union-sketch estimate then filters the pairs, and full shingle sets confirm them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WordHashes, connected, gram_hashes, materialise, small, split_words, texts_of
+from .common import WordHashes, connected, fresh, gram_hashes, materialise, small, split_words, texts_of
 
-SKETCH = 64
-FLOOR_SHARE = 0.65
+SKETCH = 160
+#: Standard deviations below the mean overlap of sketches at the threshold that still count as a candidate.
+Z = 4.0
 
 
 def shingle_set(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
@@ -46,8 +48,31 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(values)))
 
 
-def _key(s: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(s.tobytes())
+def _key(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _sampled(union: Column, percent: int, k: int) -> Column:
+    """Least number of shared values among the k smallest of a union of that size, at the threshold: a draw without replacement."""
+    t = percent / 100
+    left = F.lit(1.0) - F.least(F.lit(1.0), F.lit(float(k)) / union)
+    return F.floor(F.lit(k * t) - F.lit(Z * math.sqrt(k * t * (1 - t))) * F.sqrt(left))
+
+
+def least_overlap(n: Column, percent: int, k: int) -> Column:
+    """Least number of values that the sketch of a set of n shares with that of any set of similarity percent / 100 or more.
+
+    Their union has at most n / t shingles: when that is within k, both sketches are whole and share t * n values at least.
+    """
+    t = percent / 100
+    return F.greatest(F.lit(1), F.when(n <= math.floor(k * t), F.ceil(n * F.lit(percent) / 100)).otherwise(_sampled(n / F.lit(t), percent, k))).cast("int")
+
+
+def similar(a: Column, b: Column, n: Column, m: Column, percent: int, k: int) -> Column:
+    """Whether sketches a and b of sets of n and m may belong to a pair: exact when they hold the union, otherwise the union-sketch estimate."""
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
+    both, size = F.size(F.array_intersect(F.array_intersect(union, a), b)), F.size(union)
+    return F.when(size < k, both * 100 >= size * percent).otherwise(both >= _sampled((n + m) / F.lit(1 + percent / 100), percent, k))
 
 
 def _sketches(size: int, k: int):
@@ -56,7 +81,7 @@ def _sketches(size: int, k: int):
         for batch in batches:
             sets = [shingle_set(split_words(t), size, hashes) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), _lists([s[:k] for s in sets])],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), _lists([s[:k] for s in sets])],
                 ["doc_id", "n_shingles", "node", "sketch"],
             )
 
@@ -68,12 +93,12 @@ def _full_sets(size: int):
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(split_words(t), size, hashes) for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), _lists(sets)], ["node", "full"])
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), _lists(sets)], ["node", "full"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int = SKETCH, floor_share: float = FLOOR_SHARE) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int = SKETCH) -> DataFrame:
     """One row for each row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets. component_id is the
@@ -82,73 +107,58 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     doc_id all carry the same result. A null doc_id takes part, never names a component that has another id, and is
     never kept unless its whole component has null ids. Other columns of docs are ignored. Empty input gives no rows.
     """
-    rows = materialise(docs.select("doc_id", "text").mapInArrow(_sketches(shingle, k), "doc_id long, n_shingles long, node binary, sketch array<long>"), "sketches")
-    real = rows.where("n_shingles > 0")
-    nodes = materialise(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    rows = materialise(docs.select("doc_id", "text").mapInArrow(_sketches(shingle, k), "doc_id long, n_shingles long, node long, sketch array<long>"), "sketches")
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = materialise(nodes.withColumn("least", least_overlap(F.col("n"), percent, k)), "nodes")
 
-    postings = nodes.select("node", "n", F.explode("sketch").alias("v"), F.size("sketch").alias("size"))
+    postings = nodes.select("node", F.explode("sketch").alias("v"))
     shared = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    # Values that only one document has sort first in any prefix: they need no list but use up its places.
-    ranked = postings.join(shared, "v").groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(floor_share)) + 1
-    entries = materialise(
-        ranked.select("node", "n", "vs", (prefix - (F.col("size") - F.size("vs"))).cast("int").alias("take"))
-        .where("take > 0")
-        .select("node", "n", F.explode(F.slice("vs", F.lit(1), F.col("take"))).alias("e"))
-        .select("node", "n", F.col("e.v").alias("v")),
-        "lists",
-    )
-
-    leaders = entries.groupBy("v").agg(F.min("node").alias("lead"), F.count("*").alias("df")).where("df > 1")
-    stars = entries.join(leaders, "v").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    first = confirm(docs, nodes, stars, percent, shingle, k, floor_share)
+    # Values that only one class has sort first in any prefix: they need no list but use up its places.
+    ranked = postings.join(shared, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    size = F.least("n", F.lit(k)).cast("int")
+    ranked = ranked.join(nodes.select("node", "n", "least", size.alias("size")), "node").withColumn("take", F.size("vs") - F.col("least") + 1)
+    entries = ranked.where("take > 0").select("node", "n", F.transform(F.slice("vs", F.lit(1), F.col("take")), lambda x: x["v"]).alias("prefix"))
+    entries = materialise(entries, "prefixes")
+
+    lists = entries.select("node", F.explode("prefix").alias("v"))
+    leaders = lists.groupBy("v").agg(F.min("node").alias("lead"))
+    stars = lists.join(leaders, "v").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    first = confirm(docs, nodes, stars, percent, shingle, k)
     roots = materialise(connected(first), "roots")
 
-    placed = materialise(entries.join(roots, "node", "left").select("v", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
+    placed = materialise(lists.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root")), "placed")
     by_root = placed.groupBy("v", "root").agg(F.count("*").alias("c"))
-    mixed = by_root.groupBy("v").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    mixed = materialise(mixed, "mixed")
-    here = materialise(placed.join(small(mixed), "v"), "mixed-lists")
-    others = here.where("root <> main").select("v", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    pairs = (
-        others.join(here, "v")
-        .where("ra <> root and (root = main or a < node) and 100 * least(na, n) >= {0} * greatest(na, n)".format(int(percent)))
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        .distinct()
-    )
-    second = confirm(docs, nodes, pairs, percent, shingle, k, floor_share)
-    links = first.union(second)
-    whole = materialise(connected(links), "components")
+    mixed = materialise(by_root.groupBy("v").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots"), "mixed")
+    here = placed.join(small(mixed), "v").join(entries, "node").join(nodes.select("node", "sketch"), "node")
+    here = materialise(here, "mixed-lists")
+    others = here.where("root <> main").select("v", *[F.col(c).alias(f"o_{c}") for c in ("node", "root", "n", "prefix", "sketch")])
+    # Cheap tests first: other components, sizes, then the pair's first common list, then the sketches.
+    cheap = f"o_root <> root and (root = main or o_node < node) and 100 * least(o_n, n) >= {int(percent)} * greatest(o_n, n) and array_min(array_intersect(o_prefix, prefix)) = v"
+    pairs = others.join(here, "v").where(F.expr(cheap) & similar(F.col("o_sketch"), F.col("sketch"), F.col("o_n"), F.col("n"), percent, k))
+    pairs = pairs.select(F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b")).distinct()
+    second = confirm(docs, nodes, pairs, percent, shingle, k)
+    whole = materialise(connected(first.union(second)), "components")
 
     ids = nodes.select("node", "rep").join(whole, "node").groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialise(whole.join(ids, "root").select("node", "component_id"), "named")
-    single = nodes.select("node", "rep")
-    return (
-        rows.select("doc_id", "n_shingles", "node")
-        .join(small(named), "node", "left")
-        .join(single, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "rep")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
-
-
-def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, shingle: int, k: int, floor_share: float) -> DataFrame:
+    named = whole.join(ids, "root").select("node", "component_id")
+    answer = materialise(nodes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    out = rows.select("doc_id", "n_shingles", "node").join(answer, "node", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, shingle: int, k: int) -> DataFrame:
     """Of pairs(a, b) of nodes, those whose union-sketch estimate passes and whose full sets reach the similarity."""
-    sk = nodes.select("node", "sketch", "n")
-    at = lambda side: sk.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}"), F.col("n").alias(f"n{side}"))
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
-    likely = materialise(
-        pairs.join(at("a"), "a")
-        .join(at("b"), "b")
-        .where(f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)")
-        .withColumn("u", union)
-        .where(F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= F.size("u") * F.lit(floor_share))
-        .select("a", "b"),
-        "likely",
-    )
-    wanted = materialise(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node"), "wanted")
-    texts = docs.select("doc_id", "text").join(small(wanted.select("rep").distinct()), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    full = texts.select("text").mapInArrow(_full_sets(shingle), T.StructType([T.StructField("node", T.BinaryType()), T.StructField("full", T.ArrayType(T.LongType()))]))
+    at = lambda side: nodes.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "sketch", "n")])
+    likely = pairs.join(at("a"), F.col("a") == F.col("node_a")).join(at("b"), F.col("b") == F.col("node_b"))
+    likely = likely.where(f"100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)")
+    likely = likely.where(similar(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent, k))
+    likely = materialise(likely.select("a", "b"), "likely")
+    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(wanted.join(nodes.select("node", "rep"), "node"), "wanted")
+    ids = materialise(wanted.select("rep").distinct(), "wanted-ids")
+    texts = docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    full = texts.select("text").mapInArrow(_full_sets(shingle), "node long, full array<long>")
     full = materialise(full.join(small(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "full-sets")
     fa, fb = full.select(F.col("node").alias("a"), F.col("full").alias("fa")), full.select(F.col("node").alias("b"), F.col("full").alias("fb"))
     both = F.size(F.array_intersect("fa", "fb")).cast("long")
@@ -162,8 +172,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Of repeated rows with one doc_id, one stays. Rows with a null doc_id stay: nothing names them.
     """
     found = materialise(near_duplicates(docs, percent), "near")
-    gone = materialise(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = materialise(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    left = docs.join(small(gone), F.col("doc_id") == F.col(name), "left_anti")
     if found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
     return left
