@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import half_up
+from ..functions.scratch import scratch
 from ..operators import derive as D
+from ..operators import sinks as K
 from ..operators import views as V
+from ..sources import documents as X
+from ..sources import readers as R
 from ..sources import standins as S
+from ..streaming import feeds as J
 from . import screens as Q
 from .oracle import ITEM_ROWS, r, sql, sym, window
 
@@ -687,3 +692,80 @@ def fincode_index(s, d):
 @query("select code, name, houses, schemes, stocks from (select code, (select manager from funds g where g.code = f.code group by manager order by count(*) desc, manager limit 1) as name, string_agg(distinct house, ', ' order by house) as houses, count(distinct scheme) as schemes, count(distinct stock) as stocks from funds f group by code)")
 def fund_manager_index(s, d):
     return D.manager_index(S.funds(s, d))
+
+
+# ---- A, B, J: readers, stores and streams over data derived from the tables
+
+
+@query("select o_orderkey::varchar as o_orderkey, o_custkey::varchar as o_custkey, o_orderstatus, o_orderdate::date as as_of from orders")
+def scan_csv_glob(s, d):
+    """Orders written as CSV files under day folders, half of them with other column orders, and read back by name."""
+    root = scratch(s, "csv")
+    o = S.table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.date_format("o_orderdate", "yyyyMMdd").alias("folder"))
+    for k, cols in enumerate((["o_orderkey", "o_custkey", "o_orderstatus", "folder"], ["o_orderstatus", "folder", "o_orderkey", "o_custkey"])):
+        o.where(F.col("o_orderkey") % 2 == k).select(*cols).write.option("header", True).csv(f"{root}/2024010{k + 1}")
+    t = R.scan_csv_glob(s, f"{root}/*/*.csv")
+    return t.where(R.folder_date("file_path").isNotNull()).select("o_orderkey", "o_custkey", "o_orderstatus", F.try_to_date("folder", "yyyyMMdd").alias("as_of"))
+
+
+@query("select symbol, as_of, close from bars where symbol = 'Brand#7'")
+def write_clustered(s, d):
+    path = scratch(s, "clustered")
+    K.write_clustered(S.bars(s, d).select("symbol", "as_of", "close"), path, ["symbol", "as_of"])
+    return s.read.parquet(path).where("symbol = 'Brand#7'")
+
+
+@query("select as_of, symbol, short_volume, total_volume from sv")
+def accrue_dedup(s, d):
+    """Days accrue in two overlapping loads; the largest total of a day and symbol stays."""
+    path, sv = scratch(s, "accrued"), S.short_volume(s, d)
+    K.accrue(s, path, sv.where("day(as_of) <= 20").withColumn("total_volume", F.col("total_volume") - 1), ["as_of", "symbol"], "total_volume")
+    K.accrue(s, path, sv, ["as_of", "symbol"], "total_volume")
+    return s.read.parquet(path).select("as_of", "symbol", "short_volume", "total_volume")
+
+
+@query("select distinct event_id, user_id, event_type, ts::date as as_of from events")
+def split_by_day(s, d):
+    e = S.table(s, d, "events").select("event_id", "user_id", "event_type", F.date_format("ts", "dd-MMM-yyyy").alias("day"))
+    path = scratch(s, "days")
+    K.split_by_day(e.unionByName(e.where("event_id % 3 = 0")), path, F.try_to_date("day", "dd-MMM-yyyy"), None).collect()
+    return s.read.parquet(path).select("event_id", "user_id", "event_type", F.col("as_of").cast("date").alias("as_of"))
+
+
+@query("select distinct xbrl_url, context_ref, tag, value from eav")
+def union_never_shrink(s, d):
+    path, e = scratch(s, "facts"), S.eav(s, d).select("xbrl_url", "context_ref", "tag", "value")
+    K.union_never_shrink(s, path, e.where("context_ref = 'MainI'"))
+    K.union_never_shrink(s, path, e)
+    return s.read.parquet(path)
+
+
+@query("select symbol, company_name from security")
+def snapshot_read(s, d):
+    """The first version of a table that was published twice."""
+    root = scratch(s, "snapshots")
+    for k in range(2):
+        K.snapshot_publish(s, root, {"security": _sec(s, d).withColumn("company_name", F.col("company_name") if k == 0 else F.lit("later"))}, f"sync {k}")
+    return K.snapshot_read(s, root, "security", 1)
+
+
+@query()
+def page_outline(s, d):
+    return X.page_outline(S.table(s, d, "pages"))
+
+
+@query("select ts::date as as_of, event_type, count(*) as n from events group by all")
+def session_counts(s, d):
+    """The stream's counts by day, in complete mode over all files there are."""
+    name = "sessions_" + scratch(s, "x").rsplit("-", 1)[-1]
+    src = s.readStream.schema(S.table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+    J.session_counts(src).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(s, "sessions")).trigger(availableNow=True).start().awaitTermination()
+    return s.table(name)
+
+
+@query("select user_id, event_type, max(value) as value from events group by all")
+def accrue_stream(s, d):
+    e = S.table(s, d, "events")
+    store = scratch(s, "stream-store")
+    J.accrue_stream(s, f"{d}/events.parquet*", e.schema, store, scratch(s, "stream-checkpoint"), ["user_id", "event_type"], "value").awaitTermination()
+    return s.read.parquet(store).select("user_id", "event_type", "value")
