@@ -58,7 +58,7 @@ def _matches(kind: int, pattern: str, least: int, source: str = "documents", bod
     p = _q(pattern)
     return f"""select r, {kind} as kind, pre + gap as s, pre + gap + length(m) as e, {body} as body from (
   select *, coalesce(sum(gap + length(m)) over (partition by r order by i rows between unbounded preceding and 1 preceding), 0)::bigint as pre from (
-    select r, unnest(ms) as m, unnest(list_transform(gs[1:len(ms)], x -> length(x))) as gap, generate_subscripts(ms, 1) as i from (
+    select r, unnest(ms) as m, unnest(list_transform(gs[1:len(ms)], lambda x: length(x))) as gap, generate_subscripts(ms, 1) as i from (
       select r, regexp_extract_all(text, {p}) as ms, regexp_split_to_array(text, {p}) as gs from d where regexp_matches(text, {p}))))
   where length({body}) >= {least}"""
 
