@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.functions.ship import shipped
 from tapewright.llm.common import fold_of, materialise, table
 from tapewright.llm.decontam import drop_contaminated
 from tapewright.llm.line_dedup import dedup_lines
@@ -40,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_to_weights(docs, LEVELS(), WEIGHTS)
 
 
-STAGES = [("quality", quality), ("lines", lines), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
+STAGES = [(f.__name__, shipped(f)) for f in (quality, lines, near_dedup, decontamination, mixing)]
 ORACLE_SQL = None
 
 
