@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..sources.standins import DIMS, ITEM_CODES, PLAN_TEXTS, PURPOSES
 from .screens import ITEMS, NEWS_BUCKETS
 
@@ -21,7 +23,6 @@ def sym(expr: str) -> str:
 _BRAND_NO = "regexp_extract(p_brand, '([0-9]+)$', 1)::bigint"
 _ORDER = "(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
 _LATEST = "row_number() over (partition by {0} order by {1}) = 1"
-_FACTKEY = "cik, taxonomy, concept, unit, period_start, period_end"
 
 
 def _extremes(side: str, fn: str) -> str:
@@ -33,10 +34,6 @@ def _pivot(tag: str) -> str:
     return f"max(value) filter (where tag = '{tag}')"
 
 
-def _tag(cond: str) -> str:
-    return cond
-
-
 CTE = {
     "bars": f"select p_brand as symbol, l_shipdate::date as as_of, first(px order by k) as open, max(px) as high, min(px) as low, last(px order by k) as close, sum(l_quantity) as volume from (select *, l_extendedprice / l_quantity as px, {_ORDER} as k from lineitem where l_quantity > 0) join part on l_partkey = p_partkey group by all",
     "splits": f"select p_brand as symbol, (date '1998-01-01' + (30 * {_BRAND_NO})::integer) as effective_date, 1.0::double / (1 + {_BRAND_NO} % 4) as ratio from (select distinct p_brand from part)",
@@ -106,13 +103,11 @@ CTE = {
     + " end as pts from titles t join tags g on t.doc_id = g.doc_id) where pts is not null) where doc_id = first group by symbol",
 }
 #: What each expression needs, found by name.
-_WORDS = {k: [n for n in CTE if n != k and __import__("re").search(rf"\b(from|join)\s+\(*{n}\b", v)] for k, v in CTE.items()}
+_WORDS = {k: [n for n in CTE if n != k and re.search(rf"\b(from|join)\s+\(*{n}\b", v)] for k, v in CTE.items()}
 
 
 def sql(select: str) -> str:
     """select with the expressions that it needs, in order."""
-    import re
-
     order: list[str] = []
 
     def need(name: str) -> None:

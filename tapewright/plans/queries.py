@@ -17,7 +17,7 @@ from ..sources import readers as R
 from ..sources import standins as S
 from ..streaming import feeds as J
 from . import screens as Q
-from .oracle import ITEM_ROWS, r, sql, sym, window
+from .oracle import ITEM_ROWS, r, sql, window
 
 STOP = ["that", "this", "with", "from"]
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -450,6 +450,25 @@ def fund_managers(s, d):
     return S.funds(s, d).groupBy("code", F.col("manager").alias("name")).agg(F.count("*").alias("holdings"))
 
 
+_FIRM_NAME = "p_name || case p_partkey % 4 when 0 then ' Capital Advisors Pvt. Ltd' when 1 then ' and Partners LLP' when 2 then ' Global' else ' Sea View Hill Trust' end"
+_FIRM_KIND = "case p_partkey % 5 when 0 then 'portfolio-managers' when 1 then 'aif' when 2 then 'mutual-funds' when 3 then 'investment-advisers' else 'unknown' end"
+
+
+@query(f"""select name, type, array_to_string(w[1:least(3, case when g > 0 then g else len(w) end)], ' ') as search_term from (select *, coalesce(list_position(list_transform(w[2:4], lambda x: upper(regexp_replace(x, '[.,]', '', 'g')) in ({', '.join(repr(x) for x in Q.FIRM_WORDS)})), true), 0) as g from (
+  select n as name, case k when 'portfolio-managers' then 'pms' when 'aif' then 'aif' when 'mutual-funds' then 'amc' when 'investment-advisers' then 'ria' end as type, list_filter(regexp_split_to_array(n, '\\s+'), lambda x: x <> '') as w from (select distinct trim({_FIRM_NAME}) as n, {_FIRM_KIND} as k from part)) where type is not null)""")
+def firms(s, d):
+    raw = S.table(s, d, "part").select(F.expr(_FIRM_NAME).alias("name"), F.expr(_FIRM_KIND).alias("sebi_type")).distinct()
+    return Q.firms(raw)
+
+
+@query(r"""select distinct k as link, k as title, ts as published, s as symbol from (select 'e' || event_id::varchar || ' (NYSE: AB' || chr((65 + user_id % 26)::int) || ')' as k, ts, 'AB' || chr((65 + user_id % 26)::int) as s, user_id from events where event_type = 'view') where user_id % 26 < 13""")
+def news_tickers(s, d):
+    e = S.table(s, d, "events").where("event_type = 'view'")
+    t = F.concat(F.lit("e"), "event_id", F.lit(" (NYSE: AB"), F.char(65 + F.col("user_id") % 26), F.lit(")"))
+    known = s.range(13).select(F.concat(F.lit("AB"), F.char(65 + F.col("id"))).alias("symbol"))
+    return Q.news_tickers(e.select(t.alias("link"), t.alias("title"), F.lit("").alias("description"), F.col("ts").alias("published")), known)
+
+
 # ---- E: US
 
 

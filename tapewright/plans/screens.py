@@ -21,6 +21,13 @@ ITEMS = [
     ("5.05", "Code of ethics amendment", "Governance", 21), ("5.04", "Trading suspension, benefit plans", "Governance", 22), ("1.04", "Mine safety", "Other", 23), ("7.01", "Regulation FD disclosure", "Disclosure", 24), ("8.01", "Other events", "Disclosure", 25),
 ]
 
+#: Registered kinds of firms by their short code, and words of a name that tell nothing about the firm. Fixed values.
+FIRM_TYPES = {"portfolio-managers": "pms", "aif": "aif", "mutual-funds": "amc", "investment-advisers": "ria"}
+FIRM_WORDS = (
+    "INVESTMENT INVESTMENTS CONSULTANCY ADVISORS ADVISERS ADVISORY CAPITAL PARTNERS MANAGEMENT MANAGERS MANAGER ASSET ASSETS FUND FUNDS FINANCIAL FINANCE SERVICES WEALTH PORTFOLIO SECURITIES PRIVATE PVT LIMITED LTD LLP INDIA "
+    "CO COMPANY TRUST TRUSTEE TRUSTEES AMC MUTUAL BROKING BROKERS HOLDINGS HOLDING GLOBAL ALTERNATES ALTERNATE ALTERNATIVE AIF AND &"
+).split()
+
 
 # ---- India
 
@@ -133,6 +140,19 @@ def actions_board(actions: DataFrame, security: DataFrame) -> DataFrame:
     return actions.join(security, "symbol", "left").orderBy(F.col("ex_date").desc_nulls_last(), "symbol", "purpose")
 
 
+def firms(raw: DataFrame) -> DataFrame:
+    """Registered firms (name, sebi_type, ...) of a known kind with their search term: the first words up to a generic one, three at most."""
+    kind = F.lit(None).cast("string")
+    for name, code in FIRM_TYPES.items():
+        kind = F.when(F.col("sebi_type") == name, code).otherwise(kind)
+    t = raw.withColumns({"name": F.trim("name"), "type": kind}).where("name <> '' and type is not null")
+    t = t.withColumn("_w", F.filter(F.split("name", r"\s+"), lambda x: x != ""))
+    plain = F.transform(F.slice(F.col("_w"), 2, 3), lambda x: F.upper(F.regexp_replace(x, "[.,]", "")).isin(FIRM_WORDS))
+    first = F.array_position(plain, True)  # of the second to fourth word; 0 when none is generic
+    take = F.least(F.lit(3), F.when(first > 0, first).otherwise(F.size("_w"))).cast("int")
+    return t.withColumn("search_term", F.array_join(F.slice(F.col("_w"), F.lit(1), take), " ")).drop("_w", "sebi_type").orderBy(F.lower("name"), "name")
+
+
 def promoter_pivot(rows: DataFrame, quarters: list[str]) -> DataFrame:
     """Holder by quarter; the quarters are stated, so the plan needs no extra pass over the data."""
     return rows.groupBy("symbol", "category").pivot("quarter", quarters).agg(F.max("pct"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RESERVED = {"security", "symbol_", "order", "group", "select", "table", "user", "date"} - {"date", "symbol_"}
+RESERVED = {"security", "order", "group", "select", "table", "user"}
 
 
 def normal_name(header: str) -> str:
