@@ -26,8 +26,10 @@ STEP = 200
 _either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
 _NAMES = "|".join(_either(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either("api") + "_?" + _either("key")
 ASSIGN = rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-#: Base kinds in their order: name, pattern, group whose length counts, least length.
-BASE = (("assign", ASSIGN, 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32))
+#: Base kinds in their order: name, pattern, group whose length counts, least length. Access keys are AKIA[A-Z0-9]+ of 16 characters, hex
+#: runs [0-9a-f]+ of 32; with the length in the pattern the same matches remain, because a match ends where its run ends and a later
+#: start in the run is shorter still.
+BASE = (("assign", ASSIGN, 2, 8), ("access", "AKIA[A-Z0-9]{12,}", 0, 16), ("hex", "(?<![0-9a-f])[0-9a-f]{32,}", 0, 32))
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,7 @@ def suspicious(piece: Column, cls: CharClass, window: int) -> Column:
 
 def entropy_hits(text: Column, cls: CharClass, kind: int, allow: tuple[str, ...], window: int) -> Column:
     """Starts of suspicious windows, ascending."""
-    cands = F.filter(found(text, f"{cls.pattern}{{{window},}}", kind), lambda c: ~c["body"].rlike("|".join(f"(?:{a})" for a in allow)) if allow else F.lit(True))
+    cands = F.filter(found(text, f"(?<!{cls.pattern}){cls.pattern}{{{window},}}", kind), lambda c: ~c["body"].rlike("|".join(f"(?:{a})" for a in allow)) if allow else F.lit(True))
     piece = lambda c, o: F.struct((c["start"] + o).alias("start"), F.substring(c["body"], o + 1, F.lit(STEP + window - 1)).alias("s"))
     pieces = F.flatten(F.transform(cands, lambda c: F.transform(F.sequence(F.lit(0), F.length(c["body"]) - window, F.lit(STEP)), lambda o: piece(c, o))))
     return F.flatten(F.transform(pieces, lambda p: suspicious(p, cls, window)))
