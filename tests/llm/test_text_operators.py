@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tapewright.llm import pii
 from tapewright.llm.byte_digest import counts, digest, edited_pairs, fingerprints, likeness
 from tapewright.llm.chat_threads import link_quotes
-from tapewright.llm.common import fold_of, table
+from tapewright.llm.common import WordHashes, fold_of, table
 from tapewright.llm.secret_scan import ALLOW, CLASSES, scan_secrets
-from tapewright.llm.suffix_lm import DEPTH, SIZE, Scorer, contexts, plain, score_texts, symbols
+from tapewright.llm.suffix_lm import DEPTH, SIZE, Lexicon, Scorer, contexts, plain, score_texts, symbols
 
 from .helpers import empty_docs, odd_docs, odd_rows
 
@@ -160,9 +160,13 @@ def test_tree_is_a_distribution_and_uses_the_longest_suffix(spark):
     ctx, want = contexts(sym, ends), 0.0
     for k, x in enumerate(sym):
         d = max(d for d in range(DEPTH + 1) if (d, int(ctx[k]) % SIZE**d) in kept)
-        want += s.log[s.table[int(ctx[k])], x]
+        want += s.log[s.states(ctx[k : k + 1])[0], x]
         assert d == 0 or (d, int(ctx[k]) % SIZE**d) in kept
     assert s.score([text])[0] == pytest.approx(want, abs=1e-3)
+    h = WordHashes()
+    lex = Lexicon(np.sort(h.of([b"abab"]).view(np.int64)), np.array([40]), 40, 100)
+    spelt = [s.score([b"abab"])[0], s.score([b"xyz"])[0]]
+    assert s.score([b"abab", b"xyz", b""], lex, h) == pytest.approx([math.log10(0.5 * (41 / 102) + 0.5 * 10 ** spelt[0]), spelt[1] + math.log10(0.5), s.score([b""])[0] + math.log10(0.5)], abs=1e-3)
     assert len(kept) > 3
 
 
