@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, slices
 
 BUCKETS = 128
 #: Triplets of a window of five bytes that hold its last byte, as distances back from it.
@@ -111,7 +111,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for b in batches:
+        for b in slices(batches):
             out = []
             for part, doc, text, extra in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "text", "extra"))):
                 mark = digest(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ def fold_of(doc_id: str | Column, n: int) -> Column:
 class WordHashes(dict):
     """word -> 64-bit hash; keeps at most `limit` words, others are hashed anew each time."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -110,6 +111,13 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(acc + np.uint64(n))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, so that what Python holds at a time doesn't follow Spark's batch size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return batch.column(column).cast(pa.large_binary()).to_pylist()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WordHashes, fresh, gram_hashes, materialise, small, texts_of
+from .common import LOWER, UPPER, WordHashes, fresh, gram_hashes, materialise, slices, small, texts_of
 
 SEED_WORDS = 4
 LEAST_WEIGHT = 4.0
@@ -97,7 +97,7 @@ def _count(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, words = held.value, WordHashes()
         total: dict[int, np.ndarray] = {s: np.zeros(len(g), np.int64) for s, (g, _, _) in seeds.by_size.items()}
-        for b in batches:
+        for b in slices(batches):
             for t in texts_of(b, "text"):
                 for size, lo, _ in seeds.hits(words.of(plain_words(t))):
                     total[size][np.unique(lo)] += 1
@@ -127,7 +127,7 @@ def _score(held, least_weight: float, least_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, weight = held.value
         words = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for doc, t in zip(b.column("doc_id").to_pylist(), texts_of(b, "text")):
                 h = words.of(plain_words(t))

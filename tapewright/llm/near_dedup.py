@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected, fresh, gram_hashes, materialise, small, split_words, texts_of
+from .common import WordHashes, connected, fresh, gram_hashes, materialise, slices, small, split_words, texts_of
 
 SKETCH = 160
 #: Standard deviations below the mean overlap of sketches at the threshold that still count as a candidate.
@@ -78,7 +78,7 @@ def similar(a: Column, b: Column, n: Column, m: Column, percent: int, k: int) ->
 def _sketches(size: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(split_words(t), size, hashes) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), _lists([s[:k] for s in sets])],
@@ -91,7 +91,7 @@ def _sketches(size: int, k: int):
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(split_words(t), size, hashes) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), _lists(sets)], ["node", "full"])
 

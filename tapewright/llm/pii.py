@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WordHashes, materialise, small, texts_of
+from .common import LOWER, UPPER, WordHashes, materialise, slices, small, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 WINDOW = 8
@@ -120,7 +120,7 @@ def _scan(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             spans = [base_spans(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -149,7 +149,7 @@ def _term_counts(held):
             k, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.int64), np.empty(0, np.int64))
             return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["t", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             for text in texts_of(b, "text"):
                 if not text:
                     continue

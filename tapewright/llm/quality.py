@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, mix, texts_of
+from .common import fresh, mix, slices
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -29,7 +29,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POWERS = np.cumprod(np.full(4096, np.uint64(0x100000001B3)), dtype=np.uint64)
 #: Documents are hashed in pieces of this many bytes in all, so memory doesn't follow the batch.
-PIECE = 4_000_000
+PIECE = 1_000_000
 _LAST_WORD, _SEEN_PAIR = np.uint64(11), np.uint64(13)
 
 
@@ -155,7 +155,7 @@ def with_quality(docs: DataFrame, model: tuple[np.ndarray, float], score: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = held.value
-        for b in batches:
+        for b in slices(batches):
             texts = [t or b"" for t in b.column(text_at).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(texts, weights, bias))], [*b.schema.names, score])
 
