@@ -32,8 +32,12 @@ _PLAIN = bytes.maketrans(UPPER.encode() + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~",
 
 
 def plain_words(text: bytes | None) -> list[bytes]:
-    """Lower-cased words without ASCII punctuation."""
-    return text.translate(_PLAIN).split() if text else []
+    """Lower-cased words without ASCII punctuation; letters beyond ASCII are lower-cased too."""
+    if not text:
+        return []
+    if not text.isascii():
+        text = text.decode("utf-8", "replace").lower().encode()
+    return text.translate(_PLAIN).split()
 
 
 def local_score(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
