@@ -62,10 +62,12 @@ def _sampled(union: Column, percent: int, k: int) -> Column:
 def least_overlap(n: Column, percent: int, k: int) -> Column:
     """Least number of values that the sketch of a set of n shares with that of any set of similarity percent / 100 or more.
 
-    Their union has at most n / t shingles: when that is within k, both sketches are whole and share t * n values at least.
+    Their union has n to n / t shingles. Within k, both sketches are whole and share t * n values at least; beyond k, they are samples,
+    and the largest union gives the least. A set of at most k may be in either case, so the smaller bound holds for it.
     """
     t = percent / 100
-    return F.greatest(F.lit(1), F.when(n <= math.floor(k * t), F.ceil(n * F.lit(percent) / 100)).otherwise(_sampled(n / F.lit(t), percent, k))).cast("int")
+    sampled = _sampled(n / F.lit(t), percent, k)
+    return F.greatest(F.lit(1), F.when(n <= k, F.least(F.ceil(n * F.lit(percent) / 100), sampled)).otherwise(sampled)).cast("int")
 
 
 def similar(a: Column, b: Column, n: Column, m: Column, percent: int, k: int) -> Column:

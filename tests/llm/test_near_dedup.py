@@ -50,6 +50,23 @@ def test_equals_brute_force(spark):
         assert got == brute(rows, percent)
 
 
+def test_sets_about_as_large_as_a_sketch(spark):
+    """Copies with few edits, whose unions lie on both sides of k: none may be lost to the bound on shared values."""
+    rng, rows = random.Random(9), []
+    for n in range(125, 171):
+        for edits in range(5):
+            base = [f"w{n}e{edits}p{p}" for p in range(n)]
+            copy = base[: n - rng.randrange(1, 12)] if edits == 4 else list(base)
+            for e in range(edits % 4):
+                copy[n // 2 if e == 0 else rng.randrange(n)] = f"edit{rng.randrange(10**9)}"
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 85):
+        got = sorted([tuple(r) for r in near_duplicates(docs, percent).collect()], key=repr)
+        want = brute(rows, percent)
+        assert [g for g, w in zip(got, want) if g != w] == []
+
+
 def test_odd_rows(spark):
     got = sorted([tuple(r) for r in near_duplicates(odd_docs(spark), 80).collect()], key=repr)
     assert got == brute([(r.doc_id, r.text) for r in odd_docs(spark).collect()], 80)
