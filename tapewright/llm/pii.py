@@ -2,8 +2,9 @@
 
 With document counts over the whole corpus of N documents, the information of an entity e is IC(e) = ln(N / n(e)), and a term t that stands
 within WINDOW words of e tells PMI(e; t) = ln(N * n(e, t) / (n(e) * n(t))) of it. PMI / IC is the share of e's information that t
-discloses: 1 for a term that never occurs without e. Terms that disclose at least GENERALISE_AT in at least LEAST_TOGETHER documents are
-generalised where they stand near e; from REMOVE_AT on they are removed.
+discloses: 1 for a term that never occurs without e. Every pair is scored, those seen in a single document too: what stands beside an address
+seen once identifies it most. Terms that disclose at least GENERALISE_AT are generalised where they stand near e; from REMOVE_AT on
+they are removed.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from .common import LOWER, UPPER, WordHashes, materialise, slices, small, texts_
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 WINDOW = 8
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
-LEAST_TOGETHER = 3
 #: Terms whose counts may be looked up through a broadcast; with more, all terms are counted and joined.
 BROADCAST_TERMS = 2_000_000
 #: Distinct terms a task holds before it hands its counts on.
@@ -168,12 +168,15 @@ def _term_counts(held):
     return run
 
 
-def disclosing(found: DataFrame, docs: DataFrame, together: int, generalise_at: float, remove_at: float) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, generalise_at: float, remove_at: float) -> DataFrame:
     """(e, t, action) of terms that disclose an entity: action 4 generalises, 5 removes."""
     total = found.count()
     n_e = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    n_et = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p"))
-    n_et = materialise(n_et.groupBy("p.e", "p.t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= together), "together")
+    together = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p")).groupBy("p.e", "p.t").agg(F.count("*").alias("n_et"))
+    near = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["t"]))).alias("t")).groupBy("t").agg(F.count("*").alias("n_near"))
+    # A term has at least the documents in which it stands near an entity; when these alone bring its share below the threshold, it needs no count.
+    most = F.col("n_et") * F.pow(F.lit(float(max(total, 1))) / F.col("n_e"), F.lit(1 - generalise_at))
+    n_et = materialise(together.join(n_e, "e").join(near, "t").where(F.col("n_near") <= most * 1.000001).select("e", "t", "n_et", "n_e"), "together")
     terms = materialise(n_et.select("t").distinct(), "terms")
     held = None
     if terms.count() <= BROADCAST_TERMS:
@@ -181,11 +184,11 @@ def disclosing(found: DataFrame, docs: DataFrame, together: int, generalise_at:
     n_t = docs.select("text").mapInArrow(_term_counts(held), "t long, n long").join(small(terms), "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
     pmi = F.log(F.col("n_et") * F.lit(float(max(total, 1))) / (F.col("n_e") * F.col("n_t")))
-    told = n_et.join(n_e, "e").join(n_t, "t").where(ic > 0).withColumn("told", pmi / ic)
+    told = n_et.join(n_t, "t").where(ic > 0).withColumn("told", pmi / ic)
     return told.where(F.col("told") >= generalise_at).select("e", "t", F.when(F.col("told") >= remove_at, 5).otherwise(4).alias("action"))
 
 
-def find_personal_data(docs: DataFrame, window: int = WINDOW, together: int = LEAST_TOGETHER, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def find_personal_data(docs: DataFrame, window: int = WINDOW, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, h (a hash of the text), spans array<struct<kind:string,start:int,end:int>>.
 
     Spans stand by kind as in KINDS, then start, in code points, the end exclusive. Base kinds are matches of their patterns that pass their checks;
@@ -196,7 +199,7 @@ def find_personal_data(docs: DataFrame, window: int = WINDOW, together: int = LE
     d = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     scan = "doc_id long, h long, base array<struct<kind:int,start:int,end:int>>, entities array<long>, near array<struct<e:long,t:long,start:int,end:int>>"
     found = materialise(d.mapInArrow(_scan(window), scan), "entities")
-    flagged = materialise(disclosing(found, docs, together, generalise_at, remove_at), "disclosing")
+    flagged = materialise(disclosing(found, docs, generalise_at, remove_at), "disclosing")
     near = found.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.*").distinct()
     hits = near.join(small(flagged), ["e", "t"]).groupBy("doc_id", "h", "start", "end").agg(F.max("action").alias("kind"))
     added = hits.groupBy("doc_id", "h").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))

@@ -122,6 +122,17 @@ def test_disclosing_terms(spark):
     assert pii.find_personal_data(docs).count() == docs.count() and pii.find_personal_data(empty_docs(spark)).count() == 0
 
 
+def test_terms_of_entities_seen_once_or_twice(spark):
+    """A name beside an address of one or two documents goes; words that many documents have stay."""
+    rows = [(0, "please ask Quimby about the meeting at q@mail.org today", "en", "s", 0)] + [(k, "please ask Zamora about the meeting at 10.1.2.3 today", "en", "s", 0) for k in (1, 2)]
+    rows += [(10 + k, "please ask about the meeting at noon today", "en", "s", 0) for k in range(60)]
+    out = {r.doc_id: r.spans for r in pii.find_personal_data(odd_docs(spark, rows)).collect()}
+    told = {i: {rows[i][1][s.start : s.end]: s.kind for s in out[i]} for i in (0, 1, 2)}
+    assert told[0] == {"q@mail.org": "email", "Quimby": "remove"}
+    assert told[1] == told[2] == {"10.1.2.3": "ip", "Zamora": "remove"}
+    assert all(out[10 + k] == [] for k in range(60))
+
+
 # ---- language model
 
 
