@@ -3,8 +3,8 @@
 Lines that begin with '>' are quoted, one level for each '>'. Neighbouring lines of one level are a passage. Normalised quoted
 passages, and their single lines, are hashed and joined to the first message of the conversation that wrote the same words
 itself. The first author is a minimum by (conversation, hash), so the join meets one row for each passage however often it was
-repeated. A message replies to the latest original among its first-level passages; its thread is the earliest original among
-all its levels, because nested quotes carry their ancestry. Output is sorted by conversation, thread and turn over range
+repeated. A message replies to the latest original among its first-level passages; its thread is the earliest original that it
+reaches over its quotes and those of the messages that it reaches, by pointer doubling. Output is sorted by conversation, thread and turn over range
 partitions: no conversation is gathered in one group.
 """
 
@@ -55,12 +55,27 @@ def _hashes(lines: Column) -> Column:
     return F.transform(texts, lambda x: F.xxhash64(x))
 
 
+def roots(links: DataFrame) -> DataFrame:
+    """(conv_id, turn, id, root) of links, root followed to the end. A step doubles the length of the way; roots are earlier turns, so it ends."""
+    at = links.groupBy("conv_id", "turn").agg(F.min("root").alias("root"))
+    while True:
+        on = at.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"))
+        step = at.join(on, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        step = materialise(step, "roots")
+        at = step.drop("moved")
+        if not step.where("moved").limit(1).count():
+            break
+    end = at.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("end"))
+    return links.join(end, ["conv_id", "root"], "left").select("conv_id", "turn", "id", F.coalesce("end", "root").alias("root"))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """messages(conv_id, turn, role, text) in reply order: conv_id, turn, role, text, reply_to, thread, n_quotes, depth.
 
     text loses its quoted lines and their introductions, and surrounding white space; null stays null. reply_to is the turn
     that a first-level passage quotes (the latest of several; passages matched whole go before those matched by a line),
-    null without such; thread the earliest turn that any level quotes, or the message's own turn. Only earlier turns of the same
+    null without such; thread the earliest turn reached from
+    message to message over quotes of any level (a turn of several rows goes on to the earliest of theirs), or the message's own turn. Only earlier turns of the same
     conversation count. n_quotes is the number of quoted passages, depth the deepest level. Rows with a null conv_id or
     turn come out with their quotes removed but unlinked. Repeated rows each come out, with one result. Ties in the order
     fall to the text. Other columns are ignored; empty input gives no rows.
@@ -79,6 +94,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     hit = asked.join(origin, ["conv_id", "h"]).where("first < turn")
     whole, line = F.max(F.when((F.col("level") == 1) & (F.col("k") == 0), F.col("first"))), F.max(F.when(F.col("level") == 1, F.col("first")))
     links = materialise(hit.groupBy("conv_id", "turn", "id").agg(F.coalesce(whole, line).alias("reply_to"), F.min("first").alias("root")), "links")
+    links = materialise(links.drop("root").join(roots(links), ["conv_id", "turn", "id"]), "threads")
     links = links.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("id").alias("i"), "reply_to", "root")
     quotes = F.when(F.col("may"), let(lines, _passages))
     done = m.withColumn("ps", quotes).withColumn("own", F.when(F.col("may"), F.array_join(let(lines, _own), "\n")).otherwise(F.col("text")))

@@ -84,6 +84,13 @@ def test_quotes_by_hand(spark):
     assert link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chain_of_one_level_quotes(spark):
+    """Replies that quote only the message they answer stay in one thread, in reply order."""
+    rows = [(1, 0, "user", "words 0")] + [(1, k, "user", f"> words {k - 2 if k > 1 else 0}\nwords {k}" if k != 1 else "words 1") for k in range(1, 14)]
+    out = [(r.turn, r.reply_to, r.thread) for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
+    assert out == [(k, k - 2 if k > 1 else None, k % 2) for k in (*range(0, 14, 2), *range(1, 14, 2))]
+
+
 # ---- personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
