@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where it is unset, one for a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -64,7 +67,7 @@ def let(value: Column, body) -> Column:
 
 def fold_of(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")) % n
+    return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
 class WordHashes(dict):
@@ -98,6 +101,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Bytes of texts hashed at a time; a longer text is cut between words.
+PIECE = 1_000_000
+_GAP = re.compile(rb"[ \t-\r]")
+_IS_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+_BYTE_CODES = np.where(_IS_SPACE, np.uint64(0), mix(np.arange(1, 257, dtype=np.uint64)))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _buffer_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of the words of a buffer that ends with a space: a polynomial over codes of its bytes, mixed with its length."""
+    b = np.frombuffer(data, np.uint8)
+    gap = _IS_SPACE[b]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if len(b) and not gap[0]:
+        edge = np.concatenate(([0], edge))
+    first, last = edge[::2], edge[1::2]
+    if not len(first):
+        return np.empty(0, np.uint64), first
+    length = last - first
+    runs = np.concatenate(([0], first))
+    at = np.arange(len(b), dtype=np.int32) - np.repeat(runs.astype(np.int32), np.diff(np.append(runs, len(b))))
+    longest = int(length.max())
+    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(longest, _BASE))), dtype=np.uint64)
+    values = _BYTE_CODES[b] * powers[np.minimum(at, longest)]
+    return mix(np.add.reduceat(values, first) + length.astype(np.uint64)), first
+
+
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts (as split_words() gives them), one after the other, and each text's number of words."""
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    held, owner, size = [], [], 0
+
+    def flush() -> None:
+        starts = np.cumsum([0] + [len(x) + 1 for x in held])
+        h, first = _buffer_words(b"\n".join([*held, b""]))
+        hashes.append(h)
+        np.add.at(counts, owner, np.diff(np.searchsorted(first, starts)))
+
+    for k, t in enumerate(texts):
+        at, t = 0, (t or b"").translate(_LOWER_BYTES)
+        while at < len(t):
+            cut = _GAP.search(t, at + PIECE)
+            held.append(t[at : cut.start() if cut else len(t)])
+            owner.append(k)
+            size += len(held[-1])
+            at = cut.start() if cut else len(t)
+            if size >= PIECE:
+                flush()
+                held, owner, size = [], [], 0
+    if held:
+        flush()
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), counts
+
+
+class Keys:
+    """A set of 64-bit keys with values: a bit table rules most other keys out before the sorted keys are searched."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray | None = None):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], None if values is None else values[order]
+        self.shift = np.uint64(64 - min(24, max(8, int(len(keys)).bit_length() + 3)))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.maybe[self.keys >> self.shift] = True
+
+    def find(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in q that are in the set, their places in the set)."""
+        at = np.flatnonzero(self.maybe[q >> self.shift])
+        to = np.searchsorted(self.keys, q[at])
+        ok = to < len(self.keys)
+        ok[ok] = self.keys[to[ok]] == q[at[ok]]
+        return at[ok], to[ok]
+
+
 _ODD = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
 
 

@@ -1,21 +1,20 @@
-"""A probabilistic suffix tree as language model, and a unigram base to hold it against.
+"""A probabilistic suffix tree over words as language model, and an add-one unigram base to hold it against.
 
-The tree's symbols are characters: the commonest code points of the training texts, one symbol for all others (spread evenly over
-them) and the end. A text is its words joined by single spaces, then the end, so a text's probability is a product over symbols.
-Contexts of up to DEPTH symbols are kept when (a) they make up at least `least_share` of all training positions, which bounds their
-number by DEPTH / least_share at any corpus size, and (b) their next-symbol distribution diverges from that of the
-context without its oldest symbol: N(c) * KL(c || parent) >= `least_gain` nats. Distributions are smoothed from the root up (Witten-Bell);
-each position is scored by the longest kept suffix.
+Symbols are words (A-Z lower-cased) and one end. A context is a run of up to `depth` words; the state of a place is the longest retained
+suffix of the words before it in its text. With n(c) the times a context was followed by a symbol and n(c, x) by x, its distribution keeps
+the symbols it tells about and leaves the rest to its longest retained suffix:
 
-Spelling alone wastes what whole words tell, so a token's probability is the mean of two: that of a word of the lexicon (the common words below)
-and that of its spelling by the tree. A token is its word with what ends it, a space or the text's end; an empty text is the end alone. Both parts are
-distributions over tokens, so their mean is one, and a token costs at most log10(2) more than by the better of them.
+    P(x | c) = (n(c, x) - 1) / n(c) [x kept] + b(c) * P(x | suffix),   b(c) = 1 - sum over kept x of (n(c, x) - 1) / n(c)
 
-Counting runs on Spark: each task counts its distinct (context, next) grams and only those are shuffled; shorter contexts, the
-divergence test and the bound are aggregations and joins over them.
+Taking one from each count is the discount for what was seen once; the root is the add-one unigram distribution. Two divergence tests decide,
+at any size of the corpus alike: a symbol is kept where n(c, x) * ln(n(c, x) / n(c) / P(x | suffix)) reaches `least_symbol_gain` nats, and
+a context where n(c) times the divergence that its distribution explains, sum n(c, x) * ln(P(x | c) / P(x | suffix)), reaches `least_gain`. A
+context has at least `least_count` occurrences. There is no bound on their number: it grows with the corpus.
 
-Unigram counts are exact for all words. Words that are common (at least BASE_SHARE of training tokens, so at most 1 / BASE_SHARE
-of them) are scored from a broadcast table, all others by a join on the word's 64-bit hash.
+Since P(x | c) is P(x | suffix) times b(c) times, for kept symbols, one more factor, a text's log10 probability is its base score plus
+the logarithms of the factors of the retained contexts and kept symbols that it meets. Counting goes level by level: tasks count
+their own grams, hand them on in blocks dealt by the gram's hash, and the blocks of a bucket are merged. Factors are looked up in a
+broadcast of the most frequent ones, bounded by CACHE rows a level; if it doesn't hold all, the rest are found by a join.
 """
 
 from __future__ import annotations
@@ -29,324 +28,309 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialise, slices, split_words, texts_of
+from .common import Keys, hashed_words, materialise, mix, slices, small, texts_of
 
-DEPTH = 6
-#: Symbols: 0 pads the start, 1 is the end, 2 any other code point, 3 to 63 the commonest.
-SIZE, START, END, OTHER = 64, 0, 1, 2
-OWN = SIZE - 3
-CODE_POINTS = 0x110000
-LEAST_SHARE = 1e-5
+DEPTH = 2
+LEAST_COUNT = 8
 LEAST_GAIN = 8.0
-BASE_SHARE = 1e-6
-END_WORD = np.uint64(0x9E3779B97F4A7C15)
-#: Symbols that a task sorts at a time, and distinct keys that it holds before it hands their counts on.
-CHUNK, HELD = 1_000_000, 2_000_000
+LEAST_SYMBOL_GAIN = 8.0
+#: The symbol after the last word.
+END = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of a table that may be broadcast for look-ups.
+CACHE = 2_000_000
+#: Positions that a task holds before it hands their counts on, and those in all that a bucket gets about.
+HELD, BUCKET = 3_000_000, 1_500_000
+_NEXT, _CONTEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def plain(text: bytes | None) -> bytes:
-    return b" ".join(split_words(text))
+def extended(context: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Key of a context with one more word at its end."""
+    return mix(context * _NEXT + x)
 
 
-def _points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, each followed by a mark for the end, and the ends' places."""
-    parts = [t.decode("utf-8", "surrogatepass") for t in texts]
-    flat = np.frombuffer("\0".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return flat, np.cumsum([len(p) + 1 for p in parts]) - 1
+def laid_out(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All symbols of the texts one after the other, each symbol's place in its text, and the ends' places."""
+    words, counts = hashed_words(texts)
+    ends = np.cumsum(counts + 1) - 1
+    w = np.empty(len(words) + len(texts), np.uint64)
+    inner = np.ones(len(w), bool)
+    inner[ends] = False
+    w[inner], w[ends] = words, END
+    return w, np.arange(len(w)) - np.repeat(ends - counts, counts + 1), ends
 
 
-def symbols(texts: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    flat, ends = _points(texts)
-    s = code[np.minimum(flat, CODE_POINTS - 1)].astype(np.int64)
-    s[ends] = END
-    return s, ends
+def contexts(w: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1, 2, ... words: the places that have so many words before them, and the context's key at each place."""
+    key = None
+    for d in range(1, depth + 1):
+        before = np.zeros(len(w), np.uint64)
+        if d == 1:
+            before[1:] = w[:-1]
+        else:
+            before[1:] = extended(key[:-1], w[:-1])
+        key = before
+        yield np.flatnonzero(place >= d), key
 
 
-def contexts(s: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each place, the DEPTH symbols before it in its text, the newest lowest; START before the text."""
-    begin = np.concatenate(([0], ends[:-1] + 1))
-    at = np.arange(len(s)) - np.repeat(begin, ends - begin + 1)
-    c = np.zeros(len(s), np.int64)
-    for k in range(1, DEPTH + 1):
-        older = np.zeros(len(s), np.int64)
-        older[k:] = s[:-k]
-        older[at < k] = START
-        c |= older << (6 * (k - 1))
-    return c
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[bytes]]:
+def _firsts(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.empty(0, np.int64)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): how often each symbol stands in what a task has held."""
+
+    def counted() -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
+        at = _firsts(keys)
+        return pa.RecordBatch.from_arrays([_signed(keys[at]), pa.array(np.diff(np.append(at, len(keys))))], ["key", "n"])
+
     held, size = [], 0
     for b in slices(batches):
-        for t in texts_of(b, column):
-            held.append(plain(t))
-            size += len(held[-1]) + 1
-            if size >= CHUNK:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-class Tally:
-    """Counts by integer key, merged by sorting; hands all on when it holds too many."""
-
-    def __init__(self, kind):
-        self.keys, self.n = np.empty(0, kind), np.empty(0, np.int64)
-
-    def add(self, keys: np.ndarray, n: np.ndarray | None = None) -> None:
-        k, inverse = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
-        self.n = np.bincount(inverse, np.concatenate([self.n, np.ones(len(keys), np.int64) if n is None else n]), minlength=len(k)).astype(np.int64)
-        self.keys = k
-
-    def batch(self, names: list[str]) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(self.keys.view(np.int64) if self.keys.dtype == np.uint64 else self.keys), pa.array(self.n)], names)
-        self.keys, self.n = self.keys[:0], self.n[:0]
-        return out
-
-
-def _words_and_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): counts of words by hash (kind 0, the end among them) and of code points (kind 1)."""
-    hashes, words, points = WordHashes(), Tally(np.uint64), np.zeros(CODE_POINTS, np.int64)
-
-    def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), pa.array(keys), pa.array(n)], ["kind", "key", "n"])
-
-    for texts in _pieces(batches, "text"):
-        h = hashes.of([w for t in texts for w in t.split(b" ") if w])
-        k, n = np.unique(np.concatenate([h, np.full(len(texts), END_WORD)]), return_counts=True)
-        words.add(k, n)
-        flat, ends = _points(texts)
-        points += np.bincount(np.minimum(np.delete(flat, ends), CODE_POINTS - 1), minlength=CODE_POINTS)
-        if len(words.keys) > HELD:
-            yield out(0, words.keys.view(np.int64), words.n)
-            words = Tally(np.uint64)
-    yield out(0, words.keys.view(np.int64), words.n)
-    at = np.flatnonzero(points)
-    yield out(1, at.astype(np.int64), points[at])
-
-
-def _grams(held):
+        held.append(laid_out(texts_of(b, "text"))[0])
+        size += len(held[-1])
+        if size > HELD:
+            yield counted()
+            held, size = [], 0
+    yield counted()
+
+
+def _columns(d: int) -> list[str]:
+    """The shorter contexts, the context and the next symbol."""
+    return [*[f"p{j}" for j in range(1, d)], "s", "x"]
+
+
+def _blocks(d: int, buckets: int, frequent):
+    """(bucket, columns of grams of level d, n) of what a task has held. frequent: the contexts that matter, if they could be sent."""
+    names = _columns(d)
+
+    def counted(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        cols = [np.concatenate(x) for x in zip(*parts)]
+        gram = extended(cols[-2], cols[-1])
+        order = np.argsort(gram)
+        gram = gram[order]
+        at = _firsts(gram)
+        n = np.diff(np.append(at, len(gram))).astype(np.int32)
+        bucket = (gram[at] % np.uint64(buckets)).astype(np.int32)
+        cols = [c[order[at]] for c in cols]
+        order = np.lexsort((cols[-2], bucket))  # equal contexts side by side take less room
+        cut = _firsts(bucket[order])
+        offsets = pa.array(np.append(cut, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, _signed(c[order])) for c in cols]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut]), *lists, pa.ListArray.from_arrays(offsets, pa.array(n[order]))], ["bucket", *names, "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, tally = held.value, Tally(np.int64)
-        for texts in _pieces(batches, "text"):
-            s, ends = symbols(texts, code)
-            g, n = np.unique((contexts(s, ends) << 6) | s, return_counts=True)
-            tally.add(g, n)
-            if len(tally.keys) > HELD:
-                yield tally.batch(["gram", "n"])
-        yield tally.batch(["gram", "n"])
+        only = Keys(frequent.value) if frequent is not None else None
+        parts, size = [], 0
+        for b in slices(batches):
+            w, place, _ = laid_out(texts_of(b, "text"))
+            keys = []
+            for at, key in contexts(w, place, d):
+                keys.append(key)
+            if only is not None:
+                at = at[only.find(key[at])[0]]
+            parts.append([*[k[at] for k in keys], w[at]])
+            size += len(at)
+            if size > HELD:
+                yield from counted(parts)
+                parts, size = [], 0
+        if size:
+            yield from counted(parts)
 
     return run
 
 
-class Tree:
-    """Kept contexts with their counts, ready to score. counts: (depth, context, next symbol, n) of kept contexts and the root."""
+def _merged(d: int):
+    """The grams of a bucket that were seen twice or more."""
+    names = _columns(d)
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = {c: np.concatenate([x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in table.column(c).chunks]) for c in [*names, "n"]}
+        gram = extended(flat["s"].view(np.uint64), flat["x"].view(np.uint64))
+        order = np.argsort(gram)
+        at = _firsts(gram[order])
+        n = np.add.reduceat(flat["n"][order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+        twice = order[at[n > 1]]
+        return pa.table([*[pa.array(flat[c][twice]) for c in names], pa.array(n[n > 1])], [*names, "n"])
+
+    return run
 
-    def __init__(self, code: np.ndarray, own: int, counts: list[tuple[int, int, int, int]]):
-        self.code, self.own = code, own
-        rows = np.array(counts, np.int64).reshape(-1, 4)
-        self.depth, self.context, self.next, self.n = rows.T
 
-    def ready(self) -> "Scorer":
-        return Scorer(self)
+def sent(keys: DataFrame, column: str):
+    """A broadcast of the column if the materialised table has at most CACHE rows, else None."""
+    if keys.count() > CACHE:
+        return None
+    return keys.sparkSession.sparkContext.broadcast(keys.select(column).toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def grams_of(train: DataFrame, d: int, contexts_: DataFrame, tokens: int) -> DataFrame:
+    """Grams of level d that occur twice or more: the contexts p1, p2, ..., s, the symbol x and n. Written to the shared folder."""
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frequent = sent(contexts_, "s")
+    longs = ", ".join(f"{c} array<long>" for c in _columns(d))
+    blocks = train.select("text").mapInArrow(_blocks(d, max(parts, tokens // BUCKET), frequent), f"bucket int, {longs}, n array<int>")
+    shape = ", ".join(f"{c} long" for c in _columns(d)) + ", n long"
+    out = materialise(blocks.groupBy("bucket").applyInArrow(_merged(d), shape), f"grams-{d}")
+    if frequent is not None:
+        frequent.destroy()
+    return out
+
+
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        s, x = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("s", "x"))
+        yield pa.RecordBatch.from_arrays([_signed(extended(s, x)), b.column("n")], ["s", "n_s"])
+
+
+def fit_tree(train: DataFrame, words: DataFrame, tokens: int, kinds: int, depth: int = DEPTH, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN, least_symbol_gain: float = LEAST_SYMBOL_GAIN) -> DataFrame:
+    """The tree over train(text) as rows (s, x, value, n): log10 b(c) of retained contexts (x = 0) and the factors of their kept symbols.
+
+    words(key, n), tokens and kinds: the counts of all symbols, of which the root is made. Without training rows, there are no rows.
+    """
+    last = int(END.view(np.int64))
+    root = words.select(F.col("key").alias("x"), F.log((F.col("n") + 1) / F.lit(float(tokens + kinds + 1))).alias("root"))
+    context = words.where((F.col("key") != last) & (F.col("n") >= least_count)).select(F.col("key").alias("s"), F.col("n").alias("n_s"))
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    for d in range(1, depth + 1):
+        context = materialise(context, f"contexts-{d}")
+        grams = grams_of(train, d, context, tokens)
+        at = grams.join(small(context), "s").join(small(root), "x")
+        par = F.col("root")
+        for j, (kept_contexts, kept_symbols) in enumerate(levels, 1):
+            at = at.join(small(kept_contexts.select(F.col("s").alias(f"p{j}"), F.col("log_b").alias(f"b{j}"))), f"p{j}", "left")
+            at = at.join(small(kept_symbols.select(F.col("s").alias(f"p{j}"), "x", F.col("more").alias(f"m{j}"))), [f"p{j}", "x"], "left")
+            par = par + F.coalesce(f"b{j}", F.lit(0.0)) + F.coalesce(f"m{j}", F.lit(0.0))
+        at = at.select("s", "x", "n", "n_s", par.alias("par"))
+        told = materialise(at.where(F.col("n") * (F.log(F.col("n") / F.col("n_s")) - F.col("par")) >= least_symbol_gain), f"told-{d}")
+        sums = told.groupBy("s").agg(F.sum(F.col("n") - 1).alias("mass"), F.sum("n").alias("in_all"))
+        log_b = F.log(1 - F.col("mass") / F.col("n_s"))
+        both = told.join(sums, "s").withColumn("log_b", log_b)
+        both = both.withColumn("more", F.log1p((F.col("n") - 1) / F.col("n_s") * F.exp(-F.col("par") - F.col("log_b"))))
+        gain = both.groupBy("s").agg(F.first("n_s").alias("n_s"), F.first("log_b").alias("log_b"), (F.sum(F.col("n") * F.col("more")) + F.first("n_s") * F.first("log_b")).alias("gain"))
+        kept_contexts = materialise(gain.where(F.col("gain") >= least_gain).select("s", "log_b", F.col("n_s").alias("n")), f"retained-{d}")
+        kept_symbols = materialise(both.join(small(kept_contexts.select("s")), "s", "left_semi").select("s", "x", "more", "n"), f"symbols-{d}")
+        levels.append((kept_contexts, kept_symbols))
+        context = grams.where((F.col("n") >= least_count) & (F.col("x") != last)).select("s", "x", "n").mapInArrow(_longer, "s long, n_s long")
+    tree = None
+    for kept_contexts, kept_symbols in levels:
+        part = kept_contexts.select("s", F.lit(0).cast("long").alias("x"), (F.col("log_b") / math.log(10)).alias("value"), "n")
+        part = part.unionByName(kept_symbols.select("s", "x", (F.col("more") / math.log(10)).alias("value"), "n"))
+        tree = part if tree is None else tree.unionByName(part)
+    return tree
+
+
+def cached(rows: DataFrame, tokens: int) -> tuple[pa.Table, bool]:
+    """rows(..., n) for a broadcast, and whether these are all: all if at most CACHE, otherwise those that make up 1 / CACHE of the tokens each."""
+    if rows.count() <= CACHE:
+        return rows.toArrow(), True
+    return rows.where(F.col("n") * F.lit(CACHE) >= F.lit(int(tokens))).toArrow(), False
 
 
 class Scorer:
-    def __init__(self, tree: Tree):
-        live = np.ones(SIZE)
-        live[START] = 0
-        root = tree.depth == 0
-        n = np.bincount(tree.next[root], tree.n[root], minlength=SIZE)
-        states = [((n + live) / (n.sum() + live.sum()))[None]]
-        made = 1
-        # A trie over contexts read backwards: its nodes are the suffixes of kept contexts, each with the distribution of its longest kept suffix.
-        level, first, edges, state_of = np.zeros(1, np.int64), 0, [], [np.zeros(1, np.int64)]
-        for d in range(1, DEPTH + 1):
-            nodes = np.unique(tree.context[tree.depth >= d] % SIZE**d)
-            if not len(nodes):
-                break
-            up = np.searchsorted(level, nodes % SIZE ** (d - 1))
-            edges.append(((first + up) * SIZE + nodes // SIZE ** (d - 1), first + len(level) + np.arange(len(nodes))))
-            state = state_of[-1][up]
-            mine = tree.depth == d
-            ctx, at = np.unique(tree.context[mine], return_inverse=True)
-            if len(ctx):
-                n = np.zeros((len(ctx), SIZE))
-                np.add.at(n, (at, tree.next[mine]), tree.n[mine])
-                kinds = (n > 0).sum(1, keepdims=True)
-                where = np.searchsorted(nodes, ctx)
-                states.append((n + kinds * np.concatenate(states)[state[where]]) / (n.sum(1, keepdims=True) + kinds))
-                state[where] = made + np.arange(len(ctx))
-                made += len(ctx)
-            first, level = first + len(level), nodes
-            state_of.append(state)
-        self.state_of = np.concatenate(state_of).astype(np.int32)
-        self.child = np.zeros(len(self.state_of) * SIZE, np.int32)
-        for at, to in edges:
-            self.child[at] = to
-        self.log = np.log10(np.maximum(np.concatenate(states), 1e-300)).astype(np.float32)
-        self.log[:, OTHER] -= math.log10(CODE_POINTS - tree.own)
-        self.code = tree.code
-
-    def states(self, c: np.ndarray) -> np.ndarray:
-        """The state of each context: that of its longest kept suffix."""
-        node, alive = np.zeros(len(c), np.int32), np.ones(len(c), bool)
-        for k in range(DEPTH):
-            to = self.child[node.astype(np.int64) * SIZE + ((c >> (6 * k)) & (SIZE - 1))]
-            alive &= to > 0
-            node = np.where(alive, to, node)
-        return self.state_of[node]
-
-    def score(self, texts: list[bytes], words: "Lexicon | None" = None, hashes: WordHashes | None = None) -> np.ndarray:
-        """log10 probability of each text (plain() form); without a lexicon, by the tree alone."""
-        out, at = [], 0
-        while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) < CHUNK):
-                size += len(texts[upto]) + 1
-                upto += 1
-            part = texts[at:upto]
-            s, ends = symbols(part, self.code)
-            one = self.log[self.states(contexts(s, ends)), s].astype(np.float64)
-            stop = _points(part)[0] == 32
-            stop[ends] = True
-            last = np.flatnonzero(stop)
-            token = np.add.reduceat(one, np.concatenate(([0], last[:-1] + 1)))
-            final = np.zeros(len(s), bool)
-            final[ends] = True
-            if words is not None:
-                h = hashes.of([w for t in part for w in t.split(b" ")])
-                token = words.mixed(token, h, final[last])
-            first = np.concatenate(([0], np.flatnonzero(final[last])[:-1] + 1))
-            out.append(np.add.reduceat(token, first))
-            at = upto
-        return np.concatenate(out) if out else np.empty(0)
-
-
-class Lexicon:
-    """Common words by sorted hash with their counts; texts and words: how many the training rows have."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, texts: int, words: int):
-        self.keys, self.n = keys, n
-        self.mine = int(n.sum())
-        self.weight = 0.5 if self.mine else 0.0
-        self.end = (texts + 1) / (words + 2)
-
-    def mixed(self, spelt: np.ndarray, h: np.ndarray, final: np.ndarray) -> np.ndarray:
-        """log10 of weight * P(word) * P(what ends it) + (1 - weight) * spelling."""
-        rest = spelt * math.log(10) + math.log1p(-self.weight) if self.weight else spelt * math.log(10)
-        if not len(self.keys):
-            return rest / math.log(10)
-        w = h.view(np.int64)
-        at = np.minimum(np.searchsorted(self.keys, w), len(self.keys) - 1)
-        known = np.where(self.keys[at] == w, self.n[at], 0) * (self.weight / self.mine) * np.where(final, min(self.end, 1.0), max(1 - self.end, 0.0))
-        return np.logaddexp(rest, np.log(known, where=known > 0, out=np.full(len(known), -np.inf))) / math.log(10)
-
-
-def fit_tree(train: DataFrame, points: list[tuple[int, int]], least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN) -> Tree:
-    """Tree over train(text). points: (code point, count), the commonest OWN of which get symbols."""
-    own = [p for p, _ in sorted(points, key=lambda x: (-x[1], x[0]))[:OWN]]
-    code = np.full(CODE_POINTS, OTHER, np.uint8)
-    code[own] = np.arange(3, 3 + len(own))
-    held = train.sparkSession.sparkContext.broadcast(code)
-    grams = materialise(train.select("text").mapInArrow(_grams(held), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    by_depth = None
-    for d in range(DEPTH + 1):
-        c = F.expr(f"shiftright(gram, 6) % {SIZE**d}").cast("long")
-        part = grams.groupBy(c.alias("c"), F.expr(f"gram % {SIZE}").cast("long").alias("x")).agg(F.sum("n").alias("n")).withColumn("d", F.lit(d))
-        by_depth = part if by_depth is None else by_depth.unionByName(part)
-    by_depth = materialise(by_depth, "contexts")
-    sums = by_depth.groupBy("d", "c").agg(F.sum("n").alias("all")).where(F.col("all") >= F.lit(least_share) * F.lit(total))
-    here = by_depth.join(sums, ["d", "c"])
-    up = here.select((F.col("d") + 1).alias("d"), F.col("c").alias("parent"), "x", F.col("n").alias("up_n"), F.col("all").alias("up_all"))
-    gain = here.where("d > 0").withColumn("parent", F.expr(f"c % shiftleft(1L, 6 * (d - 1))")).join(up, ["d", "parent", "x"])
-    gain = gain.groupBy("d", "c").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / (F.col("up_n") / F.col("up_all")))).alias("gain")).where(F.col("gain") >= least_gain)
-    kept = here.join(gain, ["d", "c"], "left_semi").unionByName(here.where("d = 0"))
-    # At most DEPTH / least_share contexts pass, whatever the corpus size: the result is bounded.
-    rows = [(r["d"], r["c"], r["x"], r["n"]) for r in kept.select("d", "c", "x", "n").collect()]
-    return Tree(code, len(own), rows)
-
-
-def score_texts(docs: DataFrame, train_rows: Column) -> DataFrame:
+    """Look-ups of words and of the tree's factors. What isn't held, and may stand in the tables, is given back as missing."""
+
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], all_words: bool, factors: tuple[np.ndarray, np.ndarray], all_factors: bool, unknown: float, depth: int):
+        self.words, self.factors = Keys(*words), Keys(*factors)
+        self.all_words, self.all_factors, self.unknown, self.depth = all_words, all_factors, unknown, depth
+
+    def _factors(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value, has = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at, to = self.factors.find(keys)
+        value[at], has[at] = self.factors.values[to], True
+        return value, has
+
+    def score(self, texts: list[bytes | None]) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(tokens, known, base, more) of each text, and the missing (number of the text, s, x)."""
+        w, place, ends = laid_out(texts)
+        begins = ends - np.diff(ends, prepend=-1) + 1
+        rows = np.repeat(np.arange(len(texts)), ends - begins + 1)
+        base, known = np.full(len(w), self.unknown), np.zeros(len(w), np.int64)
+        at, to = self.words.find(w)
+        base[at], known[at] = self.words.values[to], 1
+        lost: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if not self.all_words:
+            rare = np.flatnonzero(known == 0)
+            base[rare] = 0
+            lost.append((rows[rare], np.zeros(len(rare), np.uint64), w[rare]))
+        more = np.zeros(len(w))
+        for at, key in contexts(w, place, self.depth):
+            value, retained = self._factors(key[at] ^ _CONTEXT)
+            more[at] += value
+            if not self.all_factors:
+                lost.append((rows[at[~retained]], key[at[~retained]], np.zeros(int((~retained).sum()), np.uint64)))
+            else:
+                at = at[retained]
+            value, has = self._factors(extended(key[at], w[at]))
+            more[at] += value
+            if not self.all_factors:
+                lost.append((rows[at[~has]], key[at[~has]], w[at[~has]]))
+        missing = tuple(np.concatenate(x) for x in zip(*lost)) if lost else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
+        sums = [np.add.reduceat(x, begins) if len(begins) else x[:0] for x in (known, base, more)]
+        return [ends - begins + 1, *sums], missing
+
+
+def score_texts(docs: DataFrame, train_rows: Column, depth: int = DEPTH, **tests) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     train_rows: which rows to learn from; null counts as false; held_out is its opposite. Tokens are the words between ASCII white space, A-Z
-    lower-cased, and one end. base_score is the add-one unigram log10 probability, score the tree's. Null and empty texts are the end
-    alone. Without training rows, counts are 0 and the tree is uniform. Repeated rows each come out. Other columns are ignored.
+    lower-cased, and one end. base_score is the add-one unigram log10 probability, score the tree's (tests: see fit_tree()); both take what
+    wasn't learnt for one unknown word. Null and empty texts are the end alone. Texts of any length are scored whole. Without training rows,
+    counts are 0 and both scores 0. Repeated rows each come out. Other columns are ignored. Empty input gives no rows.
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", "text", F.coalesce(train_rows, F.lit(False)).alias("learn"))
-    seen = materialise(d.where("learn").select("text").mapInArrow(_words_and_points, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = seen.where("kind = 0").select("key", "n")
-    tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    points = [(r["key"], r["n"]) for r in seen.where("kind = 1").orderBy(F.col("n").desc(), "key").limit(OWN).collect()]
-    tree = fit_tree(d.where("learn"), points)
-    common = words.where(F.col("n") >= F.lit(BASE_SHARE) * F.lit(tokens)).toPandas()
-    order = np.argsort(common["key"].to_numpy(np.int64))
-    keys, n = common["key"].to_numpy(np.int64)[order], common["n"].to_numpy(np.int64)[order]
-    lone = np.uint64(END_WORD).view(np.int64)
-    texts = int(words.where(F.col("key") == int(lone)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    inside = keys != lone
-    lexicon = Lexicon(keys[inside], n[inside], texts, int(tokens) - texts)
-    held = spark.sparkContext.broadcast((tree, lexicon, keys, n))
-    bottom = tokens + kinds + 1
+    words = materialise(d.where("learn").select("text").mapInArrow(_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    tokens, kinds = (int(v) for v in words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
+    bottom = float(tokens + kinds + 1)
+    tree = materialise(fit_tree(d.where("learn"), words, tokens, kinds, depth, **tests), "tree")
+    frequent, all_words = cached(words, tokens)
+    factors, all_factors = cached(tree, tokens)
+    s, x = (factors.column(c).to_numpy().view(np.uint64) for c in ("s", "x"))
+    keys = np.where(x == 0, s ^ _CONTEXT, extended(s, x))
+    unknown = -math.log10(bottom)
+    known = frequent.column("key").to_numpy().view(np.uint64), np.log10((frequent.column("n").to_numpy() + 1) / bottom)
+    held = spark.sparkContext.broadcast((known, all_words, (keys, factors.column("value").to_numpy()), all_factors, unknown, depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, lexicon, keys, n = held.value
-        scorer, hashes = tree.ready(), WordHashes()
+        scorer = Scorer(*held.value)
         for b in slices(batches):
-            texts = [plain(t) for t in texts_of(b, "text")]
-            ids = b.column("doc_id").to_pylist()
-            scores = scorer.score(texts, lexicon, hashes)
-            rows: list[list] = [[] for _ in range(7)]
-            rare_key, rare_word, rare_n = [], [], []
-            row_keys = []
-            for i, t in enumerate(texts):
-                key = xxhash.xxh3_64_intdigest(f"{ids[i]}\x1f".encode() + t) >> 1
-                w, c = np.unique(np.append(hashes.of(t.split(b" ")) if t else np.empty(0, np.uint64), END_WORD), return_counts=True)
-                w = w.view(np.int64)
-                at = np.searchsorted(keys, w)
-                hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == w) if len(keys) else np.zeros(len(w), bool)
-                row_keys.append(key)
-                rows[0].append(int(c.sum()))
-                rows[1].append(int(c[hit].sum()))
-                rows[2].append(float((c[hit] * np.log10((n[at[hit]] + 1) / bottom)).sum()))
-                rare_key.append(np.full(int((~hit).sum()), key, np.int64))
-                rare_word.append(w[~hit])
-                rare_n.append(c[~hit])
-            k = len(texts)
-            rk, rw, rn = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rare_key, rare_word, rare_n))
-            none = lambda kind: pa.nulls(len(rk), kind)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array(row_keys, pa.int64()), pa.array(rk)]),
-                    pa.concat_arrays([b.column("doc_id"), none(pa.int64())]),
-                    pa.concat_arrays([b.column("learn"), none(pa.bool_())]),
-                    pa.concat_arrays([pa.array(rows[0], pa.int64()), none(pa.int64())]),
-                    pa.concat_arrays([pa.array(rows[1], pa.int64()), none(pa.int64())]),
-                    pa.concat_arrays([pa.array(rows[2], pa.float64()), none(pa.float64())]),
-                    pa.concat_arrays([pa.array(scores, pa.float64()), none(pa.float64())]),
-                    pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(rw)]),
-                    pa.concat_arrays([pa.nulls(k, pa.int32()), pa.array(rn.astype(np.int32))]),
-                ],
-                ["row_key", "doc_id", "learn", "n_tokens", "known", "base", "score", "word", "times"],
-            )
-
-    shape = "row_key long, doc_id long, learn boolean, n_tokens long, known long, base double, score double, word long, times int"
-    both = materialise(d.mapInArrow(run, shape), "scored")
-    rare = both.where("word is not null").select("row_key", "word", "times")
-    looked = rare.join(words.withColumnRenamed("key", "word"), "word", "left")
+            texts = texts_of(b, "text")
+            (n, known, base, more), (row, s, x) = scorer.score(texts)
+            if all_words and all_factors:
+                ids = np.zeros(len(texts), np.int64)
+            else:
+                ids = np.array([xxhash.xxh3_64_intdigest(f"{i}\x1f".encode() + (t or b"")) for i, t in zip(b.column("doc_id").to_pylist(), texts)], np.uint64).view(np.int64)
+            order = np.lexsort((x, s, row))
+            row, s, x = row[order], s[order], x[order]
+            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (s[1:] != s[:-1]) | (x[1:] != x[:-1])))) if len(row) else row
+            times = np.diff(np.append(new, len(row)))
+            k, none = len(texts), lambda kind: pa.nulls(len(new), kind)
+            columns = [
+                pa.concat_arrays([_signed(ids), _signed(ids[row[new]])]), pa.concat_arrays([b.column("doc_id"), none(pa.int64())]), pa.concat_arrays([b.column("learn"), none(pa.bool_())]),
+                pa.concat_arrays([pa.array(n, pa.int64()), none(pa.int64())]), pa.concat_arrays([pa.array(known, pa.int64()), none(pa.int64())]), pa.concat_arrays([pa.array(base), none(pa.float64())]), pa.concat_arrays([pa.array(more), none(pa.float64())]),
+                pa.concat_arrays([pa.nulls(k, pa.int64()), _signed(s[new])]), pa.concat_arrays([pa.nulls(k, pa.int64()), _signed(x[new])]), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(times, pa.int64())]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "learn", "n_tokens", "known", "base", "more", "s", "x", "times"])
+
+    scored = d.mapInArrow(run, "row_key long, doc_id long, learn boolean, n_tokens long, known long, base double, more double, s long, x long, times long")
+    result = ["doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("more")).alias("score")]
+    if all_words and all_factors:
+        return scored.select(*result)
+    scored = materialise(scored, "scored")
+    heads, rare = scored.where("times is null"), scored.where("times is not null").select("row_key", "s", "x", "times")
+    table = words.select(F.lit(0).cast("long").alias("s"), F.col("key").alias("x"), F.log10((F.col("n") + 1) / F.lit(bottom)).alias("value")).unionByName(tree.select("s", "x", "value"))
+    looked = rare.join(table, ["s", "x"], "left")
+    word = F.col("s") == 0
     parts = looked.groupBy("row_key").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).cast("long").alias("r_known"),
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(bottom)))).alias("r_base"),
-    )
-    # A repeated row adds its words again: each of its rows takes an equal part.
-    heads = both.where("word is null")
-    times = heads.groupBy("row_key").agg(F.count("*").alias("m"))
-    extra = parts.join(times, "row_key").select("row_key", (F.col("r_known") / F.col("m")).cast("long").alias("r_known"), (F.col("r_base") / F.col("m")).alias("r_base"))
-    return heads.join(extra, "row_key", "left").select(
-        "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("r_base", F.lit(0.0))).alias("base_score"), "score",
-    )
+        F.sum(F.when(word & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("r_known"), F.sum(F.when(word, F.col("times") * F.coalesce("value", F.lit(unknown))).otherwise(0.0)).alias("r_base"),
+        F.sum(F.when(~word, F.col("times") * F.coalesce("value", F.lit(0.0))).otherwise(0.0)).alias("r_more"),
+    )
+    # A repeated row adds its misses again: each of its rows takes an equal part.
+    extra = parts.join(heads.groupBy("row_key").agg(F.count("*").alias("m")), "row_key")
+    whole = heads.join(extra, "row_key", "left")
+    part = lambda c: F.coalesce(F.col(f"r_{c}") / F.col("m"), F.lit(0.0))
+    whole = whole.select("doc_id", "learn", "n_tokens", (F.col("known") + F.round(part("known"))).cast("long").alias("known"), (F.col("base") + part("base")).alias("base"), (F.col("more") + part("more")).alias("more"))
+    return whole.select(*result)

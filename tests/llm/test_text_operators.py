@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tapewright.llm import pii
 from tapewright.llm.byte_digest import counts, digest, edited_pairs, fingerprints, likeness
 from tapewright.llm.chat_threads import link_quotes
-from tapewright.llm.common import WordHashes, fold_of, table
+from tapewright.llm.common import fold_of, table
 from tapewright.llm.secret_scan import ALLOW, CLASSES, scan_secrets
-from tapewright.llm.suffix_lm import DEPTH, SIZE, Lexicon, Scorer, contexts, plain, score_texts, symbols
+from tapewright.llm.suffix_lm import score_texts
 
 from .helpers import empty_docs, odd_docs, odd_rows
 
@@ -143,12 +143,16 @@ def test_terms_of_entities_seen_once_or_twice(spark):
 # ---- language model
 
 
+def lm_tokens(t):
+    up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return (t or "").translate(up).encode().split() + [None]
+
+
 def test_lm_base_and_held_out(spark):
     sf = "/root/testdata/sf0.001"
     docs = table(spark, sf, "documents").unionByName(odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars"))
     rows = [(r.doc_id, r.text, r.m) for r in docs.select("doc_id", "text", fold_of("doc_id", 7).alias("m")).collect()]
-    up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    toks = [(t or "").translate(up).encode().split() + [None] for _, t, _ in rows]
+    toks = [lm_tokens(t) for _, t, _ in rows]
     learn = [m is not None and m != 2 for _, _, m in rows]
     c = Counter(w for t, ok in zip(toks, learn) if ok for w in t)
     n, v = sum(c.values()), len(c)
@@ -161,37 +165,94 @@ def test_lm_base_and_held_out(spark):
     assert held.score.sum() > held.base_score.sum() and (out.score < 0).all()
 
 
-def test_tree_is_a_distribution_and_uses_the_longest_suffix(spark):
-    from tapewright.llm.suffix_lm import fit_tree
-
-    texts = ["abab abab ab"] * 20 + ["cdcd cd"] * 20
-    train = spark.createDataFrame([(t,) for t in texts], "text string")
-    points = Counter(ord(ch) for t in texts for ch in t)
-    tree = fit_tree(train, list(points.items()), 1e-4, 1.0)
-    s = Scorer(tree)
-    p = 10.0 ** s.log.astype(float)
-    p[:, 2] *= 0x110000 - tree.own
-    assert np.allclose(p[:, 1:].sum(1), 1, atol=1e-4)
-    kept = {(int(d), int(c)) for d, c in zip(tree.depth, tree.context)}
-    text = plain(b"Abab dc")
-    sym, ends = symbols([text], tree.code)
-    ctx, want = contexts(sym, ends), 0.0
-    for k, x in enumerate(sym):
-        d = max(d for d in range(DEPTH + 1) if (d, int(ctx[k]) % SIZE**d) in kept)
-        want += s.log[s.states(ctx[k : k + 1])[0], x]
-        assert d == 0 or (d, int(ctx[k]) % SIZE**d) in kept
-    assert s.score([text])[0] == pytest.approx(want, abs=1e-3)
-    h = WordHashes()
-    lex = Lexicon(np.sort(h.of([b"abab"]).view(np.int64)), np.array([40]), 40, 100)
-    spelt = [s.score([b"abab"])[0], s.score([b"xyz"])[0]]
-    assert s.score([b"abab", b"xyz", b""], lex, h) == pytest.approx([math.log10(0.5 * (41 / 102) + 0.5 * 10 ** spelt[0]), spelt[1] + math.log10(0.5), s.score([b""])[0] + math.log10(0.5)], abs=1e-3)
-    assert len(kept) > 3
+@pytest.mark.parametrize("size, least", [("sf0.001", 0.03), ("sf0.01", 0.1), ("sf0.1", 0.3)])
+def test_tree_beats_its_base_on_held_out_rows(spark, size, least):
+    """By log10 a token, from the tree alone."""
+    out = score_texts(table(spark, f"/root/testdata/{size}", "documents"), fold_of("doc_id", 7) != 2)
+    n, score, base = out.where("held_out").agg(F.sum("n_tokens"), F.sum("score"), F.sum("base_score")).first()
+    assert (score - base) / n > least
+
+
+def brute_tree(train, depth, least_count, least_gain, least_symbol_gain):
+    """p(symbol, words before it) of the tree over tokenised texts, from its definition; the retained contexts; the known symbols."""
+    words = Counter(w for t in train for w in t)
+    n, kinds = sum(words.values()), len(words)
+    after: dict[tuple, Counter] = {}
+    for t in train:
+        for i, x in enumerate(t):
+            for d in range(1, min(i, depth) + 1):
+                after.setdefault(tuple(t[i - d : i]), Counter())[x] += 1
+    kept: dict[tuple, tuple[float, dict]] = {}
+
+    def p(x, before: tuple) -> float:
+        for d in range(min(depth, len(before)), 0, -1):
+            if before[-d:] in kept:
+                b, own = kept[before[-d:]]
+                return own.get(x, 0.0) + b * p(x, before[-d + 1 :] if d > 1 else ())
+        return (words[x] + 1) / (n + kinds + 1)
+
+    for d in range(1, depth + 1):
+        level = {}
+        for c, nexts in after.items():
+            size = sum(nexts.values())
+            if len(c) == d and size >= least_count:
+                told = {x: k for x, k in nexts.items() if k >= 2 and k * math.log(k / size / p(x, c[1:])) >= least_symbol_gain}
+                b = 1 - sum(k - 1 for k in told.values()) / size
+                here = {x: (k - 1) / size for x, k in told.items()}
+                gain = sum(k * math.log((here.get(x, 0) + b * p(x, c[1:])) / p(x, c[1:])) for x, k in nexts.items()) if told else 0
+                if told and gain >= least_gain:
+                    level[c] = b, here
+        kept.update(level)
+    return p, kept, list(words)
+
+
+LM_RULES = dict(least_count=3, least_gain=2.0, least_symbol_gain=1.0)
+
+
+@pytest.mark.parametrize("depth, cache", [(1, 10**6), (2, 10**6), (3, 10**6), (3, 12), (2, 1)])
+def test_tree_equals_its_definition(spark, monkeypatch, depth, cache):
+    """Retained contexts, smoothing and longest suffixes; with a small cache, what isn't broadcast is joined."""
+    from tapewright.llm import suffix_lm
+
+    monkeypatch.setattr(suffix_lm, "CACHE", cache)
+    monkeypatch.setattr(suffix_lm, "HELD", 200)
+    rng = np.random.default_rng(5)
+    lines = ["the cat sat on the mat", "the dog sat on the log", "a bird flew over the big mat", "the cat sat on the log again", "now the dog flew over a cat"]
+    texts = [" ".join(rng.choice(lines) for _ in range(rng.integers(1, 4))) for _ in range(60)] + ["unheard words here", "", None, "the cat unheard on the mat", "the cat sat on the mat"]
+    docs = odd_docs(spark, [(k, t, None, None, None) for k, t in enumerate(texts)] + [(3, texts[3], None, None, None)])
+    out = score_texts(docs, F.col("doc_id") < 55, depth=depth, **LM_RULES)
+    toks = [lm_tokens(t) for t in texts]
+    p, kept, known = brute_tree([*toks[:55], toks[3]], depth, **LM_RULES)
+    assert {len(c) for c in kept} == set(range(1, depth + 1))
+    seen = 0
+    for r in out.collect():
+        t = toks[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(p(x, tuple(t[:i]))) for i, x in enumerate(t))) and r.n_known == sum(x in known for x in t)
+        seen += 1
+    assert seen == len(texts) + 1
+    for c in [*kept, ("nothing",), ()]:
+        assert sum(p(x, c) for x in known) + p(b"never seen", c) == pytest.approx(1)
 
 
 def test_lm_empty(spark):
     assert score_texts(empty_docs(spark), fold_of("doc_id", 7) != 2).count() == 0
     none = score_texts(odd_docs(spark), F.lit(False)).toPandas()
-    assert (none.train_tokens == 0).all() and (none.n_known == 0).all() and none.held_out.all()
+    assert (none.train_tokens == 0).all() and (none.n_known == 0).all() and none.held_out.all() and (none.score == none.base_score).all()
+
+
+def test_word_hashes_equal_split_words(monkeypatch):
+    """Whatever the pieces, equal words have equal hashes, others have others."""
+    from tapewright.llm import common
+
+    rng = np.random.default_rng(2)
+    for piece in (3, 10, 1000):
+        monkeypatch.setattr(common, "PIECE", piece)
+        for _ in range(60):
+            texts = ["".join(rng.choice(list(" \n\tabAB\x0b\u00e9"), rng.integers(0, 60))).encode() for _ in range(4)] + [None, b""]
+            h, n = common.hashed_words(texts)
+            words = [common.split_words(t) for t in texts]
+            flat = [w for ws in words for w in ws]
+            assert list(n) == [len(w) for w in words] and len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
 
 
 # ---- digests
