@@ -47,7 +47,8 @@ CLASSES = (
     CharClass("entropy_b64", "[A-Za-z0-9+/=_-]", UPPER + LOWER + DIGITS + "+/=_-", 3.9),
 )
 #: Candidates that any of these matches are no secrets: joined words, numbers and dates, UUIDs, documented sample keys.
-ALLOW = ("^[A-Za-z]+([-_/=+]+[A-Za-z]*)*$", "^[0-9]+([-_/=+]+[0-9]*)*$", "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", "EXAMPLE")
+#: No pattern repeats a group without bound: the regex engine would recurse once a round and overflow its stack on a long text.
+ALLOW = ("^[A-Za-z][A-Za-z_/=+-]*$", "^[0-9][0-9_/=+-]*$", "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", "EXAMPLE")
 
 
 def weight_table(window: int = WINDOW) -> list[int]:

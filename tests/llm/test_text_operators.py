@@ -66,6 +66,14 @@ def test_secrets_equal_brute_force(spark):
     assert any(s.kind == "entropy_b64" for r in out.collect() for s in r.secret_spans)
 
 
+@pytest.mark.parametrize("unit, times", [("a-", 100_000), ("1-", 100_000), ("x9Kq2LmZ-", 5_000), ("password=", 20_000), ("AKIA", 50_000), ("0f", 100_000), ("Q", 100_000)])
+def test_secrets_of_very_long_texts(spark, unit, times):
+    """Long runs neither overflow the regex stack nor change what is found."""
+    text = unit * times
+    out = scan_secrets(odd_docs(spark, [(1, text, None, None, None)])).select("secret_spans").first()[0]
+    assert [tuple(s) for s in out] == brute_secrets(text)
+
+
 # ---- chat
 
 
