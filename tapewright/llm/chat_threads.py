@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, let, materialise, small
+from .common import LOWER, SPACES, UPPER, let, materialise, small
 
 #: A line that introduces a quotation; it goes when a quoted line follows.
 INTRODUCTION = r"^(On .{0,200} wrote|Am .{0,200} schrieb.{0,100}|Le .{0,200} a écrit|El .{0,200} escribió) ?:[ \t\r]*$"
-MARKS = r"^([ \t]*>)+"
+#: Without a repeated group, which would recurse once a mark and overflow the stack on a long line.
+MARKS = r"^[ \t>]*>"
 
 
 def norm(x: Column) -> Column:
@@ -78,7 +79,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     message to message over quotes of any level (a turn of several rows goes on to the earliest of theirs), or the message's own turn. Only earlier turns of the same
     conversation count. n_quotes is the number of quoted passages, depth the deepest level. Rows with a null conv_id or
     turn come out with their quotes removed but unlinked. Repeated rows each come out, with one result. Ties in the order
-    fall to the text. Other columns are ignored; empty input gives no rows.
+    fall to the text. Texts and lines of any length are read whole. Other columns are ignored; empty input gives no rows.
     """
     m = messages.select("conv_id", "turn", "role", "text", F.col("text").contains(">").alias("may"))
     lines = parse(F.col("text"))
@@ -100,7 +101,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     done = m.withColumn("ps", quotes).withColumn("own", F.when(F.col("may"), F.array_join(let(lines, _own), "\n")).otherwise(F.col("text")))
     done = done.join(small(links), (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")) & (F.md5("text") == F.col("i")), "left")
     done = done.select(
-        "conv_id", "turn", "role", F.regexp_replace("own", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "").alias("text"), "reply_to", F.coalesce("root", "turn").alias("thread"),
+        "conv_id", "turn", "role", F.trim("own", F.lit(SPACES)).alias("text"), "reply_to", F.coalesce("root", "turn").alias("thread"),
         F.coalesce(F.size("ps"), F.lit(0)).cast("long").alias("n_quotes"),
         F.coalesce(F.array_max(F.transform("ps", lambda p: p["level"])), F.lit(0)).cast("long").alias("depth"),
     )

@@ -99,6 +99,77 @@ def test_chain_of_one_level_quotes(spark):
     assert out == [(k, k - 2 if k > 1 else None, k % 2) for k in (*range(0, 14, 2), *range(1, 14, 2))]
 
 
+def brute_quotes(rows):
+    """(conv_id, turn, text, reply_to, thread, n_quotes, depth) of messages with distinct (conv_id, turn), from the statement."""
+    norm = lambda x: " ".join(x.lower().split())
+    intro = re.compile(r"^(On .{0,200} wrote|Am .{0,200} schrieb.{0,100}|Le .{0,200} a écrit|El .{0,200} escribió) ?:[ \t\r]*$")
+    parsed, wrote = {}, {}
+    for c, t, _, text in rows:
+        lines = []
+        for x in text.split("\n"):
+            head = re.match(r"[ \t>]*>", x)
+            lines.append((head[0].count(">") if head else 0, re.sub(r"^[ \t>]*> ?", "", x)))
+        own = [x for k, (n, x) in enumerate(lines) if n == 0 and not (intro.match(x) and k + 1 < len(lines) and lines[k + 1][0])]
+        runs = []
+        for k, (n, x) in enumerate(lines):
+            if n and k and lines[k - 1][0] == n:
+                runs[-1][1].append(x)
+            elif n:
+                runs.append((n, [x]))
+        parsed[c, t] = own, runs
+        for x in {norm(" ".join(own)), *map(norm, own)} - {""}:
+            wrote[c, x] = min(t, wrote.get((c, x), t))
+    links, roots = {}, {}
+    for (c, t), (_, runs) in parsed.items():
+        hits = [(n, whole, wrote[c, x]) for n, ls in runs for whole, x in [(True, norm(" ".join(ls))), *[(False, norm(y)) for y in ls]] if x and wrote.get((c, x), t) < t]
+        first = [a for n, whole, a in hits if n == 1 and whole] or [a for n, _, a in hits if n == 1]
+        links[c, t], roots[c, t] = max(first, default=None), min((a for _, _, a in hits), default=None)
+    out = []
+    for c, t, _, text in rows:
+        own, runs = parsed[c, t]
+        thread = t
+        while roots[c, thread] is not None:
+            thread = roots[c, thread]
+        out.append((c, t, ("\n".join(own) if ">" in text else text).strip(" \t\n\x0b\f\r"), links[c, t], thread, len(runs), max([n for n, _ in runs], default=0)))
+    return out
+
+
+def test_planted_quotes_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    line = lambda: " ".join(rng.choice(words, rng.integers(1, 5)))
+    rows = []
+    for c in range(12):
+        texts: list[str] = []
+        for t in range(15):
+            parts = []
+            for _ in range(rng.integers(0, 3)) if texts else ():
+                old = texts[rng.integers(len(texts))].split("\n")
+                cut = rng.integers(len(old))
+                if rng.random() < 0.5:
+                    parts.append("On Monday Ann wrote:")
+                parts += [("> " if rng.random() < 0.8 else ">\t>") + x.upper() for x in old[cut if rng.random() < 0.5 else 0 :]]
+                parts += [line()] if rng.random() < 0.6 else []
+            texts.append("\n".join([*parts, *[line() for _ in range(rng.integers(1, 3))]]))
+            rows.append((c, t, "user", texts[-1]))
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = [(r.conv_id, r.turn, r.text, r.reply_to, r.thread, r.n_quotes, r.depth) for r in link_quotes(messages).collect()]
+    want = brute_quotes(rows)
+    assert sorted(out) == sorted(want) and sum(r[3] is not None for r in want) > 60 and max(r[6] for r in want) > 3
+    assert [r[:2] for r in out] == [r[:2] for r in sorted(want, key=lambda r: (r[0], r[4], r[1]))]
+
+
+def test_quotes_of_very_long_lines_and_clashing_columns(spark):
+    long = "word " * 40_000
+    rows = [(1, 0, "user", long), (1, 1, "user", ">" * 100_000 + " deep\n> " + long + "\n" + " \t" * 100_000 + "end"), (1, 2, "user", "> end\nok" + "\n" * 50_000)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for c in ["node", "h", "k", "c", "t", "i", "p", "ps", "own", "root", "may", "lines", "reply_to", "thread", "depth", "first", "id"]:
+        messages = messages.selectExpr("*", f"'x' as `{c}`")
+    out = {r.turn: r for r in link_quotes(messages).collect()}
+    assert (out[1].reply_to, out[1].thread, out[1].n_quotes, out[1].depth, out[1].text) == (0, 0, 2, 100_000, "end")
+    assert (out[2].reply_to, out[2].thread, out[2].text) == (1, 0, "ok")
+
+
 # ---- personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
