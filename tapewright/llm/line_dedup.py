@@ -2,7 +2,8 @@
 
 Everything is native: distinct lines are counted by (host, hash) with map-side combining, so a host with a third of all pages
 spreads over its lines; each host's boilerplate hashes, at most mean distinct lines a page / ratio of them, then come back
-to its pages. Their table is broadcast only after its size was counted.
+to its pages. Their table is broadcast only after its size was counted; beyond that the pages are joined by host, and those of a host
+with more than an even part of all pages are dealt over several tasks by a hash of their text.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, materialise
+from .common import SPACES, fresh, materialise, small
 
-#: A line goes when more than this share of its host's pages have it, and at least so many pages.
+#: A line goes when more than this share of its host's pages have it.
 RATIO = 0.1
-LEAST_PAGES = 10
+#: And at least so many pages: a line on one page repeats nothing, and one on two may be a pair of copies.
+LEAST_PAGES = 3
 #: Boilerplate hashes in all that may be broadcast.
 BROADCAST_HASHES = 2_000_000
 
@@ -27,13 +29,18 @@ def norm(line: Column) -> Column:
     return F.trim(line, F.lit(SPACES))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, least: int) -> DataFrame:
-    """(host, bad): for each host that has any, the hashes of its boilerplate lines. A null host is a host of its own."""
-    small = pages.select(F.col(host).alias("h"), F.array_distinct(F.transform(lines_of(F.col(text)), lambda x: F.xxhash64(norm(x)))).alias("ls"), F.lit(1).alias("p"))
-    pages_of = small.groupBy("h").agg(F.sum("p").alias("pages"))
-    seen = small.select("h", F.explode("ls").alias("l")).where(F.col("l") != F.xxhash64(F.lit(""))).groupBy("h", "l").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    n = seen.alias("s").join(pages_of.alias("p"), F.expr("s.h <=> p.h"))
-    return n.where(F.col("s.n") > F.lit(ratio) * F.col("p.pages")).groupBy(F.col("s.h").alias("h")).agg(F.sort_array(F.collect_set("s.l")).alias("bad"))
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """(host, bad): for each host that has any, the hashes of its boilerplate lines; and (host, pages). A null host is a host of its own."""
+    rows = pages.select(F.col(host).alias("h"), F.array_distinct(F.transform(lines_of(F.col(text)), lambda x: F.xxhash64(norm(x)))).alias("ls"), F.lit(1).alias("p"))
+    pages_of = materialise(rows.groupBy("h").agg(F.sum("p").alias("pages")), "host-pages")
+    seen = rows.select("h", F.explode("ls").alias("l")).where(F.col("l") != F.xxhash64(F.lit(""))).groupBy("h", "l").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    n = seen.alias("s").join(small(pages_of).alias("p"), F.expr("s.h <=> p.h"))
+    bad = n.where(F.col("s.n") > F.lit(ratio) * F.col("p.pages")).groupBy(F.col("s.h").alias("h")).agg(F.sort_array(F.collect_set("s.l")).alias("bad"))
+    return materialise(bad, "boilerplate"), pages_of
+
+
+def spark_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def dedup_lines(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, dropped: str | None = None) -> DataFrame:
@@ -41,14 +48,24 @@ def dedup_lines(pages: DataFrame, host: str, text: str = "text", ratio: float =
 
     A page is a row. A line is what stands between line feeds, compared without surrounding whitespace; blank lines always
     stay. A line that repeats within a page counts once for it; all its copies go. A null text stays null. A page
-    that loses all its lines keeps an empty text. Repeated rows each count as a page. dropped: a column to add with the number
+    that loses all its lines keeps an empty text. Repeated rows each count as a page. Empty input gives no rows. dropped: a column to add with the number
     of lines taken out.
     """
-    bad = materialise(boilerplate(pages, host, text, ratio, least), "boilerplate")
-    fits = (bad.agg(F.sum(F.size("bad"))).first()[0] or 0) <= BROADCAST_HASHES
-    h, b = fresh(pages, "host_key"), fresh(pages, "bad_lines")
-    bad = bad.select(F.col("h").alias(h), F.col("bad").alias(b))
-    both = pages.join(F.broadcast(bad) if fits else bad, pages[host].eqNullSafe(F.col(h)), "left")
+    bad, pages_of = boilerplate(pages, host, text, ratio, least)
+    h, b, salt, parts = (fresh(pages, c) for c in ("host_key", "bad_lines", "host_salt", "host_parts"))
+    if (bad.agg(F.sum(F.size("bad"))).first()[0] or 0) <= BROADCAST_HASHES:
+        bad = F.broadcast(bad.select(F.col("h").alias(h), F.col("bad").alias(b)))
+        both = pages.join(bad, pages[host].eqNullSafe(F.col(h)), "left")
+    else:
+        # Hosts with more than an even part of the pages: no more of them than there are parts.
+        even = spark_parts(pages)
+        total = pages_of.agg(F.sum("pages")).first()[0]
+        hot = materialise(pages_of.where(F.col("pages") * even > total).select(F.col("h").alias("hot"), F.ceil(F.col("pages") * even / total).cast("int").alias(parts)), "hot-hosts")
+        bad = bad.join(F.broadcast(hot), F.col("h").eqNullSafe(F.col("hot")), "left")
+        bad = bad.select(F.col("h").alias(h), F.col("bad").alias(b), F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)).alias(salt))
+        dealt = pages.join(F.broadcast(hot), pages[host].eqNullSafe(F.col("hot")), "left")
+        dealt = dealt.withColumn(parts, F.pmod(F.xxhash64(text), F.coalesce(parts, F.lit(1))).cast("int"))
+        both = dealt.join(bad, dealt[host].eqNullSafe(bad[h]) & (F.col(parts) == F.col(salt)), "left")
     kept = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col(b), F.xxhash64(norm(x))))
     clean = F.when(F.col(b).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     out = [clean.alias(text) if c == text else F.col(c) for c in pages.columns]
@@ -63,4 +80,4 @@ def html_lines(html: Column) -> Column:
     x = F.regexp_replace(x, r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
     x = F.regexp_replace(x, r"</?(p|div|li|ul|ol|h[1-6]|tr|td|th|table|br|nav|article|header|footer|section|title|head|body|html|pre|blockquote)\b[^>]*>", "\n")
     x = F.regexp_replace(x, r"<[^>]*>", "")
-    return F.regexp_replace(x, r"[ \t\r]*\n[ \t\r\n]*", "\n")
+    return F.regexp_replace(x, r"(?<![ \t\r])[ \t\r]*\n[ \t\r\n]*", "\n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text_queries
-from .common import fold_of, table
+from .common import fold_of, materialise, table
 from .decontam import contaminated
 from .line_dedup import LEAST_PAGES, RATIO, dedup_lines, html_lines
 from .mixing import mix_to_weights
@@ -30,7 +30,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible lines of pages, by host of the url."""
     host = F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), html_lines(F.col("html")).alias("text"))
+    # Written once: lines are counted in one pass and taken out in another, and tags cost more than both.
+    pages = materialise(table(spark, sf_dir, "pages").select("page_id", host.alias("host"), html_lines(F.col("html")).alias("text")), "page-lines")
     return dedup_lines(pages, "host", "text", dropped="lines_dropped").select("page_id", "host", "lines_dropped", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 

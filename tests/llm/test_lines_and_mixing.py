@@ -1,9 +1,12 @@
 import hashlib
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from tapewright.llm.line_dedup import dedup_lines
+from tapewright.llm import line_dedup
+from tapewright.llm.line_dedup import LEAST_PAGES, RATIO, dedup_lines
 from tapewright.llm.mixing import mix_to_weights
 from tapewright.llm.queries import LEVELS
 
@@ -16,6 +19,25 @@ def test_lines_by_hand(spark):
     assert out[0] == ("body 0\n", 2) and out[9] == ("menu\nother", 0) and out[11] == ("x1", 1) and out[20] == (None, 0)
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_lines_equal_brute_force(spark, monkeypatch, limit):
+    """Hosts of 5, 15, 30 and 400 pages, one with most of them; without a broadcast, pages are joined by host and salt."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", limit)
+    rng = random.Random(4)
+    rows = []
+    for host, n in (("a", 5), ("b", 15), ("c", 30), (None, 12), ("hot", 400), ("one", 1)):
+        for _ in range(n):
+            lines = [f"{host} head"] * (rng.random() < 0.9) + [f" body {rng.randrange(10**9)}", "", f"rare {rng.randrange(12)}"] + ["foot\t"] * rng.randrange(3)
+            rows.append((len(rows), host, "\n".join(lines) if rng.random() < 0.97 else None))
+    pages = defaultdict(list)
+    for _, h, t in rows:
+        pages[h].append({x.strip() for x in (t or "").split("\n")} - {""})
+    bad = {h: {x for x, n in Counter(x for p in ps for x in p).items() if n >= LEAST_PAGES and n > RATIO * len(ps)} for h, ps in pages.items()}
+    want = [(i, h, None if t is None else "\n".join(x for x in t.split("\n") if x.strip() not in bad[h]), 0 if t is None else sum(x.strip() in bad[h] for x in t.split("\n"))) for i, h, t in rows]
+    out = dedup_lines(spark.createDataFrame(rows, "id long, host string, text string"), "host", dropped="gone")
+    assert sorted(tuple(r) for r in out.collect()) == want and {h for h in bad if bad[h]} == {"a", "b", "c", None, "hot"}
+
+
 def test_lines_odd_rows(spark):
     docs = odd_docs(spark)
     out = dedup_lines(docs, "source", ratio=0.1, least=2)
