@@ -8,13 +8,14 @@ the symbols it tells about and leaves the rest to its longest retained suffix:
 
 Taking one from each count is the discount for what was seen once; the root is the add-one unigram distribution. Two divergence tests decide,
 at any size of the corpus alike: a symbol is kept where n(c, x) * ln(n(c, x) / n(c) / P(x | suffix)) reaches `least_symbol_gain` nats, and
-a context where n(c) times the divergence that its distribution explains, sum n(c, x) * ln(P(x | c) / P(x | suffix)), reaches `least_gain`. A
-context has at least `least_count` occurrences. There is no bound on their number: it grows with the corpus.
+a context where n(c) times the divergence that its distribution explains, sum n(c, x) * ln(P(x | c) / P(x | suffix)), reaches `least_gain`.
+Contexts and kept symbols other than the end occur at least `least_count` times. There is no bound on their number: it grows with the corpus.
 
 Since P(x | c) is P(x | suffix) times b(c) times, for kept symbols, one more factor, a text's log10 probability is its base score plus
 the logarithms of the factors of the retained contexts and kept symbols that it meets. Counting goes level by level: tasks count
-their own grams, hand them on in blocks dealt by the gram's hash, and the blocks of a bucket are merged. Factors are looked up in a
-broadcast of the most frequent ones, bounded by CACHE rows a level; if it doesn't hold all, the rest are found by a join.
+their own grams, hand them on in blocks dealt by the gram's hash, and the blocks of a bucket are merged. Contexts and symbols travel
+as places in tables of the frequent ones while those have at most CACHE rows, else as 64-bit keys. Factors are looked up in a
+broadcast of at most CACHE rows, or of the most frequent ones if there are more; then the rest are found by a join.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ from pyspark.sql import functions as F
 from .common import Keys, hashed_words, materialise, mix, slices, small, texts_of
 
 DEPTH = 2
-LEAST_COUNT = 8
-LEAST_GAIN = 8.0
-LEAST_SYMBOL_GAIN = 8.0
+LEAST_COUNT = 16
+LEAST_GAIN = 16.0
+LEAST_SYMBOL_GAIN = 16.0
 #: The symbol after the last word.
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of a table that may be broadcast for look-ups.
-CACHE = 2_000_000
+CACHE = 5_000_000
 #: Positions that a task holds before it hands their counts on, and those in all that a bucket gets about.
 HELD, BUCKET = 3_000_000, 1_500_000
 _NEXT, _CONTEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -103,13 +104,12 @@ def _columns(d: int) -> list[str]:
     return [*[f"p{j}" for j in range(1, d)], "s", "x"]
 
 
-def _blocks(d: int, buckets: int, frequent):
-    """(bucket, columns of grams of level d, n) of what a task has held. frequent: the contexts that matter, if they could be sent."""
+def _blocks(d: int, buckets: int, tables):
+    """(bucket, columns of grams of level d, n) of what a task has held. tables: the sorted alphabet and contexts of 2, 3, ... words; None where they can't be sent."""
     names = _columns(d)
 
-    def counted(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def counted(parts: list[list[np.ndarray]], gram: np.ndarray) -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate(x) for x in zip(*parts)]
-        gram = extended(cols[-2], cols[-1])
         order = np.argsort(gram)
         gram = gram[order]
         at = _firsts(gram)
@@ -119,32 +119,37 @@ def _blocks(d: int, buckets: int, frequent):
         order = np.lexsort((cols[-2], bucket))  # equal contexts side by side take less room
         cut = _firsts(bucket[order])
         offsets = pa.array(np.append(cut, len(order)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, _signed(c[order])) for c in cols]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order].view(np.int64))) for c in cols]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut]), *lists, pa.ListArray.from_arrays(offsets, pa.array(n[order]))], ["bucket", *names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = Keys(frequent.value) if frequent is not None else None
-        parts, size = [], 0
+        sets = [None if t is None else Keys(t) for t in tables.value]
+        parts, grams, size = [], [], 0
         for b in slices(batches):
             w, place, _ = laid_out(texts_of(b, "text"))
-            keys = []
-            for at, key in contexts(w, place, d):
-                keys.append(key)
-            if only is not None:
-                at = at[only.find(key[at])[0]]
-            parts.append([*[k[at] for k in keys], w[at]])
+            keys = [key for _, key in contexts(w, place, d)]
+            at, cols = np.flatnonzero(place >= d), []
+            for col, known in [(w, sets[0]), *zip(keys[::-1], sets[d - 1 :: -1])]:  # the symbol, the context, its suffixes
+                if known is None:
+                    cols.append(col[at])
+                else:
+                    has, to = known.find(col[at])
+                    at, cols = at[has], [c[has] for c in cols] + [to]
+            gram = extended(keys[-1][at], w[at])
+            parts.append(cols[::-1][:-2] + [cols[1], cols[0]])
+            grams.append(gram)
             size += len(at)
             if size > HELD:
-                yield from counted(parts)
-                parts, size = [], 0
+                yield from counted(parts, np.concatenate(grams))
+                parts, grams, size = [], [], 0
         if size:
-            yield from counted(parts)
+            yield from counted(parts, np.concatenate(grams))
 
     return run
 
 
-def _merged(d: int):
-    """The grams of a bucket that were seen twice or more."""
+def _merged(d: int, tables):
+    """The grams of a bucket that were seen twice or more, by their keys."""
     names = _columns(d)
 
     def run(table: pa.Table) -> pa.Table:
@@ -154,28 +159,27 @@ def _merged(d: int):
         at = _firsts(gram[order])
         n = np.add.reduceat(flat["n"][order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
         twice = order[at[n > 1]]
-        return pa.table([*[pa.array(flat[c][twice]) for c in names], pa.array(n[n > 1])], [*names, "n"])
+        level = dict(zip(names, [*range(1, d), d, 1]))
+        keys = [flat[c][twice] if tables.value[k - 1] is None else tables.value[k - 1][flat[c][twice]].view(np.int64) for c, k in level.items()]
+        return pa.table([*map(pa.array, keys), pa.array(n[n > 1])], [*names, "n"])
 
     return run
 
 
-def sent(keys: DataFrame, column: str):
-    """A broadcast of the column if the materialised table has at most CACHE rows, else None."""
-    if keys.count() > CACHE:
-        return None
-    return keys.sparkSession.sparkContext.broadcast(keys.select(column).toArrow().column(0).to_numpy().view(np.uint64))
+def sent(keys: DataFrame) -> np.ndarray | None:
+    """The sorted keys s of a materialised table of at most CACHE rows, else None."""
+    return np.sort(keys.select("s").toArrow().column(0).to_numpy().view(np.uint64)) if keys.count() <= CACHE else None
 
 
-def grams_of(train: DataFrame, d: int, contexts_: DataFrame, tokens: int) -> DataFrame:
+def grams_of(train: DataFrame, d: int, tables: list[np.ndarray | None], tokens: int) -> DataFrame:
     """Grams of level d that occur twice or more: the contexts p1, p2, ..., s, the symbol x and n. Written to the shared folder."""
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frequent = sent(contexts_, "s")
+    held = train.sparkSession.sparkContext.broadcast(tables)
     longs = ", ".join(f"{c} array<long>" for c in _columns(d))
-    blocks = train.select("text").mapInArrow(_blocks(d, max(parts, tokens // BUCKET), frequent), f"bucket int, {longs}, n array<int>")
+    blocks = train.select("text").mapInArrow(_blocks(d, max(parts, tokens // BUCKET), held), f"bucket int, {longs}, n array<int>")
     shape = ", ".join(f"{c} long" for c in _columns(d)) + ", n long"
-    out = materialise(blocks.groupBy("bucket").applyInArrow(_merged(d), shape), f"grams-{d}")
-    if frequent is not None:
-        frequent.destroy()
+    out = materialise(blocks.groupBy("bucket").applyInArrow(_merged(d, held), shape), f"grams-{d}")
+    held.destroy()
     return out
 
 
@@ -191,12 +195,12 @@ def fit_tree(train: DataFrame, words: DataFrame, tokens: int, kinds: int, depth:
     words(key, n), tokens and kinds: the counts of all symbols, of which the root is made. Without training rows, there are no rows.
     """
     last = int(END.view(np.int64))
-    root = words.select(F.col("key").alias("x"), F.log((F.col("n") + 1) / F.lit(float(tokens + kinds + 1))).alias("root"))
-    context = words.where((F.col("key") != last) & (F.col("n") >= least_count)).select(F.col("key").alias("s"), F.col("n").alias("n_s"))
+    alphabet = materialise(words.where((F.col("key") == last) | (F.col("n") >= least_count)).select(F.col("key").alias("s"), F.col("n").alias("n_s")), "alphabet")
+    root = alphabet.select(F.col("s").alias("x"), F.log((F.col("n_s") + 1) / F.lit(float(tokens + kinds + 1))).alias("root"))
+    context, tables = alphabet, [sent(alphabet)]
     levels: list[tuple[DataFrame, DataFrame]] = []
     for d in range(1, depth + 1):
-        context = materialise(context, f"contexts-{d}")
-        grams = grams_of(train, d, context, tokens)
+        grams = grams_of(train, d, tables, tokens)
         at = grams.join(small(context), "s").join(small(root), "x")
         par = F.col("root")
         for j, (kept_contexts, kept_symbols) in enumerate(levels, 1):
@@ -213,7 +217,11 @@ def fit_tree(train: DataFrame, words: DataFrame, tokens: int, kinds: int, depth:
         kept_contexts = materialise(gain.where(F.col("gain") >= least_gain).select("s", "log_b", F.col("n_s").alias("n")), f"retained-{d}")
         kept_symbols = materialise(both.join(small(kept_contexts.select("s")), "s", "left_semi").select("s", "x", "more", "n"), f"symbols-{d}")
         levels.append((kept_contexts, kept_symbols))
+        if d == depth:
+            break
         context = grams.where((F.col("n") >= least_count) & (F.col("x") != last)).select("s", "x", "n").mapInArrow(_longer, "s long, n_s long")
+        context = materialise(context, f"contexts-{d + 1}")
+        tables.append(sent(context))
     tree = None
     for kept_contexts, kept_symbols in levels:
         part = kept_contexts.select("s", F.lit(0).cast("long").alias("x"), (F.col("log_b") / math.log(10)).alias("value"), "n")
@@ -222,11 +230,24 @@ def fit_tree(train: DataFrame, words: DataFrame, tokens: int, kinds: int, depth:
     return tree
 
 
-def cached(rows: DataFrame, tokens: int) -> tuple[pa.Table, bool]:
-    """rows(..., n) for a broadcast, and whether these are all: all if at most CACHE, otherwise those that make up 1 / CACHE of the tokens each."""
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (s, x, value) of the tree by the key of the context or of the gram."""
+    for b in batches:
+        s, x = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("s", "x"))
+        yield pa.RecordBatch.from_arrays([_signed(np.where(x == 0, s ^ _CONTEXT, extended(s, x))), b.column("value")], ["key", "value"])
+
+
+def frequent(rows: DataFrame, tokens: int) -> tuple[DataFrame, bool]:
+    """Of materialised rows(..., n) at most CACHE for each level of n, and whether these are all: otherwise those that make up 1 / CACHE of the tokens each."""
     if rows.count() <= CACHE:
-        return rows.toArrow(), True
-    return rows.where(F.col("n") * F.lit(CACHE) >= F.lit(int(tokens))).toArrow(), False
+        return rows, True
+    return rows.where(F.col("n") * F.lit(CACHE) >= F.lit(int(tokens))), False
+
+
+def looked_up(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(key, value) columns of a bounded table, to be broadcast."""
+    got = keyed.toArrow()
+    return got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
 
 
 class Scorer:
@@ -286,13 +307,13 @@ def score_texts(docs: DataFrame, train_rows: Column, depth: int = DEPTH, **tests
     tokens, kinds = (int(v) for v in words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
     bottom = float(tokens + kinds + 1)
     tree = materialise(fit_tree(d.where("learn"), words, tokens, kinds, depth, **tests), "tree")
-    frequent, all_words = cached(words, tokens)
-    factors, all_factors = cached(tree, tokens)
-    s, x = (factors.column(c).to_numpy().view(np.uint64) for c in ("s", "x"))
-    keys = np.where(x == 0, s ^ _CONTEXT, extended(s, x))
     unknown = -math.log10(bottom)
-    known = frequent.column("key").to_numpy().view(np.uint64), np.log10((frequent.column("n").to_numpy() + 1) / bottom)
-    held = spark.sparkContext.broadcast((known, all_words, (keys, factors.column("value").to_numpy()), all_factors, unknown, depth))
+    known, all_words = frequent(words, tokens)
+    factors, all_factors = frequent(tree, tokens)
+    known = looked_up(known.select("key", F.log10((F.col("n") + 1) / F.lit(bottom))))
+    factors = looked_up(factors.select("s", "x", F.col("value").cast("float")).mapInArrow(_keyed, "key long, value float"))
+    held = spark.sparkContext.broadcast((known, all_words, factors, all_factors, unknown, depth))
+    del known, factors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*held.value)
