@@ -3,7 +3,8 @@
 Features of a text are hashed into a fixed table: its words, its word pairs, its byte n-grams, and two repetition marks
 (a word equal to the one before it; a word pair seen earlier in the text). Each feature has a learned vector; a document
 is the average of its features' vectors and a softmax over that average gives the class. Training takes a bounded
-sample of labelled rows, the same number of each class at most, and the class shares of all labelled rows then set the bias.
+sample of labelled rows, the same number of each class at most, and the class shares of all labelled rows then set the bias. Executors
+turn the sample's texts into features and one task trains on them; the driver receives the weights alone.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, mix, slices
+from .common import fresh, mix, slices, texts_of
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -75,8 +76,14 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashed) if hashed else np.empty(0, np.int32), np.concatenate(docs) if docs else np.empty(0, np.int32)
 
 
-def train(texts: list[bytes], labels: list[int], share: float, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(weight of each bucket in the log-odds of class 1, bias). share: class 1 among all labelled rows.
+def shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct buckets, their shares) of a text's features; at most BUCKETS however long the text."""
+    idx, n = np.unique(features([text])[0], return_counts=True)
+    return idx, (n / max(1, n.sum())).astype(np.float32)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], share: float, seed: int = 7, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """(weight of each bucket in the log-odds of class 1, bias). rows: shares() of texts; share: class 1 among all labelled rows.
 
     With two classes, softmax over (W0, W1) depends on W1 - W0 alone, so the learned vectors fold into one weight a bucket
     once training is over. Without rows of both classes, all weights are 0 and the bias gives the share.
@@ -88,12 +95,8 @@ def train(texts: list[bytes], labels: list[int], share: float, seed: int = 7) ->
     rng = np.random.default_rng(seed)
     emb = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    rows = []
-    for t in texts:
-        idx, n = np.unique(features([t])[0], return_counts=True)
-        rows.append((idx, (n / max(1, n.sum())).astype(np.float32)))
-    steps, done = EPOCHS * len(rows), 0
-    for _ in range(EPOCHS):
+    steps, done = epochs * len(rows), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             rate = RATE * (1 - done / steps)
             done += 1
@@ -128,12 +131,32 @@ def scores(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, 50):
+        rows = [shares(t or b"") for t in texts_of(b, "text")]
+        idx, part = pa.array([x for x, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("quality", "first", "doc_id", "last")], idx, part], ["quality", "first", "doc_id", "last", "idx", "part"])
+
+
+def _train(share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, labels = [], []
+        for b in batches:
+            for y, idx, part in zip(b.column("quality").to_pylist(), b.column("idx"), b.column("part")):
+                rows.append((idx.values.to_numpy(), part.values.to_numpy()))
+                labels.append(y)
+        weights, bias = train(rows, labels, share)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], ["weights", "bias"])
+
+    return run
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, train_rows=None, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, float]:
     """Train on docs(doc_id, text) labelled by labels(doc_id, quality): see train().
 
-    train_rows: a condition on doc_id that training rows meet. per_class bounds the rows of each class that reach the
-    driver. Rows with a null id or a label other than 0 and 1 are left out; an id labelled twice counts once, with its
-    smallest label; a null text is empty; of repeated rows each counts.
+    train_rows: a condition on doc_id that training rows meet. per_class bounds the labelled ids of each class that the training task
+    holds, and 4 * per_class its rows. Rows with a null id or a label other than 0 and 1 are left out; an id labelled twice counts once, with
+    its smallest label; a null text is empty; texts of any length are read whole; of repeated rows each counts. Without labelled rows, all weights are 0.
     """
     lab = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     if train_rows is not None:
@@ -141,13 +164,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows=None, per_class:
     counts = {r[0]: r[1] for r in lab.groupBy("quality").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = lab.where("quality = 0").orderBy(*order).limit(per_class).union(lab.where("quality = 1").orderBy(*order).limit(per_class))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(*order, F.md5(F.coalesce("text", F.lit("")))).limit(4 * per_class).collect()
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    return train([(r["text"] or "").encode() for r in rows], [r["quality"] for r in rows], share)
+    keys = [F.xxhash64("doc_id").alias("first"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("last")]
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", *keys, "text")
+    rows = rows.mapInArrow(_shares, "quality int, first long, doc_id long, last string, idx array<int>, part array<float>").orderBy("first", "doc_id", "last").limit(4 * per_class)
+    got = rows.mapInArrow(_train(share), "weights binary, bias double").first()
+    return train([], [], share) if got is None else (np.frombuffer(got["weights"], np.float32), got["bias"])
 
 
 def with_quality(docs: DataFrame, model: tuple[np.ndarray, float], score: str) -> DataFrame:
-    """docs with one more column `score`, the probability of class 1 by the text alone; null texts count as empty."""
+    """docs with one more column `score`, the probability of class 1 by the text alone.
+
+    Null and empty texts have the bias alone; texts of any length are scored whole, so texts that are equal tie, and repeated rows each
+    come out. Columns of docs stay; `score` must be none of them. Empty input gives no rows.
+    """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
@@ -163,6 +193,10 @@ def with_quality(docs: DataFrame, model: tuple[np.ndarray, float], score: str) -
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, train_rows=None, least: float = 0.7) -> DataFrame:
-    """docs whose score reaches `least`, with their columns as they were; empty input gives no rows."""
+    """docs whose score reaches `least` (a tie with it stays), with their columns as they were, whatever their names.
+
+    Rows with a null or empty text are judged by the bias, rows with a null id by their text; texts of any length are read whole; of repeated
+    rows all stay or none. Empty input gives no rows; without usable labels every row has one and the same score, the share of label 1 or 0.5.
+    """
     score = fresh(docs, "quality_score")
     return with_quality(docs, fit_quality(docs, labels, train_rows), score).where(F.col(score) >= least).drop(score)

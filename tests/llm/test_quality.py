@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import fold_of, table
 from tapewright.llm.queries import op9_quality
-from tapewright.llm.quality import features, fit_quality, keep_quality, scores, with_quality
+from tapewright.llm.quality import BUCKETS, DIM, RATE, features, fit_quality, keep_quality, scores, shares, train, with_quality
 
 from .helpers import empty_docs, odd_docs
 
@@ -22,6 +22,74 @@ def test_features_stay_within_their_text():
     assert len(features([b""])[0]) == 0
 
 
+M = 2**64
+
+
+def plain_mix(x):
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD % M
+    x ^= x >> 29
+    x = x * 0xC4CEB9FE1A85EC53 % M
+    return x ^ (x >> 32)
+
+
+def plain_features(t):
+    """Buckets of one text, feature by feature: byte n-grams (a line feed ends the text), words, word pairs, a word said twice, a pair said before."""
+    line = t + b"\n"
+    out = [(sum(x << 8 * (n - 1 - k) for k, x in enumerate(line[i : i + n])), n) for n in (3, 4) for i in range(len(line) - n + 1)]
+    words = [(sum((x + 1) * pow(0x100000001B3, k + 1, M) for k, x in enumerate(w)) + len(w)) % M for w in t.split()]
+    out += [(w, 1) for w in words]
+    before = []
+    for a, b in zip(words, words[1:]):
+        p = (a * 0x9E3779B97F4A7C15 + b) % M
+        out += [(p, 2)] + [(11, 7)] * (a == b) + [(13, 7)] * (p in before)
+        before.append(p)
+    return sorted(plain_mix((h + (kind << 56)) % M) % BUCKETS for h, kind in out)
+
+
+def test_features_equal_their_statement():
+    for t in (b"", b"a", b"the cat the cat the cat sat sat", "ünï 42 ünï\n\tx".encode(), b" lead and trail "):
+        assert sorted(features([t])[0].tolist()) == plain_features(t)
+
+
+def test_steps_equal_the_gradient():
+    """Stochastic gradient steps against the loss's numeric gradient, through the folded weights."""
+    rows, y = [shares(b"good words here"), shares(b"bad bad words"), shares(b"")], [1, 0, 1]
+    rng = np.random.default_rng(7)
+    emb, out, bias = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32).astype(float), np.zeros((DIM, 2)), np.zeros(2)
+
+    def loss(v, part, o, c, label):
+        z = (part[:, None] * v).sum(0) @ o + c
+        return np.log(np.exp(z - z.max()).sum()) + z.max() - z[label]
+
+    def slope(f, x):
+        g = np.zeros_like(x)
+        for i in np.ndindex(*x.shape):
+            d = np.zeros_like(x)
+            d[i] = 1e-5
+            g[i] = (f(x + d) - f(x - d)) / 2e-5
+        return g
+
+    done = 0
+    for _ in range(2):
+        for i in rng.permutation(3):
+            (idx, part), rate = rows[i], RATE * (1 - done / 6)
+            v, part = emb[idx], part.astype(float)
+            dv, do, dc = slope(lambda x: loss(x, part, out, bias, y[i]), v), slope(lambda x: loss(v, part, x, bias, y[i]), out), slope(lambda x: loss(v, part, out, x, y[i]), bias)  # noqa: B023
+            out, bias = out - rate * do, bias - rate * dc
+            emb[idx] = v - rate * len(idx) ** 0.5 * dv
+            done += 1
+    weights, b = train(rows, y, 2 / 3, epochs=2)
+    assert np.allclose(weights, emb @ (out[:, 1] - out[:, 0]), atol=1e-5) and np.isclose(b, bias[1] - bias[0], atol=1e-5)
+
+
+def test_scores_equal_their_statement():
+    w = np.random.default_rng(3).normal(size=BUCKETS).astype(np.float32)
+    for t in (b"the cat the cat", b"", "é é é".encode()):
+        f = plain_features(t)
+        assert np.isclose(scores([t], w, -0.2)[0], 1 / (1 + np.exp(0.2 - sum(float(w[x]) for x in f) / max(1, len(f)))))
+
+
 def test_scores_ignore_the_batch():
     w = np.random.default_rng(1).normal(size=1 << 17).astype(np.float32)
     texts = [b"one two three", b"", b"x" * 50]
