@@ -189,6 +189,41 @@ def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_signed(extended(s, x)), b.column("n")], ["s", "n_s"])
 
 
+def with_suffix(at: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(s, x, n, n_s, par) of grams with the contexts' suffixes p1, p2, ...: par is ln P(x | longest retained suffix).
+
+    levels: (retained contexts, kept symbols) of the shorter contexts; looked up in a broadcast while they have at most CACHE rows, else joined.
+    """
+    names = ["s", "x", "n", "n_s"]
+    if not levels:
+        return at.select(*names, F.col("root").alias("par"))
+    if sum(c.count() + x.count() for c, x in levels) > CACHE:
+        par = F.col("root")
+        for j, (kept_contexts, kept_symbols) in enumerate(levels, 1):
+            at = at.join(small(kept_contexts.select(F.col("s").alias(f"p{j}"), F.col("log_b").alias(f"b{j}"))), f"p{j}", "left")
+            at = at.join(small(kept_symbols.select(F.col("s").alias(f"p{j}"), "x", F.col("more").alias(f"m{j}"))), [f"p{j}", "x"], "left")
+            par = par + F.coalesce(f"b{j}", F.lit(0.0)) + F.coalesce(f"m{j}", F.lit(0.0))
+        return at.select(*names, par.alias("par"))
+    rows = None
+    for kept_contexts, kept_symbols in levels:
+        part = kept_contexts.select("s", F.lit(0).cast("long").alias("x"), F.col("log_b").alias("value")).unionByName(kept_symbols.select("s", "x", F.col("more").alias("value")))
+        rows = part if rows is None else rows.unionByName(part)
+    held, deep = at.sparkSession.sparkContext.broadcast(looked_up(rows.mapInArrow(_keyed, "key long, value double"))), len(levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = Keys(*held.value)
+        for b in batches:
+            par, x = b.column("root").to_numpy(zero_copy_only=False).copy(), b.column("x").to_numpy(zero_copy_only=False).view(np.uint64)
+            for j in range(1, deep + 1):
+                p = b.column(f"p{j}").to_numpy(zero_copy_only=False).view(np.uint64)
+                for key in (p ^ _CONTEXT, extended(p, x)):
+                    has, to = factors.find(key)
+                    par[has] += factors.values[to]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(par)], [*names, "par"])
+
+    return at.mapInArrow(run, "s long, x long, n long, n_s long, par double")
+
+
 def fit_tree(train: DataFrame, words: DataFrame, tokens: int, kinds: int, depth: int = DEPTH, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN, least_symbol_gain: float = LEAST_SYMBOL_GAIN) -> DataFrame:
     """The tree over train(text) as rows (s, x, value, n): log10 b(c) of retained contexts (x = 0) and the factors of their kept symbols.
 
@@ -201,17 +236,10 @@ def fit_tree(train: DataFrame, words: DataFrame, tokens: int, kinds: int, depth:
     levels: list[tuple[DataFrame, DataFrame]] = []
     for d in range(1, depth + 1):
         grams = grams_of(train, d, tables, tokens)
-        at = grams.join(small(context), "s").join(small(root), "x")
-        par = F.col("root")
-        for j, (kept_contexts, kept_symbols) in enumerate(levels, 1):
-            at = at.join(small(kept_contexts.select(F.col("s").alias(f"p{j}"), F.col("log_b").alias(f"b{j}"))), f"p{j}", "left")
-            at = at.join(small(kept_symbols.select(F.col("s").alias(f"p{j}"), "x", F.col("more").alias(f"m{j}"))), [f"p{j}", "x"], "left")
-            par = par + F.coalesce(f"b{j}", F.lit(0.0)) + F.coalesce(f"m{j}", F.lit(0.0))
-        at = at.select("s", "x", "n", "n_s", par.alias("par"))
+        at = with_suffix(grams.join(small(context), "s").join(small(root), "x"), levels)
         told = materialise(at.where(F.col("n") * (F.log(F.col("n") / F.col("n_s")) - F.col("par")) >= least_symbol_gain), f"told-{d}")
-        sums = told.groupBy("s").agg(F.sum(F.col("n") - 1).alias("mass"), F.sum("n").alias("in_all"))
-        log_b = F.log(1 - F.col("mass") / F.col("n_s"))
-        both = told.join(sums, "s").withColumn("log_b", log_b)
+        sums = materialise(told.groupBy("s").agg(F.sum(F.col("n") - 1).alias("mass")), f"sums-{d}")
+        both = told.join(small(sums), "s").withColumn("log_b", F.log(1 - F.col("mass") / F.col("n_s")))
         both = both.withColumn("more", F.log1p((F.col("n") - 1) / F.col("n_s") * F.exp(-F.col("par") - F.col("log_b"))))
         gain = both.groupBy("s").agg(F.first("n_s").alias("n_s"), F.first("log_b").alias("log_b"), (F.sum(F.col("n") * F.col("more")) + F.first("n_s") * F.first("log_b")).alias("gain"))
         kept_contexts = materialise(gain.where(F.col("gain") >= least_gain).select("s", "log_b", F.col("n_s").alias("n")), f"retained-{d}")
@@ -247,7 +275,10 @@ def frequent(rows: DataFrame, tokens: int) -> tuple[DataFrame, bool]:
 def looked_up(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(key, value) columns of a bounded table, to be broadcast."""
     got = keyed.toArrow()
-    return got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    out = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    del got
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 class Scorer:
@@ -310,13 +341,11 @@ def score_texts(docs: DataFrame, train_rows: Column, depth: int = DEPTH, **tests
     unknown = -math.log10(bottom)
     known, all_words = frequent(words, tokens)
     factors, all_factors = frequent(tree, tokens)
-    known = looked_up(known.select("key", F.log10((F.col("n") + 1) / F.lit(bottom))))
-    factors = looked_up(factors.select("s", "x", F.col("value").cast("float")).mapInArrow(_keyed, "key long, value float"))
-    held = spark.sparkContext.broadcast((known, all_words, factors, all_factors, unknown, depth))
-    del known, factors
+    known = spark.sparkContext.broadcast(looked_up(known.select("key", F.log10((F.col("n") + 1) / F.lit(bottom)))))
+    factors = spark.sparkContext.broadcast(looked_up(factors.select("s", "x", F.col("value").cast("float")).mapInArrow(_keyed, "key long, value float")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*held.value)
+        scorer = Scorer(known.value, all_words, factors.value, all_factors, unknown, depth)
         for b in slices(batches):
             texts = texts_of(b, "text")
             (n, known, base, more), (row, s, x) = scorer.score(texts)
