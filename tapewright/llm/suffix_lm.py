@@ -341,11 +341,11 @@ def score_texts(docs: DataFrame, train_rows: Column, depth: int = DEPTH, **tests
     unknown = -math.log10(bottom)
     known, all_words = frequent(words, tokens)
     factors, all_factors = frequent(tree, tokens)
-    known = spark.sparkContext.broadcast(looked_up(known.select("key", F.log10((F.col("n") + 1) / F.lit(bottom)))))
-    factors = spark.sparkContext.broadcast(looked_up(factors.select("s", "x", F.col("value").cast("float")).mapInArrow(_keyed, "key long, value float")))
+    held_words = spark.sparkContext.broadcast(looked_up(known.select("key", F.log10((F.col("n") + 1) / F.lit(bottom)))))
+    held_factors = spark.sparkContext.broadcast(looked_up(factors.select("s", "x", F.col("value").cast("float")).mapInArrow(_keyed, "key long, value float")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(known.value, all_words, factors.value, all_factors, unknown, depth)
+        scorer = Scorer(held_words.value, all_words, held_factors.value, all_factors, unknown, depth)
         for b in slices(batches):
             texts = texts_of(b, "text")
             (n, known, base, more), (row, s, x) = scorer.score(texts)
