@@ -39,8 +39,8 @@ LEAST_SYMBOL_GAIN = 16.0
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of a table that may be broadcast for look-ups.
 CACHE = 5_000_000
-#: Positions that a task holds before it hands their counts on, and those in all that a bucket gets about.
-HELD, BUCKET = 3_000_000, 1_500_000
+#: Words, and places with their contexts, that a task holds before it hands their counts on; places in all that a bucket gets about.
+WORDS_HELD, HELD, BUCKET = 6_000_000, 3_000_000, 1_500_000
 _NEXT, _CONTEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -93,7 +93,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         held.append(laid_out(texts_of(b, "text"))[0])
         size += len(held[-1])
-        if size > HELD:
+        if size > WORDS_HELD:
             yield counted()
             held, size = [], 0
     yield counted()
@@ -171,16 +171,13 @@ def sent(keys: DataFrame) -> np.ndarray | None:
     return np.sort(keys.select("s").toArrow().column(0).to_numpy().view(np.uint64)) if keys.count() <= CACHE else None
 
 
-def grams_of(train: DataFrame, d: int, tables: list[np.ndarray | None], tokens: int) -> DataFrame:
-    """Grams of level d that occur twice or more: the contexts p1, p2, ..., s, the symbol x and n. Written to the shared folder."""
+def grams_of(train: DataFrame, d: int, held, tokens: int) -> DataFrame:
+    """Grams of level d that occur twice or more: the contexts p1, p2, ..., s, the symbol x and n. held: a broadcast of the tables."""
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = train.sparkSession.sparkContext.broadcast(tables)
     longs = ", ".join(f"{c} array<long>" for c in _columns(d))
     blocks = train.select("text").mapInArrow(_blocks(d, max(parts, tokens // BUCKET), held), f"bucket int, {longs}, n array<int>")
     shape = ", ".join(f"{c} long" for c in _columns(d)) + ", n long"
-    out = materialise(blocks.groupBy("bucket").applyInArrow(_merged(d, held), shape), f"grams-{d}")
-    held.destroy()
-    return out
+    return blocks.groupBy("bucket").applyInArrow(_merged(d, held), shape)
 
 
 def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +232,13 @@ def fit_tree(train: DataFrame, words: DataFrame, tokens: int, kinds: int, depth:
     context, tables = alphabet, [sent(alphabet)]
     levels: list[tuple[DataFrame, DataFrame]] = []
     for d in range(1, depth + 1):
-        grams = grams_of(train, d, tables, tokens)
+        held = train.sparkSession.sparkContext.broadcast(tables)
+        grams = grams_of(train, d, held, tokens)
         at = with_suffix(grams.join(small(context), "s").join(small(root), "x"), levels)
-        told = materialise(at.where(F.col("n") * (F.log(F.col("n") / F.col("n_s")) - F.col("par")) >= least_symbol_gain), f"told-{d}")
+        tells = F.col("n") * (F.log(F.col("n") / F.col("n_s")) - F.col("par")) >= least_symbol_gain
+        grams = materialise(at.where(tells | (F.col("n") >= least_count) if d < depth else tells), f"grams-{d}")  # what symbols and longer contexts come from
+        held.destroy()
+        told = grams.where(tells)
         sums = materialise(told.groupBy("s").agg(F.sum(F.col("n") - 1).alias("mass")), f"sums-{d}")
         both = told.join(small(sums), "s").withColumn("log_b", F.log(1 - F.col("mass") / F.col("n_s")))
         both = both.withColumn("more", F.log1p((F.col("n") - 1) / F.col("n_s") * F.exp(-F.col("par") - F.col("log_b"))))
