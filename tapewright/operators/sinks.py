@@ -1,6 +1,8 @@
 """Stores and their upkeep: clustered writes, staged publishing, accrual, day splits, guards, ledgers and versions.
 
-A store that is read is never overwritten in the same plan: the new state is written beside it, then published by a rename.
+A published store is a folder of states, each a Parquet folder that is never changed, and a pointer to the newest. The pointer is
+replaced by one atomic rename, so a reader sees the old state or the new one, and a writer that dies leaves the old one. A store by day
+is a partitioned folder of which a load rewrites only the days it touches.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scratch import scratch
+
+POINTER = "_current"
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -28,53 +34,101 @@ def write_clustered(df: DataFrame, path: str, keys: list[str], partitions: int |
     laid.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Write beside the path, then swap by renames: readers see the old or the new state, never half of one."""
-    spark = df.sparkSession
-    staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    fs, target = _fs(spark, path)
-    of = lambda x: _fs(spark, x)[1]
-    had = fs.exists(target)
-    if had and not fs.rename(target, of(old)):
-        raise OSError(f"can't move {path} aside")
-    if not fs.rename(of(staged), target):
-        if had:
-            fs.rename(of(old), target)
-        raise OSError(f"can't publish {path}")
-    if had:
-        fs.delete(of(old), True)
+def state_of(spark: SparkSession, path: str) -> str | None:
+    """The folder of the newest published state, None before the first."""
+    if not exists(spark, f"{path}/{POINTER}"):
+        return None
+    fs, p = _fs(spark, f"{path}/{POINTER}")
+    stream = fs.open(p)
+    try:
+        name = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return f"{path}/{name}"
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest published state; None before the first."""
+    at = state_of(spark, path)
+    return None if at is None else spark.read.parquet(at)
+
+
+def publish(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Write a new state, then move the pointer to it; the last `keep` states stay, for readers that are under way."""
+    spark, name = df.sparkSession, f"state-{uuid.uuid4().hex}"
+    before = state_of(spark, path)
+    df.write.parquet(f"{path}/{name}")
+    jvm = spark.sparkContext._jvm
+    fs, staged = _fs(spark, f"{path}/{POINTER}-{name}")
+    out = fs.create(staged, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, _fs(spark, f"{path}/{POINTER}")[1], options)
+    states = sorted(((x.getModificationTime(), x.getPath()) for x in fs.listStatus(_fs(spark, path)[1]) if x.getPath().getName().startswith("state-")), key=lambda x: x[0])
+    spared = {name, before and before.rsplit("/", 1)[-1]}
+    for _, old in states[: max(0, len(states) - keep)]:
+        if old.getName() not in spared:
+            fs.delete(old, True)
 
 
 def merged(store: DataFrame | None, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Store and new rows, one row for each key by the order."""
+    """Store and new rows, one row for each key by the order; what ties there falls to the content of the whole row."""
     both = new if store is None else store.unionByName(new, allowMissingColumns=True)
-    return both.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+    whole = [F.col(c).desc_nulls_last() for c, kind in both.dtypes if c not in keys and not kind.startswith(("map", "variant"))]
+    return both.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order, *whole))).where("_rank = 1").drop("_rank")
 
 
 def accrue(spark: SparkSession, path: str, new: DataFrame, keys: list[str], metric: str, day: str | None = None) -> None:
-    """Add new rows to the store, keeping the largest metric of each key; with `day`, dates already stored are skipped."""
-    store = spark.read.parquet(path) if exists(spark, path) else None
+    """Add new rows to the published store, keeping the largest metric of each key; with `day`, dates already stored are skipped."""
+    store = published(spark, path)
     if store is not None and day:
         new = new.join(store.select(day).distinct(), day, "left_anti")
     publish(merged(store, new, keys, [F.col(metric).desc_nulls_last()]), path)
 
 
+def rewrite_days(spark: SparkSession, path: str, new: DataFrame, day: str, merge) -> None:
+    """Replace the days of a partitioned store that `new` touches by merge(their stored rows or None, new rows); others aren't read.
+
+    The merged days are staged first, so that no plan reads what it overwrites, and rows of a day are dealt over tasks by their content.
+    """
+    staged = scratch(spark, "new-rows")
+    new.write.parquet(staged)
+    new = spark.read.schema(new.schema).parquet(staged)
+    days = new.select(day).distinct()
+    old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(days), day, "left_semi") if exists(spark, path) else None  # one row a day
+    merge_to = scratch(spark, "days")
+    merge(old, new).write.parquet(merge_to)
+    done = spark.read.parquet(merge_to)
+    salt = F.pmod(F.xxhash64(*[c for c, kind in done.dtypes if not kind.startswith(("map", "variant"))]), F.lit(32))
+    done.repartition(day, salt).sortWithinPartitions(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def accrue_days(spark: SparkSession, path: str, new: DataFrame, keys: list[str], metric: str, day: str) -> None:
+    """accrue() for a store by day: of each key the largest metric stays, and only the days of the new rows are rewritten."""
+    rewrite_days(spark, path, new, day, lambda old, rows: merged(old, rows, [day, *[k for k in keys if k != day]], [F.col(metric).desc_nulls_last()]))
+
+
 def split_by_day(df: DataFrame, path: str, day: Column, url: str | None) -> DataFrame:
-    """Rows by their own date, once for each filing url or else content hash; a frame with the number of rows without a date comes back."""
+    """Rows by their own date, once for each filing url or else content hash, merged with what the store has of their days.
+
+    A frame with the number of rows without a date comes back.
+    """
+    spark = df.sparkSession
     body = F.sha1(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]))
     key = F.coalesce(F.nullif(F.trim(F.col(url)), F.lit("")), body) if url else body
-    keyed = df.withColumns({"as_of": day, "_key": key})
-    w = W.partitionBy("as_of", "_key").orderBy(*[F.col(c) for c in df.columns])
-    once = keyed.where("as_of is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_key")
-    once.repartition("as_of").write.mode("overwrite").partitionBy("as_of").parquet(path)
+    keyed = df.withColumns({"_key": key, "as_of": day})
+    order = [F.col(c).asc_nulls_first() for c in df.columns]
+    rewrite_days(spark, path, keyed.where("as_of is not null"), "as_of", lambda old, rows: merged(old, rows, ["as_of", "_key"], order))
     return keyed.agg(F.count_if(F.col("as_of").isNull()).alias("undated"))
 
 
 def union_never_shrink(spark: SparkSession, path: str, new: DataFrame) -> int:
-    """Distinct rows of store and new; refuses to write fewer than the store has. Returns the rows stored."""
-    had = spark.read.parquet(path).count() if exists(spark, path) else 0
-    both = (spark.read.parquet(path).unionByName(new) if had else new).distinct()
+    """Distinct rows of store and new; refuses to publish fewer than the store has. Returns the rows stored."""
+    store = published(spark, path)
+    had = store.count() if store is not None else 0
+    both = (store.unionByName(new) if had else new).distinct()
     n = both.count()
     if n < had:
         raise ValueError(f"{n} distinct rows would replace {had}")
@@ -85,8 +139,12 @@ def union_never_shrink(spark: SparkSession, path: str, new: DataFrame) -> int:
 def file_ledger(spark: SparkSession, glob: str, before: DataFrame | None) -> DataFrame:
     """path, sha256, size and status (new, changed, same, gone) of files against an earlier ledger."""
     now = spark.read.format("binaryFile").load(glob).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
-    if before is None:
-        return now.withColumn("status", F.lit("new"))
+    return now.withColumn("status", F.lit("new")) if before is None else ledger_change(now, before)
+
+
+def ledger_change(now: DataFrame, before: DataFrame) -> DataFrame:
+    """A ledger's files against an earlier ledger, by path; what was gone before may come back as new."""
+    now = now.select("path", "sha256", "size")
     old = before.where("status <> 'gone'").select("path", F.col("sha256").alias("old_sha"))
     state = F.when(F.col("old_sha").isNull(), "new").when(F.col("sha256").isNull(), "gone").when(F.col("sha256") == F.col("old_sha"), "same").otherwise("changed")
     return now.join(old, "path", "full").select("path", "sha256", "size", state.alias("status"))
@@ -101,16 +159,20 @@ def member_days(members: DataFrame) -> DataFrame:
 
 
 def snapshot_publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], stamp: str) -> dict[str, str]:
-    """Each table as a new version under root/table/v=<n> with a history row; a failing table doesn't stop the others. Returns failures."""
+    """Each table as a new version in a folder of its own, then a history row that names it; a failing table doesn't stop the others.
+
+    The history decides what a version is: a publish that dies before its row leaves a folder that no reader sees and the next version does
+    not meet. Returns failures.
+    """
     failed = {}
     for name, df in tables.items():
         try:
-            base = f"{root}/{name}"
+            folder = f"v-{uuid.uuid4().hex}"
             done = snapshot_history(spark, root, name)
             n = (done.agg(F.max("version")).first()[0] or 0) + 1 if done is not None else 1
-            df.write.parquet(f"{base}/v={n}")
-            rows = spark.read.parquet(f"{base}/v={n}").count()
-            spark.createDataFrame([(n, stamp, rows)], "version int, stamp string, rows long").coalesce(1).write.mode("append").parquet(f"{root}/_history/{name}")
+            df.write.parquet(f"{root}/{name}/{folder}")
+            rows = spark.read.schema(df.schema).parquet(f"{root}/{name}/{folder}").count()
+            spark.createDataFrame([(n, stamp, rows, folder)], "version int, stamp string, rows long, folder string").coalesce(1).write.mode("append").parquet(f"{root}/_history/{name}")
         except Exception as e:  # noqa: BLE001  reported to the caller, table by table
             failed[name] = str(e)
     return failed
@@ -122,9 +184,10 @@ def snapshot_history(spark: SparkSession, root: str, name: str) -> DataFrame | N
 
 
 def snapshot_read(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
-    """The newest version up to `version`; only versions in the history count."""
+    """The newest version up to `version`; only versions in the history count. FileNotFoundError where there is none."""
     done = snapshot_history(spark, root, name)
-    if done is None:
-        raise FileNotFoundError(f"{root}/{name}")
-    at = done.where(F.col("version") <= version) if version is not None else done
-    return spark.read.parquet(f"{root}/{name}/v={at.agg(F.max('version')).first()[0]}")
+    at = done.where(F.col("version") <= version) if done is not None and version is not None else done
+    newest = at.orderBy(F.col("version").desc(), "stamp", "folder").first() if at is not None else None
+    if newest is None:
+        raise FileNotFoundError(f"{root}/{name}" + (f" up to version {version}" if version is not None else ""))
+    return spark.read.parquet(f"{root}/{name}/{newest['folder']}")
