@@ -10,7 +10,8 @@ from ..functions.core import latest_per
 
 #: Split ratios that count as clean, larger over smaller; their inverses count too. Fixed values.
 CLEAN = [(2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 1), (8, 1), (10, 1), (15, 1), (20, 1), (25, 1), (30, 1), (50, 1), (3, 2), (4, 3), (5, 2), (5, 4), (100, 1)]
-SUFFIXES = r"\b(LIMITED|LTD|PRIVATE|PVT|COMPANY|CO|CORPORATION|CORP|INCORPORATED|INC|THE|INDIA)\b"
+#: Suffixes and abbreviations on which full legal names and truncated master names differ. Fixed values.
+SUFFIXES = ("LIMITED", "LIMTED", "LTD", "LIM", "LT", "PRIVATE", "PVT", "CORPORATION", "CORP")
 
 
 def dedup_bars(bars: DataFrame) -> DataFrame:
@@ -56,17 +57,11 @@ def confirm_splits(candidates: DataFrame, symbols: DataFrame, bars: DataFrame) -
     return out.select("cik", F.col("found").alias("symbol"), "window_start", "window_end", "shares_ratio", F.col("clean").alias("nearest_clean_ratio"), "effective_date", "ratio", state.alias("confidence"))
 
 
-def holdings(filings: DataFrame, positions: DataFrame, dollars_from: str = "2023-01-01") -> DataFrame:
-    """Positions with their filing; values were filed in thousands before the cut-over and are normalised to dollars."""
-    v = F.when(F.col("filed") >= F.lit(dollars_from).cast("date"), F.col("value")).otherwise(F.col("value") * 1000)
-    return positions.join(filings, "accession").withColumn("value_usd", v).drop("value")
-
-
 def name_key(name: Column) -> Column:
-    """Comparable company name: upper case, no brackets, & as AND, suffix words out, letters and digits only."""
-    x = F.regexp_replace(F.upper(name), r"\([^)]*\)", " ")
-    x = F.regexp_replace(F.regexp_replace(x, "&", " AND "), r"[^A-Z0-9 ]", " ")
-    return F.regexp_replace(F.regexp_replace(x, SUFFIXES, " "), "[^A-Z0-9]", "")
+    """Comparable company name: upper case, no brackets, & as AND, suffix words out, letters and digits only; null is ''."""
+    x = F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), r"\(.*?\)", " ")
+    x = F.regexp_replace(F.regexp_replace(x, "&", " AND "), r"\b(" + "|".join(SUFFIXES) + r")\b", " ")
+    return F.regexp_replace(x, "[^A-Z0-9]", "")
 
 
 def symbol_bridge(masters: DataFrame, insiders: DataFrame) -> DataFrame:
@@ -91,11 +86,6 @@ def resolve_names(names: DataFrame, bridge: DataFrame, least: int = 12) -> DataF
     return n.select("name", "key").join(best, "name", "left")
 
 
-def quarterly_holders(rows: DataFrame) -> DataFrame:
-    """(company_key, as_on_date) keeping the latest submission, unknown dates last, then the later file."""
-    return latest_per(rows, ["company_key", "as_on_date"], [F.col("submission_date").desc_nulls_last(), F.col("file").desc()])
-
-
 def news_history(snaps: DataFrame) -> DataFrame:
     """Folds snapshots of stories by url: first publication, last change and its title, revisions, first and last seen."""
     newest = F.struct("lastmod", "snap")

@@ -165,3 +165,36 @@ def short_baseline(volume: DataFrame, floor: float = 100_000.0) -> DataFrame:
 def short_interest_view(raw: DataFrame) -> DataFrame:
     """The sentinel 999.99 in days_to_cover means unknown."""
     return raw.withColumn("days_to_cover", F.when(F.col("days_to_cover") < 999.99, F.col("days_to_cover")))
+
+
+def keyed_values(raw: DataFrame, source: str) -> DataFrame:
+    """A scraped long table (symbol, key, value) with its source: fundamentals, or the fallback's information. Keys are whatever the page had."""
+    return raw.select(F.upper(F.trim("symbol")).alias("symbol"), F.trim("key").alias("key"), F.trim("value").alias("value"), F.lit(source).alias("source"))
+
+
+def live_insiders(raw: DataFrame) -> DataFrame:
+    """Trades scraped beside the fundamentals, as text or numbers; intents filed before a trade are flagged, not dropped."""
+    num = lambda c: F.col(c).try_cast("double")
+    return raw.select(
+        F.upper(F.trim("symbol")).alias("symbol"), F.trim("insider_trading").alias("owner_name"), F.trim("relationship").alias("relationship"), F.trim("date").alias("trans_date"), F.trim("transaction").alias("transaction"),
+        num("cost").alias("price_per_share"), num("num_shares").alias("shares"), num("value_usd").alias("value_usd"), num("num_shares_total").alias("shares_after"), (F.trim("transaction") == "Proposed Sale").alias("is_proposed"),
+    )
+
+
+def owners(raw: DataFrame) -> DataFrame:
+    """Reporting owners of filings; a blank relationship is unknown."""
+    return raw.select(F.trim("accession_number").alias("accession"), F.trim("rptownername").alias("owner_name"), F.nullif(F.trim("rptowner_relationship"), F.lit("")).alias("relationship"))
+
+
+def filing_list(raw: DataFrame) -> DataFrame:
+    """Filings as shredded, all text (accessionNumber, filingDate, ...) -> typed: accn, cik, form, filed, accepted, period, items, document."""
+    stamp = F.coalesce(F.try_to_timestamp("acceptanceDateTime", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")), F.try_to_timestamp("acceptanceDateTime"))
+    return raw.select(
+        F.trim("accessionNumber").alias("accn"), "cik", F.trim("form").alias("form"), text_date("filingDate", "yyyy-MM-dd").alias("filed"), stamp.alias("accepted"), text_date("reportDate", "yyyy-MM-dd").alias("period"),
+        F.nullif(F.trim("items"), F.lit("")).alias("items"), F.trim("primaryDocument").alias("document"),
+    )
+
+
+def holding_facts(raw: DataFrame) -> DataFrame:
+    """Shareholding facts of shredded filings, as filed; rows without a value go, and what several days' files repeat counts once."""
+    return raw.where("value is not null and filing_type = 'shareholding'").drop("filing_type").distinct()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from ..sources.standins import DIMS, ITEM_CODES, PLAN_TEXTS, PURPOSES
-from .screens import ITEMS, NEWS_BUCKETS
+from ..operators.views import ACTION_RULES
+from ..sources.standins import CONCEPTS, DIMS, ITEM_CODES, PLAN_TEXTS, PURPOSES
+from .screens import ITEMS, NEWS_BUCKETS, STOP
 
 
 def r(x: str, d: int) -> str:
@@ -34,6 +35,10 @@ def _pivot(tag: str) -> str:
     return f"max(value) filter (where tag = '{tag}')"
 
 
+_CONCEPT = f"{_list(CONCEPTS)}[(o_orderkey // 4 % {len(CONCEPTS)} + 1)::integer]"
+#: The category of a purpose, from the rules in their order.
+CATEGORY = "case " + " ".join(f"when {' or '.join(f'upper(purpose) like {p!r}' for p in patterns)} then '{name}'" for name, patterns in ACTION_RULES) + " else 'Other' end"
+
 CTE = {
     "bars": f"select p_brand as symbol, l_shipdate::date as as_of, first(px order by k) as open, max(px) as high, min(px) as low, last(px order by k) as close, sum(l_quantity) as volume from (select *, l_extendedprice / l_quantity as px, {_ORDER} as k from lineitem where l_quantity > 0) join part on l_partkey = p_partkey group by all",
     "splits": f"select p_brand as symbol, (date '1998-01-01' + (30 * {_BRAND_NO})::integer) as effective_date, 1.0::double / (1 + {_BRAND_NO} % 4) as ratio from (select distinct p_brand from part)",
@@ -51,10 +56,7 @@ CTE = {
     "mcap": f"select symbol, market_cap, close_price, face_value from (select symbol, as_of as folder, close * volume as market_cap, close as close_price, 10.0::double as face_value from bars) qualify {_LATEST.format('symbol', 'folder desc')}",
     "pe": f"select symbol, symbol_pe, adjusted_pe from (select symbol, as_of as folder, volume as symbol_pe, volume / 2 as adjusted_pe from bars) qualify {_LATEST.format('symbol', 'folder desc')}",
     "actraw": f"select {sym('user_id % 25 + 1')} as symbol, case when event_id % 10 = 0 then 'BE' else 'EQ' end as series, strftime(ts, '%Y-%m-%d') as ex_dt, '' as record_dt, {_list(PURPOSES)}[(event_id % 12 + 1)::integer] as purpose from events",
-    "actions": """select distinct symbol, series, nullif(ex_dt, '') as ex_date, nullif(record_dt, '') as record_date, case when upper(purpose) like '%INTEREST%' then 'Interest'
-  when upper(purpose) like 'DIV%' or upper(purpose) like '%DIVIDEND%' or upper(purpose) like '%SPDV%' then 'Dividend' when upper(purpose) like '%FVSPLT%' or upper(purpose) like '%SPLIT%' or upper(purpose) like '%SUB-DIV%' then 'Split'
-  when upper(purpose) like '%BONUS%' then 'Bonus' when upper(purpose) like '%RIGHT%' then 'Rights' when upper(purpose) like '%BUY%BACK%' then 'Buyback' when upper(purpose) like '%MEETING%' or upper(purpose) like '%AGM%' or upper(purpose) like '%EGM%' then 'Meeting'
-  when upper(purpose) like '%SCHEME%' or upper(purpose) like '%ARRANGEMENT%' or upper(purpose) like '%MERGER%' or upper(purpose) like '%AMALGAMAT%' then 'Restructuring' else 'Other' end as category, trim(purpose) as purpose from actraw where series = 'EQ' and nullif(trim(purpose), '') is not null""",
+    "actions": f"select distinct symbol, series, nullif(ex_dt, '') as ex_date, nullif(record_dt, '') as record_date, {CATEGORY} as category, trim(purpose) as purpose from actraw where series = 'EQ' and nullif(trim(purpose), '') is not null",
     "daily": "select b.*, 1::bigint as series_id, (select max(ratio) from splits s where s.symbol = b.symbol and s.effective_date = b.as_of) as split_ratio, coalesce((select product(ratio) from splits s where s.symbol = b.symbol and s.effective_date > b.as_of), 1.0) as cum_factor from bars b",
     "adjusted": "select symbol, series_id, as_of, open, high, low, close, volume, split_ratio, cum_factor, open * cum_factor as adj_open, high * cum_factor as adj_high, low * cum_factor as adj_low, close * cum_factor as adj_close from daily",
     "sessions": "select *, lag(adj_close) over w as prev_close, max(adj_high) over y as hi, min(adj_low) over y as lo, count(*) over y as sessions_seen from adjusted window w as (partition by symbol, series_id order by as_of), y as (partition by symbol, series_id order by as_of rows between 251 preceding and current row)",
@@ -64,10 +66,10 @@ CTE = {
     "filings": f"select o_orderkey::varchar as accn, o_custkey % 25 as cik, case when o_orderstatus = 'F' then '8-K' else '10-Q' end as form, o_orderdate::date as filed, o_orderdate::date::timestamp + to_seconds(o_orderkey * 37 % 86400) as accepted, o_orderdate::date - 3 as period, {_list(ITEM_CODES)}[(o_orderkey % 9 % {len(ITEM_CODES)} + 1)::integer] || ',' || {_list(ITEM_CODES)}[(o_orderkey % 7 % {len(ITEM_CODES)} + 1)::integer] as items, 'd' || o_orderkey::varchar || '.htm' as document from orders",
     "filers": f"select k % 25 as cik, 'Filer ' || p_brand as name, case when k % 3 = 0 then p_brand || '.B,' || p_brand else p_brand end as tickers, 'Nasdaq' as exchanges, 'Sector ' || (k % 4)::varchar as sic_description from (select distinct p_brand, {_BRAND_NO} as k from part)",
     "filer_symbols": "select cik, replace(upper(trim(s)), '.', '-') as symbol, name, exchanges, sic_description from (select *, unnest(string_split(tickers, ',')) as s from filers) where trim(s) <> ''",
-    "facts": """select *, datediff('day', period_start, period_end) as period_days from (
-  select o_custkey as cik, 'us-gaap' as taxonomy, o_orderpriority as concept, case when o_orderkey % 11 = 0 then 'EUR' else 'USD' end as unit, q as period_start, (q + interval 3 month)::date - 1 as period_end, o_totalprice as val, o_orderdate::date as filed, '10-K' as form, o_orderkey::varchar as accn from o
-  union all select o_custkey, 'us-gaap', o_orderpriority, case when o_orderkey % 11 = 0 then 'EUR' else 'USD' end, y, (y + interval 12 month)::date - 1, o_totalprice, o_orderdate::date, '10-K', o_orderkey::varchar from o where o_orderkey % 3 = 0
-  union all select o_custkey, 'us-gaap', o_orderpriority, case when o_orderkey % 11 = 0 then 'EUR' else 'USD' end, null, (y + interval 12 month)::date - 1, o_totalprice, o_orderdate::date, '10-K', o_orderkey::varchar from o where o_orderkey % 3 = 1)""",
+    "facts": f"""select *, datediff('day', period_start, period_end) as period_days from (
+  select o_custkey as cik, 'us-gaap' as taxonomy, {_CONCEPT} as concept, case when o_orderkey % 11 = 0 then 'EUR' else 'USD' end as unit, q as period_start, (q + interval 3 month)::date - 1 as period_end, o_totalprice as val, o_orderdate::date as filed, '10-K' as form, o_orderkey::varchar as accn from o
+  union all select o_custkey, 'us-gaap', {_CONCEPT}, case when o_orderkey % 11 = 0 then 'EUR' else 'USD' end, y, (y + interval 12 month)::date - 1, o_totalprice, o_orderdate::date, '10-K', o_orderkey::varchar from o where o_orderkey % 3 = 0
+  union all select o_custkey, 'us-gaap', {_CONCEPT}, case when o_orderkey % 11 = 0 then 'EUR' else 'USD' end, null, (y + interval 12 month)::date - 1, o_totalprice, o_orderdate::date, '10-K', o_orderkey::varchar from o where o_orderkey % 3 = 1)""",
     "o": "select *, date_trunc('quarter', o_orderdate)::date as q, date_trunc('year', o_orderdate)::date as y from orders where o_totalprice is not null",
     "eav": f"""select 'u' || (event_id - event_id % 2)::varchar as xbrl_url, {sym('event_id // 2 % 25 + 1')} as source_symbol, {sym('event_id // 2 % 25 + 1')} || ' Ltd' as source_company, 'MainI' as context_ref, 'DateOfFiling' as tag, strftime(ts, '%Y-%m-%d') as value from events where event_id % 2 = 0
   union all select * from (select 'u' || (event_id - event_id % 2)::varchar, {sym('event_id // 2 % 25 + 1')}, {sym('event_id // 2 % 25 + 1')} || ' Ltd', 'Disclosure' || (event_id % 2 + 1)::varchar,
@@ -92,12 +94,13 @@ CTE = {
     "candidates": "select cik, ws as window_start, \"end\" as window_end, val / before as shares_ratio, c as clean from (select *, lag(\"end\") over w as ws, lag(val) over w as before from counts window w as (partition by cik order by \"end\", val)) join clean on abs(val / before / c - 1) < 0.03 where before > 0",
     "bars_split": "select b.symbol, as_of, open * f as open, close * f as close from (select b.*, case when s.effective_date is not null and b.as_of >= s.effective_date then s.ratio else 1.0 end as f from bars b left join splits s on b.symbol = s.symbol) b",
     "titles": "select doc_id, trim(string_split(coalesce(text, ''), chr(10))[1], ' ') as title from documents where trim(string_split(coalesce(text, ''), chr(10))[1], ' ') <> ''",
-    "names": r"select item_id::varchar as symbol, regexp_replace(coalesce(text, ''), '[.,\n]', ' ', 'g') as name from benchmark",
-    "alias": r"""select symbol, alias from (select distinct symbol, alias from (select symbol, unnest([case when len(w) >= 2 then w[1] || ' ' || w[2] end, case when length(w[1]) >= 4 and w[1] not in ('that', 'this', 'with', 'from') then w[1] end]) as alias from (select symbol, list_filter(regexp_split_to_array(lower(trim(name)), '\s+'), lambda x: x <> '') as w from names)) where alias is not null)
+    "brands": r"select 'B' || item_id::varchar as symbol, list_filter(string_split(regexp_replace(upper(replace(coalesce(text, ''), 'ß', 'SS')), '[^A-Z0-9& ]+', ' ', 'g'), ' '), lambda x: x <> '') as w from benchmark where item_id % 6 > 0 and coalesce(text, '') <> ''",
+    "alias": f"""select symbol, alias from (select distinct symbol, alias from (select symbol, unnest([case when len(w) >= 2 then w[1] || ' ' || w[2] end, case when length(w[1]) >= 4 and w[1] not in ({', '.join(repr(x) for x in STOP)}) then w[1] end]) as alias from brands) where alias is not null)
   qualify count(*) over (partition by alias) <= case when alias like '% %' then 3 else 1 end""",
-    "words": r"select doc_id, title, list_filter(string_split(regexp_replace(title, '[^\p{L}\p{N}&''-]+', ' ', 'g'), ' '), lambda x: x <> '') as w from titles",
-    "tags": """select distinct doc_id, a.symbol from (select doc_id, lower(s) as alias from (select doc_id, unnest(w) as s from words) where left(s, 1) <> lower(left(s, 1))
-  union select doc_id, lower(s || ' ' || t) from (select doc_id, unnest(w[1:len(w) - 1]) as s, unnest(w[2:len(w)]) as t from words where len(w) >= 2) where left(s, 1) <> lower(left(s, 1)) and left(t, 1) <> lower(left(t, 1))) x join alias a on x.alias = a.alias""",
+    # Each alias as a pattern: the first character of a word as it stands, the others in either case, white space between words.
+    "patterns": r"""select symbol, alias, string_split(alias, ' ')[1] as head, '\b' || array_to_string(list_transform(string_split(alias, ' '), lambda t: left(t, 1) || case when length(t) > 1 then '(?i:' || t[2:] || ')' else '' end), '\s+') || '\b' as p from alias""",
+    "near": "select doc_id, title, symbol, p from titles join patterns on contains(upper(title), head)",
+    "tags": "select distinct doc_id, symbol from near where regexp_matches(title, p)",
     "news": "select symbol, sum(pts)::bigint as pts_news from (select *, min(doc_id) over (partition by key) as first from (select t.doc_id, symbol, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) as key, case "
     + " ".join(f"when regexp_matches(title, '{p}') then {n}" for n, p in NEWS_BUCKETS)
     + " end as pts from titles t join tags g on t.doc_id = g.doc_id) where pts is not null) where doc_id = first group by symbol",

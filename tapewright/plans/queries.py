@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import half_up
@@ -17,26 +14,8 @@ from ..sources import readers as R
 from ..sources import standins as S
 from ..streaming import feeds as J
 from . import screens as Q
-from .oracle import ITEM_ROWS, r, sql, window
-
-STOP = ["that", "this", "with", "from"]
-_FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(oracle: str | None = None):
-    def put(f):
-        _FOUND[f.__name__] = (f, sql(oracle) if oracle else None)
-        return f
-
-    return put
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _FOUND.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {k: q for k, (_, q) in _FOUND.items() if q}
+from .oracle import ITEM_ROWS, r, window
+from .registry import query
 
 
 # ---- views over stand-ins
@@ -211,7 +190,7 @@ def sec_submission(s, d):
 
 @query("select accession, owner_name, relationship from trans")
 def sec_owner(s, d):
-    return S.trade_owners(s, d).select(F.col("accession_number").alias("accession"), F.col("rptownername").alias("owner_name"), F.nullif("rptowner_relationship", F.lit("")).alias("relationship"))
+    return V.owners(S.trade_owners(s, d))
 
 
 _TRANS = ["accession", "trans_date", "trans_code", "acquired_disposed", "shares", "price_per_share", "value_usd", "is_open_market", "filing_date", "form_type", "issuer_name", "symbol", "plan_10b5_1", "owner_name", "relationship"]
@@ -237,9 +216,6 @@ def us_sec_facts(s, d):
     return V.typed_facts(S.facts(s, d))
 
 
-@query("select taxonomy, concept, count(*) as facts from facts group by all")
-def us_sec_concepts(s, d):
-    return S.facts(s, d).groupBy("taxonomy", "concept").agg(F.count("*").alias("facts"))
 
 
 @query("select as_of, symbol, short_volume, total_volume, short_ratio from sv")
@@ -399,24 +375,24 @@ def promoter_pivot(s, d):
     return Q.promoter_pivot(rows, ["Q1", "Q2", "Q3", "Q4"])
 
 
-@query("select source, count(*) as matches, max(doc_id) as newest, arg_max(substring(text, greatest(instr(lower(text), 'the in') - 20, 1), 46), doc_id) as snippet from documents where contains(lower(text), 'the in') group by source")
+@query("select *, sum(matches) over ()::bigint as total from (select source, count(*) as matches, max(doc_id) as newest, arg_max(lang, doc_id) as kind, arg_max(substring(text, greatest(instr(lower(text), 'the in') - 20, 1), 46), doc_id) as snippet from documents where contains(lower(text), 'the in') group by source)")
 def phrase_search(s, d):
     return Q.phrase_search(S.table(s, d, "documents"), "the in")
 
 
 @query("select symbol, alias from alias")
 def news_brand_index(s, d):
-    return Q.brand_index(S.brands(s, d), STOP)
+    return Q.brand_index(S.brands(s, d))
 
 
 @query("select doc_id, symbol from tags")
 def news_tag(s, d):
-    return Q.tag_headlines(S.headlines(s, d), Q.brand_index(S.brands(s, d), STOP))
+    return Q.tag_headlines(S.headlines(s, d), Q.brand_index(S.brands(s, d)))
 
 
 def _news(s, d):
     t = S.headlines(s, d)
-    return Q.news_points(t, Q.tag_headlines(t, Q.brand_index(S.brands(s, d), STOP)))
+    return Q.news_points(t, Q.tag_headlines(t, Q.brand_index(S.brands(s, d))))
 
 
 @query("select symbol, pts_news from news")
@@ -431,18 +407,18 @@ def _edge(n):
 _BOARD = f"""select s.*, company_name from (select *, pts_insider + pts_52w + pts_gainers + pts_losers + pts_corp_actions + pts_news as score,
   (pts_insider > 0)::bigint + (pts_52w > 0)::bigint + (pts_gainers > 0)::bigint + (pts_losers > 0)::bigint + (pts_corp_actions > 0)::bigint + (pts_news > 0)::bigint as signals from (
   select symbol, coalesce(sum(buys), 0)::bigint * 5 as pts_insider, (case when coalesce(sum(h), 0) + coalesce(sum(l), 0) > 0 then 4 + coalesce(sum(h), 0) + coalesce(sum(l), 0) else 0 end)::bigint as pts_52w, coalesce(sum(g), 0)::bigint as pts_gainers, coalesce(sum(z), 0)::bigint as pts_losers, coalesce(sum(ca), 0)::bigint as pts_corp_actions, coalesce(sum(nw), 0)::bigint as pts_news from (
-    select symbol, count(distinct event_date) as h, null as l, null as g, null as z, null as buys, null as ca, null as nw from hi52 where event_date >= {_edge(365)} group by symbol
-    union all select symbol, null, count(distinct event_date), null, null, null, null, null from lo52 where event_date >= {_edge(365)} group by symbol
-    union all select symbol, null, null, count(*), null, null, null, null from (select symbol, row_number() over (partition by as_of order by pct_change desc, symbol) as k from (select distinct as_of, symbol, pct_change from prices where pct_change is not null and as_of >= {_edge(365)})) where k <= 20 group by symbol
-    union all select symbol, null, null, null, count(*), null, null, null from (select symbol, row_number() over (partition by as_of order by pct_change, symbol) as k from (select distinct as_of, symbol, pct_change from prices where pct_change is not null and as_of >= {_edge(365)})) where k <= 20 group by symbol
-    union all select symbol, null, null, null, null, count(*), null, null from (select distinct symbol, person, value, qty from disclosures where filing_date::date >= {_edge(365)} and txn_type = 'Buy' and mode in ('Market Purchase', 'Block Deal')) group by symbol
+    select symbol, count(distinct event_date) as h, null as l, null as g, null as z, null as buys, null as ca, null as nw from hi52 where event_date >= {_edge(364)} group by symbol
+    union all select symbol, null, count(distinct event_date), null, null, null, null, null from lo52 where event_date >= {_edge(364)} group by symbol
+    union all select symbol, null, null, count(*), null, null, null, null from (select symbol, row_number() over (partition by as_of order by pct_change desc, symbol) as k from (select distinct as_of, symbol, pct_change from prices where pct_change is not null and as_of >= {_edge(364)})) where k <= 20 group by symbol
+    union all select symbol, null, null, null, count(*), null, null, null from (select symbol, row_number() over (partition by as_of order by pct_change, symbol) as k from (select distinct as_of, symbol, pct_change from prices where pct_change is not null and as_of >= {_edge(364)})) where k <= 20 group by symbol
+    union all select symbol, null, null, null, null, count(*), null, null from (select distinct symbol, person, value, qty from disclosures where filing_date::date >= {_edge(364)} and txn_type = 'Buy' and mode in ('Market Purchase', 'Block Deal')) group by symbol
     union all select symbol, null, null, null, null, null, sum(case when category = 'Rights' then 2 else 1 end), null from actions where category in ('Rights', 'Bonus', 'Split', 'Buyback') group by symbol
     union all select symbol, null, null, null, null, null, null, pts_news from news) group by symbol)) s left join security c on s.symbol = c.symbol"""
 
 
 @query(_BOARD)
 def convergence_board(s, d):
-    return Q.board(_hi(s, d), _lo(s, d), _px(s, d), Q.insider_disclosures(S.eav(s, d)), V.corporate_actions(S.actions(s, d)), _sec(s, d), _news(s, d), 365)
+    return Q.board(_hi(s, d), _lo(s, d), _px(s, d), Q.insider_disclosures(S.eav(s, d)), V.corporate_actions(S.actions(s, d)), _sec(s, d), _news(s, d), 260)
 
 
 @query("select code, manager as name, count(*) as holdings from funds group by all")
@@ -521,21 +497,10 @@ def us_insider_symbol(s, d):
     return _trans(s, d).select("symbol", "trans_date", "accession", "owner_name", "trans_code", "shares", "price_per_share", "value_usd").orderBy("symbol", F.col("trans_date").desc_nulls_last())
 
 
-@query("select symbol, 'market_cap' as key, market_cap as value, 'a' as source from mcap union all select symbol, key, value, 'b' from (select symbol, unnest(['market_cap', 'pe']) as key, unnest([symbol_pe, symbol_pe]) as value from pe) x where not exists (select 1 from mcap m where m.symbol = x.symbol and x.key = 'market_cap')")
-def us_stock_fundamentals(s, d):
-    a = _mcap(s, d).select("symbol", F.lit("market_cap").alias("key"), F.col("market_cap").alias("value"), F.lit("a").alias("source"))
-    b = _pe(s, d).select("symbol", F.explode(F.array(F.lit("market_cap"), F.lit("pe"))).alias("key"), F.col("symbol_pe").alias("value"), F.lit("b").alias("source"))
-    return Q.prefer_first(a, b, ["symbol", "key"])
 
 
-@query("select symbol, as_of, open, high, low, close, volume from bars")
-def us_stock_prices(s, d):
-    return S.bars(s, d).orderBy("symbol", F.col("as_of").desc())
 
 
-@query("select 'bars' as source, count(*) as records, max(as_of)::varchar as as_of from bars union all select 'insider', count(*), max(trans_date)::varchar from trans")
-def us_stock_coverage(s, d):
-    return Q.coverage({"bars": (S.bars(s, d), "as_of"), "insider": (_trans(s, d), "trans_date")})
 
 
 @query("select 'facts' as source, count(*) as records, max(filed)::varchar as as_of from facts union all select 'filings', count(*), max(filed)::varchar from filings union all select 'bars', count(*), max(as_of)::varchar from bars")
@@ -548,9 +513,6 @@ def finra_coverage(s, d):
     return Q.coverage({"short-interest": (_si(s, d), "settlement_date"), "short-volume": (_sv(s, d), "as_of")})
 
 
-@query("select symbol, accession, trans_date, owner_name, value_usd from trans where value_usd is not null")
-def us_stock_insider(s, d):
-    return _trans(s, d).where("value_usd is not null").select("symbol", "accession", "trans_date", "owner_name", "value_usd").orderBy("symbol", F.col("value_usd").desc())
 
 
 @query("select symbol, cik, name, exchanges, sic_description from filer_symbols")
@@ -562,9 +524,20 @@ _CUR = "(select * from facts where unit = 'USD' qualify row_number() over (parti
 _YEAR = "period_days between 340 and 380"
 
 
-@query(f"select cik, period_end as fiscal_year_end, coalesce(max(val) filter (where concept = '1-URGENT' and {_YEAR}), max(val) filter (where concept = '2-HIGH' and {_YEAR})) as revenue, max(val) filter (where concept = '3-MEDIUM' and {_YEAR}) as net_income, max(val) filter (where concept = '5-LOW' and period_days is null) as assets from {_CUR} where {_YEAR} or period_days is null group by all having count(*) filter (where {_YEAR}) > 0")
+_LADDER = lambda names, cond: "coalesce(" + ", ".join(f"max(val) filter (where concept = '{n}' and {cond})" for n in names) + ")"
+_MEASURES = ", ".join(
+    f"{_LADDER(names, cond)} as {k}" for cond, group in (
+        (_YEAR, {"revenue": ["Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "RevenueFromContractWithCustomerIncludingAssessedTax", "SalesRevenueNet"], "gross_profit": ["GrossProfit"], "operating_income": ["OperatingIncomeLoss"], "net_income": ["NetIncomeLoss"],
+                 "eps_diluted": ["EarningsPerShareDiluted", "EarningsPerShareBasicAndDiluted"], "cash_from_ops": ["NetCashProvidedByUsedInOperatingActivities"]}),
+        ("period_days is null", {"assets": ["Assets"], "liabilities": ["Liabilities"], "equity": ["StockholdersEquity"], "cash": ["CashAndCashEquivalentsAtCarryingValue"]}),
+    ) for k, names in group.items()
+)
+_SOURCE = ", ".join(f"max({c}) filter (where concept = 'NetIncomeLoss' and {_YEAR}) as {c}" for c in ("form", "filed", "accn"))
+
+
+@query(f"select cik, period_end as fiscal_year_end, {_MEASURES}, {_SOURCE} from {_CUR} where {_YEAR} or period_days is null group by all having count(*) filter (where {_YEAR}) > 0")
 def sec_annual(s, d):
-    return Q.annual(V.typed_facts(S.facts(s, d)), {"revenue": ["1-URGENT", "2-HIGH"], "net_income": ["3-MEDIUM"]}, {"assets": ["5-LOW"]}, ["USD"])
+    return Q.annual(V.typed_facts(S.facts(s, d)), ["USD"])
 
 
 @query("select cik, concept, unit, period_start, period_end, val, filed, accn, row_number() over (partition by cik, taxonomy, concept, unit, period_start, period_end order by filed desc, accn desc, val desc) as vintage from facts")
@@ -654,19 +627,18 @@ def split_confirm(s, d):
     return D.confirm_splits(D.split_candidates(_counts(s, d)), V.filer_symbols(S.cik_symbols(s, d)), b)
 
 
-@query("select l_orderkey as accession, o_orderdate::date as filed, l_partkey as security, case when o_orderdate::date >= date '1998-01-01' then l_extendedprice else l_extendedprice * 1000 end as value_usd from lineitem join orders on l_orderkey = o_orderkey")
-def holdings_13f(s, d):
-    f = S.table(s, d, "orders").select(F.col("o_orderkey").alias("accession"), F.to_date("o_orderdate").alias("filed"))
-    p = S.table(s, d, "lineitem").select(F.col("l_orderkey").alias("accession"), F.col("l_partkey").alias("security"), F.col("l_extendedprice").alias("value"))
-    return D.holdings(f, p, "1998-01-01")
 
 
-_KEY = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper({0}), '\([^)]*\)', ' ', 'g'), '&', ' AND ', 'g'), '[^A-Z0-9 ]', ' ', 'g'), '" + D.SUFFIXES + "', ' ', 'g'), '[^A-Z0-9]', '', 'g')"
+#: The key in SQL, with a suffix list of its own.
+_KEY = r"regexp_replace(regexp_replace(replace(regexp_replace(upper(coalesce({0}, '')), '\(.*?\)', ' ', 'g'), '&', ' AND '), '\b(LIMITED|LIMTED|LTD|LIM|LT|PRIVATE|PVT|CORPORATION|CORP)\b', ' ', 'g'), '[^A-Z0-9]', '', 'g')"
+_NAMES = r"(select distinct c_name || case c_custkey % 7 when 0 then ' (India) Ltd.' when 1 then ' Co & Sons Pvt LIMTED' when 2 then ' Company Inc' when 3 then ' India Lim' when 4 then ' The Corp' when 5 then ' LT' else ' Ltdx' end as name from customer)"
 
 
-@query(f"select distinct c_name as name, {_KEY.format('c_name')} as key from customer")
+@query(f"select name, {_KEY.format('name')} as key from {_NAMES}")
 def name_key(s, d):
-    return S.table(s, d, "customer").select(F.col("c_name").alias("name"), D.name_key(F.col("c_name")).alias("key")).distinct()
+    ends = F.array(*[F.lit(x) for x in (" (India) Ltd.", " Co & Sons Pvt LIMTED", " Company Inc", " India Lim", " The Corp", " LT", " Ltdx")])
+    names = S.table(s, d, "customer").select(F.concat("c_name", F.get(ends, (F.col("c_custkey") % 7).cast("int"))).alias("name")).distinct()
+    return names.select("name", D.name_key(F.col("name")).alias("key"))
 
 
 _BRIDGE = f"""(select key, symbol from (select {_KEY.format('name')} as key, symbol, series, folder from masters) where key <> '' qualify row_number() over (partition by key order by (series = 'EQ')::int desc, folder desc, symbol) = 1
@@ -688,10 +660,6 @@ def resolve_prefix(s, d):
     return D.resolve_names(S.masters(s, d).select(F.concat("name", F.lit(" holdings")).alias("name")), _bridge(s, d))
 
 
-@query("select o_custkey as company_key, date_trunc('quarter', o_orderdate)::date as as_on_date, max(case when o_orderstatus <> 'P' then o_orderdate::date end) as submission_date from orders group by all")
-def shareholding_quarters(s, d):
-    o = S.table(s, d, "orders").select(F.col("o_custkey").alias("company_key"), F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("as_on_date"), F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")).alias("submission_date"), F.col("o_orderkey").alias("file"))
-    return D.quarterly_holders(o).drop("file")
 
 
 @query("""select url, min(p) as published, max(m) as lastmod, arg_max(t, (m, d)) as title, greatest(count(distinct m), 1) as revisions, min(d) as first_seen, max(d) as last_seen, max(s) as shard, 'views' as section from (
@@ -727,11 +695,11 @@ def scan_csv_glob(s, d):
     return t.where(R.folder_date("file_path").isNotNull()).select("o_orderkey", "o_custkey", "o_orderstatus", F.try_to_date("folder", "yyyyMMdd").alias("as_of"))
 
 
-@query("select symbol, as_of, close from bars where symbol = 'Brand#7'")
+@query("select symbol, as_of, close from bars")
 def write_clustered(s, d):
     path = scratch(s, "clustered")
     K.write_clustered(S.bars(s, d).select("symbol", "as_of", "close"), path, ["symbol", "as_of"])
-    return s.read.parquet(path).where("symbol = 'Brand#7'")
+    return s.read.parquet(path)
 
 
 @query("select as_of, symbol, short_volume, total_volume from sv")
@@ -740,14 +708,34 @@ def accrue_dedup(s, d):
     path, sv = scratch(s, "accrued"), S.short_volume(s, d)
     K.accrue(s, path, sv.where("day(as_of) <= 20").withColumn("total_volume", F.col("total_volume") - 1), ["as_of", "symbol"], "total_volume")
     K.accrue(s, path, sv, ["as_of", "symbol"], "total_volume")
-    return s.read.parquet(path).select("as_of", "symbol", "short_volume", "total_volume")
+    return K.published(s, path).select("as_of", "symbol", "short_volume", "total_volume")
+
+
+@query("select as_of, symbol, short_volume, total_volume from sv")
+def accrue_days(s, d):
+    """The same in a store by day, of which the second load rewrites the days it touches."""
+    path, sv = scratch(s, "accrued-days"), S.short_volume(s, d).select("symbol", "short_volume", "total_volume", "as_of")
+    K.accrue_days(s, path, sv.where("day(as_of) <= 20").withColumn("total_volume", F.col("total_volume") - 1), ["symbol"], "total_volume", "as_of")
+    K.accrue_days(s, path, sv.where("day(as_of) > 10"), ["symbol"], "total_volume", "as_of")
+    K.accrue_days(s, path, sv.where("day(as_of) <= 10"), ["symbol"], "total_volume", "as_of")
+    return s.read.parquet(path).select(F.col("as_of").cast("date").alias("as_of"), "symbol", "short_volume", "total_volume")
+
+
+@query("select as_of, symbol, short_volume from sv where day(as_of) > 3")
+def publish_atomic(s, d):
+    """Two states published after each other; readers see the second."""
+    path, sv = scratch(s, "published"), S.short_volume(s, d).select("as_of", "symbol", "short_volume")
+    K.publish(sv.where("day(as_of) <= 3"), path)
+    K.publish(sv.where("day(as_of) > 3"), path)
+    return K.published(s, path)
 
 
 @query("select distinct event_id, user_id, event_type, ts::date as as_of from events")
 def split_by_day(s, d):
     e = S.table(s, d, "events").select("event_id", "user_id", "event_type", F.date_format("ts", "dd-MMM-yyyy").alias("day"))
     path = scratch(s, "days")
-    K.split_by_day(e.unionByName(e.where("event_id % 3 = 0")), path, F.try_to_date("day", "dd-MMM-yyyy"), None).collect()
+    for part in (e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1 or event_id % 3 = 0")):  # days of the first load stay
+        K.split_by_day(part.unionByName(part.where("event_id % 3 = 0")), path, F.try_to_date("day", "dd-MMM-yyyy"), None).collect()
     return s.read.parquet(path).select("event_id", "user_id", "event_type", F.col("as_of").cast("date").alias("as_of"))
 
 
@@ -756,7 +744,7 @@ def union_never_shrink(s, d):
     path, e = scratch(s, "facts"), S.eav(s, d).select("xbrl_url", "context_ref", "tag", "value")
     K.union_never_shrink(s, path, e.where("context_ref = 'MainI'"))
     K.union_never_shrink(s, path, e)
-    return s.read.parquet(path)
+    return K.published(s, path)
 
 
 @query("select symbol, company_name from security")
@@ -775,11 +763,11 @@ def page_outline(s, d):
 
 @query("select ts::date as as_of, event_type, count(*) as n from events group by all")
 def session_counts(s, d):
-    """The stream's counts by day, in complete mode over all files there are."""
-    name = "sessions_" + scratch(s, "x").rsplit("-", 1)[-1]
+    """The stream's counts by day, in complete mode over all files there are; each state is published to a store."""
+    store = scratch(s, "session-store")
     src = s.readStream.schema(S.table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
-    J.session_counts(src).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(s, "sessions")).trigger(availableNow=True).start().awaitTermination()
-    return s.table(name)
+    J.session_counts(src).writeStream.outputMode("complete").foreachBatch(lambda df, _: K.publish(df, store)).option("checkpointLocation", scratch(s, "sessions")).trigger(availableNow=True).start().awaitTermination()
+    return K.published(s, store)
 
 
 @query("select user_id, event_type, max(value) as value from events group by all")
@@ -787,4 +775,4 @@ def accrue_stream(s, d):
     e = S.table(s, d, "events")
     store = scratch(s, "stream-store")
     J.accrue_stream(s, f"{d}/events.parquet*", e.schema, store, scratch(s, "stream-checkpoint"), ["user_id", "event_type"], "value").awaitTermination()
-    return s.read.parquet(store).select("user_id", "event_type", "value")
+    return K.published(s, store).select("user_id", "event_type", "value")

@@ -24,9 +24,10 @@ ITEMS = [
 #: Registered kinds of firms by their short code, and words of a name that tell nothing about the firm. Fixed values.
 FIRM_TYPES = {"portfolio-managers": "pms", "aif": "aif", "mutual-funds": "amc", "investment-advisers": "ria"}
 FIRM_WORDS = (
-    "INVESTMENT INVESTMENTS CONSULTANCY ADVISORS ADVISERS ADVISORY CAPITAL PARTNERS MANAGEMENT MANAGERS MANAGER ASSET ASSETS FUND FUNDS FINANCIAL FINANCE SERVICES WEALTH PORTFOLIO SECURITIES PRIVATE PVT LIMITED LTD LLP INDIA "
-    "CO COMPANY TRUST TRUSTEE TRUSTEES AMC MUTUAL BROKING BROKERS HOLDINGS HOLDING GLOBAL ALTERNATES ALTERNATE ALTERNATIVE AIF AND &"
-).split()
+    "INVESTMENT", "INVESTMENTS", "CONSULTANCY", "ADVISORS", "ADVISERS", "ADVISORY", "CAPITAL", "PARTNERS", "MANAGEMENT", "MANAGERS", "MANAGER", "ASSET", "ASSETS", "FUND", "FUNDS", "FINANCIAL",
+    "FINANCE", "SERVICES", "WEALTH", "PORTFOLIO", "SECURITIES", "PRIVATE", "PVT", "LIMITED", "LTD", "LLP", "INDIA", "CO", "COMPANY", "TRUST", "TRUSTEE", "TRUSTEES", "AMC", "MUTUAL", "BROKING",
+    "BROKERS", "HOLDINGS", "HOLDING", "GLOBAL", "ALTERNATES", "ALTERNATE", "ALTERNATIVE", "AIF", "AND", "&",
+)
 
 
 # ---- India
@@ -147,7 +148,7 @@ def firms(raw: DataFrame) -> DataFrame:
         kind = F.when(F.col("sebi_type") == name, code).otherwise(kind)
     t = raw.withColumns({"name": F.trim("name"), "type": kind}).where("name <> '' and type is not null")
     t = t.withColumn("_w", F.filter(F.split("name", r"\s+"), lambda x: x != ""))
-    plain = F.transform(F.slice(F.col("_w"), 2, 3), lambda x: F.upper(F.regexp_replace(x, "[.,]", "")).isin(FIRM_WORDS))
+    plain = F.transform(F.slice(F.col("_w"), 2, 3), lambda x: F.upper(F.regexp_replace(x, "[.,]", "")).isin(*FIRM_WORDS))
     first = F.array_position(plain, True)  # of the second to fourth word; 0 when none is generic
     take = F.least(F.lit(3), F.when(first > 0, first).otherwise(F.size("_w"))).cast("int")
     return t.withColumn("search_term", F.array_join(F.slice(F.col("_w"), F.lit(1), take), " ")).drop("_w", "sebi_type").orderBy(F.lower("name"), "name")
@@ -158,37 +159,67 @@ def promoter_pivot(rows: DataFrame, quarters: list[str]) -> DataFrame:
     return rows.groupBy("symbol", "category").pivot("quarter", quarters).agg(F.max("pct"))
 
 
-def phrase_search(docs: DataFrame, phrase: str) -> DataFrame:
-    """Documents that contain the phrase, by source: how many, and the newest of them with a snippet."""
+def phrase_search(docs: DataFrame, phrase: str, entity: str = "source", order: str = "doc_id") -> DataFrame:
+    """Documents that contain the phrase, by entity: how many, the newest of them with its kind and a snippet, and how many match in all.
+
+    docs: the entity's column, the order's, text and, where they have one, lang as the kind of document. Rows of a null entity are one entity.
+    """
     low = F.lower("text")
     hit = docs.where(F.contains(low, F.lit(phrase.lower()))).withColumn("at", F.locate(phrase.lower(), low))
     snippet = F.substring(F.col("text"), F.greatest(F.col("at") - 20, F.lit(1)), F.lit(len(phrase) + 40))
-    return hit.groupBy("source").agg(F.count("*").alias("matches"), F.max("doc_id").alias("newest"), F.max_by(snippet, "doc_id").alias("snippet")).orderBy(F.col("matches").desc(), "source")
-
-
-def brand_index(names: DataFrame, stop: list[str]) -> DataFrame:
-    """Alias phrases of names: the first two words, and the first alone if it has four letters and is no stop word; ambiguous ones go."""
-    w = F.filter(F.split(F.lower(F.trim("name")), r"\s+"), lambda x: x != "")
-    two = F.when(F.size("w") >= 2, F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))))
-    one = F.when((F.length(F.get("w", F.lit(0))) >= 4) & ~F.get("w", F.lit(0)).isin(stop), F.get("w", F.lit(0)))
-    a = names.withColumn("w", w).select("symbol", F.explode(F.array_compact(F.array(two, one))).alias("alias")).distinct()
+    kind = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    per = hit.groupBy(entity).agg(F.count("*").alias("matches"), F.max(order).alias("newest"), F.max_by(kind, order).alias("kind"), F.max_by(snippet, order).alias("snippet"))
+    total = hit.agg(F.count("*").alias("total"))
+    return per.crossJoin(F.broadcast(total)).orderBy(F.col("matches").desc(), entity)  # the total is one row
+
+
+#: Words that are no brand when they stand alone: generic business words, places, months, surnames, common and ambiguous words. Fixed values.
+STOP_GENERIC = (
+    "LIMITED", "LTD", "PVT", "PRIVATE", "CORPORATION", "CORP", "COMPANY", "CO", "INDIA", "INDIAN", "THE", "AND", "OF", "GROUP", "HOLDINGS", "HOLDING", "ENTERPRISES", "ENTERPRISE", "INDUSTRIES", "INDUSTRY", "INDUSTRIAL",
+    "PROJECTS", "PRODUCTS", "SERVICES", "SERVICE", "SYSTEMS", "SYSTEM", "TECHNOLOGIES", "TECHNOLOGY", "INFRASTRUCTURE", "INFRA", "FINANCE", "FINANCIAL", "INVESTMENTS", "INVESTMENT", "INTERNATIONAL", "GLOBAL", "VENTURES", "MILLS",
+    "LABORATORIES", "LABS", "PHARMA", "PHARMACEUTICALS", "CHEMICALS", "ENGINEERING", "CAPITAL", "SOLUTIONS", "RESOURCES",
+)
+STOP_PLACES = ("ANDHRA", "GUJARAT", "KERALA", "PUNJAB", "BENGAL", "SOUTH", "NORTH", "EAST", "WEST", "EASTERN", "WESTERN", "CENTRAL", "BOMBAY", "MADRAS", "DELHI", "MUMBAI", "MYSORE", "BANGALORE")
+STOP_MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
+STOP_SURNAMES = ("SHARMA", "KUMAR", "SINGH", "PATEL", "SHAH", "GUPTA", "MEHTA", "VERMA", "RAO", "REDDY", "NAIR", "IYER", "KHAN", "JAIN", "AGARWAL", "MODI", "ROY", "BOSE")
+STOP_COMMON = (
+    "ORIENT", "ORIENTAL", "NATIONAL", "STATE", "UNITED", "MODERN", "STANDARD", "PREMIER", "UNIVERSAL", "GENERAL", "FUTURE", "APPLE", "PARAMOUNT", "ENGINEERS", "POWER", "ENERGY", "STEEL", "CEMENT", "BANK", "HEALTH", "MOTORS", "PAPER",
+    "SUGAR", "TEXTILES", "METALS", "METAL", "MINING", "AUTO", "FOODS", "SECURITIES", "ELECTRONICS", "ELECTRONIC", "DIGITAL", "SMART", "METRO", "INDIGO", "MANIPAL", "PRIME", "ROYAL", "SUPER", "STAR", "SUPREME", "NEW", "INDO",
+)
+STOP = (*STOP_GENERIC, *STOP_PLACES, *STOP_MONTHS, *STOP_SURNAMES, *STOP_COMMON)
+
+
+def brand_index(master: DataFrame, stop: tuple[str, ...] = STOP) -> DataFrame:
+    """(symbol, alias) of master(symbol, series, company_name): the first two words of a name, and the first alone if it has four characters and is no stop word.
+
+    Names are upper-cased and keep A-Z, 0-9 and &. Only equity rows of plain symbols count, no test symbols. Aliases of one word with several symbols and
+    aliases with more than three go.
+    """
+    sound = (F.col("series") == "EQ") & (F.col("company_name") != "") & F.col("symbol").rlike("^[A-Z0-9]+$") & ~F.col("symbol").rlike("^[0-9]") & ~F.upper("symbol").contains("NSETEST")
+    w = F.filter(F.split(F.regexp_replace(F.upper("company_name"), "[^A-Z0-9& ]+", " "), " "), lambda x: x != "")
+    first = F.get("w", F.lit(0))
+    two = F.when(F.size("w") >= 2, F.concat_ws(" ", first, F.get("w", F.lit(1))))
+    one = F.when((F.length(first) >= 4) & ~first.isin(*stop), first)
+    a = master.where(sound).withColumn("w", w).select("symbol", F.explode(F.array_compact(F.array(two, one))).alias("alias")).distinct()
     n = a.groupBy("alias").agg(F.countDistinct("symbol").alias("n")).where("n <= case when alias like '% %' then 3 else 1 end")
     return a.join(n.select("alias"), "alias")
 
 
 def tag_headlines(titles: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(doc_id, symbol) when an alias stands in the title and some occurrence has every word capitalised: one- and two-word shingles meet aliases by equality."""
-    words = F.filter(F.split(F.regexp_replace("title", r"[^\p{L}\p{N}&'-]+", " "), " "), lambda x: x != "")
-    t = titles.withColumn("w", words)
-    pair = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)).alias("s"), (capital(F.get("w", i)) & capital(F.get("w", i + 1))).alias("ok")))
-    single = F.transform("w", lambda x: F.struct(x.alias("s"), capital(x).alias("ok")))
-    both = F.when(F.size("w") >= 2, F.concat(single, pair)).otherwise(single)
-    s = t.where("size(w) > 0").select("doc_id", F.explode(both).alias("x")).where("x.ok").select("doc_id", F.lower("x.s").alias("alias")).distinct()
-    return s.join(aliases, "alias").select("doc_id", "symbol").distinct()
-
+    """(doc_id, symbol) when an alias stands in the title between word boundaries and some occurrence has every word begin with a capital, digit or &.
 
-def capital(x):
-    return F.substring(x, 1, 1) != F.lower(F.substring(x, 1, 1))
+    Words of an alias are parted by white space alone. Each title's single words and pairs meet the aliases by equality; a word with an & is tried whole
+    and by its parts.
+    """
+    parts = F.filter(F.split("title", r"\s+"), lambda x: x != "")
+    find = lambda x, pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+    ends = lambda x: F.array_distinct(F.concat(find(x, "[A-Za-z0-9_&]+$"), find(x, "[A-Za-z0-9_]+$")))
+    starts = lambda x: F.array_distinct(F.concat(find(x, "^[A-Za-z0-9_&]+"), find(x, "^[A-Za-z0-9_]+")))
+    single = F.concat(find(F.col("title"), "[A-Za-z0-9_&]+"), find(F.col("title"), "[A-Za-z0-9_]+"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("p") - 2), lambda i: F.flatten(F.transform(ends(F.get("p", i)), lambda a: F.transform(starts(F.get("p", i + 1)), lambda b: F.concat_ws(" ", a, b))))))
+    t = titles.withColumn("p", parts).withColumn("s", F.when(F.size("p") >= 2, F.concat(single, pairs)).otherwise(single))
+    s = t.select("doc_id", F.explode(F.array_distinct("s")).alias("x")).where(F.col("x").rlike("^[A-Z0-9&][^ ]*( [A-Z0-9&][^ ]*)?$")).select("doc_id", F.upper("x").alias("alias")).distinct()
+    return s.join(aliases, "alias").select("doc_id", "symbol").distinct()
 
 
 def news_points(titles: DataFrame, tags: DataFrame) -> DataFrame:
@@ -202,13 +233,15 @@ def news_points(titles: DataFrame, tags: DataFrame) -> DataFrame:
     return scored.join(first, "key").where("doc_id = first").groupBy("symbol").agg(F.sum("pts").alias("pts_news"))
 
 
-def board(hi: DataFrame, lo: DataFrame, prices: DataFrame, insiders: DataFrame, actions: DataFrame, security: DataFrame, news: DataFrame, days: int, bounded: bool = False) -> DataFrame:
-    """Points by signal family and their sum. All dates count back from the newest session; actions only when `bounded`.
+def board(hi: DataFrame, lo: DataFrame, prices: DataFrame, insiders: DataFrame, actions: DataFrame, security: DataFrame, news: DataFrame, sessions: int, bounded: bool = False) -> DataFrame:
+    """Points by signal family and their sum over about so many sessions, five to seven days. All dates count back from the newest session; actions only when `bounded`.
 
-    insiders: insider_disclosures(). One buy for each (symbol, person, value, quantity).
+    insiders: insider_disclosures(). One buy for each (symbol, person, value, quantity). The window's first day is read once, so that it prunes
+    every scan; without prices no dated signal counts.
     """
-    edge = F.broadcast(prices.agg(F.date_sub(F.max("as_of"), days).alias("_edge")))
-    since = lambda df, c: df.crossJoin(edge).where(F.col(c) >= F.col("_edge")).drop("_edge")
+    newest = prices.agg(F.max("as_of")).first()[0]
+    edge = F.date_sub(F.lit(newest).cast("date"), -(-sessions * 7 // 5))
+    since = lambda df, c: df.where(F.col(c) >= edge)
     rec = lambda df, n: since(df, "event_date").groupBy("symbol").agg(F.countDistinct("event_date").alias(n))
     win = since(prices.where("pct_change is not null").select("as_of", "symbol", "pct_change"), "as_of").distinct()
 
@@ -292,12 +325,28 @@ def current_facts(facts: DataFrame, units: list[str] | None = None) -> DataFrame
     return latest_per(f, ["cik", "taxonomy", "concept", "unit", "period_start", "period_end"], [F.col("filed").desc(), F.col("accn").desc(), F.col("val").desc()])
 
 
-def annual(facts: DataFrame, concepts: dict[str, list[str]], instants: dict[str, list[str]], units: list[str]) -> DataFrame:
-    """One row for each (cik, fiscal year end): durations of 340 to 380 days and instants, each a ladder of concepts, pivoted in one pass."""
+#: Measures of a fiscal year as ladders of concepts, the first that a filer reports counts: over the year, and at its end. Fixed values.
+YEAR_MEASURES = {
+    "revenue": ["Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "RevenueFromContractWithCustomerIncludingAssessedTax", "SalesRevenueNet"],
+    "gross_profit": ["GrossProfit"],
+    "operating_income": ["OperatingIncomeLoss"],
+    "net_income": ["NetIncomeLoss"],
+    "eps_diluted": ["EarningsPerShareDiluted", "EarningsPerShareBasicAndDiluted"],
+    "cash_from_ops": ["NetCashProvidedByUsedInOperatingActivities"],
+}
+END_MEASURES = {"assets": ["Assets"], "liabilities": ["Liabilities"], "equity": ["StockholdersEquity"], "cash": ["CashAndCashEquivalentsAtCarryingValue"]}
+
+
+def annual(facts: DataFrame, units: list[str], durations: dict[str, list[str]] = YEAR_MEASURES, instants: dict[str, list[str]] = END_MEASURES, source: str = "NetIncomeLoss") -> DataFrame:
+    """One row for each (cik, fiscal year end): durations of 340 to 380 days and instants, each a ladder of concepts, pivoted in one pass.
+
+    form, filed and accn tell which filings the concept `source` comes from. Years are the ends of durations; restated facts are superseded.
+    """
     cur = current_facts(facts, units)
-    pick = lambda ladder, cond: F.coalesce(*[F.max(F.when((F.col("concept") == c) & cond, F.col("val"))) for c in ladder])
     year, point = F.col("period_days").between(340, 380), F.col("period_days").isNull()
-    cols = [pick(v, year).alias(k) for k, v in concepts.items()] + [pick(v, point).alias(k) for k, v in instants.items()]
+    best = lambda c, cond, value="val": F.max(F.when((F.col("concept") == c) & cond, F.col(value)))
+    cols = [F.coalesce(*[best(c, cond) for c in v]).alias(k) for group, cond in ((durations, year), (instants, point)) for k, v in group.items()]
+    cols += [best(source, year, c).alias(c) for c in ("form", "filed", "accn")]
     return cur.where(year | point).groupBy("cik", F.col("period_end").alias("fiscal_year_end")).agg(F.max(F.when(year, 1)).alias("_y"), *cols).where("_y = 1").drop("_y")
 
 

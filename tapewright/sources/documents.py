@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import half_up
+
 FILING = ["accessionNumber", "filingDate", "reportDate", "acceptanceDateTime", "form", "items", "primaryDocument"]
 
 
@@ -97,95 +99,209 @@ def shred_xbrl(filings: DataFrame) -> DataFrame:
     return filings.select(*keys, "xml").mapInPandas(run, ", ".join(f"{c} string" for c in keys + _XBRL))
 
 
+class _Node:
+    """An element of a page: its tag, attributes, parent and content."""
+
+    __slots__ = ("tag", "attrs", "parent", "content")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: "_Node | None"):
+        self.tag, self.attrs, self.parent, self.content = tag, attrs, parent, []
+
+    def all(self, *tags: str) -> Iterator["_Node"]:
+        """Elements below with one of the tags, in the order of the page."""
+        open_ = [iter(self.content)]
+        while open_:
+            for x in open_[-1]:
+                if isinstance(x, _Node):
+                    if x.tag in tags:
+                        yield x
+                    open_.append(iter(x.content))
+                    break
+            else:
+                open_.pop()
+
+    def text(self, without: str = "") -> str:
+        """The text below, white space collapsed; `without` leaves elements of a tag out."""
+        out, open_ = [], [iter(self.content)]
+        while open_:
+            for x in open_[-1]:
+                if isinstance(x, str):
+                    out.append(x)
+                elif x.tag not in ("script", "style", without):
+                    open_.append(iter(x.content))
+                    break
+            else:
+                open_.pop()
+        return re.sub(r"\s+", " ", " ".join(out)).strip()
+
+    def has_class(self, name: str) -> bool:
+        return name in self.attrs.get("class", "").split()
+
+    def inside(self, id_: str = "", cls: str = "") -> bool:
+        """Whether an element above has the id or the class."""
+        at = self.parent
+        while at is not None:
+            if (id_ and at.attrs.get("id") == id_) or (cls and at.has_class(cls)):
+                return True
+            at = at.parent
+        return False
+
+
+#: Elements without content, and elements that a start tag closes if they are open, up to the element that holds them.
+_VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+_BLOCKS = ("p", "div", "ul", "ol", "section", "table", "h1", "h2", "h3", "h4")
+_CLOSES = {k: (("p",), ("div", "section", "td", "li")) for k in _BLOCKS} | {"li": (("li",), ("ul", "ol")), "tr": (("td", "th", "tr"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+
+
 class _Page(HTMLParser):
-    """Collects headings, links, paragraphs, list items and table rows of a page."""
+    """Builds the elements of a page; tags that stay open end with what holds them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.title, self.h1, self.paragraphs, self.links, self.items, self.tables = "", "", 0, [], [], []
-        self._in, self._cell = [], None
+        self.root = self.at = _Node("", {}, None)
+
+    def _close(self, tags: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
+        found, x = None, self.at
+        while x is not None and x.tag not in within:
+            if x.tag in tags:
+                found = x
+            x = x.parent
+        if found is not None:
+            self.at = found.parent
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("title", "h1", "script", "style", "li"):
-            self._in.append(tag)
-            if tag == "li":
-                self.items.append("")
-        elif tag == "p":
-            self.paragraphs += 1
-        elif tag == "a":
-            self.links.append(dict(attrs).get("href") or "")
-        elif tag == "table":
-            self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables and self.tables[-1]:
-            self.tables[-1][-1].append("")
-            self._cell = tag
+        if tag in _CLOSES:
+            self._close(*_CLOSES[tag])
+        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.content.append(node)
+        if tag not in _VOID:
+            self.at = node
 
     def handle_endtag(self, tag):
-        if tag in self._in:
-            while self._in and self._in.pop() != tag:
-                pass
-        if tag in ("td", "th"):
-            self._cell = None
+        x = self.at
+        while x is not None and x.tag != tag:
+            x = x.parent
+        if x is not None and x.parent is not None:
+            self.at = x.parent
 
     def handle_data(self, data):
-        top = self._in[-1] if self._in else ""
-        if top == "title":
-            self.title += data
-        elif top == "h1":
-            self.h1 += data
-        elif top == "li":
-            self.items[-1] += data
-        if self._cell and top not in ("script", "style"):
-            self.tables[-1][-1][-1] += data
-
-
-def parse_page(text: str | None) -> _Page:
+        self.at.content.append(data)
+
+
+def parse_page(text: str | None) -> _Node:
     p = _Page()
     p.feed(text or "")
     p.close()
-    return p
+    return p.root
+
+
+def grid(table: _Node) -> list[list[_Node]]:
+    """Cells of a table's rows, without those of tables inside."""
+    return [[c for c in r.content if isinstance(c, _Node) and c.tag in ("td", "th")] for r in table.all("tr")]
 
 
 def page_outline(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> title, h1, number of links and of paragraphs."""
+    """(page_id, url, html) -> title, h1, number of links and of paragraphs. A null page has none of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [parse_page(h) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "title": [g.title.strip() for g in got], "h1": [g.h1.strip() for g in got], "links": [len(g.links) for g in got], "paragraphs": [g.paragraphs for g in got]})
+            count = lambda g, tag: sum(1 for _ in g.all(tag))
+            text = lambda g, tag: " ".join(x.text() for x in g.all(tag)).strip()
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "title": [text(g, "title") for g in got], "h1": [text(g, "h1") for g in got], "links": [count(g, "a") for g in got], "paragraphs": [count(g, "p") for g in got]})
 
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, h1 string, links long, paragraphs long")
 
 
+#: Sections of a company page that hold a table by period. Fixed values of the pages.
+SECTIONS = ("profit-loss", "balance-sheet", "cash-flow", "ratios", "quarters", "shareholding")
+
+
+def _shown(text: str) -> str:
+    """A number as shown, without currency sign and thousands commas."""
+    return re.sub(r"\s+", " ", text.replace("\u20b9", "").replace("\xa0", " ").replace(",", "")).strip()
+
+
+def dossier(html_text: str | None) -> dict:
+    """A company page: name, about, website links (sorted, six at most), headline ratios, pros and cons, and the cells of its sections' tables."""
+    page = parse_page(html_text)
+    ratios, cells = {}, []
+    for li in page.all("li"):
+        if li.inside(id_="top-ratios"):
+            part = {k: next((x for x in li.all("span", "div", "b") if x.has_class(k)), None) for k in ("name", "value")}
+            if part["name"] and part["value"]:
+                ratios[part["name"].text()] = _shown(part["value"].text())
+    done = set()
+    for table in page.all("table"):
+        section = next((x for x in SECTIONS if table.inside(id_=x)), None)
+        if section is None or section in done:
+            continue
+        done.add(section)
+        rows = grid(table)
+        head = next((r for r in rows if any(c.tag == "th" for c in r)), rows[0] if rows else [])
+        periods = [c.text() for c in head]
+        for row in rows:
+            label = row[0].text().strip("+ ") if row and row is not head else ""
+            if label:
+                cells += [dict(section=section, item=label, at=i, period=periods[i], value=_shown(c.text())) for i, c in enumerate(row) if 0 < i < len(periods)]
+    name, analysis = next(page.all("h1"), None), [x for x in page.all("p", "div") if x.has_class("about") or x.inside(cls="company-profile") or x.tag == "p" and x.inside(id_="analysis")]
+    links = {a.attrs.get("href", "") for a in page.all("a") if a.inside(id_="analysis") or a.inside(cls="company-links")}
+    listed = lambda cls: [x for x in (li.text() for li in page.all("li") if li.inside(cls=cls)) if x]
+    return dict(name=name.text() if name else None, about=analysis[0].text() if analysis else None, links=sorted(x for x in links if x.startswith("http"))[:6], ratios=ratios, pros=listed("pros"), cons=listed("cons"), cells=cells)
+
+
+_DOSSIER = "id string, url string, name string, about string, links array<string>, ratios map<string,string>, pros array<string>, cons array<string>, cells array<struct<section:string,item:string,at:int,period:string,value:string>>"
+
+
 def parse_dossiers(pages: DataFrame) -> DataFrame:
-    """(id, url, html) of company pages -> ratios as a map and tables as (item, period, value) rows."""
+    """(id, url, html) of company pages -> dossier() of each; the name falls back to the id. Null pages have empty parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                p = parse_page(r["html"])
-                ratios = {c[0].strip(): c[1].strip() for t in p.tables for c in t if len(c) == 2}
-                cells = [dict(item=row[0].strip(), period=h.strip(), value=v.strip()) for t in p.tables if t and len(t[0]) > 2 for row in t[1:] for h, v in zip(t[0][1:], row[1:])]
-                out.append({"id": r["id"], "url": r["url"], "ratios": ratios, "cells": cells})
-            yield pd.DataFrame(out, columns=["id", "url", "ratios", "cells"])
+            out = [{"id": r["id"], "url": r["url"]} | dossier(r["html"]) for r in pdf.to_dict("records")]
+            yield pd.DataFrame([d | {"name": d["name"] or d["id"]} for d in out], columns=[c.split()[0] for c in _DOSSIER.replace(",string>", "").split(", ")])
 
-    return pages.select("id", "url", "html").mapInPandas(run, "id string, url string, ratios map<string,string>, cells array<struct<item:string,period:string,value:string>>")
+    return pages.select("id", "url", "html").mapInPandas(run, _DOSSIER)
 
 
 def ratio_grid(pages: DataFrame) -> DataFrame:
-    """(symbol, html) -> (symbol, key, value): two-column rows with keys up to 30 and values up to 40 characters."""
+    """(symbol, html) -> (symbol, key, value) of tables of 14 rows with two cells each, so that news lists don't count; keys up to 30 and values up to 40 characters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(r["symbol"], c[k].strip(), c[k + 1].strip()) for r in pdf.to_dict("records") for t in parse_page(r["html"]).tables for c in t for k in range(0, len(c) - 1, 2)]
-            yield pd.DataFrame([x for x in rows if 0 < len(x[1]) <= 30 and len(x[2]) <= 40], columns=["symbol", "key", "value"])
+            rows = []
+            for r in pdf.to_dict("records"):
+                for t in map(grid, parse_page(r["html"]).all("table")):
+                    if len(t) == 14 and all(len(c) == 2 for c in t):
+                        rows += [(r["symbol"], k, v) for k, v in ((a.text(), b.text()) for a, b in t) if 0 < len(k) <= 30 and 0 < len(v) <= 40 and k.lower() != "nan"]
+            yield pd.DataFrame(rows, columns=["symbol", "key", "value"])
 
     return pages.select("symbol", "html").mapInPandas(run, "symbol string, key string, value string")
 
 
+#: Columns of the table of insiders as shown, and their clean names. Fixed values of the pages.
+INSIDER_COLUMNS = {
+    "Insider Trading": "insider_trading", "Relationship": "relationship", "Date": "date", "Transaction": "transaction", "Cost": "cost", "#Shares": "num_shares", "Value ($)": "value_usd", "#Shares Total": "num_shares_total",
+}
+
+
+def insider_grid(pages: DataFrame) -> DataFrame:
+    """(symbol, html) -> rows of the first table whose heading has a column of insiders, under clean column names; numbers without commas."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                tables = ([[c.text() for c in row] for row in grid(t)] for t in parse_page(r["html"]).all("table"))
+                found = next((t for t in tables if t and "Insider Trading" in t[0]), [[]])
+                for row in found[1:]:
+                    got = {INSIDER_COLUMNS[h]: v for h, v in zip(found[0], row) if h in INSIDER_COLUMNS}
+                    rows.append({"symbol": r["symbol"]} | {k: v.replace(",", "") if k in ("cost", "num_shares", "value_usd", "num_shares_total") else v for k, v in got.items()})
+            yield pd.DataFrame(rows, columns=["symbol", *INSIDER_COLUMNS.values()]).astype(object).where(lambda x: x.notna(), None)
+
+    return pages.select("symbol", "html").mapInPandas(run, ", ".join(f"{c} string" for c in ["symbol", *INSIDER_COLUMNS.values()]))
+
+
 def news_items(xml: str) -> list[dict]:
     """Sitemap <url>, RSS <item> and Atom <entry> as dictionaries; a document that doesn't parse gives none."""
     try:
@@ -195,56 +311,101 @@ def news_items(xml: str) -> list[dict]:
     out = []
     for e in root.iter():
         if _local(e.tag) in ("url", "item", "entry"):
-            got = {}
+            got, image, amp = {}, None, None
             for x in e.iter():
-                got.setdefault(_local(x.tag), (x.text or x.get("href") or "").strip())
+                kind, value = _local(x.tag), (x.text or x.get("href") or "").strip()
+                if kind == "loc" and "image" in x.tag.split("}")[0]:
+                    image = image or value
+                elif kind == "link" and x.get("rel") == "amphtml":
+                    amp = amp or x.get("href")
+                else:
+                    got.setdefault(kind, value)
             link = got.get("loc") or got.get("link") or ""
-            path = re.sub(r"^[a-z]+://[^/]+/", "", link).split("/")
+            path = [p for p in re.sub(r"[?#].*$", "", re.sub(r"^[a-z]+://[^/]+/?", "", link)).split("/") if p]
             story = re.search(r"(\d{8,})(?:\.html?)?$", link)
-            clean = lambda x: html.unescape(html.unescape(x)) if x else None
-            out.append(dict(link=link or None, title=clean(got.get("title")), description=clean(got.get("description")), published=got.get("publication_date") or got.get("pubDate") or got.get("published") or None, lastmod=got.get("lastmod") or got.get("updated") or None, section=path[0] if len(path) > 1 else None, subsection=path[1] if len(path) > 2 else None, story_id=story[1] if story else None))
+            clean = lambda x: re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", html.unescape(html.unescape(x)))).strip() if x else None
+            enclosure = next((x.get("url") for x in e.iter() if _local(x.tag) in ("enclosure", "thumbnail", "content") and x.get("url")), None)
+            out.append(dict(link=link or None, title=clean(got.get("title")), description=clean(got.get("description") or got.get("summary")), published=got.get("publication_date") or got.get("pubDate") or got.get("published") or None, lastmod=got.get("lastmod") or got.get("updated") or None, section=path[0] if len(path) > 1 else None, subsection=path[1] if len(path) > 2 else None, story_id=story[1] if story else None, keywords=clean(got.get("keywords")), language=got.get("language") or None, image_url=image or enclosure, amp_url=amp))
     return out
 
 
+_NEWS = ["file", "link", "title", "description", "published", "lastmod", "section", "subsection", "story_id", "keywords", "language", "image_url", "amp_url"]
+
+
+def _stamp(c: str):
+    """A time of a feed: ISO with or without zone, or as mail headers have it; null otherwise."""
+    mail = F.regexp_replace(F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", ""), r"\b(GMT|UTC|UT|Z)$", "+0000")
+    return F.coalesce(F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.trim(c))), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")))
+
+
 def parse_news(files: DataFrame) -> DataFrame:
-    """(file, xml) -> articles with section, subsection and story id from the link."""
-    cols = ["file", "link", "title", "description", "published", "lastmod", "section", "subsection", "story_id"]
+    """(file, xml) -> articles with section, subsection and story id from the link; published and lastmod are timestamps, null if they don't parse."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([{"file": r["file"]} | a for r in pdf.to_dict("records") for a in news_items(r["xml"] or "")], columns=cols)
+            yield pd.DataFrame([{"file": r["file"]} | a for r in pdf.to_dict("records") for a in news_items(r["xml"] or "")], columns=_NEWS)
 
-    return files.select("file", "xml").mapInPandas(run, ", ".join(f"{c} string" for c in cols))
+    rows = files.select("file", "xml").mapInPandas(run, ", ".join(f"{c} string" for c in _NEWS))
+    return rows.withColumns({"published": _stamp("published"), "lastmod": _stamp("lastmod")})
 
 
 def trade_rows(pages: DataFrame) -> DataFrame:
-    """(symbol, html) of trade pages: month headings carried down to the rows below; the sign of the quantity tells the side."""
+    """(symbol, html) of trade pages -> (symbol, at, date, person, category, txn_type, qty, avg_price, value_lacs).
+
+    Only the table of trades counts (the first below the element trades-insider-trades, or a page's only table). A row of one cell names the month of
+    the rows below, as its first day; one that isn't a month makes it unknown. The sign of the quantity tells the side; without a quantity it is unknown.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
-                at = 0
-                for t in parse_page(r["html"]).tables:
-                    for c in t:
-                        cells = [x.strip() for x in c]
-                        rows.append((r["symbol"], at, cells[0] if len(cells) == 1 else None, cells[0] if len(cells) > 2 else None, cells[1] if len(cells) > 2 else None, cells[2] if len(cells) > 2 else None))
-                        at += 1
-            yield pd.DataFrame(rows, columns=["symbol", "at", "month", "person", "qty", "value"])
-
-    from pyspark.sql import Window as W
-
-    t = pages.select("symbol", "html").mapInPandas(run, "symbol string, at long, month string, person string, qty string, value string")
-    w = W.partitionBy("symbol").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    n = F.regexp_replace("qty", ",", "").try_cast("double")
-    t = t.withColumn("month", F.last("month", ignorenulls=True).over(w)).where("person is not null")
-    return t.select("symbol", "at", "month", "person", F.abs(n).alias("qty"), F.when(n < 0, "Sell").otherwise("Buy").alias("side"), F.regexp_replace("value", ",", "").try_cast("double").alias("value"))
-
-
-def dossier_changes(cells: DataFrame) -> DataFrame:
-    """(id, item, period_date, value) -> for each holder: latest, change on the quarter before and over the whole span."""
-    num = F.regexp_extract("value", r"-?[0-9][0-9,]*\.?[0-9]*", 0)
-    t = cells.withColumn("v", F.regexp_replace(num, ",", "").try_cast("double")).where("v is not null")
-    agg = t.groupBy("id", "item").agg(F.max_by("v", "period_date").alias("latest"), F.min_by("v", "period_date").alias("first"), F.sort_array(F.collect_list(F.struct("period_date", "v")), asc=False).alias("h"), F.min("period_date").alias("first_period"), F.max("period_date").alias("last_period"))
-    prev = F.get("h", F.lit(1))["v"]
-    return agg.select("id", "item", "latest", F.round(F.col("latest") - prev, 2).alias("change_quarter"), F.round(F.col("latest") - F.col("first"), 2).alias("change_span"), "first_period", "last_period")
+                tables = list(parse_page(r["html"]).all("table"))
+                named = [t for t in tables if t.inside(id_="trades-insider-trades")]
+                month = None
+                for at, c in enumerate(grid((named or tables)[0]) if named or len(tables) == 1 else []):
+                    if len(c) == 1:
+                        month = c[0].text()
+                    elif len(c) >= 4 and not all(x.tag == "th" for x in c):
+                        span = next(c[0].all("span"), None)
+                        rows.append((r["symbol"], at, month, c[0].text("span"), span.text() if span else None, *[x.text() for x in c[1:4]]))
+            yield pd.DataFrame(rows, columns=["symbol", "at", "month", "person", "category", "qty", "avg_price", "value_lacs"])
+
+    t = pages.select("symbol", "html").mapInPandas(run, "symbol string, at long, month string, person string, category string, qty string, avg_price string, value_lacs string")
+    num = lambda c: F.regexp_extract(F.regexp_replace(c, ",", ""), r"-?[0-9]+(\.[0-9]+)?", 0).try_cast("double")
+    side = F.when(num("qty") >= 0, "Buy").when(num("qty") < 0, "Sell")
+    return t.select("symbol", "at", F.try_to_date("month", "MMM yyyy").alias("date"), "person", F.nullif("category", F.lit("")).alias("category"), side.alias("txn_type"), num("qty").alias("qty"), num("avg_price").alias("avg_price"), num("value_lacs").alias("value_lacs"))
+
+
+def shown_number(c) -> F.Column:
+    """The first number in a shown value; null without one."""
+    return F.regexp_extract(F.regexp_replace(c, ",", ""), r"-?[0-9]+(\.[0-9]+)?", 0).try_cast("double")
+
+
+#: Holders of a company page's shareholding section, by short name. Fixed values of the pages.
+HOLDERS = {"promoter": "Promoters", "fii": "FIIs", "dii": "DIIs", "public": "Public"}
+
+
+def dossier_drilldown(dossiers: DataFrame) -> DataFrame:
+    """Of parse_dossiers(), one row for each: market capitalisation as shown, price, high, low, ratio of price to earnings, earnings (price / ratio,
+    one digit), each holder's latest share with its change on the period before and over the whole span, and the first and last period.
+
+    Periods follow the order of their columns. Values without a number don't count.
+    """
+    ratio = lambda name: F.try_element_at("ratios", F.lit(name))
+    half = F.split(F.coalesce(ratio("High / Low"), F.lit("")), "/")
+    held = F.filter("cells", lambda c: c["section"] == "shareholding")
+    values = {k: F.filter(F.transform(F.array_sort(F.transform(F.filter(held, lambda c: c["item"] == item), lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value")))), lambda c: shown_number(c["value"])), lambda v: v.isNotNull()) for k, item in HOLDERS.items()}  # noqa: B023
+    periods = F.array_sort(F.array_distinct(F.transform(held, lambda c: F.struct(c["at"].alias("at"), c["period"].alias("period")))))
+    t = dossiers.select(
+        F.col("id").alias("symbol"), F.col("name").alias("company_name"), F.nullif(F.trim(F.regexp_replace(F.replace(F.coalesce(ratio("Market Cap"), F.lit("")), F.lit("\u20b9"), F.lit("")), r"\s+", " ")), F.lit("")).alias("market_cap"),
+        shown_number(ratio("Current Price")).alias("current_price"), shown_number(half[0]).alias("high"), shown_number(F.get(half, F.lit(1))).alias("low"), shown_number(ratio("Stock P/E")).alias("stock_pe"), *[v.alias(k) for k, v in values.items()], periods.alias("p"),
+    )
+    at = lambda k, i: F.try_element_at(k, F.lit(i))
+    both = lambda x, y: half_up(x - y, 2)
+    pe = F.nullif("stock_pe", F.lit(0.0))
+    return t.select(
+        "symbol", "company_name", "market_cap", "current_price", "high", "low", "stock_pe", half_up(F.try_divide("current_price", pe), 1).alias("eps"), at("promoter", -1).alias("promoter_pct"),
+        both(at("promoter", -1), at("promoter", -2)).alias("promoter_change"), both(at("promoter", -1), at("promoter", 1)).alias("promoter_change_3yr"), both(at("fii", -1), at("fii", -2)).alias("fii_change"), both(at("dii", -1), at("dii", -2)).alias("dii_change"),
+        at("public", -1).alias("public_pct"), at("p", -1)["period"].alias("as_of"), at("p", 1)["period"].alias("since"),
+    )

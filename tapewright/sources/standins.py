@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 PURPOSES = [
     "DIVIDEND - RS 2 PER SHARE", "INTEREST PAYMENT", "FACE VALUE SPLIT FROM RS 10 TO RS 2", "BONUS 1:1", "RIGHTS 3:10", "BUYBACK",
-    "ANNUAL GENERAL MEETING", "SCHEME OF ARRANGEMENT", "BUY BACK OF SHARES", "SPDV - RS 4", "RECORD DATE", "FVSPLT SUB-DIVISION",
+    "ANNUAL GENERAL MEETING", "SCHEME OF ARRANGEMENT", "BUY BACK OF SHARES", "SPDV - RS 4", "RECORD DATE", "INTDIV - RS 1",
 ]
 ITEM_CODES = ["1.01", "2.02", "5.02", "7.01", "8.01", "9.01", "4.02", "2.05", "3.99"]
 PLAN_TEXTS = ["1", "0", "true", "false", ""]
 DIMS = ["promoter", "fii", "dii"]
+CONCEPTS = [
+    "Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "RevenueFromContractWithCustomerIncludingAssessedTax", "SalesRevenueNet", "GrossProfit", "OperatingIncomeLoss", "NetIncomeLoss", "EarningsPerShareDiluted",
+    "EarningsPerShareBasicAndDiluted", "NetCashProvidedByUsedInOperatingActivities", "Assets", "Liabilities", "StockholdersEquity", "CashAndCashEquivalentsAtCarryingValue",
+]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -87,7 +91,7 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").where("o_totalprice is not null")
     q = F.to_date(F.date_trunc("quarter", "o_orderdate"))
     y = F.to_date(F.date_trunc("year", "o_orderdate"))
-    base = [F.col("o_custkey").alias("cik"), F.lit("us-gaap").alias("taxonomy"), F.col("o_orderpriority").alias("concept"), F.when(F.col("o_orderkey") % 11 == 0, "EUR").otherwise("USD").alias("unit")]
+    base = [F.col("o_custkey").alias("cik"), F.lit("us-gaap").alias("taxonomy"), _pick(CONCEPTS, (F.floor(F.col("o_orderkey") / 4) % len(CONCEPTS)).cast("int")).alias("concept"), F.when(F.col("o_orderkey") % 11 == 0, "EUR").otherwise("USD").alias("unit")]
     rest = [F.col("o_totalprice").alias("val"), F.to_date("o_orderdate").alias("filed"), F.lit("10-K").alias("form"), F.col("o_orderkey").cast("string").alias("accn")]
     quarter = o.select(*base, q.alias("period_start"), F.date_sub(F.add_months(q, 3), 1).alias("period_end"), *rest)
     year = o.where("o_orderkey % 3 = 0").select(*base, y.alias("period_start"), F.date_sub(F.add_months(y, 12), 1).alias("period_end"), *rest)
@@ -185,5 +189,6 @@ def headlines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def brands(spark: SparkSession, sf: str) -> DataFrame:
-    """Names that headlines may mention: the first words of test items; the symbol is the item."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("symbol"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[.,\n]", " ").alias("name"))
+    """A master of names that headlines may mention, (symbol, series, company_name): the texts of test items; one in six is no equity."""
+    k = F.col("item_id")
+    return table(spark, sf, "benchmark").select(F.concat(F.lit("B"), k.cast("string")).alias("symbol"), F.when(k % 6 == 0, "BE").otherwise("EQ").alias("series"), F.coalesce("text", F.lit("")).alias("company_name"))
