@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ MOST = 208
 _STEP = np.array([[abs(a - b) if abs(a - b) < 3 else 6 for b in range(4)] for a in range(4)])
 #: Bytes hashed at a time.
 PIECE = 1 << 20
+#: Bytes of texts in a range of neighbours, and ids sampled a range to cut them.
+RANGE_BYTES, SAMPLED = 64 << 20, 50
 
 
 def counts(data: bytes) -> np.ndarray:
@@ -70,24 +73,36 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
     return docs.withColumn(out, make(F.col(text)))
 
 
-def neighbours(docs: DataFrame, ranges: int = 256) -> DataFrame:
+def cuts_of(ids: DataFrame, ranges: int) -> np.ndarray:
+    """Ids that cut ids(doc_id) into about so many even ranges, ascending: quantiles of a sample of about SAMPLED ids a range. They set the balance alone."""
+    rows = ids.where("doc_id is not null")
+    n = rows.count()
+    if ranges < 2 or not n:
+        return np.empty(0, np.int64)
+    some = rows.select("doc_id") if n <= SAMPLED * ranges else rows.select("doc_id").sample(fraction=SAMPLED * ranges / n, seed=1)
+    found = np.sort(some.toArrow().column(0).to_numpy().astype(np.int64))
+    return np.unique(found[np.arange(1, ranges) * len(found) // ranges]) if len(found) else found
+
+
+def neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs(doc_id, text) in descending order of doc_id, dealt into ranges that each end with the first row of the next.
 
     Gives (part, doc_id, text, extra): `extra` marks those repeated first rows; the last range ends with the first of all. Within a
-    part, rows follow the order doc_id descending, null last, equal ids by the text's md5, extra rows last.
+    part, rows follow the order doc_id descending, null last, equal ids by the text's md5, extra rows last. The number of ranges follows
+    the bytes of the texts; rows of one id, and those without, stay in one range.
     """
+    spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("m"))
-    ids = d.select("doc_id", "m")
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10000).alias("c")).first()["c"] or []
-    cuts = sorted({int(c) for c in cuts})
+    size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    cuts = cuts_of(docs.select("doc_id"), max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // range_bytes)))
+    held = spark.sparkContext.broadcast(cuts)
     # Ids above the k-th highest cut lie in part k; a row of the null id lies in the last.
-    part = lambda c: F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(x) for x in cuts]).cast("array<long>"), lambda x: x < c)) if cuts else F.lit(0)
-    placed = d.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(part(F.col("doc_id"))).cast("int"))
+    part = F.pandas_udf(lambda c: pd.Series(len(held.value) - np.searchsorted(held.value, c.to_numpy(np.int64), side="left")), "long")
+    placed = d.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(part(F.coalesce("doc_id", F.lit(0)))).cast("int"))
     heads = placed.groupBy("part").agg(F.min(F.struct(F.expr("-doc_id").alias("o"), "m")).alias("h")).select("part", "h.o", "h.m").orderBy("part").collect()
     if not heads:
         return placed.withColumn("extra", F.lit(False)).select("part", "doc_id", "text", "m", "extra")
     to = {h["part"]: heads[k - 1]["part"] for k, h in enumerate(heads)}  # the first range's head ends the last range
-    spark = docs.sparkSession
     table = spark.createDataFrame([(h["part"], None if h["o"] is None else -h["o"], h["m"], to[h["part"]]) for h in heads], "p int, d long, hm string, before int")
     extra = placed.join(F.broadcast(table), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("m") == F.col("hm")))  # one row a range
     extra = extra.groupBy("before", "doc_id", "m").agg(F.first("text").alias("text")).select(F.col("before").alias("part"), "doc_id", "text", "m", F.lit(True).alias("extra"))

@@ -348,7 +348,11 @@ def test_digest_counts_and_likeness(monkeypatch):
     assert likeness(a, a) == 1 and likeness(a, b) == likeness(b, a) and likeness(a, b) > likeness(a, digest("0123456789" * 40)) and len(digest("")) == 66
 
 
-def test_edited_texts_equal_brute_force(spark):
+@pytest.mark.parametrize("sampled", [50, 1])
+def test_edited_texts_equal_brute_force(spark, monkeypatch, sampled):
+    from tapewright.llm import byte_digest
+
+    monkeypatch.setattr(byte_digest, "SAMPLED", sampled)
     rows = [(r[0], r[1] or "") for r in odd_rows() if r[0] is not None] + [(k, "ü" * k + "body %d" % k) for k in range(20, 60)]
     docs = odd_docs(spark, [(i, t, None, None, None) for i, t in rows])
     order = sorted(rows, key=lambda r: (-r[0], hashlib.md5(r[1].encode()).hexdigest()))
