@@ -180,7 +180,7 @@ def disclosing(found: DataFrame, docs: DataFrame, generalise_at: float, remove_a
     terms = materialise(n_et.select("t").distinct(), "terms")
     held = None
     if terms.count() <= BROADCAST_TERMS:
-        held = docs.sparkSession.sparkContext.broadcast(np.sort(terms.toPandas()["t"].to_numpy(np.int64)))
+        held = docs.sparkSession.sparkContext.broadcast(np.sort(terms.toArrow().column(0).to_numpy()))
     n_t = docs.select("text").mapInArrow(_term_counts(held), "t long, n long").join(small(terms), "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
     pmi = F.log(F.col("n_et") * F.lit(float(max(total, 1))) / (F.col("n_e") * F.col("n_t")))
@@ -194,7 +194,8 @@ def find_personal_data(docs: DataFrame, window: int = WINDOW, generalise_at: flo
     Spans stand by kind as in KINDS, then start, in code points, the end exclusive. Base kinds are matches of their patterns that pass their checks;
     a failing match is dropped without another try inside it; kinds may overlap each other. Added spans are terms, never overlapping a base span;
     a term that several entities call for is removed if any removes it. Null and empty texts have no spans but count as documents.
-    Repeated rows count as documents each and carry the same spans. Rows with a null doc_id come out as they are. Other columns are ignored.
+    Repeated rows count as documents each and carry the same spans. Rows with a null doc_id come out as they are. Texts of any length are
+    searched whole; a term that ties with a threshold reaches it. Other columns are ignored. Empty input gives no rows.
     """
     d = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     scan = "doc_id long, h long, base array<struct<kind:int,start:int,end:int>>, entities array<long>, near array<struct<e:long,t:long,start:int,end:int>>"

@@ -208,6 +208,61 @@ def test_disclosing_terms(spark):
     assert pii.find_personal_data(docs).count() == docs.count() and pii.find_personal_data(empty_docs(spark)).count() == 0
 
 
+def brute_disclosure(texts, window=8, generalise_at=0.8, remove_at=0.95):
+    """Spans that the method adds to each text, from document counts by plain loops."""
+    punct = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    low = lambda w: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+    near, ents, has = [], [], []
+    for t in texts:
+        words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        spans = pii.base_spans(t)
+        touched = {k for k, (x, y) in enumerate(words) for _, a, b in spans if x < b and y > a}
+        found = {}
+        for kind, a, b in spans:
+            e = (kind, "".join(c for c in t[a:b] if c.isdigit()) if kind > 1 else low(t[a:b]))
+            first = min(k for k in range(len(words) + 1) if k == len(words) or words[k][1] > a)
+            last = min(k for k in range(len(words) + 1) if k == len(words) or words[k][0] >= b)
+            for k in [*range(max(0, first - window), first), *range(last, min(len(words), last + window))]:
+                w = t[words[k][0] : words[k][1]]
+                if k not in touched and w.strip(punct):
+                    x = words[k][0] + len(w) - len(w.lstrip(punct))
+                    found.setdefault((e, low(w.strip(punct))), set()).add((x, x + len(w.strip(punct))))
+        near.append(found)
+        ents.append({(kind, "".join(c for c in t[a:b] if c.isdigit()) if kind > 1 else low(t[a:b])) for kind, a, b in spans})
+        has.append({low(w).strip(punct) for w in re.findall(r"[^\x20\x09-\x0D]+", t)} - {""})
+    n_e, n_t, n_et = Counter(e for s in ents for e in s), Counter(w for s in has for w in s), Counter(p for f in near for p in f)
+    out = []
+    for found in near:
+        kinds = {}
+        for (e, w), places in found.items():
+            ic = math.log(len(texts) / n_e[e])
+            told = math.log(n_et[e, w] * len(texts) / (n_e[e] * n_t[w])) / ic if ic > 0 else 0
+            if told >= generalise_at - 1e-12:
+                for x in places:
+                    kinds[x] = max(kinds.get(x, 4), 5 if told >= remove_at - 1e-12 else 4)
+        out.append(sorted((k, x, y) for (x, y), k in kinds.items()))
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    """Several entities, names and common words at random; a long text and repeated rows among them."""
+    rng = np.random.default_rng(8)
+    names, common = [f"Name{k}" for k in range(25)], ["the", "meeting", "(with)", "about", "at", "Noon,", "please", "call", "write"]
+    texts = []
+    for _ in range(150):
+        words = list(rng.choice(common, rng.integers(4, 25)))
+        for _ in range(rng.integers(0, 3)):
+            k = int(rng.integers(0, 12))
+            at = int(rng.integers(0, len(words)))
+            words[at:at] = [names[k] if rng.random() < 0.8 else names[int(rng.integers(25))], f"P{k}@mail{k % 3}.org" if k % 2 else f"10.0.{k}.7"]
+        texts.append(" ".join(words))
+    texts += [texts[3], texts[3], "", " ".join([*["filler"] * 30_000, "Name1 p1@mail1.org", *["filler"] * 30_000])]
+    out = {r.doc_id: r.spans for r in pii.find_personal_data(odd_docs(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])).collect()}
+    got = [[(pii.KINDS.index(s.kind), s.start, s.end) for s in out[k] if s.kind in pii.KINDS[4:]] for k in range(len(texts))]
+    want = brute_disclosure(texts)
+    assert got == want and sum(map(len, want)) > 40 and {k for w in want for k, _, _ in w} == {4, 5}
+
+
 def test_terms_of_entities_seen_once_or_twice(spark):
     """A name beside an address of one or two documents goes; words that many documents have stay."""
     rows = [(0, "please ask Quimby about the meeting at q@mail.org today", "en", "s", 0)] + [(k, "please ask Zamora about the meeting at 10.1.2.3 today", "en", "s", 0) for k in (1, 2)]
