@@ -22,19 +22,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected, fresh, gram_hashes, materialise, slices, small, split_words, texts_of
+from .common import connected, fresh, gram_hashes, hashed_words, materialise, slices, small, texts_of
 
 SKETCH = 160
 #: Standard deviations below the mean overlap of sketches at the threshold that still count as a candidate.
 Z = 4.0
 
 
-def shingle_set(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes; fewer words than `size` make one shingle, none make none."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
-    return np.unique(gram_hashes(h, min(size, len(h))))
+def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; fewer words than `size` make one shingle, none make none."""
+    words, counts = hashed_words(texts)
+    ends = np.cumsum(counts)
+    return [np.unique(gram_hashes(words[z - n : z], min(size, int(n)))) if n else np.empty(0, np.uint64) for n, z in zip(counts, ends)]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -79,9 +78,8 @@ def similar(a: Column, b: Column, n: Column, m: Column, percent: int, k: int) ->
 
 def _sketches(size: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in slices(batches):
-            sets = [shingle_set(split_words(t), size, hashes) for t in texts_of(batch, "text")]
+            sets = shingle_sets(texts_of(batch, "text"), size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), _lists([s[:k] for s in sets])],
                 ["doc_id", "n_shingles", "node", "sketch"],
@@ -92,9 +90,8 @@ def _sketches(size: int, k: int):
 
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in slices(batches):
-            sets = [shingle_set(split_words(t), size, hashes) for t in texts_of(batch, "text")]
+            sets = shingle_sets(texts_of(batch, "text"), size)
             yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), _lists(sets)], ["node", "full"])
 
     return run
