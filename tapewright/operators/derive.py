@@ -106,3 +106,8 @@ def manager_index(rows: DataFrame) -> DataFrame:
     spelt = latest_per(rows.groupBy("code", "manager").count(), ["code"], [F.col("count").desc(), F.col("manager")]).select("code", F.col("manager").alias("name"))
     per = rows.groupBy("code").agg(F.array_join(F.sort_array(F.collect_set("house")), ", ").alias("houses"), F.countDistinct("scheme").alias("schemes"), F.countDistinct("stock").alias("stocks"))
     return per.join(spelt, "code")
+
+
+def fund_managers(rows: DataFrame) -> DataFrame:
+    """Every spelling of a manager's name under a code, with how many holdings carry it."""
+    return rows.groupBy("code", F.col("manager").alias("name")).agg(F.count("*").alias("holdings"))

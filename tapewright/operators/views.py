@@ -198,3 +198,8 @@ def filing_list(raw: DataFrame) -> DataFrame:
 def holding_facts(raw: DataFrame) -> DataFrame:
     """Shareholding facts of shredded filings, as filed; rows without a value go, and what several days' files repeat counts once."""
     return raw.where("value is not null and filing_type = 'shareholding'").drop("filing_type").distinct()
+
+
+def promoter_history(store: DataFrame) -> DataFrame:
+    """Promoters' and public shares by quarter of the companies that have a symbol."""
+    return store.where("symbol is not null").select("symbol", "company", "as_on_date", "promoter_pct", "public_pct", "employee_trust_pct", "status", "submission_date")

@@ -314,6 +314,14 @@ def shareholding_quarters(s, d):
     return A.shareholding_store(A.shareholding_index(_shp_index(s, d)), bridge).select("symbol", "company_key", "as_on_date", "promoter_pct", "public_pct", "submission_date", "xbrl_url")
 
 
+@query("""select 'S' || o_custkey::varchar as symbol, 'Company ' || o_custkey::varchar || case when o_custkey % 2 = 0 then ' Limited' else ' Pvt. Ltd' end as company, q as as_on_date, o_custkey * 1000.0::double as promoter_pct, case when o_orderstatus <> 'P' then o_orderdate::date end as submission_date
+  from (select *, date_trunc('quarter', o_orderdate)::date as q from orders where o_custkey % 3 > 0) qualify row_number() over (partition by o_custkey, q order by case when o_orderstatus <> 'P' then o_orderdate::date end desc nulls last, lpad(o_orderkey::varchar, 12, '0') desc) = 1""")
+def promoter_history(s, d):
+    c = S.table(s, d, "customer").where("c_custkey % 3 > 0")
+    bridge = c.select(D.name_key(_joined("Company ", F.col("c_custkey"))).alias("key"), _joined("S", F.col("c_custkey")).alias("symbol"))
+    return V.promoter_history(A.shareholding_store(A.shareholding_index(_shp_index(s, d)), bridge)).select("symbol", "company", "as_on_date", "promoter_pct", "submission_date")
+
+
 # ---- A2, A4, A14 to A16, B6, B7, J2: readers, ledgers and streams
 
 
@@ -360,3 +368,87 @@ def news_dedup_stream(s, d):
     src = s.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(_joined("u", F.col("user_id")).alias("link"), F.col("ts").alias("published"))
     J.dedup_news(src, late="4000 days").writeStream.format("parquet").option("path", store).option("checkpointLocation", scratch(s, "news-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return s.read.schema("link string, published timestamp").parquet(store).select("link", F.lit(True).alias("seen"))
+
+
+def _as_lines(df, sep, root, head):
+    """Files of separated lines under a stated header, with a disclaimer before it and a summary after the rows."""
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    df.select(F.concat_ws(sep, *cols).alias("value")).write.text(root)
+    df.sparkSession.createDataFrame([(x,) for x in head], "value string").coalesce(1).write.mode("append").text(root)
+
+
+@query("select o_orderkey::varchar as o_orderkey, o_orderstatus from orders")
+def scan_csv_skip(s, d):
+    """Rows beside a file of disclaimer and header lines."""
+    root = scratch(s, "skip")
+    _as_lines(S.table(s, d, "orders").select("o_orderkey", "o_orderstatus"), ",", root, ["Disclaimer, as is", "ORDER,STATUS", "end of report"])
+    return R.scan_csv_skip(s, f"{root}/*.txt", ["o_orderkey", "o_orderstatus"], "try_cast(o_orderkey as bigint) is not null").select("o_orderkey", "o_orderstatus")
+
+
+@query("select symbol, as_of, close from bars union all select symbol, as_of, close from bars")
+def optional_source(s, d):
+    """Two stores of which there is one, and a CSV feed beside one that is absent."""
+    root, feed = scratch(s, "there"), scratch(s, "feed")
+    S.bars(s, d).select("symbol", "as_of", "close").write.parquet(root)
+    S.bars(s, d).select("symbol", "as_of", F.col("close").cast("string").alias("close")).write.option("header", True).csv(feed)
+    shape = "symbol string, as_of date, close double"
+    out = R.optional_source(s, root, shape).unionByName(R.optional_source(s, f"{root}-gone", shape))
+    return out.unionByName(R.optional_source(s, f"{feed}/*.csv", shape, R.scan_csv_glob)).unionByName(R.optional_source(s, f"{feed}-gone/*.csv", shape, R.scan_csv_glob))
+
+
+@query("select as_of, symbol, short_volume, total_volume from sv")
+def scan_short_volume(s, d):
+    root = scratch(s, "short-volume")
+    v = S.short_volume(s, d).select(F.date_format("as_of", "yyyyMMdd").alias("Date"), F.col("symbol").alias("Symbol"), F.col("short_volume").alias("ShortVolume"), F.lit("0").alias("ShortExemptVolume"), F.col("total_volume").alias("TotalVolume"), F.lit("Q").alias("Market"))
+    v.write.option("header", True).option("sep", "|").csv(root)
+    return R.scan_short_volume(s, f"{root}/*.csv").select("as_of", "symbol", "short_volume", "total_volume")
+
+
+@query("select symbol, settlement_date::varchar as settlement_date, short_interest from si where short_interest is not null")
+def scan_short_interest(s, d):
+    """Of a feed that lacks most columns, those it has."""
+    root = scratch(s, "short-interest")
+    si = S.short_interest(s, d).where("short_interest is not null")
+    si.select(F.col("symbol").alias("symbolCode"), F.col("settlement_date").alias("settlementDate"), F.col("short_interest").cast("decimal(20,2)").cast("string").alias("currentShortPositionQuantity")).write.option("header", True).option("sep", "|").csv(root)
+    df, missing = R.scan_short_interest(s, f"{root}/*.csv")
+    return df.select("symbol", "settlement_date", F.col("short_interest").cast("double").alias("short_interest")) if "issueName" in missing else df
+
+
+@query("select symbol, as_of, (floor(open * 100))::double as open, (floor(close * 100))::double as close from bars")
+def normalise_bars(s, d):
+    """Bars of a job in fixed-point prices."""
+    b = S.bars(s, d)
+    px = lambda c: (F.floor(F.col(c) * 100).cast("decimal(20,0)") * 1000000000).cast("decimal(30,0)").cast("string").alias(c)
+    raw = b.select("symbol", F.concat(F.date_format("as_of", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("ts_event"), px("open"), F.lit("0").alias("high"), F.lit("0").alias("low"), px("close"), F.lit("1").alias("volume"), F.lit("3").alias("instrument_id"))
+    out = R.normalise_bars(raw, "set", "job", True)
+    return out.select("symbol", "as_of", F.round("open", 0).alias("open"), F.round("close", 0).alias("close"))
+
+
+@query("select as_of, symbol, open, close from bars")
+def wide_bars_to_long(s, d):
+    """Days with a column for each symbol and field, and back."""
+    b = S.bars(s, d)
+    names = [f"Brand#{k}" for k in range(1, 56)]  # the brands there can be
+    pick = lambda n, f: F.max(F.when(F.col("symbol") == n, F.col(f))).alias(f"{n}_{f}")
+    wide = b.groupBy("as_of").agg(*[pick(n, f) for n in names for f in ("open", "close")])
+    return R.wide_to_long(wide, "as_of", ["open", "close"]).select("as_of", "symbol", "open", "close")
+
+
+@query("select 'Brand#' || (user_id % 25 + 1)::varchar as symbol, 'Company ' || user_id::varchar as company, 'u' || event_id::varchar || '.xml' as url from events where event_id % 3 > 0")
+def scan_index_csv(s, d):
+    """An index whose headers hold line feeds; rows without an XML document go."""
+    root, e = scratch(s, "index"), S.table(s, d, "events")
+    url = _joined("u", F.col("event_id"), F.when(F.col("event_id") % 3 > 0, ".xml").otherwise(".pdf"))
+    e.select(_joined("Brand#", F.col("user_id") % 25 + 1).alias("SYMBOL \n"), _joined("Company ", F.col("user_id")).alias("COMPANY\nNAME"), url.alias("XBRL\nLINK")).write.option("header", True).option("quoteAll", True).csv(root)
+    return R.scan_index_csv(s, f"{root}/*.csv", {"symbol": "symbol", "company": "company", "url": "xbrl"}).select("symbol", "company", "url")
+
+
+@query("select n_nationkey::integer as fincode, n_name as name from nation")
+def scan_json_docs(s, d):
+    """A JSON document for each region with its nations, and one that is broken."""
+    root = scratch(s, "json")
+    n = S.table(s, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").cast("int").alias("fincode"), F.col("n_name").alias("name"))).alias("stock_data"))
+    docs = n.select(F.col("n_regionkey").alias("k"), F.to_json(F.struct("stock_data")).alias("value")).unionByName(s.createDataFrame([(-1, "{broken")], "k long, value string"))
+    docs.repartition("k").write.partitionBy("k").text(root)
+    out = R.scan_json_docs(s, f"{root}/*/*.txt", "struct<stock_data: array<struct<fincode: int, name: string>>>")
+    return out.select(F.inline("stock_data"))

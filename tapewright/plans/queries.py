@@ -21,16 +21,16 @@ from .registry import query
 # ---- views over stand-ins
 
 
-def _hi(s, d):
-    return V.record_events(S.extremes(s, d, True))
+def _hi(s, d, b=None):
+    return V.record_events(S.extremes(s, d, True, b))
 
 
-def _lo(s, d):
-    return V.record_events(S.extremes(s, d, False))
+def _lo(s, d, b=None):
+    return V.record_events(S.extremes(s, d, False, b))
 
 
-def _px(s, d):
-    return V.session_prices(S.bars(s, d))
+def _px(s, d, b=None):
+    return V.session_prices(S.bars(s, d) if b is None else b)
 
 
 def _sec(s, d):
@@ -128,11 +128,6 @@ def circuit(s, d):
     return _circuit(s, d)
 
 
-@query("select symbol, report_date, category, floor(pct * 100 + 0.5) / 100 as pct from shp")
-def promoter_history(s, d):
-    return S.shareholding(s, d).select("symbol", "report_date", "category", half_up("pct", 2).alias("pct"))
-
-
 @query("select * from eav")
 def insider_facts(s, d):
     return S.eav(s, d)
@@ -307,12 +302,14 @@ def _combined(t, o):
 
 @query(_combined("hi52", "desc"))
 def high52_combined(s, d):
-    return Q.records_combined(_hi(s, d), _px(s, d), _sec(s, d), 365, True)
+    b = S.bars_once(s, d)
+    return Q.records_combined(_hi(s, d, b), _px(s, d, b), _sec(s, d), 365, True)
 
 
 @query(_combined("lo52", "asc"))
 def low52_combined(s, d):
-    return Q.records_combined(_lo(s, d), _px(s, d), _sec(s, d), 365, False)
+    b = S.bars_once(s, d)
+    return Q.records_combined(_lo(s, d, b), _px(s, d, b), _sec(s, d), 365, False)
 
 
 def _band(x):
@@ -369,10 +366,10 @@ def corporate_actions_board(s, d):
     return Q.actions_board(V.corporate_actions(S.actions(s, d)), _sec(s, d))
 
 
-@query("select symbol, category, max(p) filter (where q = 1) as \"Q1\", max(p) filter (where q = 2) as \"Q2\", max(p) filter (where q = 3) as \"Q3\", max(p) filter (where q = 4) as \"Q4\" from (select symbol, category, quarter(report_date) as q, floor(pct * 100 + 0.5) / 100 as p from shp where year(report_date) = 1997) group by all")
+@query("select symbol, category, y as year, max(p) filter (where q = 1) as \"Q1\", max(p) filter (where q = 2) as \"Q2\", max(p) filter (where q = 3) as \"Q3\", max(p) filter (where q = 4) as \"Q4\" from (select symbol, category, year(report_date)::integer as y, quarter(report_date) as q, floor(pct * 100 + 0.5) / 100 as p from shp) group by all")
 def promoter_pivot(s, d):
-    rows = S.shareholding(s, d).where(F.year("report_date") == 1997).select("symbol", "category", F.concat(F.lit("Q"), F.quarter("report_date")).alias("quarter"), half_up("pct", 2).alias("pct"))
-    return Q.promoter_pivot(rows, ["Q1", "Q2", "Q3", "Q4"])
+    rows = S.shareholding(s, d).select("symbol", "category", F.year("report_date").alias("year"), F.concat(F.lit("Q"), F.quarter("report_date")).alias("quarter"), half_up("pct", 2).alias("pct"))
+    return Q.promoter_pivot(rows, ["Q1", "Q2", "Q3", "Q4"], ("symbol", "category", "year"))
 
 
 @query("select *, sum(matches) over ()::bigint as total from (select source, count(*) as matches, max(doc_id) as newest, arg_max(lang, doc_id) as kind, arg_max(substring(text, greatest(instr(lower(text), 'the in') - 20, 1), 46), doc_id) as snippet from documents where contains(lower(text), 'the in') group by source)")
@@ -418,12 +415,13 @@ _BOARD = f"""select s.*, company_name from (select *, pts_insider + pts_52w + pt
 
 @query(_BOARD)
 def convergence_board(s, d):
-    return Q.board(_hi(s, d), _lo(s, d), _px(s, d), Q.insider_disclosures(S.eav(s, d)), V.corporate_actions(S.actions(s, d)), _sec(s, d), _news(s, d), 260)
+    b = S.bars_once(s, d)
+    return Q.board(_hi(s, d, b), _lo(s, d, b), _px(s, d, b), Q.insider_disclosures(S.eav(s, d)), V.corporate_actions(S.actions(s, d)), _sec(s, d), _news(s, d), 260)
 
 
 @query("select code, manager as name, count(*) as holdings from funds group by all")
 def fund_managers(s, d):
-    return S.funds(s, d).groupBy("code", F.col("manager").alias("name")).agg(F.count("*").alias("holdings"))
+    return D.fund_managers(S.funds(s, d))
 
 
 _FIRM_NAME = "p_name || case p_partkey % 4 when 0 then ' Capital Advisors Pvt. Ltd' when 1 then ' and Partners LLP' when 2 then ' Global' else ' Sea View Hill Trust' end"
@@ -545,9 +543,9 @@ def sec_fact_vintages(s, d):
     return Q.fact_vintages(V.typed_facts(S.facts(s, d))).select("cik", "concept", "unit", "period_start", "period_end", "val", "filed", "accn", "vintage")
 
 
-@query("select cik, filed, form, period, items, accn, document from filings where upper(form) = '8-K'")
+@query("select cik, filed, form, period, items, accn, document from filings")
 def sec_filings(s, d):
-    return S.filings(s, d).where(F.upper("form") == "8-K").select("cik", "filed", "form", "period", "items", "accn", "document").orderBy("cik", F.col("filed").desc_nulls_last(), "accn")
+    return Q.filings_of(S.filings(s, d))
 
 
 @query("select symbol, case when sid = 1 then symbol else symbol || '#' || sid::varchar end as series_symbol, sid::bigint as series_id, as_of, open, high, low, close, volume from segments")

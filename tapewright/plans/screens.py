@@ -154,9 +154,15 @@ def firms(raw: DataFrame) -> DataFrame:
     return t.withColumn("search_term", F.array_join(F.slice(F.col("_w"), F.lit(1), take), " ")).drop("_w", "sebi_type").orderBy(F.lower("name"), "name")
 
 
-def promoter_pivot(rows: DataFrame, quarters: list[str]) -> DataFrame:
-    """Holder by quarter; the quarters are stated, so the plan needs no extra pass over the data."""
-    return rows.groupBy("symbol", "category").pivot("quarter", quarters).agg(F.max("pct"))
+def promoter_pivot(rows: DataFrame, quarters: list[str], keys: tuple[str, ...] = ("symbol", "category")) -> DataFrame:
+    """Holder by quarter; the quarters are stated, so the plan needs no extra pass over the data. keys: what a row stands for, the year too if wanted."""
+    return rows.groupBy(*keys).pivot("quarter", quarters).agg(F.max("pct"))
+
+
+def filings_of(filings: DataFrame, form: str | None = None) -> DataFrame:
+    """Filings of a form, or all, newest first for each filer."""
+    t = filings if form is None else filings.where(F.upper("form") == form.upper())
+    return t.select("cik", "filed", "form", "period", "items", "accn", "document").orderBy("cik", F.col("filed").desc_nulls_last(), "accn")
 
 
 def phrase_search(docs: DataFrame, phrase: str, entity: str = "source", order: str = "doc_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import re
 import zipfile
 from collections.abc import Iterator
@@ -26,11 +28,20 @@ def folder_date(path: Column | str) -> Column:
     return F.try_to_date(F.element_at(F.split(path, r"[/\\]"), -2), "yyyyMMdd")
 
 
-def _paths(spark: SparkSession, glob: str) -> list[tuple[str, ...]]:
-    """Headers of the files that match, with their files: the first line of each file, read by Spark."""
-    first = spark.read.format("text").load(glob).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("i"))
-    heads = first.where("at = 0").groupBy("path").agg(F.min_by("value", "i").alias("head"))
-    return [(r["head"], r["path"]) for r in heads.groupBy("head").agg(F.collect_list("path").alias("path")).collect()]
+def _paths(spark: SparkSession, glob: str) -> list[tuple[str, list[str]]]:
+    """Headers of the files that match, with their files. Of each plain file the first line alone is read; files are listed by Spark, contents aren't."""
+    jvm, found = spark.sparkContext._jvm, {}
+    for r in spark.read.format("binaryFile").load(glob).select("path").collect():  # one short row a file
+        p = jvm.org.apache.hadoop.fs.Path(r["path"])
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(p)
+        stream = fs.open(p) if codec is None else codec.createInputStream(fs.open(p))
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        try:
+            found.setdefault(reader.readLine(), []).append(r["path"])
+        finally:
+            reader.close()
+    return [(head, sorted(paths)) for head, paths in found.items() if head is not None]
 
 
 def scan_csv_glob(spark: SparkSession, glob: str, sep: str = ",", with_path: bool = True, multi_line: bool = False) -> DataFrame:
@@ -64,16 +75,23 @@ def scan_parquet(spark: SparkSession, path: str, union_by_name: bool = False) ->
     return spark.read.option("mergeSchema", union_by_name).parquet(path)
 
 
-def optional_source(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """The Parquet store, or an empty frame of the schema when there is none: one absent feed doesn't stop the rest."""
+def optional_source(spark: SparkSession, path: str, schema: T.StructType | str, read=None) -> DataFrame:
+    """A source, or an empty frame of its schema when there is none: one absent feed doesn't stop the rest.
+
+    read: how to read the path (scan_csv_glob() and the like), by default as Parquet of the schema; columns that the feed lacks are null.
+    """
     from pyspark.errors import AnalysisException
 
+    empty = spark.createDataFrame([], schema)
     try:
-        return spark.read.schema(schema).parquet(path)
+        df = read(spark, path) if read else spark.read.schema(schema).parquet(path)
+    except FileNotFoundError:
+        return empty
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema)
+        return empty
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
 
 
 #: Short interest columns by their feed name. Fixed values.
@@ -134,6 +152,55 @@ def scan_json_docs(spark: SparkSession, glob: str, schema: T.StructType | str) -
     return parsed.where("d is not null").select("d.*", "file")
 
 
+def scan_zip_members(spark: SparkSession, glob: str, pattern: str = ".*") -> DataFrame:
+    """(zip, member, content) of the archives that match, on any storage that Spark reads: one task for each archive hands its members on one by one.
+
+    An archive travels as one value, so it must stay below 2 GB; members that aren't asked for are not unpacked. One that can't be read gives none.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(content))
+                except zipfile.BadZipFile:
+                    continue
+                for m in z.namelist():
+                    if re.fullmatch(pattern, m):
+                        yield pd.DataFrame({"zip": [path], "member": [m], "content": [z.read(m)]})
+
+    files = spark.read.format("binaryFile").load(glob).select("path", "content")
+    return files.mapInPandas(run, "zip string, member string, content binary")
+
+
+def unzipped(members: DataFrame, depth: int = 3) -> DataFrame:
+    """members(zip, member, content) with archives and gzip files among them opened, again and again up to `depth` times; the outer name stays before a !."""
+
+    def leaves(name: str, content: bytes, left: int) -> Iterator[tuple[str, bytes]]:
+        low = name.lower()
+        try:
+            if left and low.endswith(".zip"):
+                z = zipfile.ZipFile(io.BytesIO(content))
+                for m in z.namelist():
+                    if not m.endswith("/"):
+                        yield from leaves(f"{name}!{m}", z.read(m), left - 1)
+                return
+            if left and low.endswith(".gz"):
+                yield from leaves(name[:-3], gzip.decompress(content), left - 1)
+                return
+        except (zipfile.BadZipFile, OSError, EOFError):
+            return
+        yield name, content
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for z, m, c in zip(pdf["zip"], pdf["member"], pdf["content"]):
+                for name, content in leaves(m, c, depth):
+                    yield pd.DataFrame({"zip": [z], "member": [name], "content": [content]})
+
+    return members.mapInPandas(run, "zip string, member string, content binary")
+
+
 def zip_members(spark: SparkSession, archives: list[str], pattern: str = ".*", per_task: int = 5000) -> DataFrame:
     """(zip, member) of shared archives from their central directories, dealt to tasks by member ranges, not by archive."""
     rows = [(z, m) for z in archives for m in zipfile.ZipFile(z).namelist() if re.fullmatch(pattern, m)]

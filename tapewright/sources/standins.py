@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scratch import scratch
+
 PURPOSES = [
     "DIVIDEND - RS 2 PER SHARE", "INTEREST PAYMENT", "FACE VALUE SPLIT FROM RS 10 TO RS 2", "BONUS 1:1", "RIGHTS 3:10", "BUYBACK",
     "ANNUAL GENERAL MEETING", "SCHEME OF ARRANGEMENT", "BUY BACK OF SHARES", "SPDV - RS 4", "RECORD DATE", "INTDIV - RS 1",
@@ -57,9 +59,17 @@ def masters(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def extremes(spark: SparkSession, sf: str, high: bool) -> DataFrame:
-    """symbol, series, event_date, price, folder: running 252-session records, listed again with a restated price up to two days later."""
+def bars_once(spark: SparkSession, sf: str) -> DataFrame:
+    """bars(), written for queries that read them several times."""
+    path = scratch(spark, "bars")
     b = bars(spark, sf)
+    b.write.parquet(path)
+    return spark.read.schema(b.schema).parquet(path)
+
+
+def extremes(spark: SparkSession, sf: str, high: bool, b: DataFrame | None = None) -> DataFrame:
+    """symbol, series, event_date, price, folder: running 252-session records of bars, listed again with a restated price up to two days later."""
+    b = bars(spark, sf) if b is None else b
     w = W.partitionBy("symbol").orderBy("as_of").rowsBetween(-251, 0)
     side, best = ("high", F.max("high")) if high else ("low", F.min("low"))
     ev = b.withColumn("best", best.over(w)).where(F.col(side) == F.col("best"))
