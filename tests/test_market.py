@@ -1,6 +1,8 @@
 """Hand-made fixtures for the traps of market data, readers, stores and streams."""
 
 import datetime as dt
+import gzip
+import io
 import zipfile
 
 import pytest
@@ -152,6 +154,19 @@ def test_readers(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("x/CIK1.json", "{}")
         z.writestr("readme.txt", "no")
+    inner, text = io.BytesIO(), gzip.compress(b"deep")
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("b/deep.txt.gz", text)
+        z.writestr("c.txt", "flat")
+    with zipfile.ZipFile(tmp_path / "y.zip", "w") as z:
+        z.writestr("x/inner.zip", inner.getvalue())
+        z.writestr("broken.zip", b"PK no")
+    (tmp_path / "w.zip").write_bytes(b"no archive")
+    members = R.scan_zip_members(spark, f"{tmp_path}/[wy].zip")
+    assert sorted(r.member for r in members.collect()) == ["broken.zip", "x/inner.zip"]
+    assert {r.member: bytes(r.content) for r in R.unzipped(members).collect()} == {"x/inner.zip!b/deep.txt": b"deep", "x/inner.zip!c.txt": b"flat"}
+    assert [r.member for r in R.scan_zip_members(spark, f"{tmp_path}/z.zip", r".*\.json").collect()] == ["x/CIK1.json"]
+    assert R.optional_source(spark, f"{tmp_path}/none", "a int, b string").count() == 0
     got = R.read_members(R.zip_members(spark, [f"{tmp_path}/z.zip"], r".*\.json")).collect()
     assert [(r.member, bytes(r.content)) for r in got] == [("x/CIK1.json", b"{}")]
 
