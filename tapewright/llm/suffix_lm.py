@@ -104,6 +104,11 @@ def _columns(d: int) -> list[str]:
     return [*[f"p{j}" for j in range(1, d)], "s", "x"]
 
 
+def _placed(d: int, tables: list[np.ndarray | None]) -> list[bool]:
+    """Which columns of level d travel as places."""
+    return [tables[k - 1] is not None for k in (*range(1, d + 1), 1)]
+
+
 def _blocks(d: int, buckets: int, tables):
     """(bucket, columns of grams of level d, n) of what a task has held. tables: the sorted alphabet and contexts of 2, 3, ... words; None where they can't be sent."""
     names = _columns(d)
@@ -119,7 +124,7 @@ def _blocks(d: int, buckets: int, tables):
         order = np.lexsort((cols[-2], bucket))  # equal contexts side by side take less room
         cut = _firsts(bucket[order])
         offsets = pa.array(np.append(cut, len(order)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order].view(np.int64))) for c in cols]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order].astype(np.int32) if placed else c[order].view(np.int64))) for c, placed in zip(cols, _placed(d, tables.value))]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut]), *lists, pa.ListArray.from_arrays(offsets, pa.array(n[order]))], ["bucket", *names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +159,7 @@ def _merged(d: int, tables):
 
     def run(table: pa.Table) -> pa.Table:
         flat = {c: np.concatenate([x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in table.column(c).chunks]) for c in [*names, "n"]}
-        gram = extended(flat["s"].view(np.uint64), flat["x"].view(np.uint64))
+        gram = extended(*[flat[c].astype(np.int64).view(np.uint64) for c in ("s", "x")])
         order = np.argsort(gram)
         at = _firsts(gram[order])
         n = np.add.reduceat(flat["n"][order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
@@ -174,8 +179,8 @@ def sent(keys: DataFrame) -> np.ndarray | None:
 def grams_of(train: DataFrame, d: int, held, tokens: int) -> DataFrame:
     """Grams of level d that occur twice or more: the contexts p1, p2, ..., s, the symbol x and n. held: a broadcast of the tables."""
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    longs = ", ".join(f"{c} array<long>" for c in _columns(d))
-    blocks = train.select("text").mapInArrow(_blocks(d, max(parts, tokens // BUCKET), held), f"bucket int, {longs}, n array<int>")
+    lists = ", ".join(f"{c} array<{'int' if placed else 'long'}>" for c, placed in zip(_columns(d), _placed(d, held.value)))
+    blocks = train.select("text").mapInArrow(_blocks(d, max(parts, tokens // BUCKET), held), f"bucket int, {lists}, n array<int>")
     shape = ", ".join(f"{c} long" for c in _columns(d)) + ", n long"
     return blocks.groupBy("bucket").applyInArrow(_merged(d, held), shape)
 
