@@ -156,15 +156,20 @@ def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Keys:
-    """A set of 64-bit hashes with values, sorted; a table of where each run of leading bits starts finds a key in a step or two."""
+    """A set of 64-bit hashes with values, sorted; a table of where each run of leading bits starts finds a key in a step or two.
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray | None = None):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], None if values is None else values[order]
+    ordered: the keys are sorted already, so that no copy is made.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray | None = None, ordered: bool = False):
+        if not ordered:
+            order = np.argsort(keys)
+            keys, values = keys[order], None if values is None else values[order]
+        self.keys, self.values = keys, values
         bits = min(26, max(1, len(keys).bit_length()))
         self.shift = np.uint64(64 - bits)
-        self.start = np.zeros((1 << bits) + 1, np.int32)
-        np.cumsum(np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits), out=self.start[1:])
+        self.start = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.start = np.append(self.start, np.int32(len(self.keys)))
 
     def find(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in q that are in the set, their places in the set)."""

@@ -128,7 +128,7 @@ def _blocks(d: int, buckets: int, tables):
         yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut]), *lists, pa.ListArray.from_arrays(offsets, pa.array(n[order]))], ["bucket", *names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [None if t is None else Keys(t) for t in tables.value]
+        sets = [None if t is None else Keys(t, ordered=True) for t in tables.value]
         parts, grams, size = [], [], 0
         for b in slices(batches):
             w, place, _ = laid_out(texts_of(b, "text"))
@@ -213,7 +213,7 @@ def with_suffix(at: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> Dat
     held, deep = at.sparkSession.sparkContext.broadcast(looked_up(rows.mapInArrow(_keyed, "key long, value double"))), len(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = Keys(*held.value)
+        factors = Keys(*held.value, ordered=True)
         for b in batches:
             par, x = b.column("root").to_numpy(zero_copy_only=False).copy(), b.column("x").to_numpy(zero_copy_only=False).view(np.uint64)
             for j in range(1, deep + 1):
@@ -279,19 +279,20 @@ def frequent(rows: DataFrame, tokens: int) -> tuple[DataFrame, bool]:
 
 
 def looked_up(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(key, value) columns of a bounded table, to be broadcast."""
+    """(key, value) columns of a bounded table in the order of the keys, to be broadcast: workers use them as they are."""
     got = keyed.toArrow()
-    out = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    keys, values = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
     del got
     pa.default_memory_pool().release_unused()
-    return out
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
 class Scorer:
     """Look-ups of words and of the tree's factors. What isn't held, and may stand in the tables, is given back as missing."""
 
     def __init__(self, words: tuple[np.ndarray, np.ndarray], all_words: bool, factors: tuple[np.ndarray, np.ndarray], all_factors: bool, unknown: float, depth: int):
-        self.words, self.factors = Keys(*words), Keys(*factors)
+        self.words, self.factors = Keys(*words, ordered=True), Keys(*factors, ordered=True)
         self.all_words, self.all_factors, self.unknown, self.depth = all_words, all_factors, unknown, depth
 
     def _factors(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
