@@ -168,8 +168,10 @@ class Keys:
         self.keys, self.values = keys, values
         bits = min(26, max(1, len(keys).bit_length()))
         self.shift = np.uint64(64 - bits)
-        self.start = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
-        self.start = np.append(self.start, np.int32(len(self.keys)))
+        self.start = np.full((1 << bits) + 1, len(self.keys), np.int32)
+        for at in range(0, 1 << bits, 1 << 16):  # in parts, for the sake of memory
+            part = np.arange(at, min(at + (1 << 16), 1 << bits), dtype=np.uint64)
+            self.start[at : at + len(part)] = np.searchsorted(self.keys, part << self.shift)
 
     def find(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in q that are in the set, their places in the set)."""

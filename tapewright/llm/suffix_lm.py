@@ -149,6 +149,8 @@ def _blocks(d: int, buckets: int, tables):
                 parts, grams, size = [], [], 0
         if size:
             yield from counted(parts, np.concatenate(grams))
+        parts = grams = None
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return run
 
