@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import text_queries
+from . import audit_sql, text_queries
 from .common import fold_of, materialise, table
 from .decontam import contaminated
+from .filter_audit import audit
 from .line_dedup import LEAST_PAGES, RATIO, dedup_lines, html_lines
 from .mixing import mix_to_weights
 from .near_dedup import near_duplicates
 from .quality import fit_quality, with_quality
+from .sharding import shard_table
+from .spelling import spelling_variants
 
 #: Target weights of the mixture, by level; values not named weigh 1.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
@@ -51,6 +54,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_table(table(spark, sf_dir, "documents"), 16)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -122,4 +137,4 @@ ORACLE["op5_mixing"] = _mixing_sql()
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | text_queries.oracle_sql()
+    return ORACLE | audit_sql.ORACLE | text_queries.oracle_sql()
