@@ -351,16 +351,6 @@ def file_ledger(s, d):
     return K.ledger_change(named(K.file_ledger(s, f"{after}/*/*.csv", None)), named(K.file_ledger(s, f"{before}/*/*.csv", None))).select("path", "status")
 
 
-@query("select day as as_of, count(*) as members from (select distinct ts::date as day, event_type from events) group by day")
-def archive_members(s, d):
-    """Members by the day in their name: sidecar files go, repeats count once."""
-    e = S.table(s, d, "events").select(F.date_format("ts", "ddMMyyyy").alias("day"), "event_type").distinct()
-    name = _joined("f", F.col("day"), F.col("event_type"), ".csv")
-    body = F.encode(_joined("x", F.col("event_type")), "utf-8").alias("content")
-    m = e.select(_joined("a/", name).alias("member"), body).unionByName(e.select(_joined("b/", name).alias("member"), body)).unionByName(e.select(_joined("__MACOSX/._", name).alias("member"), body))
-    return K.member_days(m).groupBy("as_of").agg(F.count("*").alias("members"))
-
-
 @query("select 'u' || user_id::varchar as link, count(*) > 0 as seen from events group by user_id")
 def news_dedup_stream(s, d):
     """Stories of a stream, each once within its watermark; the watermark covers the whole table, so each link comes once."""
@@ -396,24 +386,6 @@ def optional_source(s, d):
     return out.unionByName(R.optional_source(s, f"{feed}/*.csv", shape, R.scan_csv_glob)).unionByName(R.optional_source(s, f"{feed}-gone/*.csv", shape, R.scan_csv_glob))
 
 
-@query("select as_of, symbol, short_volume, total_volume from sv")
-def scan_short_volume(s, d):
-    root = scratch(s, "short-volume")
-    v = S.short_volume(s, d).select(F.date_format("as_of", "yyyyMMdd").alias("Date"), F.col("symbol").alias("Symbol"), F.col("short_volume").alias("ShortVolume"), F.lit("0").alias("ShortExemptVolume"), F.col("total_volume").alias("TotalVolume"), F.lit("Q").alias("Market"))
-    v.write.option("header", True).option("sep", "|").csv(root)
-    return R.scan_short_volume(s, f"{root}/*.csv").select("as_of", "symbol", "short_volume", "total_volume")
-
-
-@query("select symbol, settlement_date::varchar as settlement_date, short_interest from si where short_interest is not null")
-def scan_short_interest(s, d):
-    """Of a feed that lacks most columns, those it has."""
-    root = scratch(s, "short-interest")
-    si = S.short_interest(s, d).where("short_interest is not null")
-    si.select(F.col("symbol").alias("symbolCode"), F.col("settlement_date").alias("settlementDate"), F.col("short_interest").cast("decimal(20,2)").cast("string").alias("currentShortPositionQuantity")).write.option("header", True).option("sep", "|").csv(root)
-    df, missing = R.scan_short_interest(s, f"{root}/*.csv")
-    return df.select("symbol", "settlement_date", F.col("short_interest").cast("double").alias("short_interest")) if "issueName" in missing else df
-
-
 @query("select symbol, as_of, (floor(open * 100))::double as open, (floor(close * 100))::double as close from bars")
 def normalise_bars(s, d):
     """Bars of a job in fixed-point prices."""
@@ -434,15 +406,6 @@ def wide_bars_to_long(s, d):
     return R.wide_to_long(wide, "as_of", ["open", "close"]).select("as_of", "symbol", "open", "close")
 
 
-@query("select 'Brand#' || (user_id % 25 + 1)::varchar as symbol, 'Company ' || user_id::varchar as company, 'u' || event_id::varchar || '.xml' as url from events where event_id % 3 > 0")
-def scan_index_csv(s, d):
-    """An index whose headers hold line feeds; rows without an XML document go."""
-    root, e = scratch(s, "index"), S.table(s, d, "events")
-    url = _joined("u", F.col("event_id"), F.when(F.col("event_id") % 3 > 0, ".xml").otherwise(".pdf"))
-    e.select(_joined("Brand#", F.col("user_id") % 25 + 1).alias("SYMBOL \n"), _joined("Company ", F.col("user_id")).alias("COMPANY\nNAME"), url.alias("XBRL\nLINK")).write.option("header", True).option("quoteAll", True).csv(root)
-    return R.scan_index_csv(s, f"{root}/*.csv", {"symbol": "symbol", "company": "company", "url": "xbrl"}).select("symbol", "company", "url")
-
-
 @query("select n_nationkey::integer as fincode, n_name as name from nation")
 def scan_json_docs(s, d):
     """A JSON document for each region with its nations, and one that is broken."""

@@ -435,11 +435,18 @@ def firms(s, d):
     return Q.firms(raw)
 
 
-@query(r"""select distinct k as link, k as title, ts as published, s as symbol from (select 'e' || event_id::varchar || ' (NYSE: AB' || chr((65 + user_id % 26)::int) || ')' as k, ts, 'AB' || chr((65 + user_id % 26)::int) as s, user_id from events where event_type = 'view') where user_id % 26 < 13""")
+_FORMS = ["(NYSE: {})", "(NASDAQ: {})", "(TSX: {})", "(OTCQB: {})", "(OTCQX:{})", "(OTC: {})", "(NASDAQ {})", "(Nasdaq. {})", "(NYSE Arca: {})", "(nyse  american: {})", "( NYSE : {} )", "(NYSEAMERICAN:{})", "(TSXV: {}.A)", "(CBOE: {}-A)", "(BATS: {})", "(AMEX: {})", "(LSE: {})", "NYSE: {}", "(TSX: {}{}{})", "({})", "(NYSE: {}, NASDAQ: {})"]
+
+
+@query(r"""select distinct link, link as title, ts as published, s as symbol from (select *, 'e' || event_id::varchar || ' ' || replace(['(NYSE: {})', '(NASDAQ: {})', '(TSX: {})', '(OTCQB: {})', '(OTCQX:{})', '(OTC: {})', '(NASDAQ {})', '(Nasdaq. {})', '(NYSE Arca: {})', '(nyse  american: {})', '( NYSE : {} )', '(NYSEAMERICAN:{})', '(TSXV: {}.A)', '(CBOE: {}-A)', '(BATS: {})', '(AMEX: {})', '(LSE: {})', 'NYSE: {}', '(TSX: {}{}{})', '({})', '(NYSE: {}, NASDAQ: {})'][event_id % 21 + 1], '{}', b) as link,
+    case when event_id % 21 in (12, 13) then upper(b) || '-A' when event_id % 21 < 16 then upper(b) end as s from (select event_id, ts, user_id, case when user_id % 2 = 0 then 'AB' else 'aB' end || chr((65 + user_id % 26)::int) as b from events where event_type = 'view')) where s is not null and user_id % 26 < 13""")
 def news_tickers(s, d):
+    """Mentions in every form and case, and what is none: no venue that counts, no brackets, too long, two in one pair of brackets."""
     e = S.table(s, d, "events").where("event_type = 'view'")
-    t = F.concat(F.lit("e"), "event_id", F.lit(" (NYSE: AB"), F.char(65 + F.col("user_id") % 26), F.lit(")"))
+    body = F.concat(F.when(F.col("user_id") % 2 == 0, "AB").otherwise("aB"), F.char(65 + F.col("user_id") % 26))
+    t = F.concat(F.lit("e"), "event_id", F.lit(" "), F.replace(F.element_at(F.array(*[F.lit(x) for x in _FORMS]), (F.col("event_id") % 21 + 1).cast("int")), F.lit("{}"), body))
     known = s.range(13).select(F.concat(F.lit("AB"), F.char(65 + F.col("id"))).alias("symbol"))
+    known = known.unionByName(known.select(F.concat("symbol", F.lit("-A")).alias("symbol")))
     return Q.news_tickers(e.select(t.alias("link"), t.alias("title"), F.lit("").alias("description"), F.col("ts").alias("published")), known)
 
 

@@ -415,10 +415,22 @@ def announcements(filings: DataFrame, symbols: DataFrame, bars: DataFrame, days:
     return out if limit is None else out.limit(limit)
 
 
+#: Venues whose name before a ticker makes it a listing. Fixed values.
+VENUES = ["NASDAQ", "NYSE", "NYSE American", "NYSE Arca", "NYSEAMERICAN", "AMEX", "OTCQB", "OTCQX", "OTC", "CBOE", "BATS", "TSX", "TSXV"]
+
+
+def ticker_mention() -> str:
+    """Pattern of '(VENUE: SYM)' in any case, colon or full stop or neither between them; group 1 is the symbol, with a class of one letter."""
+    space = r"[\s\u00a0]"
+    venue = "|".join(v.replace(" ", space + "+") for v in sorted(VENUES, key=len, reverse=True))
+    return rf"(?i)\({space}*(?:{venue}){space}*[:.]?{space}*([A-Z]{{1,5}}(?:[.-][A-Z])?){space}*\)"
+
+
 def news_tickers(items: DataFrame, known: DataFrame) -> DataFrame:
     """(link, symbol) of explicit '(VENUE: SYM)' mentions that are known symbols; of repeated links or titles the newest."""
     key = F.coalesce("link", "title")
     newest = latest_per(items.withColumn("k", key), ["k"], [F.col("published").desc_nulls_last(), F.col("title")])
-    found = F.regexp_extract_all(F.concat_ws(" ", "title", "description"), F.lit(r"\((?:NYSE|NASDAQ|AMEX|NYSE American)\s*:\s*([A-Z][A-Z.\-]{0,6})\)"), F.lit(1))
-    t = newest.select("k", "title", "published", F.explode(F.array_distinct(found)).alias("s")).withColumn("symbol", F.replace("s", F.lit("."), F.lit("-")))
+    found = F.regexp_extract_all(F.concat_ws(" ", "title", "description"), F.lit(ticker_mention()), F.lit(1))
+    symbols = F.array_distinct(F.transform(found, lambda x: F.replace(F.upper(x), F.lit("."), F.lit("-"))))
+    t = newest.select("k", "title", "published", F.explode(symbols).alias("symbol"))
     return t.join(known.select("symbol").distinct(), "symbol", "left_semi").select(F.col("k").alias("link"), "title", "published", "symbol").orderBy(F.col("published").desc_nulls_last(), "link", "symbol")

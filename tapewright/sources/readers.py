@@ -13,13 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RESERVED = {"security", "order", "group", "select", "table", "user"}
-
-
-def normal_name(header: str) -> str:
-    """Lower case, spaces to _, other signs out; a reserved word or a leading digit gets a _ before."""
-    x = re.sub(r"[^0-9a-z_().]", "", re.sub(r"\s+", "_", header.strip().lower()))
-    return f"_{x}" if x in RESERVED or x[:1].isdigit() else x
+from .archive_ranges import scan_zip_members  # noqa: F401
+from .headers import grouped, normal_name, scan_csv_glob, scan_group  # noqa: F401  normal_name is part of this module's interface
 
 
 def folder_date(path: Column | str) -> Column:
@@ -28,38 +23,6 @@ def folder_date(path: Column | str) -> Column:
     return F.try_to_date(F.element_at(F.split(path, r"[/\\]"), -2), "yyyyMMdd")
 
 
-def _paths(spark: SparkSession, glob: str) -> list[tuple[str, list[str]]]:
-    """Headers of the files that match, with their files. Of each plain file the first line alone is read; files are listed by Spark, contents aren't."""
-    jvm, found = spark.sparkContext._jvm, {}
-    for r in spark.read.format("binaryFile").load(glob).select("path").collect():  # one short row a file
-        p = jvm.org.apache.hadoop.fs.Path(r["path"])
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(p)
-        stream = fs.open(p) if codec is None else codec.createInputStream(fs.open(p))
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        try:
-            found.setdefault(reader.readLine(), []).append(r["path"])
-        finally:
-            reader.close()
-    return [(head, sorted(paths)) for head, paths in found.items() if head is not None]
-
-
-def scan_csv_glob(spark: SparkSession, glob: str, sep: str = ",", with_path: bool = True, multi_line: bool = False) -> DataFrame:
-    """All files that match, every column as text, united by normalised header; file_path tells the origin.
-
-    Files are read in one scan for each distinct header, because Spark would bind columns by position.
-    """
-    out = None
-    for head, paths in sorted(_paths(spark, glob)):
-        df = spark.read.option("sep", sep).option("header", True).option("inferSchema", False).option("multiLine", multi_line).csv(paths)
-        names = [normal_name(c) for c in df.columns]
-        df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)], *([F.col("_metadata.file_path").alias("file_path")] if with_path else []))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
-        raise FileNotFoundError(glob)
-    return out
-
-
 def scan_csv_skip(spark: SparkSession, glob: str, columns: list[str], keep: str) -> DataFrame:
     """Files with lines before the header: a stated schema; `keep`, a condition on the data, drops disclaimers and headers."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -101,18 +64,25 @@ INTEREST_COLUMNS = {
 }
 
 
+def _named(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
 def scan_short_interest(spark: SparkSession, glob: str) -> tuple[DataFrame, list[str]]:
-    """Pipe-delimited settlement files, and the columns that are missing from them (null here)."""
-    df = spark.read.option("sep", "|").option("header", True).csv(glob)
-    missing = [c for c in INTEREST_COLUMNS if c not in df.columns]
-    return df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(n) for c, n in INTEREST_COLUMNS.items()]), missing
+    """Pipe-delimited settlement files, each read by its own header, and the columns that all of them lack (null here)."""
+    df = scan_csv_glob(spark, glob, sep="|", with_path=False)
+    missing = [c for c in INTEREST_COLUMNS if c.lower() not in df.columns]
+    out = df.select(*[_named(df, c.lower()).alias(n) for c, n in INTEREST_COLUMNS.items()])
+    return out.withColumn("symbol", F.upper(F.trim("symbol"))), missing
 
 
 def scan_short_volume(spark: SparkSession, glob: str) -> DataFrame:
-    """Pipe-delimited daily files; the trailing summary line has no symbol and goes; volumes may be fractional."""
-    df = spark.read.option("sep", "|").option("header", True).csv(glob).where("Symbol is not null and trim(Symbol) <> ''")
-    num = lambda c: F.col(c).try_cast("double")
-    return df.select(F.try_to_date("Date", "yyyyMMdd").alias("as_of"), F.col("Symbol").alias("symbol"), num("ShortVolume").alias("short_volume"), num("ShortExemptVolume").alias("short_exempt_volume"), num("TotalVolume").alias("total_volume"), F.col("Market").alias("markets"))
+    """Pipe-delimited daily files, each read by its own header; the trailing summary line has no symbol and goes; volumes may be fractional."""
+    df = scan_csv_glob(spark, glob, sep="|", with_path=False)
+    num = lambda c: _named(df, c).try_cast("double")
+    symbol = F.upper(F.trim(_named(df, "symbol")))
+    out = df.select(F.try_to_date(_named(df, "date"), "yyyyMMdd").alias("as_of"), symbol.alias("symbol"), num("shortvolume").alias("short_volume"), num("shortexemptvolume").alias("short_exempt_volume"), num("totalvolume").alias("total_volume"), _named(df, "market").alias("markets"))
+    return out.where("symbol <> ''")
 
 
 def normalise_bars(raw: DataFrame, dataset: str, job: str, fixed_point: bool) -> DataFrame:
@@ -134,14 +104,24 @@ def missing_from(roster: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def scan_index_csv(spark: SparkSession, glob: str, wanted: dict[str, str]) -> DataFrame:
-    """Filing indexes whose headers hold line feeds: wanted maps output names to fragments of headers; url must end in .xml, the last file's row wins."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(glob)
-    flat = {re.sub(r"\s+", " ", c).strip().lower(): c for c in df.columns}
-    pick = {n: next((c for f, c in flat.items() if frag.lower() in f), None) for n, frag in wanted.items()}
-    out = df.select(*[(F.trim(F.col(f"`{c}`")) if c else F.lit(None).cast("string")).alias(n) for n, c in pick.items()], F.col("_metadata.file_name").alias("file"))
-    out = out.where(F.lower("url").endswith(".xml"))
-    best = F.max_by(F.struct(*pick), "file").alias("r")
-    return out.groupBy("url").agg(best).select("r.*")
+    """Filing indexes whose headers hold line feeds: wanted maps output names to fragments of headers, looked for in each file's own header.
+
+    A header's first match counts; a file without a column for url gives no rows. url must end in .xml; of rows with one url the last file's
+    stays, within a file the greatest by all columns.
+    """
+    out = None
+    for header, paths in grouped(spark, glob):
+        flat = [re.sub(r"\s+", " ", h).strip().lower() for h in header]
+        pick = {n: next((k for k, h in enumerate(flat) if frag.lower() in h), None) for n, frag in wanted.items()}
+        if pick["url"] is None:
+            continue
+        df = scan_group(spark, header, paths, multi_line=True, escape='"')
+        df = df.select(*[(F.trim(F.col(f"_{k}")) if k is not None else F.lit(None).cast("string")).alias(n) for n, k in pick.items()], F.element_at(F.split("file_path", "/"), -1).alias("file"))
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        raise FileNotFoundError(glob)
+    best = F.max(F.struct("file", *wanted)).alias("r")
+    return out.where(F.lower("url").endswith(".xml")).groupBy("url").agg(best).select(*[f"r.{n}" for n in wanted])
 
 
 def scan_json_docs(spark: SparkSession, glob: str, schema: T.StructType | str) -> DataFrame:
@@ -152,27 +132,6 @@ def scan_json_docs(spark: SparkSession, glob: str, schema: T.StructType | str) -
     return parsed.where("d is not null").select("d.*", "file")
 
 
-def scan_zip_members(spark: SparkSession, glob: str, pattern: str = ".*") -> DataFrame:
-    """(zip, member, content) of the archives that match, on any storage that Spark reads: one task for each archive hands its members on one by one.
-
-    An archive travels as one value, so it must stay below 2 GB; members that aren't asked for are not unpacked. One that can't be read gives none.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    z = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                for m in z.namelist():
-                    if re.fullmatch(pattern, m):
-                        yield pd.DataFrame({"zip": [path], "member": [m], "content": [z.read(m)]})
-
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return files.mapInPandas(run, "zip string, member string, content binary")
-
-
 def unzipped(members: DataFrame, depth: int = 3) -> DataFrame:
     """members(zip, member, content) with archives and gzip files among them opened, again and again up to `depth` times; the outer name stays before a !."""
 
@@ -199,22 +158,3 @@ def unzipped(members: DataFrame, depth: int = 3) -> DataFrame:
                     yield pd.DataFrame({"zip": [z], "member": [name], "content": [content]})
 
     return members.mapInPandas(run, "zip string, member string, content binary")
-
-
-def zip_members(spark: SparkSession, archives: list[str], pattern: str = ".*", per_task: int = 5000) -> DataFrame:
-    """(zip, member) of shared archives from their central directories, dealt to tasks by member ranges, not by archive."""
-    rows = [(z, m) for z in archives for m in zipfile.ZipFile(z).namelist() if re.fullmatch(pattern, m)]
-    return spark.createDataFrame(rows or [], "zip string, member string").repartition(max(1, len(rows) // per_task), "member")
-
-
-def read_members(members: DataFrame) -> DataFrame:
-    """(zip, member, content): each task opens the shared archives of its members and reads them in place."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, part in pdf.groupby("zip"):
-                with zipfile.ZipFile(path) as z:
-                    for m in part["member"]:
-                        yield pd.DataFrame({"zip": [path], "member": [m], "content": [z.read(m)]})
-
-    return members.mapInPandas(run, "zip string, member string, content binary")

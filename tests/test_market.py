@@ -3,6 +3,8 @@
 import datetime as dt
 import gzip
 import io
+import random
+import struct
 import zipfile
 
 import pytest
@@ -13,8 +15,10 @@ from tapewright.operators import derive as D
 from tapewright.operators import sinks as K
 from tapewright.operators import views as V
 from tapewright.plans import screens as Q
+from tapewright.sources import archive_ranges as Z
 from tapewright.sources import documents as X
 from tapewright.sources import readers as R
+from tapewright.sources.headers import headers
 from tapewright.streaming import feeds as J
 
 day = dt.date
@@ -167,8 +171,86 @@ def test_readers(spark, tmp_path):
     assert {r.member: bytes(r.content) for r in R.unzipped(members).collect()} == {"x/inner.zip!b/deep.txt": b"deep", "x/inner.zip!c.txt": b"flat"}
     assert [r.member for r in R.scan_zip_members(spark, f"{tmp_path}/z.zip", r".*\.json").collect()] == ["x/CIK1.json"]
     assert R.optional_source(spark, f"{tmp_path}/none", "a int, b string").count() == 0
-    got = R.read_members(R.zip_members(spark, [f"{tmp_path}/z.zip"], r".*\.json")).collect()
-    assert [(r.member, bytes(r.content)) for r in got] == [("x/CIK1.json", b"{}")]
+
+
+def test_columns_are_bound_by_each_files_own_header(spark, tmp_path):
+    put = lambda name, text: (tmp_path / name).write_text(text)
+    put("v [1].txt", "Date|Symbol|ShortVolume|ShortExemptVolume|TotalVolume|Market\n20240102|A|1.5|0|3|Q\n1|||\n")
+    put("v%202.txt", "Symbol|ShortVolume|Date|TotalVolume\r\n b |2|20240103|4\r\n")
+    got = sorted(tuple(r) for r in R.scan_short_volume(spark, f"{tmp_path}/v*.txt").collect())
+    assert got == [(day(2024, 1, 2), "A", 1.5, 0.0, 3.0, "Q"), (day(2024, 1, 3), "B", 2.0, None, 4.0, None)]
+    put("s1.csv", "symbolCode|settlementDate\na|2024-01-01\n")
+    put("s2.csv", "settlementDate|issueName|symbolCode\n2024-01-15|Acme|B\n")
+    df, missing = R.scan_short_interest(spark, f"{tmp_path}/s?.csv")
+    assert sorted((r.symbol, r.settlement_date, r.issue_name) for r in df.collect()) == [("A", "2024-01-01", None), ("B", "2024-01-15", "Acme")] and "issueName" not in missing
+    put("i1.csv", '"SYMBOL \n","COMPANY\nNAME","XBRL\nLINK"\nA,"Ac\nme",u1.xml\nB,Beta,u2.pdf\nZ,Zeta,u1.xml\n')
+    put("i2.csv", '\ufeff"COMPANY\nNAME","XBRL\nLINK",SYMBOL\nBeta,u3.xml,BBB\n')
+    put("i3.csv", "\n\nSYMBOL,LINK\nA,u9.xml\n")
+    put("i4.csv", "")
+    ix = R.scan_index_csv(spark, f"{tmp_path}/i*.csv", {"symbol": "symbol", "company": "company", "url": "xbrl"})
+    assert sorted(tuple(r) for r in ix.collect()) == [("BBB", "Beta", "u3.xml"), ("Z", "Zeta", "u1.xml")]
+    heads = {r.path.rsplit("/", 1)[-1]: r.header for r in headers(spark, f"{tmp_path}/i*.csv").collect()}
+    assert heads == {"i1.csv": ["SYMBOL \n", "COMPANY\nNAME", "XBRL\nLINK"], "i2.csv": ["COMPANY\nNAME", "XBRL\nLINK", "SYMBOL"], "i3.csv": ["SYMBOL", "LINK"]}
+    put("d1.csv", "a,a,,a_1\n1,2,3,4\n")
+    assert R.scan_csv_glob(spark, f"{tmp_path}/d*.csv", with_path=False).columns == ["a", "a_1", "column2", "a_1_1"]
+    with pytest.raises(FileNotFoundError):
+        R.scan_csv_glob(spark, f"{tmp_path}/i4*.csv")
+
+
+def test_headers_when_tasks_hold_many_files(spark, tmp_path, monkeypatch):
+    """Where the session's settings are held fast, a task goes on to its next file."""
+    for k in range(40):
+        (tmp_path / f"f{k}.csv").write_text(f"h{k % 3},x\n" + "1,2\n" * 500)
+    monkeypatch.setattr(type(spark.conf), "set", lambda self, *a: None)
+    got = {r.path.rsplit("/", 1)[-1]: r.header for r in headers(spark, f"{tmp_path}/*.csv").collect()}
+    assert got == {f"f{k}.csv": [f"h{k % 3}", "x"] for k in range(40)}
+
+
+def test_archives_are_read_by_byte_ranges(spark, tmp_path):
+    """Tasks of 60 KB each: members cross splits and blocks; stored, deflated, empty and damaged ones; something before an archive."""
+    r, want = random.Random(1), {}
+    for k in range(3):
+        with zipfile.ZipFile(tmp_path / f"z {k}.zip", "w") as z:
+            for j in range(40):
+                body = bytes(r.randrange(256) for _ in range(r.choice([0, 10, 3000, 20000]))) if j else b"\n" * 100_000
+                z.writestr(f"m/{j}.bin", body, compress_type=r.choice([zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED]))
+                want[k, f"m/{j}.bin"] = body
+            z.writestr("d/", "")
+    (tmp_path / "z 1.zip").write_bytes(b"before\n\n" + (tmp_path / "z 1.zip").read_bytes() + b"\n")
+    (tmp_path / "no.zip").write_bytes(b"no archive")
+    (tmp_path / "none.zip").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    try:
+        blocks = Z.byte_blocks(spark, f"{tmp_path}/*.zip")
+        index = Z.member_index(blocks)
+        assert blocks.select("at", "path").distinct().count() > 8 and index.count() == 120
+        got = Z.read_ranges(blocks, index).collect()
+        assert {(int(x.zip[-5]), x.member): bytes(x.content) for x in got} == want and {x.problem for x in got} == {None}
+        wrong = Z.read_ranges(blocks, index.where("member in ('m/0.bin', 'm/1.bin', 'm/2.bin')").withColumns({"crc": F.when(F.col("member") == "m/0.bin", F.lit(1)).otherwise(F.col("crc")), "flags": F.when(F.col("member") == "m/1.bin", F.lit(1)).otherwise(F.col("flags")), "method": F.when(F.col("member") == "m/2.bin", F.lit(12)).otherwise(F.col("method"))}))
+        assert {(x.member, x.problem, x.content) for x in wrong.collect()} == {("m/0.bin", "damaged", None), ("m/1.bin", "encrypted", None), ("m/2.bin", "method 12", None)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_directories_of_large_archives():
+    """Sizes and places beyond four bytes stand in an extra field, and the directory's in a record of its own."""
+    wide = struct.pack("<HHQQQ", 1, 24, 5 << 32, 3 << 32, 7 << 32)
+    entry = Z._ENTRY + struct.pack("<HHHHHHLLLHHHHHLL", 45, 45, 0x800, 8, 0, 0, 77, 0xFFFFFFFF, 0xFFFFFFFF, 3, len(wide), 0, 0, 0, 0, 0xFFFFFFFF) + "é1".encode() + wide
+    assert Z.entries(entry, 0) == [("é1", 7 << 32, 3 << 32, 5 << 32, 8, 77, 0x800)]
+    end64 = Z._END64 + struct.pack("<QHHLLQQQQ", 44, 45, 45, 0, 0, 1, 1, len(entry), 9 << 32)
+    tail = entry + end64 + Z._LOCATOR64 + struct.pack("<LQL", 0, (9 << 32) + len(entry), 1) + Z._END + struct.pack("<HHHHLLH", 0, 0, 1, 1, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    assert Z.directory_range(tail, 9 << 32) == (9 << 32, len(entry), 0)
+    assert Z.directory_range(b"nothing", 0) is None
+
+
+@pytest.mark.parametrize("text, symbols", [
+    ("(TSX: ABC) (OTCQB: ABCD) (NASDAQ ABCD) (Nasdaq: ABCD)", ["ABC", "ABCD"]), ("(NYSE Arca: SPY) ( NYSE : X )", ["SPY", "X"]), ("(nyse american: brk.b) (NYSEAMERICAN:UUU)", ["BRK-B", "UUU"]),
+    ("(CEO: ABC) NYSE: ABC (NYSE: ABCDEF) (XTSX: A) (NYSE: A, B)", []), ("(OTC. AB-C)(OTCQX AB)(TSXV:Z)(BATS: Q)(CBOE: R)(AMEX: T)", ["AB", "AB-C", "Q", "R", "T", "Z"]),
+])
+def test_ticker_mentions(spark, text, symbols):
+    news = spark.createDataFrame([("l", text, "", "2024-01-01")], "link string, title string, description string, published string")
+    known = spark.createDataFrame([(x,) for x in "ABC ABCD SPY X BRK-B UUU ABCDEF A B AB AB-C Q R T Z".split()], "symbol string")
+    assert [r.symbol for r in Q.news_tickers(news, known).collect()] == symbols
 
 
 def test_documents(spark, sf):
