@@ -1,8 +1,8 @@
 """Stores and their upkeep: clustered writes, staged publishing, accrual, day splits, guards, ledgers and versions.
 
 A published store is a folder of states, each a Parquet folder that is never changed, and a pointer to the newest. The pointer is
-replaced by one atomic rename, so a reader sees the old state or the new one, and a writer that dies leaves the old one. A store by day
-is a partitioned folder of which a load rewrites only the days it touches.
+replaced by one rename, atomic on file systems (on object stores as far as they rename atomically), so a reader sees the old state or the
+new one, and a writer that dies leaves the old one. Stores by day, of which a load rewrites the days it touches, are in day_store.py.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scratch import scratch
-
 POINTER = "_current"
 
 
@@ -88,42 +86,6 @@ def accrue(spark: SparkSession, path: str, new: DataFrame, keys: list[str], metr
     publish(merged(store, new, keys, [F.col(metric).desc_nulls_last()]), path)
 
 
-def rewrite_days(spark: SparkSession, path: str, new: DataFrame, day: str, merge) -> None:
-    """Replace the days of a partitioned store that `new` touches by merge(their stored rows or None, new rows); others aren't read.
-
-    The merged days are staged first, so that no plan reads what it overwrites, and rows of a day are dealt over tasks by their content.
-    """
-    staged = scratch(spark, "new-rows")
-    new.write.parquet(staged)
-    new = spark.read.schema(new.schema).parquet(staged)
-    days = new.select(day).distinct()
-    old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(days), day, "left_semi") if exists(spark, path) else None  # one row a day
-    merge_to = scratch(spark, "days")
-    merge(old, new).write.parquet(merge_to)
-    done = spark.read.parquet(merge_to)
-    salt = F.pmod(F.xxhash64(*[c for c, kind in done.dtypes if not kind.startswith(("map", "variant"))]), F.lit(32))
-    done.repartition(day, salt).sortWithinPartitions(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
-
-
-def accrue_days(spark: SparkSession, path: str, new: DataFrame, keys: list[str], metric: str, day: str) -> None:
-    """accrue() for a store by day: of each key the largest metric stays, and only the days of the new rows are rewritten."""
-    rewrite_days(spark, path, new, day, lambda old, rows: merged(old, rows, [day, *[k for k in keys if k != day]], [F.col(metric).desc_nulls_last()]))
-
-
-def split_by_day(df: DataFrame, path: str, day: Column, url: str | None) -> DataFrame:
-    """Rows by their own date, once for each filing url or else content hash, merged with what the store has of their days.
-
-    A frame with the number of rows without a date comes back.
-    """
-    spark = df.sparkSession
-    body = F.sha1(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]))
-    key = F.coalesce(F.nullif(F.trim(F.col(url)), F.lit("")), body) if url else body
-    keyed = df.withColumns({"_key": key, "as_of": day})
-    order = [F.col(c).asc_nulls_first() for c in df.columns]
-    rewrite_days(spark, path, keyed.where("as_of is not null"), "as_of", lambda old, rows: merged(old, rows, ["as_of", "_key"], order))
-    return keyed.agg(F.count_if(F.col("as_of").isNull()).alias("undated"))
-
-
 def union_never_shrink(spark: SparkSession, path: str, new: DataFrame) -> int:
     """Distinct rows of store and new; refuses to publish fewer than the store has. Returns the rows stored."""
     store = published(spark, path)

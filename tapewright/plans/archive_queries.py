@@ -353,11 +353,11 @@ def file_ledger(s, d):
 
 @query("select 'u' || user_id::varchar as link, count(*) > 0 as seen from events group by user_id")
 def news_dedup_stream(s, d):
-    """Stories of a stream, each once within its watermark; the watermark covers the whole table, so each link comes once."""
+    """Stories of a stream, each once within 30 days of event time; a link that comes again later is a story of its own, so links are counted once."""
     store, schema = scratch(s, "news-store"), S.table(s, d, "events").schema
     src = s.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(_joined("u", F.col("user_id")).alias("link"), F.col("ts").alias("published"))
-    J.dedup_news(src, late="4000 days").writeStream.format("parquet").option("path", store).option("checkpointLocation", scratch(s, "news-checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema("link string, published timestamp").parquet(store).select("link", F.lit(True).alias("seen"))
+    J.append_to(J.dedup_news(src, late="30 days"), store, scratch(s, "news-checkpoint")).awaitTermination()
+    return s.read.schema("link string, published timestamp").parquet(store).select("link", F.lit(True).alias("seen")).distinct()
 
 
 def _as_lines(df, sep, root, head):

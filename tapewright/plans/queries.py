@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import half_up
 from ..functions.scratch import scratch
+from ..operators import day_store as B
 from ..operators import derive as D
 from ..operators import sinks as K
 from ..operators import views as V
@@ -720,10 +721,10 @@ def accrue_dedup(s, d):
 def accrue_days(s, d):
     """The same in a store by day, of which the second load rewrites the days it touches."""
     path, sv = scratch(s, "accrued-days"), S.short_volume(s, d).select("symbol", "short_volume", "total_volume", "as_of")
-    K.accrue_days(s, path, sv.where("day(as_of) <= 20").withColumn("total_volume", F.col("total_volume") - 1), ["symbol"], "total_volume", "as_of")
-    K.accrue_days(s, path, sv.where("day(as_of) > 10"), ["symbol"], "total_volume", "as_of")
-    K.accrue_days(s, path, sv.where("day(as_of) <= 10"), ["symbol"], "total_volume", "as_of")
-    return s.read.parquet(path).select(F.col("as_of").cast("date").alias("as_of"), "symbol", "short_volume", "total_volume")
+    B.accrue_days(s, path, sv.where("day(as_of) <= 20").withColumn("total_volume", F.col("total_volume") - 1), ["symbol"], "total_volume", "as_of")
+    B.accrue_days(s, path, sv.where("day(as_of) > 10"), ["symbol"], "total_volume", "as_of")
+    B.accrue_days(s, path, sv.where("day(as_of) <= 10"), ["symbol"], "total_volume", "as_of")
+    return B.stored_days(s, path).select("as_of", "symbol", "short_volume", "total_volume")
 
 
 @query("select as_of, symbol, short_volume from sv where day(as_of) > 3")
@@ -740,8 +741,8 @@ def split_by_day(s, d):
     e = S.table(s, d, "events").select("event_id", "user_id", "event_type", F.date_format("ts", "dd-MMM-yyyy").alias("day"))
     path = scratch(s, "days")
     for part in (e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1 or event_id % 3 = 0")):  # days of the first load stay
-        K.split_by_day(part.unionByName(part.where("event_id % 3 = 0")), path, F.try_to_date("day", "dd-MMM-yyyy"), None).collect()
-    return s.read.parquet(path).select("event_id", "user_id", "event_type", F.col("as_of").cast("date").alias("as_of"))
+        B.split_by_day(part.unionByName(part.where("event_id % 3 = 0")), path, F.try_to_date("day", "dd-MMM-yyyy"), None).collect()
+    return B.stored_days(s, path).select("event_id", "user_id", "event_type", "as_of")
 
 
 @query("select distinct xbrl_url, context_ref, tag, value from eav")
@@ -766,18 +767,21 @@ def page_outline(s, d):
     return X.page_outline(S.table(s, d, "pages"))
 
 
-@query("select ts::date as as_of, event_type, count(*) as n from events group by all")
+@query("select * from (select ts::date as as_of, event_type, count(*) as n from events group by all) where as_of + interval 1 day <= (select max(ts) - interval 1 hour from events)")
 def session_counts(s, d):
-    """The stream's counts by day, in complete mode over all files there are; each state is published to a store."""
-    store = scratch(s, "session-store")
-    src = s.readStream.schema(S.table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
-    J.session_counts(src).writeStream.outputMode("complete").foreachBatch(lambda df, _: K.publish(df, store)).option("checkpointLocation", scratch(s, "sessions")).trigger(availableNow=True).start().awaitTermination()
-    return K.published(s, store)
+    """The stream's counts by day, each appended once when the watermark has passed its day; days that it hasn't passed are still open."""
+    store, schema = scratch(s, "session-store"), S.table(s, d, "events").schema
+    src = s.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    J.append_to(J.session_counts(src), store, scratch(s, "sessions")).awaitTermination()
+    return s.read.schema("as_of date, event_type string, n long").parquet(store)
 
 
-@query("select user_id, event_type, max(value) as value from events group by all")
+@query("select user_id, event_type, ts::date as as_of, max(value) as value from events group by all")
 def accrue_stream(s, d):
+    """A stream into a store by day, run a second time from its checkpoint and once more over the same rows from another."""
     e = S.table(s, d, "events")
-    store = scratch(s, "stream-store")
-    J.accrue_stream(s, f"{d}/events.parquet*", e.schema, store, scratch(s, "stream-checkpoint"), ["user_id", "event_type"], "value").awaitTermination()
-    return K.published(s, store).select("user_id", "event_type", "value")
+    store, first, again = (scratch(s, x) for x in ("stream-store", "stream-checkpoint", "stream-checkpoint"))
+    for checkpoint in (first, first, again):
+        src = s.readStream.schema(e.schema).parquet(f"{d}/events.parquet*").select("user_id", "event_type", "value", F.to_date("ts").alias("as_of"))
+        J.accrue_stream(src, store, checkpoint, ["user_id", "event_type"], "value", "as_of").awaitTermination()
+    return B.stored_days(s, store).select("user_id", "event_type", "as_of", "value")

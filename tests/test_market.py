@@ -3,6 +3,8 @@
 import datetime as dt
 import gzip
 import io
+import os
+import pathlib
 import random
 import struct
 import zipfile
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.operators import archives as A
+from tapewright.operators import day_store as B
 from tapewright.operators import derive as D
 from tapewright.operators import sinks as K
 from tapewright.operators import views as V
@@ -308,15 +311,15 @@ def test_stores(spark, tmp_path):
     assert K.published(spark, p).count() == 2
     assert K.union_never_shrink(spark, p, new([(day(2024, 1, 1), "A", 3.0)])) == 2
     rows = spark.createDataFrame([("01-Jan-2024", "u1"), ("01-Jan-2024", "u1"), ("bad", "u2"), ("02-Jan-2024", ""), ("02-Jan-2024", "")], "d string, url string")
-    bad = K.split_by_day(rows, f"{tmp_path}/days", F.try_to_date("d", "dd-MMM-yyyy"), "url").first()[0]
-    assert bad == 1 and spark.read.parquet(f"{tmp_path}/days").count() == 2
+    bad = B.split_by_day(rows, f"{tmp_path}/days", F.try_to_date("d", "dd-MMM-yyyy"), "url").first()[0]
+    assert bad == 1 and B.stored_days(spark, f"{tmp_path}/days").count() == 2
     more = spark.createDataFrame([("02-Jan-2024", ""), ("02-Jan-2024", "u3"), ("03-Jan-2024", "u3")], "d string, url string")
-    K.split_by_day(more, f"{tmp_path}/days", F.try_to_date("d", "dd-MMM-yyyy"), "url")
-    assert sorted((r.d, r.url) for r in spark.read.parquet(f"{tmp_path}/days").collect()) == [("01-Jan-2024", "u1"), ("02-Jan-2024", ""), ("02-Jan-2024", "u3"), ("03-Jan-2024", "u3")]
+    B.split_by_day(more, f"{tmp_path}/days", F.try_to_date("d", "dd-MMM-yyyy"), "url")
+    assert sorted((r.d, r.url) for r in B.stored_days(spark, f"{tmp_path}/days").collect()) == [("01-Jan-2024", "u1"), ("02-Jan-2024", ""), ("02-Jan-2024", "u3"), ("03-Jan-2024", "u3")]
     d = f"{tmp_path}/by-day"
     for rows in (first, [(day(2024, 1, 1), "A", 2.0), (day(2024, 1, 2), "A", 5.0)], [(day(2024, 1, 2), "A", 7.0)]):
-        K.accrue_days(spark, d, new(rows), ["as_of", "symbol"], "v", "as_of")
-    assert sorted((r.as_of, r.v) for r in spark.read.parquet(d).collect()) == [(day(2024, 1, 1), 3.0), (day(2024, 1, 2), 7.0)]
+        B.accrue_days(spark, d, new(rows), ["as_of", "symbol"], "v", "as_of")
+    assert sorted((r.as_of, r.v) for r in B.stored_days(spark, d).collect()) == [(day(2024, 1, 1), 3.0), (day(2024, 1, 2), 7.0)]
     K.write_clustered(spark.range(100).withColumn("k", F.col("id") % 7), f"{tmp_path}/c", ["k"], 3)
     assert spark.read.parquet(f"{tmp_path}/c").count() == 100
     (tmp_path / "f").mkdir()
@@ -375,21 +378,77 @@ def test_histories(spark):
     assert [(r.symbol, r.company, r.submission_date) for r in best] == [("AC", "Acme LIMTED", day(2024, 4, 5))]
 
 
-def test_streams(spark, sf, tmp_path):
-    ev = spark.read.parquet(f"{sf}/events.parquet")
-    ev.repartition(3).write.parquet(f"{tmp_path}/in")
-    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    late = "60 days"
-    q = J.session_counts(src, late=late).writeStream.outputMode("append").format("memory").queryName("sessions").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c1").start()
-    q.awaitTermination()
-    q = J.session_counts(src, late=late).writeStream.outputMode("complete").format("memory").queryName("sessions_all").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c2").start()
+def _feed(spark, folder, batches, schema):
+    """One file a batch, in order."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        for f in pathlib.Path(folder).glob("*.parquet"):
+            if not f.name.startswith("b"):
+                f.rename(f.with_name(f"b{k}.parquet"))
+                os.utime(f.with_name(f"b{k}.parquet"), (1_600_000_000 + 100 * k,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _t(text):
+    return dt.datetime.fromisoformat(text)
+
+
+def test_sessions_are_appended_when_their_day_has_passed(spark, tmp_path):
+    """A late row is dropped, closed days leave the state, and what comes out equals the batch query up to the watermark."""
+    days = [[(_t(f"2024-01-{3 * k + j:02}T{h:02}:00:00"), e) for j in (1, 2, 3) for h in (3, 20) for e in ("a", "b")] for k in range(4)]
+    days[2].append((_t("2024-01-01T05:00:00"), "a"))  # its day has closed
+    src = _feed(spark, f"{tmp_path}/in", days, "ts timestamp, event_type string")
+    q = J.append_to(J.session_counts(src), f"{tmp_path}/out", f"{tmp_path}/c")
     q.awaitTermination()
-    batch = ev.groupBy(F.to_date("ts").alias("as_of"), "event_type").agg(F.count("*").alias("n"))
-    assert spark.table("sessions_all").exceptAll(batch).count() == 0 and spark.table("sessions_all").count() == batch.count()
-    news = spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/in").select(F.col("user_id").cast("string").alias("link"), F.col("ts").alias("published"))
-    q = J.dedup_news(news, late=late).writeStream.format("memory").queryName("news").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c3").start()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    ev = spark.read.parquet(f"{tmp_path}/in").where("ts <> '2024-01-01 05:00:00'")
+    batch = ev.groupBy(F.to_date("ts").alias("as_of"), "event_type").agg(F.count("*").alias("n")).where("as_of + interval 1 day <= timestamp'2024-01-12 19:00:00'")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and got.count() == 22
+    state = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+    assert max(x["numRowsTotal"] for x in state) <= 8 and state[-1]["numRowsTotal"] == 2 and sum(x["numRowsDroppedByWatermark"] for x in state) == 1
+
+
+def test_stories_are_forgotten_after_their_watermark(spark, tmp_path):
+    link = lambda k, *days: [(f"l{k}", _t(f"2024-01-{x:02}T00:00:00")) for x in days]
+    batches = [link(0, 1) + link(1, 2, 2), link(0, 2) + link(2, 9), link(3, 14), link(0, 20) + link(1, 5) + link(2, 13)]
+    src = _feed(spark, f"{tmp_path}/in", batches, "link string, published timestamp")
+    q = J.append_to(J.dedup_news(src, late="2 days"), f"{tmp_path}/out", f"{tmp_path}/c")
     q.awaitTermination()
-    assert spark.table("news").count() == ev.select("user_id").distinct().count()
-    for _ in range(2):
-        J.accrue_stream(spark, f"{tmp_path}/in", ev.schema, f"{tmp_path}/acc", f"{tmp_path}/c4", ["user_id", "event_type"], "value").awaitTermination()
-    assert K.published(spark, f"{tmp_path}/acc").count() == ev.select("user_id", "event_type").distinct().count()
+    got = sorted((r.link, r.published.day) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    # l0 comes again after it was forgotten; l1 of the 5th and l2 of the 13th lie before or within what is known
+    assert got[:2] == [("l0", 1), ("l0", 20)] and [x for x in got if x[0] in ("l1", "l3")] == [("l1", 2), ("l3", 14)]
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(state) <= 4 and state[-1] <= 2
+
+
+def test_batches_go_into_a_day_store_once(spark, tmp_path, monkeypatch):
+    """A crash between the days and the list leaves the old store; the batch runs again; days that it doesn't touch keep their files."""
+    rows = [[(k, "2024-01-01", 1.0), (k, "2024-01-02", 2.0 + k)] for k in range(2)] + [[(0, "2024-01-02", 9.0), (7, "2024-01-03", 1.0), (8, None, 3.0)]]
+    src = _feed(spark, f"{tmp_path}/in", rows, "k int, as_of string, v double")
+    run = lambda: J.accrue_stream(src, f"{tmp_path}/store", f"{tmp_path}/c", ["k"], "v", "as_of").awaitTermination()
+    real, calls = K.publish, []
+
+    def dies(df, path, keep=2):
+        calls.append(path)
+        if len(calls) == 3:
+            raise OSError("dead")
+        return real(df, path, keep)
+
+    monkeypatch.setattr(K, "publish", dies)
+    with pytest.raises(Exception, match="dead"):
+        run()
+    files = lambda d: {p.name for p in pathlib.Path(tmp_path / "store").glob(f"load=*/as_of={d}/*.parquet")}
+    stored = lambda: sorted((r.k, r.as_of or "", r.v) for r in B.stored_days(spark, f"{tmp_path}/store").collect())
+    assert stored() == [(0, "2024-01-01", 1.0), (0, "2024-01-02", 2.0), (1, "2024-01-01", 1.0), (1, "2024-01-02", 3.0)]
+    first = {r["at"] for r in B.listed(spark, f"{tmp_path}/store") if r["name"] == "as_of=2024-01-01"}
+    run()
+    want = [(0, "2024-01-01", 1.0), (0, "2024-01-02", 9.0), (1, "2024-01-01", 1.0), (1, "2024-01-02", 3.0), (7, "2024-01-03", 1.0), (8, "", 3.0)]
+    assert stored() == want and first == {r["at"] for r in B.listed(spark, f"{tmp_path}/store") if r["name"] == "as_of=2024-01-01"}
+    count = len(calls)
+    run()  # nothing new
+    assert stored() == want and len(calls) == count and len(files("2024-01-03")) == 1
+    df = spark.createDataFrame([(5, "2024-01-03", 1.0)], "k int, as_of string, v double")
+    batch = next((r["name"], r["n"]) for r in B.listed(spark, f"{tmp_path}/store") if r["kind"] == "batch")
+    assert not B.accrue_days(spark, f"{tmp_path}/store", df, ["k"], "v", "as_of", batch) and stored() == want
+    assert B.accrue_days(spark, f"{tmp_path}/store", df.limit(0), ["k"], "v", "as_of", (batch[0], batch[1] + 1)) and stored() == want
+    assert B.stored_days(spark, f"{tmp_path}/none") is None
