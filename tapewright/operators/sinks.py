@@ -51,11 +51,14 @@ def published(spark: SparkSession, path: str) -> DataFrame | None:
     return None if at is None else spark.read.parquet(at)
 
 
-def publish(df: DataFrame, path: str, keep: int = 2) -> None:
-    """Write a new state, then move the pointer to it; the last `keep` states stay, for readers that are under way."""
+def publish(df: DataFrame, path: str, keep: int = 2, write=None) -> None:
+    """Write a new state, then move the pointer to it; the last `keep` states stay, for readers that are under way.
+
+    write(df, folder) lays a state out, by default as Parquet.
+    """
     spark, name = df.sparkSession, f"state-{uuid.uuid4().hex}"
     before = state_of(spark, path)
-    df.write.parquet(f"{path}/{name}")
+    (write or (lambda rows, to: rows.write.parquet(to)))(df, f"{path}/{name}")
     jvm = spark.sparkContext._jvm
     fs, staged = _fs(spark, f"{path}/{POINTER}-{name}")
     out = fs.create(staged, True)

@@ -348,12 +348,16 @@ def annual(facts: DataFrame, units: list[str], durations: dict[str, list[str]] =
 
     form, filed and accn tell which filings the concept `source` comes from. Years are the ends of durations; restated facts are superseded.
     """
-    cur = current_facts(facts, units)
+    return year_table(current_facts(facts, units), ["cik"], durations, instants, source)
+
+
+def year_table(current: DataFrame, keys: list[str], durations: dict[str, list[str]] = YEAR_MEASURES, instants: dict[str, list[str]] = END_MEASURES, source: str = "NetIncomeLoss") -> DataFrame:
+    """annual() of facts of which each has one value for each of the keys, such as those that stood on a day."""
     year, point = F.col("period_days").between(340, 380), F.col("period_days").isNull()
     best = lambda c, cond, value="val": F.max(F.when((F.col("concept") == c) & cond, F.col(value)))
     cols = [F.coalesce(*[best(c, cond) for c in v]).alias(k) for group, cond in ((durations, year), (instants, point)) for k, v in group.items()]
     cols += [best(source, year, c).alias(c) for c in ("form", "filed", "accn")]
-    return cur.where(year | point).groupBy("cik", F.col("period_end").alias("fiscal_year_end")).agg(F.max(F.when(year, 1)).alias("_y"), *cols).where("_y = 1").drop("_y")
+    return current.where(year | point).groupBy(*keys, F.col("period_end").alias("fiscal_year_end")).agg(F.max(F.when(year, 1)).alias("_y"), *cols).where("_y = 1").drop("_y")
 
 
 def fact_vintages(facts: DataFrame) -> DataFrame:

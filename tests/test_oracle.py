@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tapewright.plans import archive_queries, file_queries, queries as market_queries  # noqa: F401  they register themselves
+from tapewright.plans import archive_queries, file_queries, store_queries, queries as market_queries  # noqa: F401  they register themselves
 from tapewright.plans.registry import oracle_sql, queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
