@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, materialise, small
+from .common import SPACES, fresh, let, materialise, small
 
 #: A line goes when more than this share of its host's pages have it.
 RATIO = 0.1
@@ -66,7 +66,9 @@ def dedup_lines(pages: DataFrame, host: str, text: str = "text", ratio: float =
         dealt = pages.join(F.broadcast(hot), pages[host].eqNullSafe(F.col("hot")), "left")
         dealt = dealt.withColumn(parts, F.pmod(F.xxhash64(text), F.coalesce(parts, F.lit(1))).cast("int"))
         both = dealt.join(bad, dealt[host].eqNullSafe(bad[h]) & (F.col(parts) == F.col(salt)), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col(b), F.xxhash64(norm(x))))
+    ls = F.split(F.col(text), "\n")
+    # The page's own boilerplate is found by hashing, so no line is compared with the whole of its host's.
+    kept = let(F.array_intersect(F.transform(ls, lambda x: F.xxhash64(norm(x))), F.col(b)), lambda own: F.filter(ls, lambda x: ~F.array_contains(own, F.xxhash64(norm(x)))))
     clean = F.when(F.col(b).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     out = [clean.alias(text) if c == text else F.col(c) for c in pages.columns]
     if dropped:
@@ -74,10 +76,35 @@ def dedup_lines(pages: DataFrame, host: str, text: str = "text", ratio: float =
     return both.select(*out)
 
 
+#: Stands before a letter while tags are taken out: b for a < that opens nothing, a for itself.
+_MARK = "\x01"
+
+
+def _start_of_last(x: Column, closer: str) -> Column:
+    """Where the last `closer` in x begins, from 1; 0 or less when there is none."""
+    return let(F.instr(F.reverse(x), closer[::-1]), lambda k: F.when(k == 0, F.lit(0)).otherwise(F.length(x) - k - len(closer) + 2))
+
+
+def _quiet(x: Column, opener: str, length: int, closer: str) -> Column:
+    """x with the < of openers marked that no closer follows, so that none of them is looked for to the end of the page."""
+    cut = lambda v, at: F.concat(F.substr(v, F.lit(1), at - 1), F.regexp_replace(F.substr(v, at, F.length(v)), opener, _MARK + "b"))
+    return let(x, lambda v: let(F.greatest(_start_of_last(v, closer) - length + 1, F.lit(1)), lambda at: cut(v, at)))
+
+
+def _closed(x: Column, pattern: str, by: str) -> Column:
+    """x with matches of a pattern that ends in > replaced; what follows the last > holds none and isn't searched."""
+    cut = lambda v, at: F.concat(F.regexp_replace(F.substr(v, F.lit(1), at), pattern, by), F.substr(v, at + 1, F.length(v)))
+    return let(x, lambda v: let(_start_of_last(v, ">"), lambda at: cut(v, at)))
+
+
 def html_lines(html: Column) -> Column:
-    """Visible lines of an HTML page: scripts, styles, comments and tags go, block tags and <br> end a line."""
-    x = F.coalesce(html, F.lit(""))
+    """Visible lines of an HTML page: scripts, styles, comments and tags go, block tags and <br> end a line. Linear in the page, whatever stands open."""
+    x = F.replace(F.coalesce(html, F.lit("")), F.lit(_MARK), F.lit(_MARK + "a"))
+    x = _quiet(x, "<(?=!--)", 4, "-->")
+    x = _quiet(x, r"<(?=script\b)", 7, "</script>")
+    x = _quiet(x, r"<(?=style\b)", 6, "</style>")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
-    x = F.regexp_replace(x, r"</?(p|div|li|ul|ol|h[1-6]|tr|td|th|table|br|nav|article|header|footer|section|title|head|body|html|pre|blockquote)\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
+    x = F.replace(F.replace(x, F.lit(_MARK + "b"), F.lit("<")), F.lit(_MARK + "a"), F.lit(_MARK))
+    x = _closed(x, r"</?(p|div|li|ul|ol|h[1-6]|tr|td|th|table|br|nav|article|header|footer|section|title|head|body|html|pre|blockquote)\b[^>]*>", "\n")
+    x = _closed(x, r"<[^>]*>", "")
     return F.regexp_replace(x, r"(?<![ \t\r])[ \t\r]*\n[ \t\r\n]*", "\n")

@@ -1,6 +1,6 @@
 """Supervised subword embeddings for document quality, trained by numpy stochastic gradient descent.
 
-Features of a text are hashed into a fixed table: its words, its word pairs, its byte n-grams, and two repetition marks
+Features of a text are hashed into a fixed table: its words, its word pairs, its character n-grams, and two repetition marks
 (a word equal to the one before it; a word pair seen earlier in the text). Each feature has a learned vector; a document
 is the average of its features' vectors and a softmax over that average gives the class. Training takes a bounded
 sample of labelled rows, the same number of each class at most, and the class shares of all labelled rows then set the bias. Executors
@@ -21,7 +21,7 @@ from .common import fresh, mix, slices, texts_of
 
 BUCKETS = 1 << 17
 DIM = 8
-BYTE_GRAMS = (3, 4)
+CHAR_GRAMS = (3, 4)
 #: Labelled rows of each class that training takes at most, in the order of a hash of the id.
 SAMPLE_PER_CLASS = 2000
 EPOCHS = 6
@@ -29,42 +29,68 @@ RATE = 0.5
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POWERS = np.cumprod(np.full(4096, np.uint64(0x100000001B3)), dtype=np.uint64)
-#: Documents are hashed in pieces of this many bytes in all, so memory doesn't follow the batch.
+_GRAM, _PAIR = np.uint64(0x9E3779B1), np.uint64(0x9E3779B97F4A7C15)
+#: Documents are hashed in pieces of this many bytes, one text or several, so memory doesn't follow the batch or the text.
 PIECE = 1_000_000
 _LAST_WORD, _SEEN_PAIR = np.uint64(11), np.uint64(13)
 
 
+def _buckets(h: np.ndarray, kind: int) -> np.ndarray:
+    return (mix(h + np.uint64(kind << 56)) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def _codes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+
+
+def _gram_hashes(wide: np.ndarray, n: int) -> np.ndarray:
+    g = np.zeros(max(0, len(wide) - n + 1), np.uint64)
+    for k in range(n):
+        g = g * _GRAM + wide[k : len(wide) - n + 1 + k]
+    return g
+
+
+def _gaps(codes: np.ndarray) -> np.ndarray:
+    return _SPACE[np.minimum(codes, 255)] & (codes < 255)
+
+
+def _words(wide: np.ndarray, space: np.ndarray, opened: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum over letters, length, first place) of each run between gaps; the first run, if it begins at 0, goes on from a word of `opened` letters."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
+    first, after = edge[::2], edge[1::2]
+    if not len(first):
+        return np.empty(0, np.uint64), first, first
+    at = np.arange(len(wide)) - np.repeat(np.concatenate(([0], first)), np.diff(np.concatenate(([0], first, [len(wide)]))))
+    if opened and first[0] == 0:
+        at[: after[0]] += opened
+    weighted = np.where(space, np.uint64(0), (wide + np.uint64(1)) * _POWERS[np.minimum(at, len(_POWERS) - 1)])
+    return np.add.reduceat(weighted, first), after - first, first
+
+
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, document number) of every feature of the texts."""
-    buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    doc_at = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends, prepend=0))
+    """(bucket, document number) of every feature of the texts, taken together: for texts of some PIECE bytes in all."""
+    parts = [_codes(t + b"\n") for t in texts]
+    codes = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+    ends = np.cumsum([len(c) for c in parts])
+    doc_at = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in parts])
     hashed, docs = [], []
 
     def put(h: np.ndarray, doc: np.ndarray, kind: int) -> None:
-        hashed.append((mix(h + np.uint64(kind << 56)) % np.uint64(BUCKETS)).astype(np.int32))
+        hashed.append(_buckets(h, kind))
         docs.append(doc)
 
-    wide = buf.astype(np.uint64)
-    for n in BYTE_GRAMS:
-        if len(buf) >= n:
-            g = np.zeros(len(buf) - n + 1, np.uint64)
-            for k in range(n):
-                g = (g << np.uint64(8)) | wide[k : len(buf) - n + 1 + k]
-            ok = doc_at[: len(g)] == doc_at[n - 1 :]
-            ok &= n - 1 < ends[doc_at[: len(g)]] - np.arange(len(g))
+    wide = codes.astype(np.uint64)
+    for n in CHAR_GRAMS:
+        g = _gram_hashes(wide, n)
+        if len(g):
+            ok = n - 1 < ends[doc_at[: len(g)]] - np.arange(len(g))  # a line feed ends each text
             put(g[ok], doc_at[: len(g)][ok], n)
-    space = _SPACE[buf]
-    first = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    w, length, first = _words(wide, _gaps(codes))
     if len(first):
-        after = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-        at = np.arange(len(buf)) - np.repeat(np.concatenate(([0], first)), np.diff(np.concatenate(([0], first, [len(buf)]))))
-        weighted = np.where(space, np.uint64(0), (wide + np.uint64(1)) * _POWERS[np.minimum(at, len(_POWERS) - 1)])
-        w = np.add.reduceat(weighted, first) + (after - first).astype(np.uint64)
-        d = doc_at[first]
+        w, d = w + length.astype(np.uint64), doc_at[first]
         put(w, d, 1)
         same = d[1:] == d[:-1]
-        pair = (w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:])[same]
+        pair = (w[:-1] * _PAIR + w[1:])[same]
         put(pair, d[1:][same], 2)
         again = d[1:][same & (w[1:] == w[:-1])]
         put(np.full(len(again), _LAST_WORD), again, 7)
@@ -76,9 +102,68 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashed) if hashed else np.empty(0, np.int32), np.concatenate(docs) if docs else np.empty(0, np.int32)
 
 
+def long_counts(text: bytes) -> np.ndarray:
+    """How often each bucket occurs among the features() of one text, taken in pieces: the letters before a cut, the word that it parts, the last word
+    and the pairs seen go on to the next piece."""
+    counts = np.zeros(BUCKETS, np.int64)
+    tail, known = np.empty(0, np.uint64), np.empty(0, np.uint64)
+    part, letters, last, at = np.uint64(0), 0, None, 0
+
+    def put(h: np.ndarray, kind: int) -> None:
+        np.add.at(counts, _buckets(h, kind), 1)
+
+    while at <= len(text):
+        to = at + PIECE
+        while at < to < len(text) and text[to] & 0xC0 == 0x80:  # not within a letter
+            to -= 1
+        final = to >= len(text)
+        codes = _codes(text[at:to] + (b"\n" if final else b""))
+        wide = np.concatenate((tail, codes.astype(np.uint64)))
+        for n in CHAR_GRAMS:
+            put(_gram_hashes(wide, n)[max(0, len(tail) - n + 1) :], n)
+        space = _gaps(codes)
+        w, length, first = _words(wide[len(tail) :], space, letters)
+        length = length.astype(np.uint64)
+        tail = wide[max(0, len(wide) - max(CHAR_GRAMS) + 1) :]
+        if letters and (not len(first) or first[0]):  # the word before the cut has ended there
+            w, length = np.concatenate(([part], w)), np.concatenate(([np.uint64(letters)], length))
+        elif letters:
+            w[0] += part
+            length[0] += np.uint64(letters)
+        part, letters = np.uint64(0), 0
+        if len(codes) and not space[-1] and len(w):
+            part, letters = w[-1], int(length[-1])
+            w, length = w[:-1], length[:-1]
+        w = w + length
+        put(w, 1)
+        run = w if last is None else np.concatenate(([last], w))
+        if len(run) > 1:
+            pair = run[:-1] * _PAIR + run[1:]
+            put(pair, 2)
+            new, once = np.unique(pair, return_index=True)
+            old = np.ones(len(pair), bool)
+            old[once] = False
+            if len(known):
+                at_known = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+                old |= known[at_known] == pair
+            put(np.full(int(old.sum()), _SEEN_PAIR), 7)
+            put(np.full(int((run[1:] == run[:-1]).sum()), _LAST_WORD), 7)
+            known = np.union1d(known, new)
+        last = run[-1] if len(run) else None
+        at = to
+        if final:
+            break
+    return counts
+
+
 def shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(distinct buckets, their shares) of a text's features; at most BUCKETS however long the text."""
-    idx, n = np.unique(features([text])[0], return_counts=True)
+    if len(text) > PIECE:
+        n = long_counts(text)
+        idx = np.flatnonzero(n).astype(np.int32)
+        n = n[idx]
+    else:
+        idx, n = np.unique(features([text])[0], return_counts=True)
     return idx, (n / max(1, n.sum())).astype(np.float32)
 
 
@@ -124,6 +209,11 @@ def scores(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
         while upto < len(texts) and (upto == at or size + len(texts[upto]) <= PIECE):
             size += len(texts[upto])
             upto += 1
+        if len(texts[at]) > PIECE:
+            n = long_counts(texts[at])
+            z[at] += n @ weights / max(1, n.sum())
+            at += 1
+            continue
         idx, doc = features(texts[at:upto])
         n = np.bincount(doc, minlength=upto - at)
         z[at:upto] += np.bincount(doc, weights[idx], minlength=upto - at) / np.maximum(n, 1)

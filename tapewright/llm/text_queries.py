@@ -95,7 +95,7 @@ _NORM = r"trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 ORACLE = {
     "op2_secrets": _secrets_sql(),
     "op4_quotes": rf"""
-with m as (select row_number() over () as r, * from conversations),
+with recursive m as (select row_number() over () as r, * from conversations),
 l as (select r, conv_id, turn, pos, length(regexp_replace(regexp_extract(x, '^([ \t]*>)+'), '[^>]', '', 'g')) as level, regexp_replace(x, '^([ \t]*>)+ ?', '') as line
   from (select r, conv_id, turn, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as pos from m)),
 n as (select *, lead(level) over w as nxt, case when level is distinct from lag(level) over w then 1 else 0 end as new from l window w as (partition by r order by pos)),
@@ -107,11 +107,15 @@ origin as (select conv_id, t, min(turn) as first from wrote where t <> '' and co
 asked as (select r, conv_id, turn, run, level, 0 as k, {_NORM.format("string_agg(line, ' ' order by pos)")} as t from p where level > 0 group by r, conv_id, turn, run, level
   union all select r, conv_id, turn, run, level, 1, {_NORM.format('line')} from p where level > 0),
 hit as (select a.*, o.first from asked a join origin o on a.conv_id = o.conv_id and a.t = o.t and o.first < a.turn),
-links as (select r, coalesce(max(first) filter (where level = 1 and k = 0), max(first) filter (where level = 1)) as reply_to, min(first) as root from hit group by r),
+links as (select r, conv_id, turn, coalesce(max(first) filter (where level = 1 and k = 0), max(first) filter (where level = 1)) as reply_to, min(first) as root from hit group by all),
+step as (select conv_id, turn, min(root) as root from links group by all),
+way as (select conv_id, turn, root from step union select w.conv_id, w.turn, s.root from way w join step s on s.conv_id = w.conv_id and s.turn = w.root),
+far as (select conv_id, turn, min(root) as root from way group by all),
+followed as (select l.r, l.reply_to, coalesce(f.root, l.root) as root from links l left join far f on f.conv_id = l.conv_id and f.turn = l.root),
 q as (select r, count(distinct run) as n_quotes, max(level) as depth from p where level > 0 group by r)
 select m.conv_id, m.turn, m.role, case when m.text is null then null else coalesce(regexp_replace(case when contains(m.text, '>') then coalesce(clean.body, '') else m.text end, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), '') end as text,
   reply_to, coalesce(root, m.turn) as thread, coalesce(n_quotes, 0)::bigint as n_quotes, coalesce(depth, 0)::bigint as depth
-from m left join clean using (r) left join links using (r) left join q using (r)""",
+from m left join clean using (r) left join followed using (r) left join q using (r)""",
 }
 
 

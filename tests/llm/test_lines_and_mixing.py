@@ -1,12 +1,15 @@
 import hashlib
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tapewright.llm import line_dedup
-from tapewright.llm.line_dedup import LEAST_PAGES, RATIO, dedup_lines
+from tapewright.llm.line_dedup import LEAST_PAGES, RATIO, dedup_lines, html_lines
 from tapewright.llm.mixing import mix_to_weights
 from tapewright.llm.queries import LEVELS
 
@@ -104,3 +107,27 @@ def test_mixture_odd_rows(spark):
     assert out.columns == [c for c in docs.columns if c != "copies"] + ["copies"]
     assert out.agg(F.max("copies")).first()[0] == 1
     assert mix_to_weights(empty_docs(spark), LEVELS(), {}).count() == 0
+
+
+def plain_lines(t):
+    """The statement of html_lines(), pattern by pattern."""
+    t = re.sub(r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "", t or "")
+    t = re.sub(r"</?(p|div|li|ul|ol|h[1-6]|tr|td|th|table|br|nav|article|header|footer|section|title|head|body|html|pre|blockquote)\b[^>]*>", "\n", t)
+    return re.sub(r"(?<![ \t\r])[ \t\r]*\n[ \t\r\n]*", "\n", re.sub(r"<[^>]*>", "", t))
+
+
+def test_lines_of_pages_equal_their_statement(spark):
+    rng = np.random.default_rng(5)
+    bits = ["<!--", "-->", "--", ">", "<", "!", "<script", "<script>", "</script>", "<scripty", "<style ", "</style>", "<p", "<p>", "</p >", "<br/>", "<b>", "x", " ", "\n", "\x01", "\x01b", "a", "é", "<!-->", "-"]
+    pages = ["".join(rng.choice(bits, rng.integers(0, 25))) for _ in range(3000)] + [None, ""]
+    got = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, html string").select("k", html_lines(F.col("html")).alias("x")).collect()
+    for r in got:
+        assert r.x == plain_lines(pages[r.k]), pages[r.k]
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<script ", "<style", "<p ", "<x ", "<", "<!-- --", "-->", "<script></scrip", " \t", "<b <p>"])
+def test_open_tags_cost_no_more_than_closed_ones(spark, unit):
+    page = unit * (1_000_000 // len(unit)) + "<p>end"
+    begun = time.perf_counter()
+    out = spark.createDataFrame([(page,)], "html string").select(html_lines(F.col("html"))).first()[0]
+    assert out.endswith("end") and time.perf_counter() - begun < 5

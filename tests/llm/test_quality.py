@@ -1,6 +1,12 @@
+import os
+import pathlib
+import subprocess
+import sys
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from tapewright.llm import quality
 from tapewright.llm.common import fold_of, table
 from tapewright.llm.queries import op9_quality
 from tapewright.llm.quality import BUCKETS, DIM, RATE, features, fit_quality, keep_quality, scores, shares, train, with_quality
@@ -34,10 +40,10 @@ def plain_mix(x):
 
 
 def plain_features(t):
-    """Buckets of one text, feature by feature: byte n-grams (a line feed ends the text), words, word pairs, a word said twice, a pair said before."""
-    line = t + b"\n"
-    out = [(sum(x << 8 * (n - 1 - k) for k, x in enumerate(line[i : i + n])), n) for n in (3, 4) for i in range(len(line) - n + 1)]
-    words = [(sum((x + 1) * pow(0x100000001B3, k + 1, M) for k, x in enumerate(w)) + len(w)) % M for w in t.split()]
+    """Buckets of one text, feature by feature: character n-grams (a line feed ends the text), words, word pairs, a word said twice, a pair said before."""
+    line = t.decode() + "\n"
+    out = [(sum(ord(x) * pow(0x9E3779B1, n - 1 - k, M) for k, x in enumerate(line[i : i + n])) % M, n) for n in (3, 4) for i in range(len(line) - n + 1)]
+    words = [(sum((ord(x) + 1) * pow(0x100000001B3, min(k, 4095) + 1, M) for k, x in enumerate(w.decode())) + len(w.decode())) % M for w in t.split()]
     out += [(w, 1) for w in words]
     before = []
     for a, b in zip(words, words[1:]):
@@ -52,6 +58,36 @@ def test_features_equal_their_statement():
         assert sorted(features([t])[0].tolist()) == plain_features(t)
 
 
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    texts = [b"", b"the cat the cat the cat sat sat " * 9, "ünï 42 ünï\n\tx ".encode() * 7, b" lead and trail ", b"x" * 57, "日本語 ".encode() * 20 + b"y" * 40 + b" z"]
+    want = [np.bincount(features([t])[0], minlength=BUCKETS) for t in texts]
+    weights = np.random.default_rng(1).random(BUCKETS).astype(np.float32)
+    plain = scores(texts, weights, 0.5)
+    for piece in (7, 10, 16, 23, 1000):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        for t, n in zip(texts, want):
+            assert (quality.long_counts(t) == n).all(), (piece, t)
+            idx, part = shares(t)
+            assert (idx == np.flatnonzero(n)).all() and abs(part.sum() - (n.sum() > 0)) < 1e-5
+        assert np.abs(scores(texts, weights, 0.5) - plain).max() < 1e-6
+
+
+def test_a_text_of_100_mb_takes_little_memory():
+    """In a process of its own, so that its peak is this text's."""
+    code = """
+import resource, sys
+import numpy as np
+from tapewright.llm.quality import BUCKETS, scores
+text = b" ".join(b"w%d" % (k * 7919 % 300_007) for k in range(1_000_000)) * 13
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+p = scores([text], np.zeros(BUCKETS, np.float32), 0.0)
+print(len(text), p[0], (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": str(pathlib.Path(quality.__file__).parents[2])})
+    size, p, mb = out.stdout.split()
+    assert int(size) > 80_000_000 and float(p) == 0.5 and int(mb) < 500
+
+
 def test_steps_equal_the_gradient():
     """Stochastic gradient steps against the loss's numeric gradient, through the folded weights."""
     rows, y = [shares(b"good words here"), shares(b"bad bad words"), shares(b"")], [1, 0, 1]

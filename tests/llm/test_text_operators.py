@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -15,6 +16,7 @@ from tapewright.llm.chat_threads import link_quotes
 from tapewright.llm.common import fold_of, table
 from tapewright.llm.secret_scan import ALLOW, CLASSES, scan_secrets
 from tapewright.llm.suffix_lm import score_texts
+from tapewright.llm.text_queries import ORACLE
 
 from .helpers import empty_docs, odd_docs, odd_rows
 
@@ -157,6 +159,11 @@ def test_planted_quotes_equal_brute_force(spark):
     want = brute_quotes(rows)
     assert sorted(out) == sorted(want) and sum(r[3] is not None for r in want) > 60 and max(r[6] for r in want) > 3
     assert [r[:2] for r in out] == [r[:2] for r in sorted(want, key=lambda r: (r[0], r[4], r[1]))]
+    duck = duckdb.connect()
+    duck.register("rows", messages.toPandas())
+    duck.execute("create view conversations as select * from rows")
+    found = duck.execute(f"select conv_id, turn, text, reply_to, thread, n_quotes, depth from ({ORACLE['op4_quotes']})").fetchall()
+    assert sorted(found) == sorted(want)  # threads followed over chains of quotes too
 
 
 def test_quotes_of_very_long_lines_and_clashing_columns(spark):
