@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import latest_per, text_date
-from ..sources.documents import shred_columnar, shred_facts, shred_xbrl
+from ..functions.scratch import scratch
+from ..sources.documents import shred_columnar, shred_facts, shred_xbrl_checked
 from .derive import name_key, resolve_names
 
 #: From this filing date on, values of positions are filed in dollars, before it in thousands. Fixed value.
@@ -107,11 +108,16 @@ def filing_jobs(index: DataFrame) -> DataFrame:
 
 
 def filing_facts(jobs: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts, failed): filings joined to documents(xbrl_url, xml) and shredded; failed has the filings without a document or without facts, by type."""
+    """(facts, rejects): filings joined to documents(xbrl_url, xml) and shredded in one pass, written once.
+
+    rejects has (filing_type, file, record, reason, raw) of each filing without a document or without facts; record is its symbol.
+    """
     found = jobs.join(documents.select("xbrl_url", "xml"), "xbrl_url", "left")
-    facts = shred_xbrl(found.where("xml is not null"))
-    bad = jobs.join(facts.select("filing_type", "xbrl_url").distinct(), ["filing_type", "xbrl_url"], "left_anti")
-    return facts, bad.groupBy("filing_type").agg(F.count("*").alias("failed"))
+    at = scratch(jobs.sparkSession, "filing-facts")
+    shred_xbrl_checked(found).write.parquet(at)
+    rows = jobs.sparkSession.read.parquet(at)
+    rejects = rows.where("problem is not null").select("filing_type", F.col("xbrl_url").alias("file"), F.col("source_symbol").alias("record"), F.col("problem").alias("reason"), "raw")
+    return rows.where("problem is null").drop("problem", "raw"), rejects
 
 
 def insider_store(index: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:

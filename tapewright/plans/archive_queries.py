@@ -281,7 +281,7 @@ def insider_store(s, d):
 @query("select case when event_id % 2 = 0 then 'insider' else 'shareholding' end as filing_type, count(*) as failed from events where event_id % 9 = 0 or event_id % 11 = 0 group by all")
 def failed_filings(s, d):
     index, docs = _xbrl(s, d)
-    return A.filing_facts(A.filing_jobs(index), docs)[1]
+    return A.filing_facts(A.filing_jobs(index), docs)[1].groupBy("filing_type").agg(F.count("*").alias("failed"))
 
 
 @query(f"select as_of, filing_type, source_symbol, xbrl_url, tag, value from {_SHREDS}")

@@ -16,8 +16,9 @@ from ..operators import views as V
 from ..sources import archive_ranges as Z
 from ..sources import headers as H
 from ..sources import readers as R
+from ..sources import rejects as C
 from ..sources import standins as S
-from .archive_queries import _HAS_MAIN, _joined, _submission_docs
+from .archive_queries import _HAS_MAIN, _joined, _submission_docs, _xbrl
 from .registry import query
 
 
@@ -132,3 +133,22 @@ def archive_members(s, d):
     _archives(rows, root, ".gz")
     members = R.unzipped(R.scan_zip_members(s, f"{root}/*/*.txt"))
     return K.member_days(members).groupBy("as_of").agg(F.count("*").alias("members"), F.sum(F.length("content")).alias("bytes"))
+
+
+@query("""select 'csv' as kind, case when event_id % 5 = 0 then 'not 3 fields' when event_id % 7 = 0 then 'not 3 fields' else 'none' end as reason, count(*) as records from events group by all
+union all select 'json', case when n_nationkey % 4 = 0 then 'not JSON' when n_nationkey % 4 = 1 then 'no object' else 'none' end, count(*) from nation group by all
+union all select 'xml', case when event_id % 11 = 0 then 'no document' when event_id % 9 = 0 then 'not XML' else 'none' end, count(*) from events group by all""")
+def rejected_records(s, d):
+    """Records taken and rejected, by reason, of lines, documents and filings: together as many as went in."""
+    root, e = scratch(s, "checked"), S.table(s, d, "events")
+    line = F.when(F.col("event_id") % 5 == 0, _joined(F.col("event_id"), ",short")).when(F.col("event_id") % 7 == 0, _joined(F.col("event_id"), ",too,many,fields"))
+    _lines(e.select(F.coalesce(line, _joined(F.col("event_id"), ",", F.col("event_type"), ",x")).alias("line"), F.date_format("ts", "yyyyMM").alias("m")), f"{root}/csv", ["id,type,more"], key="m")
+    n = S.table(s, d, "nation")
+    body = F.when(n["n_nationkey"] % 4 == 0, F.lit('{"name": ')).when(n["n_nationkey"] % 4 == 1, F.lit("[1]")).otherwise(F.to_json(F.struct(F.col("n_name").alias("name"))))
+    n.select(F.col("n_nationkey").alias("k"), body.alias("value")).repartition("k").write.partitionBy("k").text(f"{root}/json")
+    index, docs = _xbrl(s, d)
+    rows, bad = C.csv_checked(s, f"{root}/csv/*/*.txt")
+    docs_in, docs_bad = C.json_checked(s, f"{root}/json/*/*.txt", "name string")
+    facts, filings_bad = A.filing_facts(A.filing_jobs(index), docs)
+    told = lambda kind, ok, rejected: ok.agg(F.lit("none").alias("reason"), F.count("*").alias("records")).unionByName(rejected.groupBy(F.split_part("reason", F.lit(":"), F.lit(1)).alias("reason")).agg(F.count("*").alias("records"))).select(F.lit(kind).alias("kind"), "reason", "records")
+    return told("csv", rows, bad).unionByName(told("json", docs_in.where("name is not null"), docs_bad)).unionByName(told("xml", facts.select("filing_type", "xbrl_url").distinct(), filings_bad))

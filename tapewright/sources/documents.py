@@ -8,6 +8,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,14 +63,44 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def xbrl_rows(xml: str) -> list[dict]:
-    """Every element with a contextRef and text, with its context's period and explicit dimensions and its unit's measures."""
-    try:
-        root = ET.fromstring(xml)
-    except ET.ParseError:
-        return []
-    ctx, units, out = {}, {}, []
-    for e in root:
+def parsed(xml: str, wanted) -> Iterator[ET.Element]:
+    """Elements that wanted(name, depth) names, each handed on when it ends and then forgotten; outermost ones only. The root has depth 0.
+
+    The document is fed in parts, so of its elements those under way alone are in memory. ParseError as ElementTree raises it.
+    """
+    parser, open_, within = ET.XMLPullParser(("start", "end")), [], None
+
+    def ended() -> Iterator[ET.Element]:
+        nonlocal within
+        for event, e in parser.read_events():
+            if event == "start":
+                if within is None and wanted(_local(e.tag), len(open_)):
+                    within = e
+                open_.append(e)
+                continue
+            open_.pop()
+            if e is within:
+                yield e
+                within = None
+            if within is None:
+                e.clear()
+                if open_:
+                    open_[-1].remove(e)
+
+    for at in range(0, len(xml), 1 << 16):
+        parser.feed(xml[at : at + (1 << 16)])
+        yield from ended()
+    parser.close()
+    yield from ended()
+
+
+def xbrl_rows(xml: str) -> Iterator[dict]:
+    """Every element with a contextRef and text, with its context's period and explicit dimensions and its unit's measures.
+
+    Contexts are gathered in a first reading, which also finds out whether the document parses (ParseError); facts are handed on in a second one.
+    """
+    ctx, units = {}, {}
+    for e in parsed(xml, lambda name, depth: depth == 1):
         kind = _local(e.tag)
         if kind == "context":
             got = {_local(x.tag): (x.text or "").strip() for x in e.iter()}
@@ -77,26 +108,52 @@ def xbrl_rows(xml: str) -> list[dict]:
             ctx[e.get("id")] = dict(period_type="instant" if "instant" in got else "duration", period_start=got.get("startDate"), period_end=got.get("endDate"), period_instant=got.get("instant"), dims=json.dumps(dims) if dims else None)
         elif kind == "unit":
             units[e.get("id")] = "/".join((x.text or "").strip() for x in e.iter() if _local(x.tag) == "measure")
-    for e in root:
+    for e in parsed(xml, lambda name, depth: depth == 1):
         ref, text = e.get("contextRef"), (e.text or "").strip()
         if ref and text:
-            out.append(dict(tag=_local(e.tag), value=text, context_ref=ref, unit=units.get(e.get("unitRef")), decimals=e.get("decimals")) | ctx.get(ref, {}))
-    return out
+            yield dict(tag=_local(e.tag), value=text, context_ref=ref, unit=units.get(e.get("unitRef")), decimals=e.get("decimals")) | ctx.get(ref, {})
 
 
 _XBRL = ["tag", "value", "context_ref", "period_type", "period_start", "period_end", "period_instant", "unit", "decimals", "dims"]
+#: Rows that a task holds before it hands them on, and signs of a rejected document that are kept.
+_HELD, RAW = 5_000, 1_000
 
 
-def shred_xbrl(filings: DataFrame) -> DataFrame:
-    """(filing_type, source_symbol, source_company, xbrl_url, xml) -> fact rows, all text. Documents that don't parse give none."""
+def _frames(rows: Iterator[dict], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while part := list(islice(rows, _HELD)):
+        yield pd.DataFrame(part, columns=columns).astype(object).where(lambda x: x.notna(), None)
+
+
+def shred_xbrl_checked(filings: DataFrame) -> DataFrame:
+    """(filing_type, source_symbol, source_company, xbrl_url, xml) -> fact rows, all text, and for each document without facts one row that says why.
+
+    problem is null for facts; else it is the reason, with the document's beginning in raw.
+    """
     keys = ["filing_type", "source_symbol", "source_company", "xbrl_url"]
 
+    def rows(r: dict) -> Iterator[dict]:
+        own, xml, n = {k: r[k] for k in keys}, r["xml"], 0
+        reason = "no document" if xml is None else "no facts"
+        try:
+            for f in xbrl_rows(xml or "") if xml is not None else ():
+                n += 1
+                yield own | f
+        except ET.ParseError as e:
+            reason = f"not XML: {e}"
+        if not n:
+            yield own | {"problem": reason, "raw": (xml or "")[:RAW]}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [{k: r[k] for k in keys} | f for r in pdf.to_dict("records") for f in xbrl_rows(r["xml"] or "")]
-            yield pd.DataFrame(rows, columns=keys + _XBRL).astype(object).where(lambda x: x.notna(), None)
+            yield from _frames((x for r in pdf.to_dict("records") for x in rows(r)), columns)
+
+    columns = keys + _XBRL + ["problem", "raw"]
+    return filings.select(*keys, "xml").mapInPandas(run, ", ".join(f"{c} string" for c in columns))
 
-    return filings.select(*keys, "xml").mapInPandas(run, ", ".join(f"{c} string" for c in keys + _XBRL))
+
+def shred_xbrl(filings: DataFrame) -> DataFrame:
+    """The facts of shred_xbrl_checked(). Documents that don't parse give none."""
+    return shred_xbrl_checked(filings).where("problem is null").drop("problem", "raw")
 
 
 class _Node:
@@ -302,15 +359,20 @@ def insider_grid(pages: DataFrame) -> DataFrame:
     return pages.select("symbol", "html").mapInPandas(run, ", ".join(f"{c} string" for c in ["symbol", *INSIDER_COLUMNS.values()]))
 
 
-def news_items(xml: str) -> list[dict]:
-    """Sitemap <url>, RSS <item> and Atom <entry> as dictionaries; a document that doesn't parse gives none."""
+_ITEMS = ("url", "item", "entry")
+
+
+def news_items(xml: str) -> Iterator[dict]:
+    """Sitemap <url>, RSS <item> and Atom <entry> as dictionaries, one after the other; a document that doesn't parse gives none."""
     try:
-        root = ET.fromstring(xml)
+        for _ in parsed(xml, lambda name, depth: name in _ITEMS):
+            pass
     except ET.ParseError:
-        return []
-    out = []
-    for e in root.iter():
-        if _local(e.tag) in ("url", "item", "entry"):
+        return
+    for item in parsed(xml, lambda name, depth: name in _ITEMS):
+        for e in item.iter():
+            if _local(e.tag) not in _ITEMS:
+                continue
             got, image, amp = {}, None, None
             for x in e.iter():
                 kind, value = _local(x.tag), (x.text or x.get("href") or "").strip()
@@ -325,8 +387,7 @@ def news_items(xml: str) -> list[dict]:
             story = re.search(r"(\d{8,})(?:\.html?)?$", link)
             clean = lambda x: re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", html.unescape(html.unescape(x)))).strip() if x else None
             enclosure = next((x.get("url") for x in e.iter() if _local(x.tag) in ("enclosure", "thumbnail", "content") and x.get("url")), None)
-            out.append(dict(link=link or None, title=clean(got.get("title")), description=clean(got.get("description") or got.get("summary")), published=got.get("publication_date") or got.get("pubDate") or got.get("published") or None, lastmod=got.get("lastmod") or got.get("updated") or None, section=path[0] if len(path) > 1 else None, subsection=path[1] if len(path) > 2 else None, story_id=story[1] if story else None, keywords=clean(got.get("keywords")), language=got.get("language") or None, image_url=image or enclosure, amp_url=amp))
-    return out
+            yield dict(link=link or None, title=clean(got.get("title")), description=clean(got.get("description") or got.get("summary")), published=got.get("publication_date") or got.get("pubDate") or got.get("published") or None, lastmod=got.get("lastmod") or got.get("updated") or None, section=path[0] if len(path) > 1 else None, subsection=path[1] if len(path) > 2 else None, story_id=story[1] if story else None, keywords=clean(got.get("keywords")), language=got.get("language") or None, image_url=image or enclosure, amp_url=amp)
 
 
 _NEWS = ["file", "link", "title", "description", "published", "lastmod", "section", "subsection", "story_id", "keywords", "language", "image_url", "amp_url"]
@@ -343,7 +404,7 @@ def parse_news(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([{"file": r["file"]} | a for r in pdf.to_dict("records") for a in news_items(r["xml"] or "")], columns=_NEWS)
+            yield from _frames(({"file": r["file"]} | a for r in pdf.to_dict("records") for a in news_items(r["xml"] or "")), _NEWS)
 
     rows = files.select("file", "xml").mapInPandas(run, ", ".join(f"{c} string" for c in _NEWS))
     return rows.withColumns({"published": _stamp("published"), "lastmod": _stamp("lastmod")})

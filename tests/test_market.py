@@ -7,6 +7,8 @@ import os
 import pathlib
 import random
 import struct
+import subprocess
+import sys
 import zipfile
 
 import pytest
@@ -21,6 +23,7 @@ from tapewright.plans import screens as Q
 from tapewright.sources import archive_ranges as Z
 from tapewright.sources import documents as X
 from tapewright.sources import readers as R
+from tapewright.sources import rejects as C
 from tapewright.sources.headers import headers
 from tapewright.streaming import feeds as J
 
@@ -256,6 +259,46 @@ def test_ticker_mentions(spark, text, symbols):
     assert [r.symbol for r in Q.news_tickers(news, known).collect()] == symbols
 
 
+def test_rows_and_rejects_are_the_input(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,2\n3\n"q,r",5\n6,7,8\n,\n')
+    (tmp_path / "b.csv").write_text("y,z,x\n1,2,3\n\n4,5\n")
+    rows, bad = C.csv_checked(spark, f"{tmp_path}/*.csv")
+    assert sorted((r.x or "", r.y or "", r.z or "") for r in rows.collect()) == [("", "", ""), ("1", "2", ""), ("3", "1", "2"), ("q,r", "5", "")]
+    assert sorted((r.file[-5:], r.record, r.reason, r.raw) for r in bad.collect()) == [("a.csv", "3", "not 2 fields", "3"), ("a.csv", "6", "not 2 fields", "6,7,8"), ("b.csv", "4", "not 3 fields", "4,5")]
+    for name, text in (("a", '{"n": 1}'), ("b", "{broken"), ("c", "[1, 2]"), ("d", '{"other": 1}'), ("e", "null")):
+        (tmp_path / f"{name}.json").write_text(text)
+    rows, bad = C.json_checked(spark, f"{tmp_path}/*.json", "n int")
+    assert sorted((r.file_path[-6:], r.n) for r in rows.collect()) == [("a.json", 1), ("d.json", None)]
+    assert sorted((r.record, r.reason, r.raw) for r in bad.collect()) == [("b.json", "not JSON", "{broken"), ("c.json", "no object", "[1, 2]"), ("e.json", "no object", "null")]
+    xml = "<x><context id='c'><instant>2024-01-01</instant></context><A contextRef='c'>1</A></x>"
+    docs = spark.createDataFrame([("u1", xml), ("u2", "<x><A contextRef='c'>1</A>"), ("u3", "<x/>"), ("u5", "")], "xbrl_url string, xml string")
+    jobs = spark.createDataFrame([("t", "S", "C", f"u{k}") for k in range(1, 6)], "filing_type string, source_symbol string, source_company string, xbrl_url string")
+    facts, bad = A.filing_facts(jobs, docs)
+    assert [(r.xbrl_url, r.value) for r in facts.collect()] == [("u1", "1")]
+    got = {r.file: (r.reason.split(":")[0], r.raw) for r in bad.collect()}
+    assert got == {"u2": ("not XML", "<x><A contextRef='c'>1</A>"), "u3": ("no facts", "<x/>"), "u4": ("no document", ""), "u5": ("not XML", "")}
+
+
+def test_large_documents_are_read_in_parts():
+    """100 MB of facts, and of news, in a process of its own: elements don't pile up. Contexts may follow their facts."""
+    code = """
+import resource
+from tapewright.sources.documents import news_items, xbrl_rows
+fact = "<Shares contextRef='c' unitRef='u' decimals='0'>12345</Shares>" * 10
+xml = "<x><unit id='u'><measure>m</measure></unit>" + fact * 160_000 + "<context id='c'><instant>2024-01-01</instant></context></x>"
+item = "<item><title>T</title><link>https://n.org/a/b</link><image><url>i</url></image></item>"
+news = "<rss><channel>" + item * 500_000 + "</channel></rss>"
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(r["period_instant"] == "2024-01-01" and r["unit"] == "m" for r in xbrl_rows(xml))
+m = sum(r["link"] == "https://n.org/a/b" for r in news_items(news))
+print(len(xml), n, m, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = str(pathlib.Path(X.__file__).parents[2])
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": root})
+    size, n, m, mb = map(int, out.stdout.split())
+    assert size > 95_000_000 and (n, m) == (1_600_000, 500_000) and mb < 100
+
+
 def test_documents(spark, sf):
     main = '{"filings": {"recent": {"accessionNumber": ["1", "2"], "filingDate": ["2024-01-01", ""], "items": ["1.01,9.01"]}}}'
     over = '{"accessionNumber": ["3"], "form": ["8-K"]}'
