@@ -2,6 +2,8 @@
 
 import datetime as dt
 import pathlib
+import random
+import re
 
 import pyarrow.parquet as pq
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import as_of as T
 from tapewright.operators import lookup as L
+from tapewright.operators import phrases as P
 from tapewright.operators import sinks as K
 from tapewright.plans import screens as Q
 
@@ -57,3 +60,30 @@ def test_facts_as_of_equal_a_filter_for_each_day(spark):
         want += [(str(d), *map(str, r)) for r in cur.select(*facts.columns).collect()]
     assert got == sorted(want) and len(got) > 300
     assert T.facts_as_of(facts, days.limit(0)).count() == 0 and T.facts_as_of(facts.limit(0), days).count() == 0
+
+
+def test_phrases_equal_a_search_of_the_texts(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "AT&T", "beta.", "Ünï", "x", "alphabet", "gamma,"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))).replace(" x ", rng.choice([" ", "\n\t", "  "])) for _ in range(300)] + [None, "", "  "]
+    docs = spark.createDataFrame([(k, t, f"s{k % 4}", "en") for k, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    path, phrases = f"{tmp_path}/ix", ["alpha beta", "AT & t", "beta . x", "ünï", "alpha alpha", "gamma, AT&T beta", "bet", "", "no such"]
+    P.publish_index(docs, path, partitions=6)
+    found = P.search(spark, path, phrases)
+    got = {(r.phrase, r.doc_id): list(r.at) for r in found.collect()}
+    split = lambda t: re.findall(r"[^\W_]+|[^\w\s]|_", (t or "").lower())
+    want = {}
+    for p in phrases:
+        q = split(p)
+        for k, t in enumerate(texts):
+            ts = split(t)
+            at = [i for i in range(len(ts) - len(q) + 1) if q and ts[i : i + len(q)] == q]
+            if at:
+                want[p, k] = at
+    assert got == want and len({p for p, _ in want}) == 6
+    spelt = {k for k, t in enumerate(texts) if re.search(r"(?<![^\W_])alpha\s+beta(?![^\W_])", (t or "").lower())}
+    assert {k for p, k in got if p == "alpha beta"} == spelt
+    top = {r.source: (r.matches, r.newest, r.total) for r in P.by_entity(found, docs).where("phrase = 'alpha beta'").collect()}
+    assert sum(m for m, _, _ in top.values()) == len(spelt) and top["s1"][1] == max(k for k in spelt if k % 4 == 1)
+    one = P.search(spark, path, ["alpha"])
+    assert len({f for f in one.inputFiles()}) <= 3 and all("/ix/" in f for f in one.inputFiles())  # the files of the word, no text
