@@ -80,29 +80,31 @@ def dedup_lines(pages: DataFrame, host: str, text: str = "text", ratio: float =
 _MARK = "\x01"
 
 
-def _start_of_last(x: Column, closer: str) -> Column:
-    """Where the last `closer` in x begins, from 1; 0 or less when there is none."""
-    return let(F.instr(F.reverse(x), closer[::-1]), lambda k: F.when(k == 0, F.lit(0)).otherwise(F.length(x) - k - len(closer) + 2))
+def _behind(x: Column, closer: str, opener: str, change, otherwise) -> Column:
+    """Where `opener` stands behind the last `closer` of x: change(x up to there, the rest); else, as in most pages, otherwise(x)."""
+    tail = lambda v: F.substring_index(v, closer, -1)  # noqa: E731  all of v when it has no closer
+    split = lambda v, t: change(F.substr(v, F.lit(1), F.length(v) - F.length(t)), t)
+    return let(x, lambda v: F.when(F.contains(tail(v), F.lit(opener)), let(tail(v), lambda t: split(v, t))).otherwise(otherwise(v)))
 
 
-def _quiet(x: Column, opener: str, length: int, closer: str) -> Column:
+def _quiet(x: Column, opener: str, after: str, closer: str) -> Column:
     """x with the < of openers marked that no closer follows, so that none of them is looked for to the end of the page."""
-    cut = lambda v, at: F.concat(F.substr(v, F.lit(1), at - 1), F.regexp_replace(F.substr(v, at, F.length(v)), opener, _MARK + "b"))
-    return let(x, lambda v: let(F.greatest(_start_of_last(v, closer) - length + 1, F.lit(1)), lambda at: cut(v, at)))
+    mark = lambda t: F.regexp_replace(t, f"<(?={opener[1:]}{after})", _MARK + "b")
+    return _behind(x, closer, opener, lambda head, tail: F.concat(head, mark(tail)), lambda v: v)
 
 
 def _closed(x: Column, pattern: str, by: str) -> Column:
-    """x with matches of a pattern that ends in > replaced; what follows the last > holds none and isn't searched."""
-    cut = lambda v, at: F.concat(F.regexp_replace(F.substr(v, F.lit(1), at), pattern, by), F.substr(v, at + 1, F.length(v)))
-    return let(x, lambda v: let(_start_of_last(v, ">"), lambda at: cut(v, at)))
+    """x with matches of a pattern from < to > replaced; what follows the last > holds none and isn't searched."""
+    replace = lambda v: F.regexp_replace(v, pattern, by)
+    return _behind(x, ">", "<", lambda head, tail: F.concat(replace(head), tail), replace)
 
 
 def html_lines(html: Column) -> Column:
     """Visible lines of an HTML page: scripts, styles, comments and tags go, block tags and <br> end a line. Linear in the page, whatever stands open."""
     x = F.replace(F.coalesce(html, F.lit("")), F.lit(_MARK), F.lit(_MARK + "a"))
-    x = _quiet(x, "<(?=!--)", 4, "-->")
-    x = _quiet(x, r"<(?=script\b)", 7, "</script>")
-    x = _quiet(x, r"<(?=style\b)", 6, "</style>")
+    x = _quiet(x, "<!--", "", "-->")
+    x = _quiet(x, "<script", r"\b", "</script>")
+    x = _quiet(x, "<style", r"\b", "</style>")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
     x = F.replace(F.replace(x, F.lit(_MARK + "b"), F.lit("<")), F.lit(_MARK + "a"), F.lit(_MARK))
     x = _closed(x, r"</?(p|div|li|ul|ol|h[1-6]|tr|td|th|table|br|nav|article|header|footer|section|title|head|body|html|pre|blockquote)\b[^>]*>", "\n")
