@@ -101,20 +101,6 @@ def union_never_shrink(spark: SparkSession, path: str, new: DataFrame) -> int:
     return n
 
 
-def file_ledger(spark: SparkSession, glob: str, before: DataFrame | None) -> DataFrame:
-    """path, sha256, size and status (new, changed, same, gone) of files against an earlier ledger."""
-    now = spark.read.format("binaryFile").load(glob).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
-    return now.withColumn("status", F.lit("new")) if before is None else ledger_change(now, before)
-
-
-def ledger_change(now: DataFrame, before: DataFrame) -> DataFrame:
-    """A ledger's files against an earlier ledger, by path; what was gone before may come back as new."""
-    now = now.select("path", "sha256", "size")
-    old = before.where("status <> 'gone'").select("path", F.col("sha256").alias("old_sha"))
-    state = F.when(F.col("old_sha").isNull(), "new").when(F.col("sha256").isNull(), "gone").when(F.col("sha256") == F.col("old_sha"), "same").otherwise("changed")
-    return now.join(old, "path", "full").select("path", "sha256", "size", state.alias("status"))
-
-
 def member_days(members: DataFrame) -> DataFrame:
     """(member, content) of archives -> (as_of, name, sha256, content): date DDMMYYYY from the name, sidecar files out, repeats once."""
     name = F.element_at(F.split("member", "/"), -1)

@@ -8,6 +8,7 @@ from ..functions.core import half_up
 from ..functions.scratch import scratch
 from ..operators import archives as A
 from ..operators import derive as D
+from ..operators import ledger as G
 from ..operators import sinks as K
 from ..operators import views as V
 from ..sources import documents as X
@@ -348,7 +349,7 @@ def file_ledger(s, d):
     one(e.where("k <> 'd05'"))(before)
     one(e.where("k <> 'd03'").withColumn("user_id", F.when(F.col("k") == "d04", F.col("user_id") + 1).otherwise(F.col("user_id"))))(after)
     named = lambda df: df.withColumn("path", F.regexp_extract("path", "k=(d[0-9]+)/", 1))
-    return K.ledger_change(named(K.file_ledger(s, f"{after}/*/*.csv", None)), named(K.file_ledger(s, f"{before}/*/*.csv", None))).select("path", "status")
+    return G.ledger_change(named(G.file_ledger(s, f"{after}/*/*.csv", None)), named(G.file_ledger(s, f"{before}/*/*.csv", None))).select("path", "status")
 
 
 @query("select 'u' || user_id::varchar as link, count(*) > 0 as seen from events group by user_id")

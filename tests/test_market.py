@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tapewright.operators import archives as A
 from tapewright.operators import day_store as B
 from tapewright.operators import derive as D
+from tapewright.operators import ledger as G
 from tapewright.operators import sinks as K
 from tapewright.operators import views as V
 from tapewright.plans import screens as Q
@@ -368,10 +369,10 @@ def test_stores(spark, tmp_path):
     (tmp_path / "f").mkdir()
     (tmp_path / "f/a").write_text("1")
     (tmp_path / "f/b").write_text("2")
-    led = spark.createDataFrame(K.file_ledger(spark, f"{tmp_path}/f", None).toPandas())
+    led = spark.createDataFrame(G.file_ledger(spark, f"{tmp_path}/f", None).toPandas())
     (tmp_path / "f/a").write_text("changed")
     (tmp_path / "f/c").write_text("3")
-    assert {r.path[-1]: r.status for r in K.file_ledger(spark, f"{tmp_path}/f", led).collect()} == {"a": "changed", "b": "same", "c": "new"}
+    assert {r.path[-1]: r.status for r in G.file_ledger(spark, f"{tmp_path}/f", led).collect()} == {"a": "changed", "b": "same", "c": "new"}
     m = spark.createDataFrame([("x/f01022024.csv", bytearray(b"1")), ("y/f01022024.csv", bytearray(b"1")), ("__MACOSX/._f", bytearray(b"z"))], "member string, content binary")
     assert [(r.as_of, r.name) for r in K.member_days(m).collect()] == [(day(2024, 2, 1), "f01022024.csv")]
     root = f"{tmp_path}/snap"

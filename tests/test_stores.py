@@ -1,6 +1,7 @@
 """Look-ups by ranges of keys, and what was known on a day."""
 
 import datetime as dt
+import os
 import pathlib
 import random
 import re
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.operators import as_of as T
+from tapewright.operators import ledger as G
 from tapewright.operators import lookup as L
 from tapewright.operators import phrases as P
 from tapewright.operators import sinks as K
@@ -87,3 +89,35 @@ def test_phrases_equal_a_search_of_the_texts(spark, tmp_path):
     assert sum(m for m, _, _ in top.values()) == len(spelt) and top["s1"][1] == max(k for k in spelt if k % 4 == 1)
     one = P.search(spark, path, ["alpha"])
     assert len({f for f in one.inputFiles()}) <= 3 and all("/ix/" in f for f in one.inputFiles())  # the files of the word, no text
+
+
+def test_ledger_reads_changed_files_alone(spark, tmp_path, monkeypatch):
+    put = lambda name, data: (tmp_path / name).write_bytes(data)
+    body = b"".join(b"%d %d\r\n" % (k, k * k) for k in range(60_000))
+    for name, data in (("a b[1].csv", body), ("c%20.bin", bytes(range(256)) * 50), ("e", b""), ("g", b"gone\n"), ("h", b"one\ntwo")):
+        put(name, data)
+    monkeypatch.setattr(G, "RANGE", 100_000)  # several tasks for one file
+    save = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    first = save(G.file_ledger(spark, f"{tmp_path}/*", None))
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in first.collect()}
+    assert {r.status for r in rows.values()} == {"new"} and rows["a b[1].csv"].size == len(body) and len({r.sha256 for r in rows.values()}) == 4
+    read = []
+    real = G.digests
+    monkeypatch.setattr(G, "digests", lambda s, urls: (read.extend(urls), real(s, urls))[1])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")  # what the session says doesn't matter
+    try:
+        (tmp_path / "g").unlink()
+        os.utime(tmp_path / "c%20.bin", (1, 1))  # touched, not changed
+        put("h", b"one\ntwo\n")  # the last line's end alone
+        put("a b[1].csv", body[:-4] + b"7" + body[-3:])
+        put("n", b"new")
+        second = save(G.file_ledger(spark, f"{tmp_path}/*", first))
+        got = {r.path.rsplit("/", 1)[-1]: r.status for r in second.collect()}
+        assert got == {"a b[1].csv": "changed", "c%20.bin": "same", "g": "gone", "h": "changed", "n": "new"}
+        assert sorted(u.rsplit("/", 1)[-1] for u in read) == ["a%20b%5B1%5D.csv", "c%2520.bin", "h", "n"]
+        read.clear()
+        put("g", b"back")
+        third = {r.path.rsplit("/", 1)[-1]: r.status for r in G.file_ledger(spark, f"{tmp_path}/*", second).collect()}
+        assert third["g"] == "new" and len(third) == 5 and set(third.values()) == {"same", "new"} and len(read) == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
