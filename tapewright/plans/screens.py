@@ -217,14 +217,12 @@ def tag_headlines(titles: DataFrame, aliases: DataFrame) -> DataFrame:
     Words of an alias are parted by white space alone. Each title's single words and pairs meet the aliases by equality; a word with an & is tried whole
     and by its parts.
     """
-    parts = F.filter(F.split("title", r"\s+"), lambda x: x != "")
-    find = lambda x, pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-    ends = lambda x: F.array_distinct(F.concat(find(x, "[A-Za-z0-9_&]+$"), find(x, "[A-Za-z0-9_]+$")))
-    starts = lambda x: F.array_distinct(F.concat(find(x, "^[A-Za-z0-9_&]+"), find(x, "^[A-Za-z0-9_]+")))
-    single = F.concat(find(F.col("title"), "[A-Za-z0-9_&]+"), find(F.col("title"), "[A-Za-z0-9_]+"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("p") - 2), lambda i: F.flatten(F.transform(ends(F.get("p", i)), lambda a: F.transform(starts(F.get("p", i + 1)), lambda b: F.concat_ws(" ", a, b))))))
-    t = titles.withColumn("p", parts).withColumn("s", F.when(F.size("p") >= 2, F.concat(single, pairs)).otherwise(single))
-    s = t.select("doc_id", F.explode(F.array_distinct("s")).alias("x")).where(F.col("x").rlike("^[A-Z0-9&][^ ]*( [A-Z0-9&][^ ]*)?$")).select("doc_id", F.upper("x").alias("alias")).distinct()
+    find = lambda pattern: F.regexp_extract_all("title", F.lit(pattern), F.lit(1))
+    word = {"&": (r"[A-Z0-9&][A-Za-z0-9_&]*", r"(?<![A-Za-z0-9_&])"), "": (r"[A-Z0-9][A-Za-z0-9_]*", r"(?<![A-Za-z0-9_])")}
+    # Capitals are asked for in the patterns, so that of most words no string is made. A look ahead lets pairs overlap.
+    found = [find(f"{before}({w})") for w, before in word.values()] + [find(rf"(?={before}({a}\s+{b}))") for a, before in word.values() for b, _ in word.values()]
+    x = F.transform(F.concat(*found), lambda k: F.upper(F.regexp_replace(k, r"\s+", " ")))
+    s = titles.select("doc_id", F.explode(F.array_distinct(x)).alias("alias"))
     return s.join(aliases, "alias").select("doc_id", "symbol").distinct()
 
 
