@@ -195,6 +195,11 @@ def filing_list(raw: DataFrame) -> DataFrame:
     )
 
 
+def insider_facts(raw: DataFrame) -> DataFrame:
+    """Insider facts of shredded filings, as filed; rows of other filings go where the kind is told."""
+    return raw.where("filing_type = 'insider'").drop("filing_type") if "filing_type" in raw.columns else raw
+
+
 def holding_facts(raw: DataFrame) -> DataFrame:
     """Shareholding facts of shredded filings, as filed; rows without a value go, and what several days' files repeat counts once."""
     return raw.where("value is not null and filing_type = 'shareholding'").drop("filing_type").distinct()

@@ -138,11 +138,11 @@ def dossier_drilldown(s, d):
     return X.dossier_drilldown(X.parse_dossiers(_dossier_pages(s, d)))
 
 
-@query("select 'Brand#' || (user_id % 25 + 1)::varchar as symbol, date_trunc('month', ts)::date as date, 'Person ' || user_id::varchar as person, case when user_id % 3 > 0 then event_type end as category, case when event_type = 'view' then null when event_type = 'error' then 'Sell' else 'Buy' end as txn_type, case when event_type = 'view' then null when event_type = 'error' then -event_id else event_id end::double as qty, floor(value) + 0.5 as avg_price, event_id::double as value_lacs from events where event_id > 0")
+@query("select 'Brand#' || (user_id % 25 + 1)::varchar as symbol, date_trunc('month', ts)::date as date, 'Person ' || user_id::varchar as person, case when user_id % 3 > 0 then event_type end as category, case when event_type = 'view' then null when event_type = 'error' then 'Sell' else 'Buy' end as txn_type, case when event_type = 'view' then null when event_type = 'error' then -event_id - 1 else event_id + 1 end::double as qty, floor(value) + 0.5 as avg_price, event_id::double as value_lacs from events")
 def trade_page_rows(s, d):
     """A page for each symbol and month, so that no page grows with the data's age."""
-    e = S.table(s, d, "events").where("event_id > 0")
-    qty = F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.concat(F.when(F.col("event_type") == "error", "-").otherwise(""), F.format_number("event_id", 0)))
+    e = S.table(s, d, "events")
+    qty = F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.concat(F.when(F.col("event_type") == "error", "-").otherwise(""), F.format_number(F.col("event_id") + 1, 0)))
     span = F.when(F.col("user_id") % 3 > 0, _joined("<span>", F.col("event_type"), "</span>")).otherwise("")
     row = _joined("<tr><td>Person ", F.col("user_id"), " ", span, "</td><td>", qty, "</td><td>", F.floor("value").cast("long"), ".5</td><td>", F.format_number("event_id", 0), "</td></tr>")
     month = F.date_format("ts", "MMM yyyy")
@@ -159,20 +159,20 @@ def parse_ratio_grid(s, d):
     return X.ratio_grid(S.table(s, d, "nation").select(_joined("Brand#", F.col("n_nationkey")).alias("symbol"), _joined(news, "<table>", rows, "</table>").alias("html")))
 
 
-@query("select 'S' || (user_id % 25)::varchar as symbol, 'Owner ' || user_id::varchar as owner_name, 'CEO' as relationship, strftime(ts, '%b %d') as trans_date, case when event_id % 4 = 0 then 'Proposed Sale' else 'Sale' end as transaction, 2.5::double as price_per_share, event_id::double as shares, (event_id * 2)::double as value_usd, 9.0::double as shares_after, event_id % 4 = 0 as is_proposed from events where event_id % 7 = 0")
+@query("select 'S' || (user_id % 25)::varchar as symbol, 'Owner ' || user_id::varchar as owner_name, 'CEO' as relationship, strftime(ts, '%b %d') as trans_date, case when event_id % 4 = 0 then 'Proposed Sale' else 'Sale' end as transaction, 2.5::double as price_per_share, event_id::double as shares, (event_id * 2)::double as value_usd, 9.0::double as shares_after, event_id % 4 = 0 as is_proposed from events")
 def insider_grid(s, d):
     """The tables of insiders of pages, cleaned and typed as the live view."""
-    e = S.table(s, d, "events").where("event_id % 7 = 0")
+    e = S.table(s, d, "events")
     row = _joined("<tr><td>Owner ", F.col("user_id"), "</td><td>CEO</td><td>", F.date_format("ts", "MMM dd"), "</td><td>", F.when(F.col("event_id") % 4 == 0, "Proposed Sale").otherwise("Sale"), "</td><td>2.5</td><td>", F.format_number("event_id", 0), "</td><td>", F.format_number(F.col("event_id") * 2, 0), "</td><td>9</td></tr>")
     pages = e.groupBy((F.col("user_id") % 25).alias("k"), F.to_date("ts").alias("day")).agg(F.concat_ws("", F.collect_list(row)).alias("rows"))
     head = "".join(f"<th>{c}</th>" for c in X.INSIDER_COLUMNS)
     return V.live_insiders(X.insider_grid(pages.select(_joined("s", F.col("k")).alias("symbol"), _joined(f"<table><tr>{head}</tr>", F.col("rows"), "</table>").alias("html"))))
 
 
-@query("select 'f' || (event_id % 5)::varchar as file, 'https://n.org/' || event_type || '/sub/story-' || (10000000 + event_id)::varchar || '.html' as link, 'T & ' || user_id::varchar as title, event_type as section, 'sub' as subsection, (10000000 + event_id)::varchar as story_id, 'k' || user_id::varchar as keywords, 'en' as language, 'https://i.org/' || event_id::varchar as image_url, date_trunc('second', ts) as published from events where event_id % 3 = 0")
+@query("select 'f' || (event_id % 5)::varchar as file, 'https://n.org/' || event_type || '/sub/story-' || (10000000 + event_id)::varchar || '.html' as link, 'T & ' || user_id::varchar as title, event_type as section, 'sub' as subsection, (10000000 + event_id)::varchar as story_id, 'k' || user_id::varchar as keywords, 'en' as language, 'https://i.org/' || event_id::varchar as image_url, date_trunc('second', ts) as published from events")
 def parse_news_xml(s, d):
     """Sitemaps with news and image extensions."""
-    e = S.table(s, d, "events").where("event_id % 3 = 0")
+    e = S.table(s, d, "events")
     item = _joined("<url><loc>https://n.org/", F.col("event_type"), "/sub/story-", F.col("event_id") + 10000000, ".html</loc><n:news><n:publication><n:language>en</n:language></n:publication><n:publication_date>", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "+00:00</n:publication_date><n:title>T &amp;amp; ", F.col("user_id"), "</n:title><n:keywords>k", F.col("user_id"), "</n:keywords></n:news><i:image><i:loc>https://i.org/", F.col("event_id"), "</i:loc></i:image></url>")
     files = e.groupBy((F.col("event_id") % 5).alias("k"), F.to_date("ts").alias("day")).agg(F.concat_ws("", F.collect_list(item)).alias("x"))
     xml = _joined('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:n="http://www.google.com/schemas/sitemap-news/0.9" xmlns:i="http://www.google.com/schemas/sitemap-image/1.1">', F.col("x"), "</urlset>")

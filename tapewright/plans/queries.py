@@ -34,6 +34,22 @@ def _px(s, d, b=None):
     return V.session_prices(S.bars(s, d) if b is None else b)
 
 
+@query("""select as_of, symbol, 'EQ' as series, case when k % 10 = 0 then null else open end as prev_close, close, floor(volume)::double as qty, floor(close * volume)::double as turnover_lacs,
+  case when k % 10 > 0 and k % 11 > 0 and open <> 0 then floor((close - open) / open * 100 * 100 + 0.5) / 100 end as pct_change from (select * exclude (open), open * (k % 11 > 0)::int as open from (select *, (dayofyear(as_of) + length(symbol)) as k from bars)) where k % 7 > 0""")
+def typed_prices(s, d):
+    """C1 from day files: text with spaces, dates in two forms, a dash for what is unknown, nought closes, and other series than equity."""
+    root, k = scratch(s, "bhav"), F.dayofyear("as_of") + F.length("symbol")
+    b = S.bars(s, d).withColumn("k", k).withColumn("open", F.col("open") * (F.col("k") % 11 > 0).cast("int"))
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    day = F.when(F.col("k") % 2 == 0, F.date_format("as_of", "dd-MMM-yyyy")).otherwise(F.date_format("as_of", "yyyy-MM-dd"))
+    out = b.select(
+        pad(F.col("symbol")).alias("SYMBOL"), F.when(F.col("k") % 7 == 0, " BE").otherwise(" EQ").alias(" SERIES"), pad(day).alias(" DATE1"), pad(F.when(F.col("k") % 10 == 0, "-").otherwise(F.col("open").cast("string"))).alias(" PREV_CLOSE"),
+        pad(F.col("close").cast("string")).alias(" CLOSE_PRICE"), pad(F.floor("volume").cast("string")).alias(" TTL_TRD_QNTY"), pad(F.floor(F.col("close") * F.col("volume")).cast("string")).alias(" TURNOVER_LACS"),
+    )
+    out.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root)
+    return V.prices(R.scan_csv_glob(s, f"{root}/*.csv"))
+
+
 def _sec(s, d):
     return V.security(S.masters(s, d))
 
@@ -131,7 +147,7 @@ def circuit(s, d):
 
 @query("select * from eav")
 def insider_facts(s, d):
-    return S.eav(s, d)
+    return V.insider_facts(S.eav(s, d))
 
 
 @query("select * from mcap")

@@ -300,6 +300,12 @@ print(len(xml), n, m, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - befo
     assert size > 95_000_000 and (n, m) == (1_600_000, 500_000) and mb < 100
 
 
+def test_prices_from_text(spark):
+    rows = [(" A ", " EQ ", " 02-Jan-2024", " 100 ", " 101.5 ", "10", "x"), ("B", "BE", "2024-01-02", "1", "2", "3", "4"), ("C", "EQ", "2024-01-03", "0", "5", "-", "1"), ("D", "EQ", "3 Jan", "-", "7", "1", "1"), ("E", "EQ", "03-Jan-2024", "3", None, "1", "1")]
+    got = {r.symbol: tuple(r) for r in V.prices(spark.createDataFrame(rows, "symbol string, series string, date1 string, prev_close string, close_price string, ttl_trd_qnty string, turnover_lacs string")).collect()}
+    assert got == {"A": (day(2024, 1, 2), "A", "EQ", 100.0, 101.5, 10.0, None, 1.5), "C": (day(2024, 1, 3), "C", "EQ", 0.0, 5.0, None, 1.0, None), "D": (None, "D", "EQ", None, 7.0, 1.0, 1.0, None), "E": (day(2024, 1, 3), "E", "EQ", 3.0, None, 1.0, 1.0, None)}
+
+
 def test_documents(spark, sf):
     main = '{"filings": {"recent": {"accessionNumber": ["1", "2"], "filingDate": ["2024-01-01", ""], "items": ["1.01,9.01"]}}}'
     over = '{"accessionNumber": ["3"], "form": ["8-K"]}'
