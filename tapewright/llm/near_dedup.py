@@ -1,7 +1,7 @@
 """Near duplicates by bottom-k sketches of one hash function.
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Its sketch is the k smallest of them. Documents with
-equal sets are one class, known by a 64-bit hash of the set. Two sets of Jaccard similarity t share a known least number
+equal sets are one class, known by a 128-bit hash of the set. Two sets of Jaccard similarity t share a known least number
 of retained values (least_overlap(): exact while both sketches hold whole sets, otherwise Z standard deviations below
 the mean, which misses a pair at the threshold with a chance of about 3 in 100,000 and a closer pair hardly ever). Inverted lists hold, for each class, only its rarest retained values:
 of two sketches that share at least s values, each ordered from the rarest value of the corpus on, the first size - s + 1 have
@@ -47,8 +47,9 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(values)))
 
 
-def _key(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _key(s: np.ndarray) -> bytes:
+    """128 bits that know a set: at 10 ** 11 sets, the chance that any two share them is below 10 ** -16."""
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def _sampled(union: Column, percent: int, k: int) -> Column:
@@ -81,7 +82,7 @@ def _sketches(size: int, k: int):
         for batch in slices(batches):
             sets = shingle_sets(texts_of(batch, "text"), size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), _lists([s[:k] for s in sets])],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), _lists([s[:k] for s in sets])],
                 ["doc_id", "n_shingles", "node", "sketch"],
             )
 
@@ -92,7 +93,7 @@ def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(texts_of(batch, "text"), size)
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), _lists(sets)], ["node", "full"])
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), _lists(sets)], ["node", "full"])
 
     return run
 
@@ -106,7 +107,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     doc_id all carry the same result. A null doc_id takes part, never names a component that has another id, and is
     never kept unless its whole component has null ids. Other columns of docs are ignored. Empty input gives no rows.
     """
-    rows = materialise(docs.select("doc_id", "text").mapInArrow(_sketches(shingle, k), "doc_id long, n_shingles long, node long, sketch array<long>"), "sketches")
+    rows = materialise(docs.select("doc_id", "text").mapInArrow(_sketches(shingle, k), "doc_id long, n_shingles long, node binary, sketch array<long>"), "sketches")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes.withColumn("least", least_overlap(F.col("n"), percent, k)), "nodes")
 
@@ -157,7 +158,7 @@ def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, s
     wanted = materialise(wanted.join(nodes.select("node", "rep"), "node"), "wanted")
     ids = materialise(wanted.select("rep").distinct(), "wanted-ids")
     texts = docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    full = texts.select("text").mapInArrow(_full_sets(shingle), "node long, full array<long>")
+    full = texts.select("text").mapInArrow(_full_sets(shingle), "node binary, full array<long>")
     full = materialise(full.join(small(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "full-sets")
     fa, fb = full.select(F.col("node").alias("a"), F.col("full").alias("fa")), full.select(F.col("node").alias("b"), F.col("full").alias("fb"))
     both = F.size(F.array_intersect("fa", "fb")).cast("long")
