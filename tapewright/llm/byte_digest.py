@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import materialise, mix, slices, small
 
 BUCKETS = 128
 #: Triplets of a window of five bytes that hold its last byte, as distances back from it.
@@ -28,6 +28,8 @@ _STEP = np.array([[abs(a - b) if abs(a - b) < 3 else 6 for b in range(4)] for a
 PIECE = 1 << 20
 #: Bytes of texts in a range of neighbours, and ids sampled a range to cut them.
 RANGE_BYTES, SAMPLED = 64 << 20, 50
+#: Ids sampled in all, 32 MB on the driver.
+MOST_SAMPLED = 4_000_000
 
 
 def counts(data: bytes) -> np.ndarray:
@@ -74,12 +76,13 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
 
 
 def cuts_of(ids: DataFrame, ranges: int) -> np.ndarray:
-    """Ids that cut ids(doc_id) into about so many even ranges, ascending: quantiles of a sample of about SAMPLED ids a range. They set the balance alone."""
+    """Ids that cut ids(doc_id) into about so many even ranges, ascending: quantiles of a sample of SAMPLED ids a range, MOST_SAMPLED in all. They set the balance alone."""
     rows = ids.where("doc_id is not null")
     n = rows.count()
     if ranges < 2 or not n:
         return np.empty(0, np.int64)
-    some = rows.select("doc_id") if n <= SAMPLED * ranges else rows.select("doc_id").sample(fraction=SAMPLED * ranges / n, seed=1)
+    wanted = min(SAMPLED * ranges, MOST_SAMPLED)
+    some = rows.select("doc_id") if n <= wanted else rows.select("doc_id").sample(fraction=wanted / n, seed=1)
     found = np.sort(some.toArrow().column(0).to_numpy().astype(np.int64))
     return np.unique(found[np.arange(1, ranges) * len(found) // ranges]) if len(found) else found
 
@@ -89,22 +92,24 @@ def neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
     Gives (part, doc_id, text, extra): `extra` marks those repeated first rows; the last range ends with the first of all. Within a
     part, rows follow the order doc_id descending, null last, equal ids by the text's md5, extra rows last. The number of ranges follows
-    the bytes of the texts; rows of one id, and those without, stay in one range.
+    the bytes of the texts; rows of one id, and those without, stay in one range. The driver receives the cuts of ranges, 8 bytes for 64 MB of text.
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("m"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     cuts = cuts_of(docs.select("doc_id"), max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // range_bytes)))
-    held = spark.sparkContext.broadcast(cuts)
-    # Ids above the k-th highest cut lie in part k; a row of the null id lies in the last.
+    held, n = spark.sparkContext.broadcast(cuts), len(cuts)
+    # Ids above the k-th highest cut lie in part k, a cut itself in the part below it; a row without an id lies in part n + 1.
     part = F.pandas_udf(lambda c: pd.Series(len(held.value) - np.searchsorted(held.value, c.to_numpy(np.int64), side="left")), "long")
-    placed = d.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(part(F.coalesce("doc_id", F.lit(0)))).cast("int"))
-    heads = placed.groupBy("part").agg(F.min(F.struct(F.expr("-doc_id").alias("o"), "m")).alias("h")).select("part", "h.o", "h.m").orderBy("part").collect()
-    if not heads:
-        return placed.withColumn("extra", F.lit(False)).select("part", "doc_id", "text", "m", "extra")
-    to = {h["part"]: heads[k - 1]["part"] for k, h in enumerate(heads)}  # the first range's head ends the last range
-    table = spark.createDataFrame([(h["part"], None if h["o"] is None else -h["o"], h["m"], to[h["part"]]) for h in heads], "p int, d long, hm string, before int")
-    extra = placed.join(F.broadcast(table), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("m") == F.col("hm")))  # one row a range
+    placed = d.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(n + 1)).otherwise(part(F.coalesce("doc_id", F.lit(0)))).cast("int"))
+    # Parts 1 to n hold their cuts. The first and the last may be empty: what there is of either is asked for.
+    some = docs.agg(F.bool_or(F.col("doc_id") > F.lit(int(cuts[-1]) if n else -(1 << 63))).alias("top"), F.bool_or(F.col("doc_id").isNull()).alias("bottom"), F.bool_or(F.col("doc_id").isNotNull()).alias("any")).first()
+    first = 0 if some["top"] or (not n and some["any"]) else 1 if n else n + 1
+    last = n + 1 if some["bottom"] else n
+    heads = placed.groupBy("part").agg(F.min(F.struct(F.expr("-doc_id").alias("o"), "m")).alias("h"))
+    before = F.when(F.col("part") == first, F.lit(last)).when((F.col("part") == n + 1) & F.lit(n == 0), F.lit(0)).otherwise(F.col("part") - 1)
+    heads = materialise(heads.select(F.col("part").alias("p"), F.expr("-h.o").alias("d"), F.col("h.m").alias("hm"), before.cast("int").alias("before")), "range-heads")
+    extra = placed.join(small(heads), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("m") == F.col("hm")))  # one row a range
     extra = extra.groupBy("before", "doc_id", "m").agg(F.first("text").alias("text")).select(F.col("before").alias("part"), "doc_id", "text", "m", F.lit(True).alias("extra"))
     return placed.withColumn("extra", F.lit(False)).select("part", "doc_id", "text", "m", "extra").unionByName(extra)
 
