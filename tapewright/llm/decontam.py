@@ -233,6 +233,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, le
         n[got.column("at").to_numpy()] = got.column("n").to_numpy()
         rare = spark.sparkContext.broadcast(seeds.rare(n, cover))
         part = docs.mapInArrow(_score(rare, least_score), "doc_id long, item_id long, score double, start_word long, end_word long")
+        part = materialise(part, "passages")
+        rare.destroy()  # one block's seeds are held at a time, however many blocks there are
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
 
