@@ -189,6 +189,38 @@ class Keys:
         return has, found[has]
 
 
+#: Bits of a table of hashes for each of them, bits of it at most (256 MB), and bits of a page.
+BITS_EACH, MOST_BITS, PAGE = 16, 1 << 31, 1 << 23
+
+
+def bit_table(keys: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """A bit for each of keys(h), 64-bit hashes, at the place that its low bits name: BITS_EACH bits a key, `most_bits` at most.
+
+    What isn't there is taken for a key once in BITS_EACH times, beyond `most_bits` more often; no key is ever missed. Tasks put pages together; the driver
+    receives bits, never keys.
+    """
+    size = 1 << int(np.clip(np.ceil(np.log2(BITS_EACH * max(keys.count(), 1))), 3, np.log2(most_bits)))
+
+    def page(t: pa.Table) -> pa.Table:
+        at = t.column("at").to_numpy()
+        bits = np.zeros(min(size, PAGE), np.uint8)
+        bits[at % PAGE] = 1
+        return pa.table({"page": [int(at[0] // PAGE)], "bits": [np.packbits(bits).tobytes()]})
+
+    placed = keys.select((F.col("h").bitwiseAND(size - 1)).alias("at")).withColumn("page", F.expr(f"at div {PAGE}"))
+    table = np.zeros(max(size // 8, 1), np.uint8)
+    for part in placed.groupBy("page").applyInArrow(page, "page long, bits binary").toArrow().to_batches():
+        for k, bits in zip(part.column("page").to_pylist(), part.column("bits").to_pylist()):
+            table[k * PAGE // 8 : k * PAGE // 8 + len(bits)] = np.frombuffer(bits, np.uint8)
+    return table
+
+
+def may_hold(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each 64-bit hash may be a key of a bit_table()."""
+    at = h.view(np.int64) & (8 * len(table) - 1)
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 _ODD = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
 
 

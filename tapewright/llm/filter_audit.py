@@ -21,16 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, materialise, slices, texts_of
+from .common import MOST_BITS, UPPER, bit_table, materialise, may_hold, slices, texts_of
 
 #: Distinct texts a block of the sketch is made for, counters for each of them, and counters that a text adds to.
 BLOCK, COUNTERS, PROBES = 1 << 17, 16, 4
 #: Keys a task counts at a time.
 HELD = 1 << 20
-#: Bits of the filter for each possible repeat, and at most: 256 MB.
-FILTER_BITS, MOST_BITS = 16, 1 << 31
-#: Bits of a page of the filter.
-PAGE = 1 << 23
 #: Bytes of a text whose words are cut at a time.
 PIECE = 1 << 20
 
@@ -109,31 +105,9 @@ def possible_repeats(keys: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def membership(keys: DataFrame, most_bits: int = MOST_BITS):
-    """A function of a column: whether a 64-bit hash may be one of keys(h). No key is missed.
-
-    A bit for each key in a table of FILTER_BITS bits a key, `most_bits` at most: beyond it more others pass, and none is lost. Pages are put
-    together by tasks; the driver receives bits, never keys.
-    """
-    size = 1 << int(np.clip(np.ceil(np.log2(FILTER_BITS * max(keys.count(), 1))), 3, np.log2(most_bits)))
-
-    def page(t: pa.Table) -> pa.Table:
-        at = t.column("at").to_numpy()
-        bits = np.zeros(min(size, PAGE), np.uint8)
-        bits[at % PAGE] = 1
-        return pa.table({"page": [int(at[0] // PAGE)], "bits": [np.packbits(bits).tobytes()]})
-
-    placed = keys.select((F.col("h").bitwiseAND(size - 1)).alias("at")).withColumn("page", F.expr(f"at div {PAGE}"))
-    table = np.zeros(max(size // 8, 1), np.uint8)
-    for row in placed.groupBy("page").applyInArrow(page, "page long, bits binary").toArrow().to_batches():
-        for k, bits in zip(row.column("page").to_pylist(), row.column("bits").to_pylist()):
-            table[k * PAGE // 8 : k * PAGE // 8 + len(bits)] = np.frombuffer(bits, np.uint8)
-    held = keys.sparkSession.sparkContext.broadcast(table)
-
-    def has(h: pd.Series) -> pd.Series:
-        at = h.to_numpy(np.int64) & (size - 1)
-        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
-
-    return F.pandas_udf(has, "boolean")
+    """A function of a column: whether a 64-bit hash may be one of keys(h). No key is missed."""
+    held = keys.sparkSession.sparkContext.broadcast(bit_table(keys, most_bits))
+    return F.pandas_udf(lambda h: pd.Series(may_hold(held.value, h.to_numpy(np.int64))), "boolean")
 
 
 def with_repeats(docs: DataFrame, marked: DataFrame, bit: int = 16) -> DataFrame:

@@ -15,7 +15,8 @@ Since P(x | c) is P(x | suffix) times b(c) times, for kept symbols, one more fac
 the logarithms of the factors of the retained contexts and kept symbols that it meets. Counting goes level by level: tasks count
 their own grams, hand them on in blocks dealt by the gram's hash, and the blocks of a bucket are merged. Contexts and symbols travel
 as places in tables of the frequent ones while those have at most CACHE rows, else as 64-bit keys. Factors are looked up in a
-broadcast of at most CACHE rows, or of the most frequent ones if there are more; then the rest are found by a join.
+broadcast of at most SCORE_CACHE rows, or of the most frequent ones if there are more; of the rest a table of bits tells which can be
+there at all, and those alone are found by a join.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Keys, hashed_words, materialise, mix, slices, small, texts_of
+from .common import Keys, bit_table, hashed_words, materialise, may_hold, mix, slices, small, texts_of
 
 DEPTH = 2
 LEAST_COUNT = 16
@@ -39,6 +39,8 @@ LEAST_SYMBOL_GAIN = 16.0
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of a table that may be broadcast for look-ups.
 CACHE = 5_000_000
+#: Rows of a table that scoring holds in each task, the most frequent ones; others are found by a join.
+SCORE_CACHE = 2_000_000
 #: Words, and places with their contexts, that a task holds before it hands their counts on; places in all that a bucket gets about.
 WORDS_HELD, HELD, BUCKET = 6_000_000, 3_000_000, 1_500_000
 _NEXT, _CONTEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -274,10 +276,10 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent(rows: DataFrame, tokens: int) -> tuple[DataFrame, bool]:
-    """Of materialised rows(..., n) at most CACHE for each level of n, and whether these are all: otherwise those that make up 1 / CACHE of the tokens each."""
-    if rows.count() <= CACHE:
+    """Of materialised rows(..., n) at most SCORE_CACHE for each level of n, and whether these are all: otherwise those that make up 1 / SCORE_CACHE of the tokens each."""
+    if rows.count() <= SCORE_CACHE:
         return rows, True
-    return rows.where(F.col("n") * F.lit(CACHE) >= F.lit(int(tokens))), False
+    return rows.where(F.col("n") * F.lit(SCORE_CACHE) >= F.lit(int(tokens))), False
 
 
 def looked_up(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -291,11 +293,15 @@ def looked_up(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Scorer:
-    """Look-ups of words and of the tree's factors. What isn't held, and may stand in the tables, is given back as missing."""
+    """Look-ups of words and of the tree's factors.
 
-    def __init__(self, words: tuple[np.ndarray, np.ndarray], all_words: bool, factors: tuple[np.ndarray, np.ndarray], all_factors: bool, unknown: float, depth: int):
+    Of a table that isn't held whole there is a bit_table() of all its keys: what is neither held nor among those bits is absent, and known to be; what is
+    among them is given back as missing. Contexts that aren't retained, most of all, are so settled where they stand.
+    """
+
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], word_bits: np.ndarray | None, factors: tuple[np.ndarray, np.ndarray], factor_bits: np.ndarray | None, unknown: float, depth: int):
         self.words, self.factors = Keys(*words, ordered=True), Keys(*factors, ordered=True)
-        self.all_words, self.all_factors, self.unknown, self.depth = all_words, all_factors, unknown, depth
+        self.word_bits, self.factor_bits, self.unknown, self.depth = word_bits, factor_bits, unknown, depth
 
     def _factors(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         value, has = np.zeros(len(keys)), np.zeros(len(keys), bool)
@@ -312,22 +318,26 @@ class Scorer:
         at, to = self.words.find(w)
         base[at], known[at] = self.words.values[to], 1
         lost: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if not self.all_words:
+        if self.word_bits is not None:
             rare = np.flatnonzero(known == 0)
+            rare = rare[may_hold(self.word_bits, w[rare])]
             base[rare] = 0
             lost.append((rows[rare], np.zeros(len(rare), np.uint64), w[rare]))
         more = np.zeros(len(w))
         for at, key in contexts(w, place, self.depth):
             value, retained = self._factors(key[at] ^ _CONTEXT)
             more[at] += value
-            if not self.all_factors:
-                lost.append((rows[at[~retained]], key[at[~retained]], np.zeros(int((~retained).sum()), np.uint64)))
-            else:
-                at = at[retained]
-            value, has = self._factors(extended(key[at], w[at]))
+            if self.factor_bits is not None:
+                open_ = ~retained & may_hold(self.factor_bits, key[at] ^ _CONTEXT)
+                lost.append((rows[at[open_]], key[at[open_]], np.zeros(int(open_.sum()), np.uint64)))
+                retained |= open_
+            at = at[retained]
+            gram = extended(key[at], w[at])
+            value, has = self._factors(gram)
             more[at] += value
-            if not self.all_factors:
-                lost.append((rows[at[~has]], key[at[~has]], w[at[~has]]))
+            if self.factor_bits is not None:
+                open_ = ~has & may_hold(self.factor_bits, gram)
+                lost.append((rows[at[open_]], key[at[open_]], w[at[open_]]))
         missing = tuple(np.concatenate(x) for x in zip(*lost)) if lost else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
         sums = [np.add.reduceat(x, begins) if len(begins) else x[:0] for x in (known, base, more)]
         return [ends - begins + 1, *sums], missing
@@ -350,30 +360,31 @@ def score_texts(docs: DataFrame, train_rows: Column, depth: int = DEPTH, **tests
     unknown = -math.log10(bottom)
     known, all_words = frequent(words, tokens)
     factors, all_factors = frequent(tree, tokens)
-    held_words = spark.sparkContext.broadcast(looked_up(known.select("key", F.log10((F.col("n") + 1) / F.lit(bottom)))))
-    held_factors = spark.sparkContext.broadcast(looked_up(factors.select("s", "x", F.col("value").cast("float")).mapInArrow(_keyed, "key long, value float")))
+    share = spark.sparkContext.broadcast
+    held_words = share(looked_up(known.select("key", F.log10((F.col("n") + 1) / F.lit(bottom)))))
+    held_factors = share(looked_up(factors.select("s", "x", F.col("value").cast("float")).mapInArrow(_keyed, "key long, value float")))
+    word_bits = share(None if all_words else bit_table(words.select(F.col("key").alias("h"))))
+    factor_bits = share(None if all_factors else bit_table(tree.select("s", "x", "value").mapInArrow(_keyed, "key long, value double").select(F.col("key").alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held_words.value, all_words, held_factors.value, all_factors, unknown, depth)
+        scorer = Scorer(held_words.value, word_bits.value, held_factors.value, factor_bits.value, unknown, depth)
         for b in slices(batches):
-            texts = texts_of(b, "text")
-            (n, known, base, more), (row, s, x) = scorer.score(texts)
-            if all_words and all_factors:
-                ids = np.zeros(len(texts), np.int64)
-            else:
-                ids = np.array([xxhash.xxh3_64_intdigest(f"{i}\x1f".encode() + (t or b"")) for i, t in zip(b.column("doc_id").to_pylist(), texts)], np.uint64).view(np.int64)
+            (n, known, base, more), (row, s, x) = scorer.score(texts_of(b, "text"))
+            ids = b.column("row_key").to_numpy()
             order = np.lexsort((x, s, row))
             row, s, x = row[order], s[order], x[order]
             new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (s[1:] != s[:-1]) | (x[1:] != x[:-1])))) if len(row) else row
             times = np.diff(np.append(new, len(row)))
-            k, none = len(texts), lambda kind: pa.nulls(len(new), kind)
+            k, none = b.num_rows, lambda kind: pa.nulls(len(new), kind)
             columns = [
-                pa.concat_arrays([_signed(ids), _signed(ids[row[new]])]), pa.concat_arrays([b.column("doc_id"), none(pa.int64())]), pa.concat_arrays([b.column("learn"), none(pa.bool_())]),
+                pa.concat_arrays([pa.array(ids), pa.array(ids[row[new]])]), pa.concat_arrays([b.column("doc_id"), none(pa.int64())]), pa.concat_arrays([b.column("learn"), none(pa.bool_())]),
                 pa.concat_arrays([pa.array(n, pa.int64()), none(pa.int64())]), pa.concat_arrays([pa.array(known, pa.int64()), none(pa.int64())]), pa.concat_arrays([pa.array(base), none(pa.float64())]), pa.concat_arrays([pa.array(more), none(pa.float64())]),
                 pa.concat_arrays([pa.nulls(k, pa.int64()), _signed(s[new])]), pa.concat_arrays([pa.nulls(k, pa.int64()), _signed(x[new])]), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(times, pa.int64())]),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["row_key", "doc_id", "learn", "n_tokens", "known", "base", "more", "s", "x", "times"])
 
+    # Rows are told apart by a number; texts and what they miss are written in one pass, so the numbers agree.
+    d = d.withColumn("row_key", F.monotonically_increasing_id())
     scored = d.mapInArrow(run, "row_key long, doc_id long, learn boolean, n_tokens long, known long, base double, more double, s long, x long, times long")
     result = ["doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("more")).alias("score")]
     if all_words and all_factors:
@@ -387,9 +398,7 @@ def score_texts(docs: DataFrame, train_rows: Column, depth: int = DEPTH, **tests
         F.sum(F.when(word & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("r_known"), F.sum(F.when(word, F.col("times") * F.coalesce("value", F.lit(unknown))).otherwise(0.0)).alias("r_base"),
         F.sum(F.when(~word, F.col("times") * F.coalesce("value", F.lit(0.0))).otherwise(0.0)).alias("r_more"),
     )
-    # A repeated row adds its misses again: each of its rows takes an equal part.
-    extra = parts.join(heads.groupBy("row_key").agg(F.count("*").alias("m")), "row_key")
-    whole = heads.join(extra, "row_key", "left")
-    part = lambda c: F.coalesce(F.col(f"r_{c}") / F.col("m"), F.lit(0.0))
-    whole = whole.select("doc_id", "learn", "n_tokens", (F.col("known") + F.round(part("known"))).cast("long").alias("known"), (F.col("base") + part("base")).alias("base"), (F.col("more") + part("more")).alias("more"))
+    whole = heads.join(parts, "row_key", "left")
+    part = lambda c: F.coalesce(f"r_{c}", F.lit(0.0))
+    whole = whole.select("doc_id", "learn", "n_tokens", (F.col("known") + F.coalesce("r_known", F.lit(0))).alias("known"), (F.col("base") + part("base")).alias("base"), (F.col("more") + part("more")).alias("more"))
     return whole.select(*result)

@@ -356,6 +356,7 @@ def test_tree_equals_its_definition(spark, monkeypatch, depth, cache):
     from tapewright.llm import suffix_lm
 
     monkeypatch.setattr(suffix_lm, "CACHE", cache)
+    monkeypatch.setattr(suffix_lm, "SCORE_CACHE", cache)
     monkeypatch.setattr(suffix_lm, "HELD", 200)
     rng = np.random.default_rng(5)
     lines = ["the cat sat on the mat", "the dog sat on the log", "a bird flew over the big mat", "the cat sat on the log again", "now the dog flew over a cat"]
