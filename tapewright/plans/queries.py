@@ -778,7 +778,13 @@ def snapshot_read(s, d):
     return K.snapshot_read(s, root, "security", 1)
 
 
-@query()
+_TEXT = lambda x: f"trim(regexp_replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(rf"""select page_id, url, {_TEXT("regexp_replace(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g')")} as title,
+  coalesce({_TEXT("array_to_string(list_transform(regexp_extract_all(h, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda x: regexp_replace(x, '<[^>]*>', ' ', 'g')), ' ')")}, '') as h1,
+  len(regexp_extract_all(h, '(?i)<a[\s>]'))::bigint as links, len(regexp_extract_all(h, '(?i)<p[\s>]'))::bigint as paragraphs
+  from (select page_id, url, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g') as h from pages)""")
 def page_outline(s, d):
     return X.page_outline(S.table(s, d, "pages"))
 
