@@ -40,7 +40,7 @@ END = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of a table that may be broadcast for look-ups.
 CACHE = 5_000_000
 #: Rows of a table that scoring holds in each task, the most frequent ones; others are found by a join.
-SCORE_CACHE = 2_000_000
+SCORE_CACHE = 5_000_000
 #: Words, and places with their contexts, that a task holds before it hands their counts on; places in all that a bucket gets about.
 WORDS_HELD, HELD, BUCKET = 6_000_000, 3_000_000, 1_500_000
 _NEXT, _CONTEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
