@@ -789,13 +789,14 @@ def page_outline(s, d):
     return X.page_outline(S.table(s, d, "pages"))
 
 
-@query("select * from (select ts::date as as_of, event_type, count(*) as n from events group by all) where as_of + interval 1 day <= (select max(ts) - interval 1 hour from events)")
+@query("select ts::date as as_of, event_type, count(*) as n from events group by all")
 def session_counts(s, d):
-    """The stream's counts by day, each appended once when the watermark has passed its day; days that it hasn't passed are still open."""
+    """The stream's counts by day, in complete mode over all files there are, late rows and open days too; each state is published to a store."""
     store, schema = scratch(s, "session-store"), S.table(s, d, "events").schema
     src = s.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    J.append_to(J.session_counts(src), store, scratch(s, "sessions")).awaitTermination()
-    return s.read.schema("as_of date, event_type string, n long").parquet(store)
+    J.publish_states(J.session_counts(src, late=None), store, scratch(s, "sessions")).awaitTermination()
+    found = K.published(s, store)
+    return s.createDataFrame([], "as_of date, event_type string, n long") if found is None else found
 
 
 @query("select user_id, event_type, ts::date as as_of, max(value) as value from events group by all")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.day_store import accrue_days
+from ..operators.sinks import publish
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -39,7 +40,17 @@ def dedup_news(stream: DataFrame, key: str = "link", at: str = "published", late
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def session_counts(stream: DataFrame, at: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Events of each day and type, for append mode: a day comes once, when the watermark has passed its end, and its state goes; later rows are dropped."""
+def publish_states(counts: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Every state of an aggregation, whole, to a published store; a batch that runs again publishes the same state."""
+    return counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: publish(df, store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def session_counts(stream: DataFrame, at: str = "ts", late: str | None = "1 hour") -> DataFrame:
+    """Events of each day and type, for append mode: a day comes once, when the watermark has passed its end, and its state goes; later rows are dropped.
+
+    late=None is for complete mode: no row is dropped, rows without a time count as a day of their own, and the state is the result.
+    """
+    if late is None:
+        return stream.groupBy(F.to_date(at).alias("as_of"), "event_type").agg(F.count("*").alias("n"))
     days = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, "1 day"), "event_type").agg(F.count("*").alias("n"))
     return days.select(F.to_date("window.start").alias("as_of"), "event_type", "n")

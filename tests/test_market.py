@@ -20,6 +20,7 @@ from tapewright.operators import derive as D
 from tapewright.operators import ledger as G
 from tapewright.operators import sinks as K
 from tapewright.operators import views as V
+from tapewright.plans import queries as N
 from tapewright.plans import screens as Q
 from tapewright.sources import archive_ranges as Z
 from tapewright.sources import documents as X
@@ -458,6 +459,16 @@ def test_sessions_are_appended_when_their_day_has_passed(spark, tmp_path):
     assert max(x["numRowsTotal"] for x in state) <= 8 and state[-1]["numRowsTotal"] == 2 and sum(x["numRowsDroppedByWatermark"] for x in state) == 1
 
 
+def test_session_counts_leave_no_row_out(spark, tmp_path):
+    """Late rows, days still open and rows without a time are counted, over several batches and by the query."""
+    days = [[(_t("2024-01-05T10:00:00"), "a")] * 3, [(_t("2024-01-09T23:30:00"), "b")], [(_t("2024-01-05T23:59:59"), "a"), (_t("2024-01-01T00:00:00"), "c"), (None, "a"), (_t("2024-01-09T01:00:00"), None)]]
+    src = _feed(spark, f"{tmp_path}/events.parquet", days, "ts timestamp, event_type string")
+    J.publish_states(J.session_counts(src, late=None), f"{tmp_path}/store", f"{tmp_path}/c").awaitTermination()
+    want = [("2024-01-01", "c", 1), ("2024-01-05", "a", 4), ("2024-01-09", "None", 1), ("2024-01-09", "b", 1), ("None", "a", 1)]
+    for got in (K.published(spark, f"{tmp_path}/store"), N.session_counts(spark, str(tmp_path))):
+        assert sorted((str(r.as_of), str(r.event_type), r.n) for r in got.collect()) == want
+
+
 def test_stories_are_forgotten_after_their_watermark(spark, tmp_path):
     link = lambda k, *days: [(f"l{k}", _t(f"2024-01-{x:02}T00:00:00")) for x in days]
     batches = [link(0, 1) + link(1, 2, 2), link(0, 2) + link(2, 9), link(3, 14), link(0, 20) + link(1, 5) + link(2, 13)]
