@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Keys, bit_table, hashed_words, materialise, may_hold, mix, slices, small, texts_of
+from .common import Keys, bit_table, hashed_words, materialise, may_hold, mix, slices, small, small_batches, texts_of
 
 DEPTH = 2
 LEAST_COUNT = 16
@@ -43,6 +43,10 @@ CACHE = 5_000_000
 SCORE_CACHE = 5_000_000
 #: Words, and places with their contexts, that a task holds before it hands their counts on; places in all that a bucket gets about.
 WORDS_HELD, HELD, BUCKET = 6_000_000, 3_000_000, 1_500_000
+#: Ranges of buckets in which a task sorts what it holds and hands it on, so that only one is copied at a time.
+RANGES = 16
+#: Texts laid out at a time.
+SLICE = 100
 _NEXT, _CONTEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -87,17 +91,19 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n): how often each symbol stands in what a task has held."""
 
     def counted() -> pa.RecordBatch:
-        keys = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
+        keys = np.concatenate(held) if held else np.empty(0, np.uint64)
+        held.clear()
+        keys.sort()
         at = _firsts(keys)
         return pa.RecordBatch.from_arrays([_signed(keys[at]), pa.array(np.diff(np.append(at, len(keys))))], ["key", "n"])
 
     held, size = [], 0
-    for b in slices(batches):
+    for b in slices(batches, SLICE):
         held.append(laid_out(texts_of(b, "text"))[0])
         size += len(held[-1])
         if size > WORDS_HELD:
             yield counted()
-            held, size = [], 0
+            size = 0
     yield counted()
 
 
@@ -115,24 +121,37 @@ def _blocks(d: int, buckets: int, tables):
     """(bucket, columns of grams of level d, n) of what a task has held. tables: the sorted alphabet and contexts of 2, 3, ... words; None where they can't be sent."""
     names = _columns(d)
 
-    def counted(parts: list[list[np.ndarray]], gram: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cols = [np.concatenate(x) for x in zip(*parts)]
-        order = np.argsort(gram)
-        gram = gram[order]
-        at = _firsts(gram)
-        n = np.diff(np.append(at, len(gram))).astype(np.int32)
-        bucket = (gram[at] % np.uint64(buckets)).astype(np.int32)
-        cols = [c[order[at]] for c in cols]
-        order = np.lexsort((cols[-2], bucket))  # equal contexts side by side take less room
-        cut = _firsts(bucket[order])
-        offsets = pa.array(np.append(cut, len(order)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order].astype(np.int32) if placed else c[order].view(np.int64))) for c, placed in zip(cols, _placed(d, tables.value))]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut]), *lists, pa.ListArray.from_arrays(offsets, pa.array(n[order]))], ["bucket", *names, "n"])
+    def counted(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Empties parts, which hold the columns and last the grams; sorts, and hands on, a range of buckets at a time."""
+        cols = []
+        for _ in range(len(names) + 1):
+            cols.append(np.concatenate([p[0] for p in parts]))
+            for p in parts:
+                del p[0]
+        parts.clear()
+        gram = cols.pop()
+        bucket = (gram % np.uint64(buckets)).astype(np.int32)
+        step = -(-buckets // RANGES)
+        for low in range(0, buckets, step):
+            at = np.flatnonzero((bucket >= low) & (bucket < low + step))
+            if not len(at):
+                continue
+            keys = gram[at]
+            order = np.argsort(keys)
+            at, first = at[order], _firsts(keys[order])
+            n = np.diff(np.append(first, len(at))).astype(np.int32)
+            at = at[first]
+            order = np.lexsort((cols[-2][at], bucket[at]))  # equal contexts side by side take less room
+            at, n = at[order], n[order]
+            cut = _firsts(bucket[at])
+            offsets = pa.array(np.append(cut, len(at)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c[at] if c.dtype == np.int32 else c[at].view(np.int64))) for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at[cut]]), *lists, pa.ListArray.from_arrays(offsets, pa.array(n))], ["bucket", *names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [None if t is None else Keys(t, ordered=True) for t in tables.value]
-        parts, grams, size = [], [], 0
-        for b in slices(batches):
+        parts, size = [], 0
+        for b in slices(batches, SLICE):
             w, place, _ = laid_out(texts_of(b, "text"))
             keys = [key for _, key in contexts(w, place, d)]
             at, cols = np.flatnonzero(place >= d), []
@@ -141,17 +160,15 @@ def _blocks(d: int, buckets: int, tables):
                     cols.append(col[at])
                 else:
                     has, to = known.find(col[at])
-                    at, cols = at[has], [c[has] for c in cols] + [to]
+                    at, cols = at[has], [c[has] for c in cols] + [to.astype(np.int32)]
             gram = extended(keys[-1][at], w[at])
-            parts.append(cols[::-1][:-2] + [cols[1], cols[0]])
-            grams.append(gram)
+            parts.append([*cols[::-1][:-2], cols[1], cols[0], gram])
             size += len(at)
             if size > HELD:
-                yield from counted(parts, np.concatenate(grams))
-                parts, grams, size = [], [], 0
+                yield from counted(parts)
+                size = 0
         if size:
-            yield from counted(parts, np.concatenate(grams))
-        parts = grams = None
+            yield from counted(parts)
         pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return run
@@ -351,6 +368,11 @@ def score_texts(docs: DataFrame, train_rows: Column, depth: int = DEPTH, **tests
     wasn't learnt for one unknown word. Null and empty texts are the end alone. Texts of any length are scored whole. Without training rows,
     counts are 0 and both scores 0. Repeated rows each come out. Other columns are ignored. Empty input gives no rows.
     """
+    with small_batches(docs.sparkSession):
+        return _scored(docs, train_rows, depth, **tests)
+
+
+def _scored(docs: DataFrame, train_rows: Column, depth: int, **tests) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select("doc_id", "text", F.coalesce(train_rows, F.lit(False)).alias("learn"))
     words = materialise(d.where("learn").select("text").mapInArrow(_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
@@ -368,7 +390,7 @@ def score_texts(docs: DataFrame, train_rows: Column, depth: int = DEPTH, **tests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held_words.value, word_bits.value, held_factors.value, factor_bits.value, unknown, depth)
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             (n, known, base, more), (row, s, x) = scorer.score(texts_of(b, "text"))
             ids = b.column("row_key").to_numpy()
             order = np.lexsort((x, s, row))
@@ -388,7 +410,7 @@ def score_texts(docs: DataFrame, train_rows: Column, depth: int = DEPTH, **tests
     scored = d.mapInArrow(run, "row_key long, doc_id long, learn boolean, n_tokens long, known long, base double, more double, s long, x long, times long")
     result = ["doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("more")).alias("score")]
     if all_words and all_factors:
-        return scored.select(*result)
+        return materialise(scored.select(*result), "scores")
     scored = materialise(scored, "scored")
     heads, rare = scored.where("times is null"), scored.where("times is not null").select("row_key", "s", "x", "times")
     table = words.select(F.lit(0).cast("long").alias("s"), F.col("key").alias("x"), F.log10((F.col("n") + 1) / F.lit(bottom)).alias("value")).unionByName(tree.select("s", "x", "value"))

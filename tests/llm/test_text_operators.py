@@ -376,6 +376,49 @@ def test_tree_equals_its_definition(spark, monkeypatch, depth, cache):
         assert sum(p(x, c) for x in known) + p(b"never seen", c) == pytest.approx(1)
 
 
+def test_lm_counts_in_little_memory():
+    """What a task holds is sorted and handed on by ranges of buckets: a few bytes a place, no batch of all it has, no count lost."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tapewright.llm import suffix_lm
+    from tapewright.llm.common import hashed_words
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 20_000, 250))) for _ in range(8_000)]
+    alphabet = np.unique(np.append(hashed_words([t.encode() for t in texts])[0], suffix_lm.END))
+
+    class Tables:
+        value = [alphabet]
+
+    batch, pairs, most = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), 0, 0
+    tracemalloc.start()
+    for b in suffix_lm._blocks(1, 200, Tables)(iter([batch])):
+        k = len(b.column("n").flatten())
+        pairs, most = pairs + int(b.column("n").flatten().to_numpy().sum()), max(most, k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == 8_000 * 250 and most < pairs / 8 and peak < 45 * pairs + 2**20 * 8
+
+
+def test_lm_texts_come_in_small_batches(spark, monkeypatch, tmp_path):
+    """Words, grams and scores are made from at most 1,000 texts at a time; the session keeps its own batches."""
+    from tapewright.llm import suffix_lm
+
+    def seen(batches, rows, real=suffix_lm.slices):
+        for b in batches:
+            (tmp_path / f"{b.num_rows}").touch()
+            yield from real([b], rows)
+
+    monkeypatch.setattr(suffix_lm, "slices", seen)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(key), spark.range(3_500).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two "), F.col("id") % 50).alias("text"))
+    made = score_texts(docs, F.col("doc_id") % 7 != 2)
+    sizes = [int(f.name) for f in tmp_path.iterdir()]
+    assert made.count() == 3_500 and sizes and max(sizes) == 1_000 and spark.conf.get(key) == before
+
+
 def test_lm_empty(spark):
     assert score_texts(empty_docs(spark), fold_of("doc_id", 7) != 2).count() == 0
     none = score_texts(odd_docs(spark), F.lit(False)).toPandas()
