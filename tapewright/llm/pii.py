@@ -28,6 +28,8 @@ GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 BROADCAST_TERMS = 2_000_000
 #: Distinct terms a task holds before it hands its counts on.
 TALLY = 1_000_000
+#: Rounds in which documents are counted: up to which 64th of all.
+ROUNDS = (0, 1, 8, 64)
 
 _LOCAL = frozenset(UPPER + LOWER + "0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -168,6 +170,29 @@ def _term_counts(held):
     return run
 
 
+def counted(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(t, n_t) of those terms(t, most) that at most `most` of docs(doc_id, text) have, n_t the documents in all.
+
+    Documents are counted in rounds, each in exactly one. What has passed its bound by then needs no further count, so a frequent term isn't
+    reported by every task again; the first rounds' documents are gathered, for fewer tasks to report.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS[-1]))
+    terms = materialise(terms.select("t", "most", F.lit(0).cast("long").alias("n_t")), "terms")
+    for low, high in zip(ROUNDS, ROUNDS[1:]):
+        share = docs.where((place >= low) & (place < high)).select("text")
+        share = share if high == ROUNDS[-1] else share.hint("rebalance")
+        held = None
+        if terms.count() <= BROADCAST_TERMS:
+            held = docs.sparkSession.sparkContext.broadcast(np.sort(terms.select("t").toArrow().column(0).to_numpy()))
+        n = share.mapInArrow(_term_counts(held), "t long, n long").join(small(terms.select("t")), "t", "left_semi")
+        both = terms.unionByName(n.select("t", F.lit(None).cast("double").alias("most"), F.col("n").alias("n_t")))
+        both = both.groupBy("t").agg(F.max("most").alias("most"), F.sum("n_t").alias("n_t"))
+        terms = materialise(both.where(F.col("n_t") <= F.col("most")), "terms")
+        if held is not None:
+            held.destroy()
+    return terms.select("t", "n_t")
+
+
 def disclosing(found: DataFrame, docs: DataFrame, generalise_at: float, remove_at: float) -> DataFrame:
     """(e, t, action) of terms that disclose an entity: action 4 generalises, 5 removes."""
     total = found.count()
@@ -175,13 +200,9 @@ def disclosing(found: DataFrame, docs: DataFrame, generalise_at: float, remove_a
     together = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p")).groupBy("p.e", "p.t").agg(F.count("*").alias("n_et"))
     near = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["t"]))).alias("t")).groupBy("t").agg(F.count("*").alias("n_near"))
     # A term has at least the documents in which it stands near an entity; when these alone bring its share below the threshold, it needs no count.
-    most = F.col("n_et") * F.pow(F.lit(float(max(total, 1))) / F.col("n_e"), F.lit(1 - generalise_at))
-    n_et = materialise(together.join(n_e, "e").join(near, "t").where(F.col("n_near") <= most * 1.000001).select("e", "t", "n_et", "n_e"), "together")
-    terms = materialise(n_et.select("t").distinct(), "terms")
-    held = None
-    if terms.count() <= BROADCAST_TERMS:
-        held = docs.sparkSession.sparkContext.broadcast(np.sort(terms.toArrow().column(0).to_numpy()))
-    n_t = docs.select("text").mapInArrow(_term_counts(held), "t long, n long").join(small(terms), "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
+    most = F.col("n_et") * F.pow(F.lit(float(max(total, 1))) / F.col("n_e"), F.lit(1 - generalise_at)) * 1.000001
+    n_et = materialise(together.join(n_e, "e").join(near, "t").where(F.col("n_near") <= most).select("e", "t", "n_et", "n_e"), "together")
+    n_t = counted(docs, n_et.groupBy("t").agg(F.max(most).alias("most")))
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
     pmi = F.log(F.col("n_et") * F.lit(float(max(total, 1))) / (F.col("n_e") * F.col("n_t")))
     told = n_et.join(n_t, "t").where(ic > 0).withColumn("told", pmi / ic)

@@ -281,6 +281,21 @@ def test_terms_of_entities_seen_once_or_twice(spark):
     assert all(out[10 + k] == [] for k in range(60))
 
 
+def test_terms_are_counted_in_rounds(spark, monkeypatch):
+    """Every document counts once, ids or none; a term beyond its bound is told apart early and isn't counted to the end."""
+    texts = [f"the common word{k % 40} rare{k // 3}" for k in range(900)]
+    docs = odd_docs(spark, [(None if k % 90 == 0 else k // 2, t, None, None, None) for k, t in enumerate(texts)]).repartition(5)
+    hashes, sizes, real = pii.WordHashes(), [], pii._term_counts
+    n = Counter(w for t in texts for w in set(t.split()))
+    key = {w: hashes[w.encode()] - (1 << 63) for w in n}
+    monkeypatch.setattr(pii, "_term_counts", lambda held: sizes.append(len(held.value)) or real(held))
+    ask = lambda bound: {r.t: r.n_t for r in pii.counted(docs, spark.createDataFrame([(k, bound) for k in key.values()], "t long, most double")).collect()}
+    assert ask(1e9) == {key[w]: k for w, k in n.items()}
+    sizes.clear()
+    assert ask(3.0) == {key[w]: k for w, k in n.items() if k <= 3}
+    assert sizes[0] == len(n) and sizes[0] > sizes[-1] and sizes[-1] <= len(n) - 2
+
+
 # ---- language model
 
 
