@@ -174,9 +174,9 @@ def _blocks(d: int, buckets: int, tables):
     return run
 
 
-def _merged(d: int, tables):
-    """The grams of a bucket that were seen twice or more, by their keys."""
-    names = _columns(d)
+def _merged(d: int, tables, factors):
+    """The grams of a bucket that were seen twice or more, by their keys. With factors, a broadcast of suffix_factors(), the sum of the suffixes' own comes in their place."""
+    names, found = _columns(d), []
 
     def run(table: pa.Table) -> pa.Table:
         flat = {c: np.concatenate([x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in table.column(c).chunks]) for c in [*names, "n"]}
@@ -186,8 +186,17 @@ def _merged(d: int, tables):
         n = np.add.reduceat(flat["n"][order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
         twice = order[at[n > 1]]
         level = dict(zip(names, [*range(1, d), d, 1]))
-        keys = [flat[c][twice] if tables.value[k - 1] is None else tables.value[k - 1][flat[c][twice]].view(np.int64) for c, k in level.items()]
-        return pa.table([*map(pa.array, keys), pa.array(n[n > 1])], [*names, "n"])
+        cols = {c: flat[c][twice] if tables.value[k - 1] is None else tables.value[k - 1][flat[c][twice]].view(np.int64) for c, k in level.items()}
+        cols["n"] = n[n > 1]
+        if factors is not None:
+            if not found:
+                found.append(Keys(*factors.value, ordered=True))  # once a task
+            cols["lift"], x = np.zeros(len(twice)), cols["x"].view(np.uint64)
+            for p in (cols.pop(f"p{j}").view(np.uint64) for j in range(1, d)):
+                for key in (p ^ _CONTEXT, extended(p, x)):
+                    has, to = found[0].find(key)
+                    cols["lift"][has] += found[0].values[to]
+        return pa.table(cols)
 
     return run
 
@@ -197,13 +206,17 @@ def sent(keys: DataFrame) -> np.ndarray | None:
     return np.sort(keys.select("s").toArrow().column(0).to_numpy().view(np.uint64)) if keys.count() <= CACHE else None
 
 
-def grams_of(train: DataFrame, d: int, held, tokens: int) -> DataFrame:
-    """Grams of level d that occur twice or more: the contexts p1, p2, ..., s, the symbol x and n. held: a broadcast of the tables."""
+def grams_of(train: DataFrame, d: int, held, factors, tokens: int) -> DataFrame:
+    """Grams of level d that occur twice or more: the context s, the symbol x, n and lift, the sum of the suffixes' factors; without factors, the suffixes p1, p2, ... instead.
+
+    held, factors: broadcasts of the tables and of suffix_factors(). They are looked up where a bucket is merged, not by a step behind it: each Python step of
+    a stage takes a worker of its own, and workers keep what they have grown to.
+    """
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = ", ".join(f"{c} array<{'int' if placed else 'long'}>" for c, placed in zip(_columns(d), _placed(d, held.value)))
     blocks = train.select("text").mapInArrow(_blocks(d, max(parts, tokens // BUCKET), held), f"bucket int, {lists}, n array<int>")
-    shape = ", ".join(f"{c} long" for c in _columns(d)) + ", n long"
-    return blocks.groupBy("bucket").applyInArrow(_merged(d, held), shape)
+    shape = ", ".join(f"{c} long" for c in _columns(d)) + ", n long" if factors is None else "s long, x long, n long, lift double"
+    return blocks.groupBy("bucket").applyInArrow(_merged(d, held, factors), shape)
 
 
 def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,39 +225,28 @@ def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_signed(extended(s, x)), b.column("n")], ["s", "n_s"])
 
 
-def with_suffix(at: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(s, x, n, n_s, par) of grams with the contexts' suffixes p1, p2, ...: par is ln P(x | longest retained suffix).
-
-    levels: (retained contexts, kept symbols) of the shorter contexts; looked up in a broadcast while they have at most CACHE rows, else joined.
-    """
-    names = ["s", "x", "n", "n_s"]
-    if not levels:
-        return at.select(*names, F.col("root").alias("par"))
-    if sum(c.count() + x.count() for c, x in levels) > CACHE:
-        par = F.col("root")
-        for j, (kept_contexts, kept_symbols) in enumerate(levels, 1):
-            at = at.join(small(kept_contexts.select(F.col("s").alias(f"p{j}"), F.col("log_b").alias(f"b{j}"))), f"p{j}", "left")
-            at = at.join(small(kept_symbols.select(F.col("s").alias(f"p{j}"), "x", F.col("more").alias(f"m{j}"))), [f"p{j}", "x"], "left")
-            par = par + F.coalesce(f"b{j}", F.lit(0.0)) + F.coalesce(f"m{j}", F.lit(0.0))
-        return at.select(*names, par.alias("par"))
+def suffix_factors(levels: list[tuple[DataFrame, DataFrame]]) -> tuple[np.ndarray, np.ndarray] | None:
+    """looked_up() natural logarithms of the factors of levels: (retained contexts, kept symbols) of 1, 2, ... words. None without levels, and beyond CACHE rows."""
+    if not levels or sum(c.count() + x.count() for c, x in levels) > CACHE:
+        return None
     rows = None
     for kept_contexts, kept_symbols in levels:
         part = kept_contexts.select("s", F.lit(0).cast("long").alias("x"), F.col("log_b").alias("value")).unionByName(kept_symbols.select("s", "x", F.col("more").alias("value")))
         rows = part if rows is None else rows.unionByName(part)
-    held, deep = at.sparkSession.sparkContext.broadcast(looked_up(rows.mapInArrow(_keyed, "key long, value double"))), len(levels)
+    return looked_up(rows.mapInArrow(_keyed, "key long, value double"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = Keys(*held.value, ordered=True)
-        for b in batches:
-            par, x = b.column("root").to_numpy(zero_copy_only=False).copy(), b.column("x").to_numpy(zero_copy_only=False).view(np.uint64)
-            for j in range(1, deep + 1):
-                p = b.column(f"p{j}").to_numpy(zero_copy_only=False).view(np.uint64)
-                for key in (p ^ _CONTEXT, extended(p, x)):
-                    has, to = factors.find(key)
-                    par[has] += factors.values[to]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(par)], [*names, "par"])
 
-    return at.mapInArrow(run, "s long, x long, n long, n_s long, par double")
+def with_suffix(at: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(s, x, n, n_s, par) of grams_of() with n_s and root: par is ln P(x | longest retained suffix). levels: as in suffix_factors(); joined where there is no lift."""
+    par = F.col("root")
+    if "lift" in at.columns:
+        par = par + F.col("lift")
+    else:
+        for j, (kept_contexts, kept_symbols) in enumerate(levels, 1):
+            at = at.join(small(kept_contexts.select(F.col("s").alias(f"p{j}"), F.col("log_b").alias(f"b{j}"))), f"p{j}", "left")
+            at = at.join(small(kept_symbols.select(F.col("s").alias(f"p{j}"), "x", F.col("more").alias(f"m{j}"))), [f"p{j}", "x"], "left")
+            par = par + F.coalesce(f"b{j}", F.lit(0.0)) + F.coalesce(f"m{j}", F.lit(0.0))
+    return at.select("s", "x", "n", "n_s", par.alias("par"))
 
 
 def fit_tree(train: DataFrame, words: DataFrame, tokens: int, kinds: int, depth: int = DEPTH, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN, least_symbol_gain: float = LEAST_SYMBOL_GAIN) -> DataFrame:
@@ -252,18 +254,21 @@ def fit_tree(train: DataFrame, words: DataFrame, tokens: int, kinds: int, depth:
 
     words(key, n), tokens and kinds: the counts of all symbols, of which the root is made. Without training rows, there are no rows.
     """
-    last = int(END.view(np.int64))
+    last, share = int(END.view(np.int64)), train.sparkSession.sparkContext.broadcast
     alphabet = materialise(words.where((F.col("key") == last) | (F.col("n") >= least_count)).select(F.col("key").alias("s"), F.col("n").alias("n_s")), "alphabet")
     root = alphabet.select(F.col("s").alias("x"), F.log((F.col("n_s") + 1) / F.lit(float(tokens + kinds + 1))).alias("root"))
     context, tables = alphabet, [sent(alphabet)]
     levels: list[tuple[DataFrame, DataFrame]] = []
     for d in range(1, depth + 1):
-        held = train.sparkSession.sparkContext.broadcast(tables)
-        grams = grams_of(train, d, held, tokens)
+        held, factors = share(tables), suffix_factors(levels)
+        factors = None if factors is None else share(factors)
+        grams = grams_of(train, d, held, factors, tokens)
         at = with_suffix(grams.join(small(context), "s").join(small(root), "x"), levels)
         tells = F.col("n") * (F.log(F.col("n") / F.col("n_s")) - F.col("par")) >= least_symbol_gain
         grams = materialise(at.where(tells | (F.col("n") >= least_count) if d < depth else tells), f"grams-{d}")  # what symbols and longer contexts come from
-        held.destroy()
+        for b in (held, factors):
+            if b is not None:
+                b.destroy()
         told = grams.where(tells)
         sums = materialise(told.groupBy("s").agg(F.sum(F.col("n") - 1).alias("mass")), f"sums-{d}")
         both = told.join(small(sums), "s").withColumn("log_b", F.log(1 - F.col("mass") / F.col("n_s")))
@@ -409,9 +414,12 @@ def _scored(docs: DataFrame, train_rows: Column, depth: int, **tests) -> DataFra
     d = d.withColumn("row_key", F.monotonically_increasing_id())
     scored = d.mapInArrow(run, "row_key long, doc_id long, learn boolean, n_tokens long, known long, base double, more double, s long, x long, times long")
     result = ["doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("more")).alias("score")]
-    if all_words and all_factors:
-        return materialise(scored.select(*result), "scores")
-    scored = materialise(scored, "scored")
+    every = all_words and all_factors
+    scored = materialise(scored.select(*result) if every else scored, "scores")
+    for b in (held_words, held_factors, word_bits, factor_bits):
+        b.destroy()
+    if every:
+        return scored
     heads, rare = scored.where("times is null"), scored.where("times is not null").select("row_key", "s", "x", "times")
     table = words.select(F.lit(0).cast("long").alias("s"), F.col("key").alias("x"), F.log10((F.col("n") + 1) / F.lit(bottom)).alias("value")).unionByName(tree.select("s", "x", "value"))
     looked = rare.join(table, ["s", "x"], "left")

@@ -434,6 +434,34 @@ def test_lm_texts_come_in_small_batches(spark, monkeypatch, tmp_path):
     assert made.count() == 3_500 and sizes and max(sizes) == 1_000 and spark.conf.get(key) == before
 
 
+def python_steps(plan) -> tuple[int, int]:
+    """Python steps in the stage that a physical plan ends with, and at most in any of its stages."""
+    if "AdaptiveSparkPlan" in plan.nodeName():
+        return python_steps(plan.initialPlan())
+    below = [python_steps(plan.children().apply(k)) for k in range(plan.children().size())]
+    own, most = sum(x[0] for x in below) + any(w in plan.nodeName() for w in ("Arrow", "Pandas", "Python")), max((x[1] for x in below), default=0)
+    return (0, max(own, most)) if "Exchange" in plan.nodeName() else (own, max(own, most))
+
+
+@pytest.mark.parametrize("cache", [10**6, 1])
+def test_lm_stages_take_one_worker(spark, monkeypatch, cache):
+    """No stage has two Python steps: a core would have two workers, and each keeps the tables and the memory of its last task."""
+    from tapewright.llm import suffix_lm
+
+    steps = []
+
+    def seen(df, name, real=suffix_lm.materialise):
+        steps.append((python_steps(df._jdf.queryExecution().executedPlan())[1], name))
+        return real(df, name)
+
+    monkeypatch.setattr(suffix_lm, "materialise", seen)
+    monkeypatch.setattr(suffix_lm, "CACHE", cache)
+    monkeypatch.setattr(suffix_lm, "SCORE_CACHE", cache)
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("the cat sat on the mat "), F.col("id") % 5).alias("text"))
+    assert score_texts(docs, F.lit(True), depth=3, **LM_RULES).count() == 60
+    assert {"grams-1", "grams-2", "grams-3"} <= {name for _, name in steps} and max(steps)[0] == 1
+
+
 def test_lm_empty(spark):
     assert score_texts(empty_docs(spark), fold_of("doc_id", 7) != 2).count() == 0
     none = score_texts(odd_docs(spark), F.lit(False)).toPandas()
