@@ -163,8 +163,9 @@ def short_baseline(volume: DataFrame, floor: float = 100_000.0) -> DataFrame:
 
 
 def short_interest_view(raw: DataFrame) -> DataFrame:
-    """The sentinel 999.99 in days_to_cover means unknown."""
-    return raw.withColumn("days_to_cover", F.when(F.col("days_to_cover") < 999.99, F.col("days_to_cover")))
+    """The sentinel 999.99 in days_to_cover means unknown, as what isn't finite does; numbers above it are measurements."""
+    days = F.col("days_to_cover")
+    return raw.withColumn("days_to_cover", F.when((days < float("inf")) & (days != 999.99), days))
 
 
 def keyed_values(raw: DataFrame, source: str) -> DataFrame:

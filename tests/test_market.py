@@ -527,3 +527,29 @@ def test_outlines_keep_references_without_their_end(spark):
     c.execute("create table pages (page_id bigint, url varchar, html varchar)")
     c.executemany("insert into pages values (?, ?, ?)", pages)
     assert got == sorted(c.execute(oracle_sql()["page_outline"]).fetchall()) and got[0][2:] == ("A & b&&&amp", "x <y>&amp", 1, 1)
+
+
+def test_days_to_cover_above_the_sentinel_are_measurements(spark):
+    days = [999.98, 999.99, 1000.0, 4500.0, 0.0, None, float("nan"), float("inf")]
+    si = spark.createDataFrame([(x,) for x in days], "days_to_cover double")
+    assert [r[0] for r in V.short_interest_view(si).collect()] == [999.98, None, 1000.0, 4500.0, 0.0, None, None, None]
+
+
+@pytest.mark.parametrize("name", ["short_interest"])
+def test_months_of_a_thousand_orders_have_days_to_cover(spark, tmp_path, name):
+    from tapewright.plans.registry import oracle_sql, queries
+
+    spark.range(3).selectExpr("id as c_custkey", "cast(id as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    month = "timestamp'2024-01-05' + make_dt_interval(31 * cast(id % 2 as int))"  # 1,500 orders each, 2,100 (300 sevens) of the third nation
+    n = {0: 3_000, 1: 1_998, 2: 4_200}
+    orders = [f"select id as o_orderkey, {k}L as o_custkey, 10.5D as o_totalprice, {month} as o_orderdate from range({m})" for k, m in n.items()]
+    spark.sql(" union all ".join(orders)).write.parquet(f"{tmp_path}/orders.parquet")
+    df = queries()[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    for t in ("customer", "orders"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    cur = c.execute(oracle_sql()[name])
+    cols = [d[0] for d in cur.description]
+    want = sorted((tuple(x.isoformat() if hasattr(x, "isoformat") else x for x in r) for r in cur.fetchall()), key=repr)
+    assert sorted((tuple(x.isoformat() if hasattr(x, "isoformat") else x for x in r) for r in df.select(*cols).collect()), key=repr) == want
+    assert sorted(r[0] or 0 for r in df.select("days_to_cover").collect()) == [0, 0, 999, 999, 1500, 1500]
