@@ -535,7 +535,7 @@ def test_days_to_cover_above_the_sentinel_are_measurements(spark):
     assert [r[0] for r in V.short_interest_view(si).collect()] == [999.98, None, 1000.0, 4500.0, 0.0, None, None, None]
 
 
-@pytest.mark.parametrize("name", ["short_interest"])
+@pytest.mark.parametrize("name", ["short_interest", "us_finra_short_interest"])
 def test_months_of_a_thousand_orders_have_days_to_cover(spark, tmp_path, name):
     from tapewright.plans.registry import oracle_sql, queries
 
