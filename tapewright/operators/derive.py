@@ -75,6 +75,7 @@ def symbol_bridge(masters: DataFrame, insiders: DataFrame) -> DataFrame:
 def resolve_names(names: DataFrame, bridge: DataFrame, least: int = 12) -> DataFrame:
     """name -> symbol: the exact key, else the longest bridge key of at least 12 characters that begins the name's key and has one symbol.
 
+    A key whose symbols are null is known without one: the name that equals it has none; as a prefix of others it doesn't count.
     Each name tries its own prefixes by equality, at most its length of them, so no name meets every key.
     """
     n = names.select("name", name_key(F.col("name")).alias("key")).distinct()

@@ -553,3 +553,29 @@ def test_months_of_a_thousand_orders_have_days_to_cover(spark, tmp_path, name):
     want = sorted((tuple(x.isoformat() if hasattr(x, "isoformat") else x for x in r) for r in cur.fetchall()), key=repr)
     assert sorted((tuple(x.isoformat() if hasattr(x, "isoformat") else x for x in r) for r in df.select(*cols).collect()), key=repr) == want
     assert sorted(r[0] or 0 for r in df.select("days_to_cover").collect()) == [0, 0, 999, 999, 1500, 1500]
+
+
+@pytest.mark.parametrize("name", ["shareholding_quarters"])
+def test_holdings_of_companies_with_six_digits(spark, tmp_path, name):
+    from tapewright.plans import archive_queries  # noqa: F401  they register themselves
+    from tapewright.plans.registry import oracle_sql, queries
+
+    keys = "explode(array(10000L, 10001L, 12345L, 12346L, 100002L, 100003L, 100008L, 100010L, 123456L, 123457L, 1234563L))"  # 100002 begins with 10000, which has a symbol
+    spark.sql(f"select {keys} as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    dates = "timestamp'2024-01-05' + make_dt_interval(40 * k)"
+    spark.sql(f"select row_number() over (order by o_custkey, k) as o_orderkey, *, substring('OFP', 1 + k % 3, 1) as o_orderstatus, {dates} as o_orderdate from (select {keys} as o_custkey, k from (select explode(sequence(0, 5)) as k))").write.parquet(f"{tmp_path}/orders.parquet")
+    df = queries()[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    for t in ("customer", "orders"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    cur = c.execute(oracle_sql()[name])
+    cols = [d[0] for d in cur.description]
+    want = sorted((tuple(x.isoformat()[:10] if hasattr(x, "isoformat") else x for x in r) for r in cur.fetchall()), key=repr)
+    got = sorted((tuple(x.isoformat()[:10] if hasattr(x, "isoformat") else x for x in r) for r in df.select(*cols).collect()), key=repr)
+    assert got == want and {r[0] for r in got} - {None} == {f"S{k}" for k in (10000, 10001, 12346, 100003, 100010, 123457)}
+
+
+def test_a_name_known_without_a_symbol_has_none(spark):
+    bridge = spark.createDataFrame([("GLOBALSTEELWORKS", "GSW"), ("GLOBALSTEELWORKSOLD", None)], "key string, symbol string")
+    names = spark.createDataFrame([("Globalsteelworks Old Ltd",), ("Globalsteelworks Older",), ("Globalsteelworks",)], "name string")
+    assert {r.name: r.symbol for r in D.resolve_names(names, bridge).collect()} == {"Globalsteelworks Old Ltd": None, "Globalsteelworks Older": "GSW", "Globalsteelworks": "GSW"}
